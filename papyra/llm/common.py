@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +94,11 @@ def doc_hash(col: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
+def byte_lengths(column) -> list[int]:
+    """Of an Arrow column of binaries; a null has none."""
+    return pc.fill_null(pc.binary_length(column), 0).to_pylist()
+
+
 def slices(lengths, most: int = 4 << 20, rows: int = 4096):
     """Ranges of consecutive rows that hold about `most` bytes, one row at least."""
     start = held = 0

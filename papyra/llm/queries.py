@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import media, mixing, warc
 
 QUERIES = {
+    "op4_warc": warc.op4_warc,
+    "op5_media": media.op5_media,
     "op10_mixing": mixing.op10_mixing,
 }
 
 SQL = {
+    "op4_warc": warc.SQL,
     "op10_mixing": mixing.SQL,
 }
