@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import media, mixing, warc
+from . import media, mixing, phrase_dedup, suffix_dedup, warc
 
 QUERIES = {
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_warc": warc.op4_warc,
     "op5_media": media.op5_media,
+    "op8_phrase_dedup": phrase_dedup.op8_phrase_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
 

@@ -52,7 +52,7 @@ def _packed(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) -> (page_id, url, n, sha1, packed): payloads travel compressed."""
 
     def pack(batches):
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             ids, urls, pages_ = batch.columns
             for a, b in slices(byte_lengths(pages_)):
@@ -212,7 +212,10 @@ def read_warc(archives: DataFrame) -> DataFrame:
     """(path, size) of uncompressed archives -> their records, found in parallel."""
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0).cast("long")), F.lit(RANGE_BYTES).cast("long"))
     ranges = archives.where("size > 0").select("path", "size", F.explode(starts).alias("start")).withColumn("stop", F.least(F.col("size"), F.col("start") + RANGE_BYTES))
-    return read_records(verified(boundary_links(ranges.repartition("path", "start"))))
+    total = archives.agg(F.sum("size")).first()[0] or 0
+    n = total // (4 * RANGE_BYTES) + 1  # so that no task reads more than some ranges, however small their links
+    found = verified(boundary_links(ranges.repartition(n, "path", "start")))
+    return read_records(found.repartition(n, "path", F.floor(F.col("offset") / RANGE_BYTES)))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
