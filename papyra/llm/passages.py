@@ -61,14 +61,14 @@ def spark_hash(ids: np.ndarray) -> np.ndarray:
 # Whole columns one after another, 64-bit ids and places as separate halves: the high
 # halves are zeros nearly always, which the shuffle's compression takes out.
 
-_LAYOUT = {"seed": 5, "ctx": 6, "id": 8, "v": 2, "at": 4, "n": 1}
+LAYOUT = {"seed": 5, "ctx": 6, "id": 8, "v": 2, "at": 4, "n": 1, "key": 6, "cls": 8, "other": 8, "size": 4}
 
 
 def pack(**columns: np.ndarray) -> bytes:
     n = len(next(iter(columns.values())))
     parts = [np.int64(n).tobytes()]
     for name, x in columns.items():
-        width = _LAYOUT[name]
+        width = LAYOUT[name]
         raw = np.ascontiguousarray(x.astype(np.int64)).view(np.uint8).reshape(n, 8)
         half = width // 2 if width in (4, 8) else width
         parts.append(raw[:, :half].tobytes())
@@ -82,7 +82,7 @@ def unpack(rows: list[bytes], *names: str) -> dict[str, np.ndarray]:
     for row in rows:
         n, at = int(np.frombuffer(row, np.int64, 1)[0]), 8
         for name in names:
-            width = _LAYOUT[name]
+            width = LAYOUT[name]
             half = width // 2 if width in (4, 8) else width
             out = np.zeros((n, 8), np.uint8)
             for a, b in ((0, half), (half, width)) if half < width else ((0, half),):
@@ -92,7 +92,7 @@ def unpack(rows: list[bytes], *names: str) -> dict[str, np.ndarray]:
     return {k: np.concatenate(x) if x else np.zeros(0, np.int64) for k, x in found.items()}
 
 
-def _dealt(key: np.ndarray, **columns: np.ndarray):
+def dealt(key: np.ndarray, /, **columns: np.ndarray):
     """(key, packed columns) for each distinct key."""
     order = np.argsort(key, kind="stable")
     key = key[order]
@@ -199,7 +199,7 @@ def keyed(docs: DataFrame, q: int) -> DataFrame:
     return docs.withColumn("_q", F.pmod(F.when(F.col("doc_id").isNull(), F.hash("text")).otherwise(F.hash(F.col("doc_id").cast("long"))), F.lit(q)))
 
 
-def _first_of(*sorted_columns: np.ndarray) -> np.ndarray:
+def first_of(*sorted_columns: np.ndarray) -> np.ndarray:
     new = np.zeros(len(sorted_columns[0]), bool)
     new[:1] = True
     for x in sorted_columns:
@@ -212,7 +212,7 @@ def _copies(units: Units, group: np.ndarray, ids: np.ndarray, v: np.ndarray) ->
     start = np.maximum.accumulate(np.where(group, np.arange(len(group)), 0))
     later = ids != ids[start]
     if not units.strict:
-        later |= ~_first_of(np.cumsum(group), ids, v)
+        later |= ~first_of(np.cumsum(group), ids, v)
     return later
 
 
@@ -249,13 +249,13 @@ def occurrences(docs: DataFrame, units: Units, n: int) -> DataFrame:
                 order = np.argsort(seed ^ (ctx * _B), kind="stable")
                 doc, at, count, seed, ctx = (x[order] for x in (doc, at, count, seed, ctx))
                 id_, v_ = ids[doc], v[doc]
-                settled = _copies(units, _first_of(seed, ctx), id_, v_)
+                settled = _copies(units, first_of(seed, ctx), id_, v_)
                 keep = ~settled
                 rows = []
                 if settled.any():
-                    rows += _dealt(n + spark_hash(id_[settled]).astype(np.int64) % n, id=id_[settled], v=v_[settled], at=at[settled], n=count[settled] + units.window - 1)
+                    rows += dealt(n + spark_hash(id_[settled]).astype(np.int64) % n, id=id_[settled], v=v_[settled], at=at[settled], n=count[settled] + units.window - 1)
                 bucket = ((seed >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
-                rows += _dealt(bucket[keep], seed=seed[keep], ctx=ctx[keep], id=id_[keep], v=v_[keep], at=at[keep], n=count[keep])
+                rows += dealt(bucket[keep], seed=seed[keep], ctx=ctx[keep], id=id_[keep], v=v_[keep], at=at[keep], n=count[keep])
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], ["key", "packed"])
 
     return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("_v").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "key int, packed binary")
@@ -275,13 +275,13 @@ def compared(found: DataFrame, units: Units, n: int) -> DataFrame:
         c = unpack(rows, "seed", "ctx", "id", "v", "at", "n")
         order = np.argsort(c["seed"])
         seed = c["seed"][order]
-        new = _first_of(seed)
+        new = first_of(seed)
         again = ~new
         again[:-1] |= ~new[1:]
         c = {k: x[order[again]] for k, x in c.items()}
         order = np.lexsort((c["at"], c["v"], c["id"], c["ctx"], c["seed"]))
         c = {k: x[order] for k, x in c.items()}
-        by_seed, by_ctx = _first_of(c["seed"]), _first_of(c["seed"], c["ctx"])
+        by_seed, by_ctx = first_of(c["seed"]), first_of(c["seed"], c["ctx"])
         later = _copies(units, by_ctx, c["id"], c["v"])
         several = np.add.reduceat(by_ctx, np.flatnonzero(by_seed)) > 1 if len(by_seed) else np.zeros(0, bool)
         asked = ~later & np.repeat(several, np.diff(np.append(np.flatnonzero(by_seed), len(by_seed))))
@@ -289,7 +289,7 @@ def compared(found: DataFrame, units: Units, n: int) -> DataFrame:
         for kind, chosen, extra in ((RANGES, later, units.window - 1), (WANTED, asked, 0)):
             ids = c["id"][chosen]
             q = spark_hash(ids).astype(np.int64) % n
-            out += [(k, kind, key, p) for k, p in _dealt(q, id=ids, v=c["v"][chosen], at=c["at"][chosen], n=c["n"][chosen] + extra)]
+            out += [(k, kind, key, p) for k, p in dealt(q, id=ids, v=c["v"][chosen], at=c["at"][chosen], n=c["n"][chosen] + extra)]
         return pa.table([pa.array([r[i] for r in out], schema.field(i).type) for i in range(4)], schema=schema)
 
     return found.groupBy("key").applyInArrow(meet, "q int, kind int, bucket int, packed binary")
@@ -345,7 +345,7 @@ def solved(parts: DataFrame, units: Units, n: int, solve: Solver) -> DataFrame:
         length = np.bincount(run_of, minlength=edge.sum()) + units.window - 1
         ids = c["id"][segment[edge]]
         q = spark_hash(ids).astype(np.int64) % n
-        out = list(_dealt(q, id=ids, v=c["v"][segment[edge]], at=at[edge], n=length))
+        out = list(dealt(q, id=ids, v=c["v"][segment[edge]], at=at[edge], n=length))
         return pa.table([pa.array([k for k, _ in out], pa.int32()), pa.array([RANGES] * len(out), pa.int32()), pa.array([None] * len(out), pa.int32()), pa.array([p for _, p in out], pa.binary())], schema=schema)
 
     return parts.groupBy("bucket").applyInArrow(run, "q int, kind int, bucket int, packed binary")
@@ -371,7 +371,7 @@ def covered(docs: DataFrame, units: Units, solve: Solver, label: str, columns: l
         c = unpack(r.column("packed").to_pylist(), "id", "v", "at", "n")
         order = np.lexsort((c["at"], c["v"], c["id"]))
         c = {k: x[order] for k, x in c.items()}
-        heads = np.flatnonzero(_first_of(c["id"], c["v"]))
+        heads = np.flatnonzero(first_of(c["id"], c["v"]))
         stops = np.append(heads, len(order))[1:]
         place = {(i, v): (a, b) for i, v, a, b in zip(c["id"][heads].tolist(), c["v"][heads].tolist(), heads.tolist(), stops.tolist(), strict=True)}
         found = []

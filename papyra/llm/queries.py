@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import media, mixing, phrase_dedup, suffix_dedup, warc
+from . import jaccard, media, mixing, phrase_dedup, suffix_dedup, warc
 
 QUERIES = {
+    "op2_jaccard": jaccard.op2_jaccard,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_warc": warc.op4_warc,
     "op5_media": media.op5_media,
