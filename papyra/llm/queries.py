@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import jaccard, media, mixing, phrase_dedup, suffix_dedup, warc
+from . import jaccard, media, mixing, packing, phrase_dedup, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op2_jaccard": jaccard.op2_jaccard,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_warc": warc.op4_warc,
     "op5_media": media.op5_media,
+    "op6_packing": packing.op6_packing,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_phrase_dedup": phrase_dedup.op8_phrase_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
