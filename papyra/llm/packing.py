@@ -12,7 +12,11 @@ A task's last tokens fill sequences of descending powers of two, which need no p
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,32 +30,62 @@ TASK_TOKENS = 512 * SEQUENCE
 
 
 class Tokenizer:
-    """ids of texts under a tokenizers file, by a bounded table of the tokens between blanks.
+    """ids of texts under a tokenizers file, by bounded tables of what was met before.
 
     The file's pre-tokenizer drops white space and never joins over it, so a text's ids
-    are those of its parts in turn.
+    are those of its parts between blanks in turn.  A part of Latin letters, digits and
+    ASCII signs is cut here as the file's pattern cuts it, and its pieces go to the file's
+    BPE model alone; any other part goes through the whole file.  Tables keep two
+    generations, so that what is frequent stays.
     """
 
-    LIMIT = 400_000
+    LIMIT = 250_000
+    PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer as File
 
         self.file = File.from_file(path)
+        self.model = self.file.model
+        # for plain parts in lower case, letters and numbers are sets that can be told
+        split = json.loads(self.file.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        letters = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f"
+        self.pieces = re.compile(split.replace(r"\p{L}", letters).replace(r"\p{N}", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be")).findall
+        signs = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level BPE shows as themselves
+        others = [i for i in range(256) if i not in signs]
+        self.letters = {**{i: chr(i) for i in signs}, **{i: chr(256 + n) for n, i in enumerate(others)}}
         self.known: dict[bytes, bytes] = {}
-
-    def ids(self, text: bytes) -> bytes:
-        """The ids as 16-bit little-endian numbers, the end id last."""
-        words = text.split()
-        known = self.known
-        missing = [w for w in dict.fromkeys(words) if w not in known]
-        if missing:
-            if len(known) + len(missing) > self.LIMIT:
-                known.clear()
-                missing = list(dict.fromkeys(words))
-            for w, e in zip(missing, self.file.encode_batch_fast([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u2").tobytes()
-        return b"".join([*map(known.__getitem__, words), END_ID.to_bytes(2, "little")])
+        self.older: dict[bytes, bytes] = {}
+        self.of_piece: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        if len(self.of_piece) > self.LIMIT:
+            self.of_piece.clear()
+        shown = piece if piece.isascii() else "".join([self.letters[x] for x in piece.encode()])
+        ids = self.of_piece[piece] = array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return ids
+
+    def _part(self, part: bytes) -> bytes:
+        text = part.decode("utf-8", "replace")
+        if (text.isascii() and text.isprintable() or self.PLAIN.fullmatch(text)) and "<|" not in text:
+            found = [self.of_piece.get(x) or self._piece(x) for x in self.pieces(text.lower())]
+            return found[0] if len(found) == 1 else b"".join(found)
+        return array("H", self.file.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def learn(self, parts: set[bytes]) -> None:
+        if len(self.known) > self.LIMIT:
+            self.older, self.known = self.known, {}
+        for p in parts.difference(self.known):
+            ids = self.older.get(p)
+            self.known[p] = self._part(p) if ids is None else ids
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Each text's ids as 16-bit little-endian numbers, the end id last."""
+        split = [x.split() for x in texts]
+        self.learn(set().union(*split))
+        end = END_ID.to_bytes(2, "little")
+        return [b"".join([*map(self.known.__getitem__, parts), end]) for parts in split]
 
 
 _loaded: dict[str, Tokenizer] = {}
@@ -67,7 +101,7 @@ def tokenised(docs: DataFrame, path: str, parts: int) -> DataFrame:
         for batch in batches:
             part, doc_id, source, texts = batch.columns
             for a, b in slices(byte_lengths(texts)):
-                ids = [t.ids(x or b"") for x in texts[a:b].to_pylist()]
+                ids = t.ids([x or b"" for x in texts[a:b].to_pylist()])
                 yield pa.RecordBatch.from_arrays([part[a:b], doc_id[a:b], source[a:b], pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["part", "doc_id", "source", "n", "ids"])
 
     part = F.pmod(F.when(F.col("doc_id").isNull(), F.hash("text")).otherwise(F.hash("doc_id")), F.lit(parts))
