@@ -15,23 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import mix64, table
 from .passages import Units, covered, mask
 
 MATCH_BYTES = 50
 UNITS = Units("bytes", MATCH_BYTES, 24, strict=True)
 
 
-def _rank(*keys: np.ndarray) -> np.ndarray:
-    """Dense ranks of 64-bit keys, or of pairs of ranks."""
-    key = keys[0] if len(keys) == 1 else (keys[0].astype(np.uint64) << np.uint64(32)) | keys[1].astype(np.uint64)
-    order = np.argsort(key)
-    ordered = key[order]
-    rank = np.zeros(len(key), np.uint32)
-    rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1]))).astype(np.uint32) if len(key) else 0
-    return rank
-
-
 def previous_smaller(value: np.ndarray) -> np.ndarray:
     """The nearest earlier place with a strictly smaller value, or -1, by pointer jumping.
 
@@ -47,43 +37,54 @@ def previous_smaller(value: np.ndarray) -> np.ndarray:
     return at
 
 
+def _equal_bytes(differ: np.ndarray) -> np.ndarray:
+    """How many leading bytes two big-endian words share, from their difference (xor)."""
+    return sum((differ < np.uint64(1 << (8 * i))).astype(np.int64) for i in range(8))
+
+
 def longest_previous_factors(text: np.ndarray, starts: np.ndarray, owner: np.ndarray, most: int) -> np.ndarray:
     """For each start, the longest match (up to `most` bytes) with a start of a smaller owner.
 
-    text needs `most` + 8 bytes after every start.  The suffix order of the first `most`
-    bytes comes from prefix doubling: ranks of 8 bytes, 16, 32, ..., and last of two
-    overlapping halves.
+    text needs `most` + 8 bytes after every start.  Suffix order is that of the first `most`
+    bytes, eight at a time, equal ones by owner.
     """
     raw = text.tobytes()
     x = np.empty(len(text) - 7, np.uint64)
     for i in range(8):
         x[i::8] = np.frombuffer(raw, ">u8", (len(raw) - i) // 8, i)
-    rank, have = _rank(x), 8
-    while 2 * have <= most:
-        rank = _rank(rank[:-have], rank[have:])
-        have *= 2
-    key = (rank[starts].astype(np.uint64) << np.uint64(32)) | rank[starts + most - have].astype(np.uint64)
-    order = np.lexsort((owner, key))
+    steps = [*range(0, most - 7, 8), most - 8]
+    order = np.lexsort((owner, *(x[starts + i] for i in reversed(steps))))
     who, at = owner[order], starts[order]
     before = previous_smaller(who)
     after = len(who) - 1 - previous_smaller(who[::-1])[::-1]
     best = np.zeros(len(at), np.int64)
     for other, there in ((before, before >= 0), (after, after < len(at))):
-        mine, his = at[there], at[other[there]]
-        same, alive = np.zeros(len(mine), np.int64), np.ones(len(mine), bool)
+        alive = np.flatnonzero(there)
         for i in range(0, most, 8):
-            differ = x[mine + i] ^ x[his + i]
-            bytes_ = np.where(differ == 0, 8, 0)
-            odd = differ != 0
-            bytes_[odd] = (63 - np.floor(np.log2(differ[odd].astype(np.longdouble))).astype(np.int64)) // 8
-            same += np.where(alive, bytes_, 0)
-            alive &= ~odd
-        best[there] = np.maximum(best[there], np.minimum(same, most))
+            same = _equal_bytes(x[at[alive] + i] ^ x[at[other[alive]] + i])
+            best[alive] = np.maximum(best[alive], np.minimum(i + same, most))
+            alive = alive[same == 8]
     out = np.zeros(len(starts), np.int64)
     out[order] = best
     return out
 
 
+def recurring(text: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Which starts have a window whose fingerprint another start shares; no other can match in full."""
+    raw = text.tobytes()
+    x = np.empty(len(text) - 7, np.uint64)
+    for i in range(8):
+        x[i::8] = np.frombuffer(raw, "<u8", (len(raw) - i) // 8, i)
+    h = np.zeros(len(starts), np.uint64)
+    for i in (*range(0, size - 7, 8), size - 8):
+        h = mix64(h ^ x[starts + i])
+    order = np.argsort(h)
+    same = np.concatenate(([False], h[order[1:]] == h[order[:-1]], [False]))
+    out = np.zeros(len(starts), bool)
+    out[order] = same[1:] | same[:-1]
+    return out
+
+
 def _solve(c: dict, parts: list) -> np.ndarray:
     gap = bytes(MATCH_BYTES + 16)
     text = np.frombuffer(gap.join([*parts, b""]), np.uint8)
@@ -91,7 +92,9 @@ def _solve(c: dict, parts: list) -> np.ndarray:
     first = np.cumsum(lengths + len(gap)) - lengths - len(gap)
     segment = np.repeat(np.arange(len(parts)), c["n"])
     starts = np.arange(len(segment)) - np.repeat(np.cumsum(c["n"]) - c["n"], c["n"]) + first[segment]
-    return longest_previous_factors(text, starts, c["id"][segment], MATCH_BYTES) >= MATCH_BYTES
+    hit = recurring(text, starts, MATCH_BYTES)
+    hit[hit] = longest_previous_factors(text, starts[hit], c["id"][segment[hit]], MATCH_BYTES) >= MATCH_BYTES
+    return hit
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
