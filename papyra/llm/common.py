@@ -85,7 +85,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def buckets(spark: SparkSession) -> int:
     """How many groups packed rows are dealt into: they follow the session's own sizing."""
-    return max(64, 4 * shuffle_partitions(spark))
+    return max(32, 2 * shuffle_partitions(spark))
 
 
 def doc_hash(col: Column) -> Column:

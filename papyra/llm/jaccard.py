@@ -115,7 +115,7 @@ def _signatures(docs: DataFrame, words: int, num: int, den: int, n: int) -> Data
         bands = Bands(num, den)
         for batch in batches:
             all_ids, texts = batch.columns
-            for a, b in slices(byte_lengths(texts), 16 << 20, 60_000):
+            for a, b in slices(byte_lengths(texts), 8 << 20, 60_000):
                 ids = all_ids[a:b].to_numpy()
                 cls, size, keys, owner, known = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64), [], [], set()
                 for i in range(b - a):

@@ -32,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stash, buckets, byte_lengths, mix64, slices, word_hashes
+from .common import Stash, buckets, byte_lengths, mix64, shuffle_partitions, slices, word_hashes
 
-PACK_BYTES, PACK_ROWS, SLICE_BYTES = 16 << 20, 60_000, 1 << 20
+PACK_BYTES, PACK_ROWS, SLICE_BYTES = 8 << 20, 60_000, 1 << 19
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _LOW = np.uint64(0xFFFFFFFF)
 _MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
@@ -216,7 +216,7 @@ def _copies(units: Units, group: np.ndarray, ids: np.ndarray, v: np.ndarray) ->
     return later
 
 
-def occurrences(docs: DataFrame, units: Units, n: int) -> DataFrame:
+def occurrences(docs: DataFrame, units: Units, n: int, nq: int) -> DataFrame:
     """(key, packed): occurrences under their seed's bucket, settled ranges under n + the document's."""
 
     def run(batches):
@@ -253,7 +253,7 @@ def occurrences(docs: DataFrame, units: Units, n: int) -> DataFrame:
                 keep = ~settled
                 rows = []
                 if settled.any():
-                    rows += dealt(n + spark_hash(id_[settled]).astype(np.int64) % n, id=id_[settled], v=v_[settled], at=at[settled], n=count[settled] + units.window - 1)
+                    rows += dealt(n + spark_hash(id_[settled]).astype(np.int64) % nq, id=id_[settled], v=v_[settled], at=at[settled], n=count[settled] + units.window - 1)
                 bucket = ((seed >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
                 rows += dealt(bucket[keep], seed=seed[keep], ctx=ctx[keep], id=id_[keep], v=v_[keep], at=at[keep], n=count[keep])
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], ["key", "packed"])
@@ -264,7 +264,7 @@ def occurrences(docs: DataFrame, units: Units, n: int) -> DataFrame:
 RANGES, WANTED = 0, 1
 
 
-def compared(found: DataFrame, units: Units, n: int) -> DataFrame:
+def compared(found: DataFrame, units: Units, n: int, nq: int) -> DataFrame:
     """(q, kind, bucket, packed) for the documents: settled ranges, and segments wanted by a bucket."""
     schema = pa.schema([("q", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("packed", pa.binary())])
 
@@ -288,7 +288,7 @@ def compared(found: DataFrame, units: Units, n: int) -> DataFrame:
         out = []
         for kind, chosen, extra in ((RANGES, later, units.window - 1), (WANTED, asked, 0)):
             ids = c["id"][chosen]
-            q = spark_hash(ids).astype(np.int64) % n
+            q = spark_hash(ids).astype(np.int64) % nq
             out += [(k, kind, key, p) for k, p in dealt(q, id=ids, v=c["v"][chosen], at=c["at"][chosen], n=c["n"][chosen] + extra)]
         return pa.table([pa.array([r[i] for r in out], schema.field(i).type) for i in range(4)], schema=schema)
 
@@ -324,7 +324,7 @@ def segments(docs: DataFrame, wanted: DataFrame, units: Units) -> DataFrame:
 Solver = Callable[[dict, list], np.ndarray]
 
 
-def solved(parts: DataFrame, units: Units, n: int, solve: Solver) -> DataFrame:
+def solved(parts: DataFrame, units: Units, nq: int, solve: Solver) -> DataFrame:
     """(q, kind, bucket, packed): ranges of the windows that occur earlier in the bucket's segments.
 
     solve gets id, v, at and n of the segments, in the order of documents and places, and
@@ -344,7 +344,7 @@ def solved(parts: DataFrame, units: Units, n: int, solve: Solver) -> DataFrame:
         run_of = np.cumsum(edge)[hit] - 1
         length = np.bincount(run_of, minlength=edge.sum()) + units.window - 1
         ids = c["id"][segment[edge]]
-        q = spark_hash(ids).astype(np.int64) % n
+        q = spark_hash(ids).astype(np.int64) % nq
         out = list(dealt(q, id=ids, v=c["v"][segment[edge]], at=at[edge], n=length))
         return pa.table([pa.array([k for k, _ in out], pa.int32()), pa.array([RANGES] * len(out), pa.int32()), pa.array([None] * len(out), pa.int32()), pa.array([p for _, p in out], pa.binary())], schema=schema)
 
@@ -358,12 +358,12 @@ def covered(docs: DataFrame, units: Units, solve: Solver, label: str, columns: l
     arrays of its covered ranges; text is among the columns, as bytes.
     """
     spark = docs.sparkSession
-    stash, n = Stash(spark, label), buckets(spark)
-    docs = keyed(docs, n)
-    replies = stash.put(compared(occurrences(docs, units, n), units, n), "compared")
+    stash, n, nq = Stash(spark, label), buckets(spark), max(16, shuffle_partitions(spark))
+    docs = keyed(docs, nq)
+    replies = stash.put(compared(occurrences(docs, units, n, nq), units, n, nq), "compared")
     stash.release()
     parts = segments(docs, replies.where(F.col("kind") == WANTED), units)
-    more = stash.put(solved(parts, units, n, solve), "solved")
+    more = stash.put(solved(parts, units, nq, solve), "solved")
     stash.release()
     ranges = replies.where(F.col("kind") == RANGES).select("q", "packed").unionByName(more.select("q", "packed"))
 
