@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_lengths, doc_hash, slices, table
+from .common import byte_lengths, doc_hash, mix64, slices, table, word_hashes
 
 CHAIN = 64
-BITS = 18
+BITS = 22
 #: The bound of the training sample: documents of either label, and bytes of one text.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1500, 3000, 200_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1500, 2500, 30_000
 THRESHOLD = 0.3
 _SPLIT = re.compile(r"[\W_]+")
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -107,74 +106,110 @@ def chains(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 PAD = -12.0
 
 
+def distinct(rows: list[tuple[bytes, int]]) -> list[tuple[bytes, int]]:
+    """Leaves out rows that nearly copy an earlier one, whose words would count as evidence again and again.
+
+    Copies share one of four pairs of least word hashes, which texts alike by half do half the time.
+    """
+    met, out = set(), []
+    salts = np.random.default_rng(11).integers(1, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
+    for text, y in rows:
+        words = text.lower().split()
+        if words:
+            least = [int((mix64(word_hashes(words) * s)).min()) for s in salts]
+            bands = {(i, *least[i : i + 2]) for i in range(0, 8, 2)}
+            if bands & met:
+                continue
+            met |= bands
+        out.append((text, y))
+    return out
+
+
 def train(rows: list[tuple[bytes, int]], shares: tuple[float, float]) -> Model:
     """rows: (text, toxic); shares: how much of its class (clean, toxic) a row stands for."""
-    toxic, clean = Counter(), Counter()
     n_toxic = sum(y for _, y in rows)
     n_clean = len(rows) - n_toxic
     known: dict[bytes, int] = {}
     docs = []
     for text, _ in rows:
-        docs.append(np.array([known.setdefault(t, len(known)) for t in text.split()], np.int64))
+        docs.append(np.array([known.setdefault(t, len(known)) for t in text.split()], np.int32))
     prior = shares[1] * n_toxic / max(shares[0] * n_clean + shares[1] * n_toxic, 1e-9)
     empty = Model(np.zeros(1 << BITS, np.float32), 0.0, np.zeros((2, 2)), np.array([np.log((prior + 1e-6) / (1 - prior + 1e-6)), 0.0, 0.0]), prior)
     if not n_toxic or not n_clean or not known:
         return empty
-    held = [sorted({f for w in parts(t) for f in features(w)}) for t in known]
+    # token -> its features, one after another; numbers of features from 0 on
     word_of: dict[tuple, int] = {}
-    word = np.array([word_of.setdefault(tuple(parts(t)), len(word_of)) for t in known])
+    word, counts, flat_features = np.empty(len(known), np.int32), np.empty(len(known), np.int64), []
+    for i, token in enumerate(known):
+        words = tuple(parts(token))
+        word[i] = word_of.setdefault(words, len(word_of))
+        own = sorted({f for w in words for f in features(w)})
+        counts[i] = len(own)
+        flat_features += own
+    place, feature = np.unique(np.array(flat_features, np.int64), return_inverse=True)
+    del flat_features, word_of, known
+    stops = np.cumsum(counts)
+    owner = np.repeat(np.arange(len(counts)), counts)
+
+    def of(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(feature, which of the tokens) of some tokens."""
+        which = np.repeat(np.arange(len(tokens)), counts[tokens])
+        at = np.arange(len(which)) - np.repeat(np.cumsum(counts[tokens]) - counts[tokens], counts[tokens])
+        return feature[(stops - counts)[tokens][which] + at], which
+
     # in how many documents a feature occurs at all, and in how many with three different words
+    seen_in = np.zeros((2, 2, len(place)), np.int64)
     often = []
-    for words, (_, y) in zip(docs, rows, strict=True):
-        first = np.unique(word[words], return_index=True)[1]
-        found, times = np.unique(np.array([f for w in words[first].tolist() for f in held[w]], np.int64), return_counts=True)
-        many = found[times >= 3]
-        often.append(set(many.tolist()))
-        (toxic if y else clean).update(found.tolist())
-        (toxic if y else clean).update((-1 - many).tolist())
+    for tokens, (_, y) in zip(docs, rows, strict=True):
+        first = tokens[np.unique(word[tokens], return_index=True)[1]]
+        found, times = np.unique(of(first)[0], return_counts=True)
+        often.append(found[times >= 3])
+        seen_in[0, int(y), found] += 1
+        seen_in[1, int(y), often[-1]] += 1
     # what toxic documents hold far too often to be chance (by the G statistic)
     base = n_toxic / len(rows)
-    marked = set()
-    for f, a in toxic.items():
-        b = clean[f]
-        share = a / (a + b)
-        g = 2 * (a * np.log(share / base) + (b * np.log((1 - share) / (1 - base)) if b else 0))
-        if a >= 3 and share > 0.85 and g > 15:
-            marked.add(f)
-    hot = np.array([any(f in marked for f in fs) for fs in held])
-    warm = [{f for f in fs if -1 - f in marked} for fs in held]
+    b, a = seen_in[:, 0], seen_in[:, 1]
+    share = a / np.maximum(a + b, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (np.where(a, a * np.log(share / base), 0) + np.where(b, b * np.log((1 - share) / (1 - base)), 0))
+    fit = (a >= 3) & (share > 0.85)
+    marked = fit & (g > min(1.7 * np.log(len(place)), 0.6 * (g * fit).max()))  # a small sample makes do with less
+    hot = np.zeros(len(counts), bool)
+    hot[owner[marked[0][feature]]] = True
     lengths = np.array([len(d) for d in docs])
     flat = np.concatenate(docs)
     y_doc = np.array([y for _, y in rows], bool)
     y = np.zeros(len(flat), bool)
-    for words, many, toxic_doc, stop in zip(docs, often, y_doc, np.cumsum(lengths), strict=True):
-        if toxic_doc:
-            y[stop - len(words) : stop] = hot[words] | np.array([bool(warm[w] & many) for w in words.tolist()], bool)
+    here = np.zeros(len(place), bool)
+    for tokens, many, toxic_doc, stop in zip(docs, often, y_doc, np.cumsum(lengths), strict=True):
+        if toxic_doc and len(tokens):
+            here[many] = marked[1][many]
+            fs, which = of(tokens)
+            y[stop - len(tokens) : stop] = hot[tokens]
+            y[stop - len(tokens) + which[here[fs]]] = True
+            here[many] = False
     row, column, n = chains(lengths)
     # every chain with a toxic token, and of the others every third
     some = np.zeros(n, bool)
     some[row[y]] = True
     some |= np.arange(n) % 3 == 0
     keep = some[row]
-    place = np.cumsum(some) - 1
-    row, column, words, y = place[row[keep]], column[keep], flat[keep], y[keep]
+    row, column, words, y = (np.cumsum(some) - 1)[row[keep]], column[keep], flat[keep], y[keep]
     n = int(some.sum())
-    owner = np.repeat(np.arange(len(held)), [len(fs) for fs in held])
-    feature = np.array([f for fs in held for f in fs])
     truth = np.zeros((n, CHAIN), bool)
     truth[row, column] = y
-    w, bias, moves = np.zeros(1 << BITS), -2.0, np.zeros((2, 2))
-    square, square_m, square_b = np.full(1 << BITS, 1e-3), np.full((2, 2), 1e-3), 1e-3
+    w, bias, moves = np.zeros(len(place)), -2.0, np.zeros((2, 2))
+    square, square_m, square_b = np.full(len(place), 1e-3), np.full((2, 2), 1e-3), 1e-3
     total = len(words)
     true_moves = np.array([[(~truth[:, :-1] & ~truth[:, 1:]).sum(), (~truth[:, :-1] & truth[:, 1:]).sum()], [(truth[:, :-1] & ~truth[:, 1:]).sum(), (truth[:, :-1] & truth[:, 1:]).sum()]])
     for _ in range(60):
-        by_word = np.bincount(owner, w[feature], len(held)) + bias
+        by_word = np.bincount(owner, w[feature], len(counts)) + bias
         scores = np.full((n, CHAIN), PAD)
         scores[row, column] = by_word[words]
         odds, ahead, back = posteriors(scores, moves)
         p = 1 / (1 + np.exp(-odds[row, column]))
-        slope_word = np.bincount(words, y - p, len(held))
-        slope = np.bincount(feature, slope_word[owner], 1 << BITS) - 0.02 * w
+        slope_word = np.bincount(words, y - p, len(counts))
+        slope = np.bincount(feature, slope_word[owner], len(place)) - 0.02 * w
         right = np.exp(np.clip(scores[:, 1:], -40, 40)) * back[:, 1:]
         m = np.exp(moves)
         joint = np.stack([m[0, 0] * np.ones_like(right), m[0, 1] * right, m[1, 0] * ahead[:, :-1], m[1, 1] * ahead[:, :-1] * right])
@@ -187,7 +222,9 @@ def train(rows: list[tuple[bytes, int]], shares: tuple[float, float]) -> Model:
         w += 0.6 * (slope / total * 1e3) / np.sqrt(square)
         moves += 0.3 * (slope_m / total * 1e3) / np.sqrt(square_m)
         bias += 0.3 * (slope_b / total * 1e3) / np.sqrt(square_b)
-    model = Model(w.astype(np.float32), float(bias), moves, empty.calibration, prior)
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[place] = w
+    model = Model(weights, float(bias), moves, empty.calibration, prior)
     # the calibration: a weighted logistic regression on what scoring will see
     seen = Emissions(model)
     x = np.stack([summary(odds) for odds in document_odds([np.array([seen[t] for t in text.split()]) for text, _ in rows], moves)])
@@ -240,7 +277,7 @@ def sampled(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[bytes, int]]
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from labels (doc_id, toxic) of docs; the sample's bounds are the constants above."""
     rows, shares = sampled(docs, labels)
-    return train(rows, shares)
+    return train(distinct(rows), shares)
 
 
 _caches: dict[int, tuple[Model, Emissions]] = {}
