@@ -39,7 +39,7 @@ class Tokenizer:
     generations, so that what is frequent stays.
     """
 
-    LIMIT = 250_000
+    LIMIT = 400_000
     PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
 
     def __init__(self, path: str):
