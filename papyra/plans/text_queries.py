@@ -13,7 +13,8 @@ def scalar(name: str, table: str, key: str, source: str, function, sql: str) ->
 
     @query(name, f"SELECT {key}, {sql} AS value FROM (SELECT {key}, {source} AS s FROM {table}) t")
     def run(spark, sf_dir):
-        return load(spark, sf_dir, table).select(key, F.expr(source).alias("s")).select(key, function(F.col("s")).alias("value"))
+        keys = key.split(", ")
+        return load(spark, sf_dir, table).select(*keys, F.expr(source).alias("s")).select(*keys, function(F.col("s")).alias("value"))
 
 
 def _g(pattern: str, by: str, over: str = "s") -> str:
@@ -56,7 +57,7 @@ scalar("sf38_latin_count", *DOC, T.latin_count, "CAST(len(regexp_extract_all(s,
 scalar("sf38_cjk_count", "documents", "doc_id", "CASE WHEN doc_id % 7 = 0 THEN '汉字カナ' || substr(text, 1, 30) ELSE text END", T.cjk_count, r"CAST(len(regexp_extract_all(s, '[\x{3400}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]')) AS INTEGER)")
 scalar("sf40_compare_text", *DOC, T.compare_text, r"regexp_replace(lower(s), '[\p{P}\p{S}\s]+', '', 'g')")
 scalar("sf41_visible_length", *DOC, T.visible_length, "CAST(length(" + _g(r"\s+", "", _g("<[^>]+>", "", _g(r"\$[^$]*\$", ""))) + ") AS INTEGER)")
-scalar("sf42_equation_numbers", "documents", "doc_id", f"'by (1.' || {ID} || ') and (2.3), not (4)' || substr(text, 1, 20)", lambda c: F.array_join(T.equation_numbers(c), ","), r"array_to_string(regexp_extract_all(s, '(\(\d+\.\d+\))', 1), ',')")
+scalar("sf42_equation_numbers", "documents", "doc_id", f"'by (1.' || {ID} || ') and (2.3), not (4)' || substr(text, 1, 20)", lambda c: F.array_join(T.equation_numbers(c), ","), r"array_to_string(regexp_extract_all(s, '\((\d+(?:\.\d+)*)\)', 1), ',')")
 scalar("sf48_head_with_notice", *DOC, lambda c: T.head_with_notice(c, 800), "CASE WHEN length(s) > 800 THEN left(s, 800) || '… [' || CAST(length(s) AS VARCHAR) || ' characters]' ELSE s END")
 scalar("sf48_head_and_tail", *DOC, lambda c: T.head_and_tail(c, 1000), "CASE WHEN length(s) > 1000 THEN left(s, 720) || chr(10) || '…' || chr(10) || right(s, 280) ELSE s END")
 scalar("sf49_redacted", *DOC, T.redacted, r"regexp_replace(s, '(?i)\b(api[-_]?key|authorization|password|secret|token)\b(\s*[:=]\s*)\S+', '\1\2[REDACTED]', 'g')")
@@ -103,3 +104,108 @@ def version_order(spark, sf_dir):
 def creator_name(spark, sf_dir):
     name = F.expr("CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE ' ' END")
     return load(spark, sf_dir, "customer").select("c_custkey", T.creator_name(name, F.expr("CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END"), F.col("c_nationkey")).alias("name"))
+
+
+TYPES = "CASE doc_id % 6 WHEN 0 THEN 'Heading' WHEN 1 THEN 'table foot-note' WHEN 2 THEN 'EQUATION' WHEN 3 THEN '' WHEN 4 THEN 'figure' ELSE lang END"
+scalar("pj11_block_type", "documents", "doc_id", TYPES, T.block_type, "CASE doc_id % 6 WHEN 0 THEN 'title' WHEN 1 THEN 'table_footnote' WHEN 2 THEN 'interline_equation' WHEN 3 THEN 'text' WHEN 4 THEN 'image' ELSE s END")
+scalar("pj17_chat_role", "conversations", "conv_id, turn", "CASE turn % 3 WHEN 0 THEN 'tool' ELSE role END", T.chat_role, "CASE WHEN s IN ('assistant', 'system') THEN s ELSE 'user' END")
+scalar("ge02_ends_sentence", *DOC, T.ends_sentence, r"regexp_matches(trim(s), '[.!?。！？][\])}\"''”’」』）】]?$')")
+
+
+@query("fl16_overexpanded", "SELECT doc_id, length(regexp_replace(regexp_replace(regexp_replace(text, '\\$[^$]*\\$', '', 'g'), '<[^>]+>', '', 'g'), '\\s+', '', 'g')) > greatest(120.0, 5.5 * greatest(1, length(regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 300), '\\$[^$]*\\$', '', 'g'), '<[^>]+>', '', 'g'), '\\s+', '', 'g')))) AS value FROM documents")
+def overexpanded(spark, sf_dir):
+    from ..functions import quality
+
+    return load(spark, sf_dir, "documents").select("doc_id", quality.overexpanded(F.expr("substr(text, 1, 300)"), F.col("text")).alias("value"))
+
+
+@query("fl15_untranslated", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN TRUE WHEN NOT regexp_matches(text, '[A-Za-z]{3,}') THEN FALSE WHEN doc_id % 3 = 1 THEN TRUE ELSE regexp_replace(lower(text), '[\\p{P}\\p{S}\\s]+', '', 'g') = '' END AS value FROM documents")
+def untranslated(spark, sf_dir):
+    from ..functions import quality
+
+    d = load(spark, sf_dir, "documents")
+    return d.select("doc_id", quality.untranslated(F.col("text"), F.expr("CASE doc_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN upper(text) || '!' ELSE '译文' END"), F.lit("text"), True).alias("value"))
+
+
+@query("ag06_reason_counts", "SELECT 'untranslated' AS reason, count(*) AS n FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT 'inline-formula-missing', count(*) FROM documents WHERE doc_id % 4 = 1 UNION ALL SELECT 'inline-formula-unbalanced', count(*) FROM documents WHERE doc_id % 4 = 2")
+def reason_counts(spark, sf_dir):
+    from ..functions import quality
+
+    r = load(spark, sf_dir, "documents").select(F.expr("CASE doc_id % 4 WHEN 1 THEN 'abc $x$ def' ELSE 'abc def' END").alias("s"), F.expr("CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '译文译文' WHEN 2 THEN '译文 $x' ELSE '译文' END").alias("t"), F.lit("text").alias("k"))
+    return quality.reason_counts(quality.retry_reasons(r, "s", "t", "k", True))
+
+
+@query("sf42_with_equation_numbers", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'see (1.2) (' || CAST(doc_id AS VARCHAR) || ')' ELSE 'see (1.2)' END AS value FROM documents")
+def with_equation_numbers(spark, sf_dir):
+    from ..functions import quality
+
+    d = load(spark, sf_dir, "documents")
+    return d.select("doc_id", quality.with_equation_numbers(F.expr("CASE WHEN doc_id % 2 = 0 THEN '(1.2) and (' || doc_id || ')' ELSE '(1.2)' END"), F.lit("see (1.2)")).alias("value"))
+
+
+@query("ag12_bigram_coverage", "WITH p AS (SELECT doc_id, regexp_replace(lower(substr(text, 1, 200)), '\\s+', '', 'g') AS a, regexp_replace(lower(substr(text, 50, 200)), '\\s+', '', 'g') AS b FROM documents), x AS (SELECT doc_id, substr(a, i, 2) AS g, count(*) AS n FROM (SELECT *, unnest(range(1, length(a))) AS i FROM p) q GROUP BY 1, 2), y AS (SELECT doc_id, substr(b, i, 2) AS g, count(*) AS m FROM (SELECT *, unnest(range(1, length(b))) AS i FROM p) q GROUP BY 1, 2) SELECT doc_id, CAST(sum(least(n, coalesce(m, 0))) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS coverage FROM x LEFT JOIN y USING (doc_id, g) GROUP BY 1")
+def bigram_coverage(spark, sf_dir):
+    from ..functions import quality
+
+    pairs = load(spark, sf_dir, "documents").selectExpr("doc_id", "substr(text, 1, 200) AS a", "substr(text, 50, 200) AS b")
+    return quality.bigram_coverage(pairs, "doc_id", "a", "b")
+
+
+@query("sf09_markdown_blocks")
+def markdown_blocks(spark, sf_dir):
+    from ..functions import parsing
+
+    d = load(spark, sf_dir, "documents").select("doc_id", F.explode(parsing.markdown_blocks_udf(F.regexp_replace("text", "\n", "\n\n"))).alias("b"))
+    return d.select("doc_id", "b.*")
+
+
+@query("sf22_table_grid", "SELECT page_id, r AS row, c AS column, CASE WHEN r = 0 AND c = 0 THEN 'a' WHEN r = 0 THEN url WHEN c = 1 THEN CAST(page_id AS VARCHAR) ELSE 'z' END AS text FROM pages, (VALUES (0, 0), (0, 1), (1, 1), (1, 2)) t(r, c)")
+def table_grid(spark, sf_dir):
+    from ..functions import parsing
+
+    h = F.expr("'<table><tr><td rowspan=2>a</td><td colspan=2> ' || url || '</td></tr><tr><td>' || page_id || '</td><td>z</td></tr></table>'")
+    return load(spark, sf_dir, "pages").select("page_id", F.explode(parsing.table_grid_udf(h)).alias("c")).select("page_id", "c.row", "c.column", "c.text")
+
+
+@query("sf26_json_objects", "SELECT event_id, '{\"a\":' || CAST(event_id AS VARCHAR) || '}' AS object FROM events")
+def json_objects(spark, sf_dir):
+    from ..functions import parsing
+
+    s = F.expr("concat('noise {\"list\":[{\"a\":', event_id, '},{\"b\":\"cut')")
+    return load(spark, sf_dir, "events").select("event_id", F.explode(parsing.json_objects_udf(s)).alias("object"))
+
+
+@query("sf28_stable_json", "SELECT event_id, '{\"a\":[1,{\"c\":2,\"d\":3}],\"z\":' || CAST(event_id AS VARCHAR) || '}' AS value FROM events")
+def stable_json(spark, sf_dir):
+    from ..functions import parsing
+
+    return load(spark, sf_dir, "events").select("event_id", parsing.stable_json_udf(F.expr("concat('{\"z\": ', event_id, ', \"a\": [1, {\"d\": 3, \"c\": 2}]}')")).alias("value"))
+
+
+@query("pj22_redacted_json", "SELECT event_id, '{\"Api-Key\":\"[REDACTED]\",\"in\":[{\"token\":\"[REDACTED]\",\"n\":' || CAST(event_id AS VARCHAR) || '}]}' AS value FROM events")
+def redacted_json(spark, sf_dir):
+    from ..functions import parsing
+
+    return load(spark, sf_dir, "events").select("event_id", parsing.redacted_json_udf(F.expr("concat('{\"Api-Key\": {\"x\": 1}, \"in\": [{\"token\": 5, \"n\": ', event_id, '}]}')")).alias("value"))
+
+
+@query("sf29_fingerprint")
+def fingerprint(spark, sf_dir):
+    from ..functions import parsing
+
+    return load(spark, sf_dir, "documents").select("doc_id", parsing.fingerprint_udf("text").alias("value"))
+
+
+@query("sf16_math_tokens")
+def math_tokens(spark, sf_dir):
+    from ..functions import parsing
+
+    return load(spark, sf_dir, "documents").select("doc_id", F.posexplode(parsing.math_tokens_udf(F.expr(MATH_SPARK))).alias("pos", "t")).select("doc_id", "pos", "t.*")
+
+
+@query("sf59_protected", "SELECT doc_id, 'see ⟦0⟧ at ⟦1⟧ end' AS text, '$x' || CAST(doc_id AS VARCHAR) || '$|https://a.b/c' AS kept FROM documents")
+def protected(spark, sf_dir):
+    from ..functions import parsing
+
+    p = parsing.protect_udf(F.expr("'see $x' || doc_id || '$ at https://a.b/c end'"))
+    return load(spark, sf_dir, "documents").select("doc_id", p.alias("p")).select("doc_id", "p.text", F.array_join("p.kept", "|").alias("kept"))

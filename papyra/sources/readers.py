@@ -13,7 +13,7 @@ def json_files(spark: SparkSession, path: str, schema: str, lines: bool = False)
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): every file as one text, folders included."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def binaries(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
