@@ -17,7 +17,7 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def binaries(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """(path, modificationTime, length, content) of every file below path."""
+    """(path, modificationTime, length, content) of every file below path; Spark passes over files of no bytes."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
 
