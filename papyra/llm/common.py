@@ -94,6 +94,11 @@ def doc_hash(col: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
+def hash_sample(df: DataFrame, key: Column, rows: int, wanted: int) -> DataFrame:
+    """About `wanted` of the `rows` rows of df, those with the least hashes: a filter, so no task gathers them."""
+    return df if rows <= wanted else df.where(doc_hash(key) < int(wanted / rows * (1 << 52)))
+
+
 def byte_lengths(column) -> list[int]:
     """Of an Arrow column of binaries; a null has none."""
     return pc.fill_null(pc.binary_length(column), 0).to_pylist()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, byte_lengths, doc_hash, mix64, slices, table
+from .common import WordHashes, byte_lengths, hash_sample, mix64, slices, table
 
 BITS = 16
 #: The bound of the training sample: lines of the corpus, and documents they come from.
@@ -198,8 +198,9 @@ def train(background: list[str]) -> Model:
 
 
 def background(docs: DataFrame) -> list[str]:
-    """At most SAMPLE_LINES lines of SAMPLE_DOCS documents, by hash of the id."""
-    some = docs.where(F.octet_length("text") <= SAMPLE_BYTES).orderBy(doc_hash(F.col("doc_id")), "doc_id", "text").select("text").limit(SAMPLE_DOCS).collect()
+    """At most SAMPLE_LINES lines of about SAMPLE_DOCS documents, those with the least hashes of their ids."""
+    some = hash_sample(docs, F.col("doc_id"), docs.count(), SAMPLE_DOCS).where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text").limit(2 * SAMPLE_DOCS).collect()
+    some.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
     return [x for r in some for x in r["text"].split("\n") if x.strip()][:SAMPLE_LINES]
 
 

@@ -102,9 +102,9 @@ def mixed(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float =
 
 def mixed_documents(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The mix itself: every column of docs, a row for each copy that the mix takes."""
-    takes = mixed(docs, weights, share, most).groupBy("doc_id").agg(F.max("copies_taken").alias("_copies"))
-    out = docs.join(takes.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id"))).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).drop("_id", "_copies", "_copy")
+    takes = mixed(docs, weights, share, most).groupBy("doc_id").agg(F.max("copies_taken").alias("_papyra_copies"))
+    out = docs.join(takes.withColumnRenamed("doc_id", "_papyra_id"), docs["doc_id"].eqNullSafe(F.col("_papyra_id"))).where("_papyra_copies > 0")
+    return out.withColumn("_papyra_copy", F.explode(F.array_repeat(F.lit(0), F.col("_papyra_copies").cast("int")))).drop("_papyra_id", "_papyra_copies", "_papyra_copy")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,7 +61,7 @@ def spark_hash(ids: np.ndarray) -> np.ndarray:
 # Whole columns one after another, 64-bit ids and places as separate halves: the high
 # halves are zeros nearly always, which the shuffle's compression takes out.
 
-LAYOUT = {"seed": 5, "ctx": 6, "id": 8, "v": 2, "at": 4, "n": 1, "key": 6, "cls": 8, "other": 8, "size": 4}
+LAYOUT = {"seed": 5, "ctx": 6, "id": 8, "v": 2, "at": 4, "n": 1, "key": 5, "cls": 8, "other": 8, "size": 4}
 
 
 def pack(**columns: np.ndarray) -> bytes:
@@ -189,14 +189,14 @@ class Units:
 
 
 def keyed(docs: DataFrame, q: int) -> DataFrame:
-    """docs with _v, which tells apart rows that repeat a doc_id, and _q, the bucket of the document.
+    """docs with _papyra_v, which tells apart rows that repeat a doc_id, and _papyra_q, the bucket of the document.
 
     Such rows are one document's versions: none is earlier than another.  Rows without
     doc_id are never earlier than anything and keep all they have.
     """
     repeats = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    docs = docs.withColumn("_v", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1 if repeats else F.lit(0))
-    return docs.withColumn("_q", F.pmod(F.when(F.col("doc_id").isNull(), F.hash("text")).otherwise(F.hash(F.col("doc_id").cast("long"))), F.lit(q)))
+    docs = docs.withColumn("_papyra_v", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1 if repeats else F.lit(0))
+    return docs.withColumn("_papyra_q", F.pmod(F.when(F.col("doc_id").isNull(), F.hash("text")).otherwise(F.hash(F.col("doc_id").cast("long"))), F.lit(q)))
 
 
 def first_of(*sorted_columns: np.ndarray) -> np.ndarray:
@@ -258,7 +258,7 @@ def occurrences(docs: DataFrame, units: Units, n: int, nq: int) -> DataFrame:
                 rows += dealt(bucket[keep], seed=seed[keep], ctx=ctx[keep], id=id_[keep], v=v_[keep], at=at[keep], n=count[keep])
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], ["key", "packed"])
 
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("_v").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "key int, packed binary")
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("_papyra_v").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "key int, packed binary")
 
 
 RANGES, WANTED = 0, 1
@@ -301,7 +301,7 @@ def segments(docs: DataFrame, wanted: DataFrame, units: Units) -> DataFrame:
     def cut(d: pa.Table, w: pa.Table) -> pa.Table:
         out = []
         if len(w) and len(d):
-            place = {key: i for i, key in enumerate(zip(d.column("doc_id").to_pylist(), d.column("_v").to_pylist(), strict=True))}
+            place = {key: i for i, key in enumerate(zip(d.column("doc_id").to_pylist(), d.column("_papyra_v").to_pylist(), strict=True))}
             texts, per = d.column("text"), {}
             for bucket, packed in zip(w.column("bucket").to_pylist(), w.column("packed").to_pylist(), strict=True):
                 c = unpack([packed], "id", "v", "at", "n")
@@ -317,8 +317,8 @@ def segments(docs: DataFrame, wanted: DataFrame, units: Units) -> DataFrame:
                 out.append((bucket, pack(id=np.array(ids), v=np.array(v), at=np.array(at), n=np.array(n)), list(parts)))
         return pa.table([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.list_(pa.binary())))], ["bucket", "packed", "units"])
 
-    left = docs.where("doc_id IS NOT NULL").select("_q", F.col("doc_id").cast("long"), F.col("_v").cast("long"), F.col("text").cast("binary"))
-    return left.groupBy("_q").cogroup(wanted.select("q", "bucket", "packed").groupBy("q")).applyInArrow(cut, "bucket int, packed binary, units array<binary>")
+    left = docs.where("doc_id IS NOT NULL").select("_papyra_q", F.col("doc_id").cast("long"), F.col("_papyra_v").cast("long"), F.col("text").cast("binary"))
+    return left.groupBy("_papyra_q").cogroup(wanted.select("q", "bucket", "packed").groupBy("q")).applyInArrow(cut, "bucket int, packed binary, units array<binary>")
 
 
 Solver = Callable[[dict, list], np.ndarray]
@@ -375,13 +375,13 @@ def covered(docs: DataFrame, units: Units, solve: Solver, label: str, columns: l
         stops = np.append(heads, len(order))[1:]
         place = {(i, v): (a, b) for i, v, a, b in zip(c["id"][heads].tolist(), c["v"][heads].tolist(), heads.tolist(), stops.tolist(), strict=True)}
         found = []
-        for key in zip(d.column("doc_id").to_pylist(), d.column("_v").to_pylist(), strict=True):
+        for key in zip(d.column("doc_id").to_pylist(), d.column("_papyra_v").to_pylist(), strict=True):
             x = place.get(key)
             found.append(None if x is None else (c["at"][x[0] : x[1]], c["at"][x[0] : x[1]] + c["n"][x[0] : x[1]]))
         return finish(d, found)
 
-    left = docs.select("_q", F.col("_v").cast("long").alias("_v"), *[F.col(x).cast("binary").alias(x) if x == "text" else F.col(x) for x in columns])
-    return left.groupBy("_q").cogroup(ranges.groupBy("q")).applyInArrow(end, schema)
+    left = docs.select("_papyra_q", F.col("_papyra_v").cast("long").alias("_papyra_v"), *[F.col(x).cast("binary").alias(x) if x == "text" else F.col(x) for x in columns])
+    return left.groupBy("_papyra_q").cogroup(ranges.groupBy("q")).applyInArrow(end, schema)
 
 
 def mask(length: int, ranges) -> np.ndarray:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_lengths, doc_hash, mix64, slices, table, word_hashes
+from .common import byte_lengths, hash_sample, mix64, slices, table, word_hashes
 
 CHAIN = 64
 BITS = 22
@@ -261,12 +261,12 @@ def summary(odds: np.ndarray) -> np.ndarray:
 
 
 def sampled(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[bytes, int]], tuple[float, float]]:
-    """The training rows: of labelled rows that are not held out, a bounded number by hash of the id."""
+    """The training rows: of labelled rows that are not held out, about so many of each label, those with the least hashes."""
     usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL AND crc32(cast(doc_id AS string)) % 4 <> 2").select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).cast("int").alias("_y")).dropDuplicates(["_id"])
     sizes = {r["_y"]: r["count"] for r in usable.groupBy("_y").count().collect()}
     picks, shares = None, []
     for y, most in ((0, SAMPLE_CLEAN), (1, SAMPLE_TOXIC)):
-        chosen = usable.where(F.col("_y") == y).orderBy(doc_hash(F.col("_id")), "_id").limit(most)
+        chosen = hash_sample(usable.where(F.col("_y") == y), F.col("_id"), sizes.get(y, 0), most)
         picks = chosen if picks is None else picks.unionByName(chosen)
         shares.append(sizes.get(y, 0) / max(1, min(most, sizes.get(y, 0))))
     text = F.col("text").cast("binary")
