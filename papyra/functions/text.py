@@ -332,3 +332,56 @@ def chat_role(c: Column) -> Column:
 
 def ends_sentence(c: Column) -> Column:
     return F.trim(text(c)).rlike(r"[.!?。！？][\])}\"'”’」』）】]?$")
+
+
+def tex_segments(c: Column) -> Column:
+    """Commands and the texts between them, in order."""
+    return F.regexp_extract_all(text(c), F.lit(r"(\\[A-Za-z]+|\\.|[^\\]+)"), F.lit(1))
+
+
+def placeholders_kept(source: Column, translated: Column) -> Column:
+    """Whether a translation has the source's ⟦n⟧, each as often, and no others."""
+    marks = lambda c: F.array_sort(F.regexp_extract_all(text(c), F.lit(r"(⟦\d+⟧)"), F.lit(1)))
+    return marks(source) == marks(translated)
+
+
+def common_prefix(paths: Column) -> Column:
+    """The folder that all paths of an array share: of the least and the greatest, as far as their parts agree."""
+    low, high = F.split(F.array_min(paths), "/"), F.split(F.array_max(paths), "/")
+    n = F.least(F.size(low), F.size(high)) - 1
+    upto = F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda k: F.slice(low, F.lit(1), k) == F.slice(high, F.lit(1), k))
+    return F.array_join(F.slice(low, F.lit(1), F.array_max(upto)), "/")
+
+
+def note_text(c: Column) -> Column:
+    """A note's text: no tags or CDATA marks, entities decoded, white space collapsed."""
+    out = _chain(c, (r"<!\[CDATA\[|\]\]>", ""), (r"<[^>]+>", " "), (r"(?i)&nbsp;", " "), (r"(?i)&lt;", "<"), (r"(?i)&gt;", ">"), (r"(?i)&quot;", '"'), (r"(?i)&amp;", "&"), (r"\s+", " "))
+    return strip(out)
+
+
+def estimated_lines(c: Column, width: Column, size: Column) -> Column:
+    """How many lines a text needs: Han and kana signs are one size wide, others 0.56 of it."""
+    cjk = cjk_count(c)
+    units = cjk * 1.0 + (F.length(text(c)) - cjk) * 0.56
+    return F.greatest(F.lit(1), F.ceil(units * size / width)).cast("int")
+
+
+def quality_issues(source: Column, translated: Column) -> Column:
+    """What is wrong with a translation, by rule: numbers lost, markup lost, links lost, left blank, repeated marks."""
+    count = lambda c, p: F.regexp_count(text(c), F.lit(p))
+    rules = [
+        ("blank", F.trim(text(translated)) == ""),
+        ("numbers", count(translated, r"\d+") < count(source, r"\d+")),
+        ("links", count(translated, r"https?://") < count(source, r"https?://")),
+        ("citations", count(translated, r"\[\d+\]") < count(source, r"\[\d+\]")),
+        ("formula", formula_issue(source, translated) != ""),
+        ("repeated", text(translated).rlike(r"([!?。！？,，])\1{2,}")),
+    ]
+    return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules]))
+
+
+def toc_entry(line: Column) -> Column:
+    """(number, title, page) of a contents line, or null."""
+    p = r"(?i)^\s*(\d+(?:\.\d+)*\.?)\s+(.+?)\s*(?:\.{2,}|…{2,}|·{2,}|-{3,})\s*(\d+|[ivxlcdm]+)\s*$"
+    part = lambda n: F.regexp_extract(line, p, n)
+    return F.when(line.rlike(p), F.struct(part(1).alias("number"), part(2).alias("title"), part(3).alias("page")))

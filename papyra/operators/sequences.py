@@ -126,3 +126,49 @@ def duplicate_neighbours(rows: DataFrame, key: str, order: str, source: str, tra
     w = Window.partitionBy(key).orderBy(order)
     marked = rows.withColumn("_n", norm).withColumn("_next", F.lead("_n").over(w)).withColumn("_source", F.lead(source).over(w))
     return marked.where((F.length("_n") > least) & (F.col("_n") == F.col("_next")) & (F.col(source) != F.col("_source"))).drop("_n", "_next", "_source")
+
+
+def unique_paths(paths: DataFrame, archive: str, order: str, path: str) -> DataFrame:
+    """name: each path, the k-th of one name (case aside) with " (k)" before its extension."""
+    k = F.row_number().over(Window.partitionBy(archive, F.lower(path)).orderBy(order))
+    stem, ext = F.regexp_extract(path, r"^(.*?[^/])(\.[^./]*)?$", 1), F.regexp_extract(path, r"^.*[^/](\.[^./]*)$", 1)
+    return paths.withColumn("name", F.when(k > 1, F.concat(stem, F.lit(" ("), k.cast("string"), F.lit(")"), ext)).otherwise(F.col(path)))
+
+
+def chunk_table(chunks: DataFrame, key: str, order: str, text: str, prefix: str = "CHUNK_END") -> DataFrame:
+    """start and end of every chunk in its document, and the marker that closes it."""
+    from ..functions.text import fnv32
+
+    w = Window.partitionBy(key).orderBy(order)
+    end = F.sum(F.length(text)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    n = F.row_number().over(w)
+    marker = F.concat(F.lit(f"[[{prefix}_"), F.lpad(n.cast("string"), 4, "0"), F.lit("_"), fnv32(F.col(text)), F.lit("]]"))
+    return chunks.withColumn("end", end).withColumn("start", end - F.length(text)).withColumn("marker", marker)
+
+
+def page_ranges(pages: DataFrame, key: str, page: str, score: str, most: int = 200, radius: int = 20) -> DataFrame:
+    """(key, part, first, last): parts of at most `most` pages, cut at the best score near their end.
+
+    Where a part ends decides where the next begins, so each document is one fold.
+    """
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(page)
+        at, scores, first, out = rows[page].tolist(), rows[score].tolist(), 0, []
+        while first < len(at):
+            last = min(first + most, len(at)) - 1
+            if last < len(at) - 1:
+                near = range(max(first, last - radius + 1), last + 1)
+                last = max(near, key=lambda i: (scores[i], i))
+            out.append((rows[key].iloc[0], len(out), at[first], at[last]))
+            first = last + 1
+        return pd.DataFrame(out, columns=[key, "part", "first", "last"])
+
+    return pages.groupBy(key).applyInPandas(run, f"{key} long, part int, first long, last long")
+
+
+def first_near(rows: DataFrame, keys: list[str], order: str, text: str, pattern: str, reach: int = 4) -> DataFrame:
+    """near: of the rows within `reach` before (nearest first), then after, the first text that matches."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    before = F.reverse(F.collect_list(text).over(w.rowsBetween(-reach, -1)))
+    after = F.collect_list(text).over(w.rowsBetween(1, reach))
+    return rows.withColumn("near", F.get(F.filter(F.concat(before, after), lambda x: x.rlike(pattern)), F.lit(0)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import library_queries, record_queries, source_queries, text_queries  # noqa: F401
+from . import library_queries, more_queries, record_queries, source_queries, text_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
