@@ -148,3 +148,56 @@ _words = WordHashes()
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+
+
+_BLOCKS = 64
+
+
+def popular_hashes(texts: DataFrame, hashes, bits: int, factor: float = 3.0, least: float = 32.0) -> np.ndarray:
+    """Packed flags: which values of the first `bits` bits of a hash count several times the mean.
+
+    texts: one binary column; hashes: texts -> their hashes.  All rows are counted; the
+    counters are 2^bits, so what tasks send, what reaches the driver (a byte each) and what
+    is broadcast (a bit each) has a bound that does not grow with the rows.
+    """
+    import math
+
+    import pyarrow as pa
+
+    size = (1 << bits) // _BLOCKS
+
+    def count(batches):
+        import zstandard
+
+        counts = np.zeros(1 << bits, np.uint32)
+        for batch in batches:
+            column = batch.column(0)
+            for a, b in slices(byte_lengths(column), 2 << 20):
+                found = hashes([x or b"" for x in column[a:b].to_pylist()])
+                counts += np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+        squeeze = zstandard.ZstdCompressor(level=1)
+        parts = [squeeze.compress(x.tobytes()) for x in np.split(counts, _BLOCKS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array(parts, pa.binary())], ["block", "counts"])
+
+    def add(t: pa.Table) -> pa.Table:
+        import zstandard
+
+        total, unpack = np.zeros(size, np.int64), zstandard.ZstdDecompressor()
+        for x in t.column("counts").to_pylist():
+            total += np.frombuffer(unpack.decompress(x), np.uint32)
+        scale = np.minimum(255, np.round(6 * np.log2(1.0 + total))).astype(np.uint8)
+        return pa.table([pa.array([t.column("block")[0].as_py()], pa.int32()), pa.array([int(total.sum())], pa.int64()), pa.array([scale.tobytes()], pa.binary())], ["block", "total", "scale"])
+
+    sums = texts.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, total long, scale binary").collect()
+    scale = np.zeros((_BLOCKS, size), np.uint8)
+    for r in sums:
+        scale[r["block"]] = np.frombuffer(r["scale"], np.uint8)
+    mean = sum(r["total"] for r in sums) / (1 << bits)
+    return np.packbits(scale.ravel() > 6 * math.log2(1 + max(least, factor * mean)))
+
+
+def flagged(flags: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes popular_hashes() has flagged."""
+    bits = int(len(flags) * 8).bit_length() - 1
+    at = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    return (flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)

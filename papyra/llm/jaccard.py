@@ -5,9 +5,11 @@ Documents of one shingle set are one class; links are sought between classes.
 1. Size bands and the pigeonhole give candidates without loss.  Sets that link differ in
    at most H shingles, H by size band; a band splits the range of shingle hashes into
    H + 1 + e parts, so linked sets agree wholly in 1 + e parts at least.  A set emits a
-   key for each non-empty part, in its own band and the one below; a set with more than e
-   empty parts emits these too.  A task links equal keys among its own rows to the least
-   class and sends each key once, so a key that very many sets share stays small.
+   key for each non-empty part, in its own band and the one below (see Bands.keys for sets
+   with more than e empty parts).  Shingles that very many documents hold are left out of
+   the parts, lest one common passage make candidates of all that quote it.  A task links
+   equal keys among its own rows to the least class and sends each key once, so a key
+   that very many sets share stays small.
 2. Candidates' components are cut into tiles of similar sizes.  In a tile, hashed bitmap
    signatures bound each overlap from above by bit counts; what passes is settled by
    intersecting the sorted shingle arrays.  A pair already joined through others is
@@ -26,9 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stash, buckets, byte_lengths, mix64, slices, table, word_hashes
+from .common import Stash, buckets, byte_lengths, flagged, mix64, popular_hashes, slices, table, word_hashes
 from .components import components
-from .passages import dealt, first_of, spark_hash, unpack
+from .passages import dealt, first_of, pack, spark_hash, unpack
 
 TILE = 4000
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -69,6 +71,7 @@ class Bands:
                 if 1 - sum(math.exp(-rate) * rate**i / math.factorial(i) for i in range(spare + 1)) < 1e-4:
                     break
                 spare += 1
+            spare = max(spare, most * 3 // 10)  # room for parts whose shingles are all popular
             self.edges.append(high)
             self.parts.append((most, spare))
 
@@ -76,21 +79,34 @@ class Bands:
         self._grow(size)
         return int(np.searchsorted(self.edges, size, "right")) - 1
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        """The keys of a set; none where only equal sets can link."""
-        own = self.of(len(s))
+    def _parts(self, s: np.ndarray, band: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+        """(key of every part of a set's hash range, whether the part holds any)."""
+        most, spare = self.parts[band]
+        k = most + 1 + spare
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(s.copy()))))
+        cuts = np.searchsorted(s, (np.arange(1, k, dtype=np.float64) * (2.0**64 / k)).astype(np.uint64))
+        at = np.concatenate(([0], cuts, [len(s)]))
+        value = (sums[at[1:]] - sums[at[:-1]]) ^ (np.arange(k, dtype=np.uint64) * _C + np.uint64((band << 40) + salt))
+        return mix64(value), at[1:] > at[:-1]
+
+    def keys(self, s: np.ndarray, popular: np.ndarray | None = None) -> np.ndarray:
+        """The keys of a set; none where only equal sets can link.
+
+        popular tells which shingles to leave out of the parts.  They differ no more
+        without these, so 1 + e parts still agree; a set with more than e parts empty then
+        also gives the keys of the whole set, and of its empty parts if these are too many.
+        """
+        own = self.of(len(s))
         out = []
         for band in (own, own - 1):
             if band < 0 or not self.parts[band][0]:
                 continue
-            most, spare = self.parts[band]
-            k = most + 1 + spare
-            cuts = np.searchsorted(s, (np.arange(1, k, dtype=np.float64) * (2.0**64 / k)).astype(np.uint64))
-            at = np.concatenate(([0], cuts, [len(s)]))
-            filled = at[1:] > at[:-1]
-            value = (sums[at[1:]] - sums[at[:-1]]) ^ (np.arange(k, dtype=np.uint64) * _C + np.uint64(band << 40))
-            out.append(mix64(value if k - filled.sum() > spare else value[filled]))
+            spare = self.parts[band][1]
+            value, filled = self._parts(s if popular is None else s[~popular], band, 0)
+            out.append(value[filled])
+            if len(value) - filled.sum() > spare:
+                value, filled = self._parts(s, band, 1 << 60)
+                out.append(value if len(value) - filled.sum() > spare else value[filled])
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -105,14 +121,46 @@ def _stars(key: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return order[new], pairs[0], pairs[1]
 
 
+def _dealt_keys(bucket: np.ndarray, key: np.ndarray, cls: np.ndarray):
+    """(bucket, packed keys): a bucket's classes once, its keys with their class's place among them."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, key, cls = bucket[order], key[order], cls[order]
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    for a, b in zip(np.concatenate(([0], cuts)), np.append(cuts, len(bucket)), strict=True):
+        if b > a:
+            own, place = np.unique(cls[a:b], return_inverse=True)
+            head = pack(cls=own)
+            yield int(bucket[a]), np.int64(len(head)).tobytes() + head + pack(key=key[a:b], v=place)
+
+
+def _unpacked_keys(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    keys, classes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for row in rows:
+        n = 8 + int(np.frombuffer(row, np.int64, 1)[0])
+        own, c = unpack([row[8:n]], "cls")["cls"], unpack([row[n:]], "key", "v")
+        keys.append(c["key"])
+        classes.append(own[c["v"]])
+    return np.concatenate(keys), np.concatenate(classes)
+
+
 ROWS, EDGES = 1, 2
 
 
+def popular_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """Flags of shingles that very many documents hold: a passage of theirs would make candidates of them all.
+
+    A false flag costs time, no link.  The counters follow the number of rows, up to 2^24.
+    """
+    bits = min(24, max(20, docs.count().bit_length() + 2))
+    return popular_hashes(docs.select(F.col("text").cast("binary")), lambda texts: np.concatenate([shingles(x, words) for x in texts]), bits)
+
+
 def _signatures(docs: DataFrame, words: int, num: int, den: int, n: int) -> DataFrame:
     """(key, packed): candidate keys by their bucket, documents under n + q, local stars under 2n + q."""
+    shared = docs.sparkSession.sparkContext.broadcast(popular_shingles(docs, words))
 
     def run(batches):
-        bands = Bands(num, den)
+        bands, flags = Bands(num, den), shared.value
         for batch in batches:
             all_ids, texts = batch.columns
             for a, b in slices(byte_lengths(texts), 8 << 20, 60_000):
@@ -126,14 +174,14 @@ def _signatures(docs: DataFrame, words: int, num: int, den: int, n: int) -> Data
                     cls[i] = c = np.array(xxhash.xxh3_64_intdigest(s.tobytes()), np.uint64).astype(np.int64)
                     if int(c) not in known:
                         known.add(int(c))
-                        keys.append(bands.keys(s))
+                        keys.append(bands.keys(s, flagged(flags, s)))
                         owner.append(np.full(len(keys[-1]), c))
                 rows = [(n + k, p) for k, p in dealt(spark_hash(ids).astype(np.int64) % n, id=ids, cls=cls, size=size)]
                 if keys:
                     key, owner = np.concatenate(keys), np.concatenate(owner)
                     heads, least, other = _stars(key, owner)
                     key, owner = key[heads], owner[heads]
-                    rows += dealt(((key >> np.uint64(48)) % np.uint64(n)).astype(np.int64), key=key, cls=owner)
+                    rows += _dealt_keys(((key >> np.uint64(40)) % np.uint64(n)).astype(np.int64), key, owner)
                     rows += [(2 * n + k, p) for k, p in dealt(spark_hash(other).astype(np.int64) % n, cls=least, other=other)]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], ["key", "packed"])
 
@@ -153,8 +201,7 @@ def _met(found: DataFrame, n: int) -> DataFrame:
             c = unpack(rows, "cls", "other")
             a, b = np.unique(np.stack((c["cls"], c["other"])), axis=1)
         else:
-            c = unpack(rows, "key", "cls")
-            _, a, b = _stars(c["key"], c["cls"])
+            _, a, b = _stars(*_unpacked_keys(rows))
         return pa.table([pa.array(np.full(len(a), ROWS if kind == ROWS else EDGES), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.zeros(len(a), np.int64) if size is None else size, pa.int64())], ["kind", "a", "b", "size"])
 
     return found.groupBy("key").applyInArrow(meet, "kind int, a long, b long, size long")
@@ -183,10 +230,14 @@ class Joined:
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     """A row of 64-bit words for each set; about two bits for each shingle of the largest."""
     bits = 1 << min(16, max(6, int(2 * max(len(s) for s in sets)).bit_length()))
-    out = np.zeros((len(sets), bits), bool)
-    for row, s in zip(out, sets, strict=True):
-        row[(s & np.uint64(bits - 1)).astype(np.int64)] = True
-    return np.packbits(out, axis=1).view(np.uint64)
+    out = []
+    for a in range(0, len(sets), 64):
+        some = sets[a : a + 64]
+        flags = np.zeros((len(some), bits), bool)
+        for row, s in zip(flags, some, strict=True):
+            row[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+        out.append(np.packbits(flags, axis=1).view(np.uint64))
+    return np.concatenate(out)
 
 
 def settle(sets: list[np.ndarray], joined: Joined, num: int, den: int, pairs=None) -> list[tuple[int, int]]:
@@ -268,7 +319,7 @@ def _cross(num: int, den: int):
 
 
 def _payload(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(group, cls, n, shingles) of the wanted classes, from one document each."""
+    """(group, cls, n, shingles) of the wanted classes, from one document each (rows that repeat it do no harm)."""
 
     def run(batches):
         for batch in batches:
@@ -279,19 +330,22 @@ def _payload(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 keep = pa.array([bool(x) for x in same], pa.bool_())
                 yield pa.RecordBatch.from_arrays([group[a:b], cls[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["group", "cls", "n", "shingles"]).filter(keep)
 
-    joined = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).join(wanted, "doc_id")
+    # candidates grow with the documents: one plan for every size, no broadcast of what happens to be small
+    joined = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).join(wanted.hint("merge"), "doc_id")
     return joined.select("group", "cls", "text").mapInArrow(run, "group long, cls long, n long, shingles binary")
 
 
-def _labels(stash: Stash, payload: DataFrame, num: int, den: int, tile: int, n: int) -> DataFrame:
-    """(group, cls, n, shingles) -> (cls, label): the components by true links."""
-    counts = payload.groupBy("group").agg(F.count("*").alias("members"))
-    big = counts.where(F.col("members") > tile)
+def _labels(stash: Stash, payload: DataFrame, wanted: DataFrame, num: int, den: int, tile: int, n: int) -> DataFrame:
+    """(group, cls, n, shingles) of the wanted classes -> (cls, label): the components by true links."""
+    counts = wanted.groupBy("group").agg(F.count("*").alias("members"))
+    big = stash.put(counts.where(F.col("members") > tile), "big")
     small_tile = _tile(num, den)
     rest = payload.join(big.select("group"), "group", "left_anti")
     done = rest.select("group", F.lit(0).alias("block"), "cls", "shingles", F.pmod(F.hash("group"), F.lit(n)).alias("deal")).groupBy("deal").applyInArrow(small_tile, "group long, cls long, label long").select("cls", "label")
     if not big.limit(1).count():
         return done
+    done = stash.put(done, "small")
+    stash.release()
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)).cast("int")
     large = payload.join(big, "group")
     per_band = large.groupBy("group", band.alias("band")).agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
@@ -343,10 +397,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     classes = stash.put(rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least")), "classes")
     group = stash.put(components(edges, stash, "candidates").select(F.col("node").alias("cls"), F.col("component").alias("group")), "groups")
     wanted = classes.join(group, "cls").select(F.col("least").alias("doc_id"), "cls", "group")
-    payload = stash.put(_payload(named, wanted, words).dropDuplicates(["cls"]), "payload")
+    payload = stash.put(_payload(named, wanted, words), "payload")
     stash.release()
-    label = stash.put(_labels(stash, payload, num, den, tile, n), "labels")
-    stash.drop("payload")
+    label = stash.put(_labels(stash, payload, wanted, num, den, tile, n).distinct(), "labels")
+    stash.drop("payload", "spread")
     stash.release()
     whole = classes.join(label, "cls", "left").select("cls", "least", F.coalesce("label", "cls").alias("label"))
     least = whole.groupBy("label").agg(F.min("least").alias("component_id"))
