@@ -2,8 +2,11 @@
 
 A window is W consecutive units (bytes or words) of one document; a unit is to be removed
 if a window covering it also occurs earlier.  A window's seed is the K units inside it with
-the least hash (the leftmost on ties), so equal windows have equal seeds.  Neighbouring
-windows with one seed make an occurrence: about 2 / (W - K + 2) of them for each unit.
+the least hash (the leftmost on ties), so equal windows have equal seeds.  K units that
+very many places hold come after all others: a window at the edge of a common passage then
+takes its seed from what is its own, and what shares a popular seed lies inside the passage,
+alike everywhere.  Neighbouring windows with one seed make an occurrence: about
+2 / (W - K + 2) of them for each unit.
 
 1. `occurrences`: each task turns its documents into occurrences (seed, fingerprint of the
    units that its windows cover, document, place), settles copies among its own rows, and
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stash, buckets, byte_lengths, mix64, shuffle_partitions, slices, word_hashes
+from .common import Stash, buckets, byte_lengths, flagged, mix64, popular_hashes, shuffle_partitions, slices, word_hashes
 
 PACK_BYTES, PACK_ROWS, SLICE_BYTES = 8 << 20, 60_000, 1 << 19
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -132,11 +135,11 @@ class Units:
         words = text.split()
         return [b" ".join(words[a : a + n]) for a, n in zip(starts, counts, strict=True)]
 
-    def seeds(self, parts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-        """(part, first window, number of windows, seed, fingerprint) of every occurrence."""
-        w, k = self.window, self.seed
-        gap = 96 if self.kind == "bytes" else 2 * w
-        lengths = np.array([len(p) for p in parts])
+    def _flat(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, lengths, units or 8-byte words at every place, hash of the K units from every place)."""
+        k = self.seed
+        gap = 96 if self.kind == "bytes" else 2 * self.window
+        lengths = np.array([len(p) for p in parts], np.int64)
         starts = np.concatenate(([0], np.cumsum(lengths + gap)))
         flat = np.zeros(starts[-1] + gap, np.uint8 if self.kind == "bytes" else np.uint64)
         for p, a in zip(parts, starts, strict=False):
@@ -156,8 +159,21 @@ class Units:
             for at in range(k):
                 h *= _A
                 h += x[at : at + len(h)]
-        h = mix64(h)
-        least = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
+        return starts, lengths, x, mix64(h)
+
+    def hashes(self, texts: list[bytes]) -> np.ndarray:
+        """The hashes of every K units in a row."""
+        parts = [p for t in texts for _, p in self.pieces(t)]
+        starts, lengths, _, h = self._flat(parts)
+        n = np.maximum(lengths - self.seed + 1, 0)
+        return h[np.arange(n.sum()) + np.repeat(starts[:-1] - (np.cumsum(n) - n), n)]
+
+    def seeds(self, parts: list[np.ndarray], flags: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(part, first window, number of windows, seed, fingerprint) of every occurrence."""
+        w, k = self.window, self.seed
+        starts, lengths, x, h = self._flat(parts)
+        popular = flagged(flags, h).astype(np.uint64) << np.uint64(63)
+        least = popular | ((h >> np.uint64(1)) & ~_LOW) | np.arange(len(h), dtype=np.uint64)
         span, done = w - k + 1, 1
         while done < span:
             step = min(done, span - done)
@@ -216,10 +232,17 @@ def _copies(units: Units, group: np.ndarray, ids: np.ndarray, v: np.ndarray) ->
     return later
 
 
-def occurrences(docs: DataFrame, units: Units, n: int, nq: int) -> DataFrame:
+def popular_seeds(docs: DataFrame, units: Units) -> np.ndarray:
+    bits = min(24, max(20 if units.kind == "words" else 22, docs.count().bit_length() + 2))
+    return popular_hashes(docs.select(F.col("text").cast("binary")), units.hashes, bits)
+
+
+def occurrences(docs: DataFrame, units: Units, flags: np.ndarray, n: int, nq: int) -> DataFrame:
     """(key, packed): occurrences under their seed's bucket, settled ranges under n + the document's."""
+    shared = docs.sparkSession.sparkContext.broadcast(flags)
 
     def run(batches):
+        flags = shared.value
         for batch in batches:
             ids_all, v_all, texts = batch.columns
             sizes = byte_lengths(texts)
@@ -231,7 +254,7 @@ def occurrences(docs: DataFrame, units: Units, n: int, nq: int) -> DataFrame:
                 def flush():
                     nonlocal waiting, held
                     if waiting:
-                        part, at, count, seed, ctx = units.seeds([w[2] for w in waiting])
+                        part, at, count, seed, ctx = units.seeds([w[2] for w in waiting], flags)
                         doc, base = np.array([w[0] for w in waiting]), np.array([w[1] for w in waiting])
                         found.append((doc[part], at + base[part], count, seed, ctx))
                     waiting, held = [], 0
@@ -360,7 +383,9 @@ def covered(docs: DataFrame, units: Units, solve: Solver, label: str, columns: l
     spark = docs.sparkSession
     stash, n, nq = Stash(spark, label), buckets(spark), max(16, shuffle_partitions(spark))
     docs = keyed(docs, nq)
-    replies = stash.put(compared(occurrences(docs, units, n, nq), units, n, nq), "compared")
+    flags = popular_seeds(docs.where("doc_id IS NOT NULL"), units)
+    stash.release()
+    replies = stash.put(compared(occurrences(docs, units, flags, n, nq), units, n, nq), "compared")
     stash.release()
     parts = segments(docs, replies.where(F.col("kind") == WANTED), units)
     more = stash.put(solved(parts, units, nq, solve), "solved")
