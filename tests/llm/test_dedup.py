@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from papyra.llm import jaccard, passages, phrase_dedup, suffix_dedup
+from papyra.llm.common import flagged
 
 from ..conftest import SF
 from .conftest import CLASHES, SCHEMA
@@ -139,7 +140,6 @@ def test_popular_shingles(spark):
     """Only what very many documents hold is popular, and every count is of all documents."""
     common = "this very passage stands in each and every document of the table"
     df = spark.createDataFrame([(i, f"{common} {' '.join(f'w{i}x{k}' for k in range(30))}") for i in range(80)], "doc_id long, text string").repartition(3)
-    bits, flags = jaccard.popular_shingles(df, 5)
+    flags = jaccard.popular_shingles(df, 5)
     for text, popular in ((common, True), ("w3x1 w3x2 w3x3 w3x4 w3x5", False)):
-        at = (jaccard.shingles(text.encode(), 5) >> np.uint64(64 - bits)).astype(np.int64)
-        assert (np.unpackbits(flags)[at] == popular).all()
+        assert (flagged(flags, jaccard.shingles(text.encode(), 5)) == popular).all()
