@@ -115,3 +115,46 @@ def id_batches(ids: DataFrame, key: str, size: int = 50) -> DataFrame:
     parted = ids.select(key).distinct().withColumn("_p", F.pmod(F.hash(key), F.lit(16)))
     n = F.row_number().over(w) - 1
     return parted.withColumn("batch", F.concat_ws("-", F.col("_p").cast("string"), F.floor(n / size).cast("string"))).drop("_p")
+
+
+def spans_of(lines: Column, kind: str) -> Column:
+    """The spans of a block's lines (arrays of (type, content)) whose type names a kind."""
+    return F.filter(F.flatten(F.transform(lines, lambda x: x["spans"])), lambda s: F.lower(s["type"]).rlike(kind))
+
+
+def first_filled(direct: Column, lines: Column) -> Column:
+    """A block's own image path, else the first of its spans."""
+    paths = F.filter(F.transform(F.flatten(F.transform(lines, lambda x: x["spans"])), lambda s: s["content"]), lambda x: F.coalesce(x, F.lit("")) != "")
+    return F.coalesce(F.nullif(direct, F.lit("")), F.get(paths, F.lit(0)))
+
+
+def within_band(captions: DataFrame, tables: DataFrame, page: str, most: float) -> DataFrame:
+    """(page, caption, table): tables whose top is within `most` of a caption's bottom, dealt into bands."""
+    left = captions.withColumn("_g", F.explode(F.array(*[F.floor(F.col("bottom") / most) + d for d in (-1, 0, 1)])))
+    right = tables.withColumn("_g", F.floor(F.col("top") / most))
+    return left.join(right, [page, "_g"]).where(F.abs(F.col("top") - F.col("bottom")) < most).select(page, "caption", "table")
+
+
+def back_mapped(lines: DataFrame, cells: DataFrame, cell: float, least: float = 0.8) -> DataFrame:
+    """(page, item, b) lines of a sheet to the one cell (page, block, bb) that holds them, in its coordinates."""
+    from .geometry import assigned
+
+    hits = assigned(lines, cells, cell, least).join(cells, ["page", "block"]).join(lines, ["page", "item"])
+    return hits.select("page", "item", "block", (F.col("b.x0") - F.col("bb.x0")).alias("x"), (F.col("b.y0") - F.col("bb.y0")).alias("y"))
+
+
+def local_right_edge(boxes: DataFrame, page: str, column: str, band: float) -> DataFrame:
+    """right: the furthest right edge of a box's column within `band` above or below it."""
+    w = Window.partitionBy(page, column).orderBy("y0").rangeBetween(-band, band)
+    return boxes.withColumn("right", F.max("x1").over(w))
+
+
+def densest_profile(boxes: DataFrame, document: str, tolerance: float) -> DataFrame:
+    """(document, left, right, n): the mean edges of the fullest cell of similar boxes, of three at least on two pages.
+
+    Edges are rounded to the tolerance, so similar boxes meet by an equi join.
+    """
+    cell = [F.round(F.col(x) / tolerance).alias(f"_{x}") for x in ("x0", "x1")]
+    groups = boxes.select(document, "page", "x0", "x1", *cell).groupBy(document, "_x0", "_x1").agg(F.count("*").alias("n"), F.count_distinct("page").alias("pages"), F.avg("x0").alias("left"), F.avg("x1").alias("right"))
+    best = Window.partitionBy(document).orderBy(F.col("n").desc(), "_x0", "_x1")
+    return groups.where("n >= 3 AND pages >= 2").withColumn("_n", F.row_number().over(best)).where("_n = 1").select(document, "left", "right", "n")

@@ -265,3 +265,9 @@ def edge_faults(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     one = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("fault"), "n")
     repeated = nodes.agg((F.count("*") - F.count_distinct("id")).alias("n")).select(F.lit("repeated").alias("fault"), "n")
     return repeated.unionByName(one(lost, "unknown_end")).unionByName(one(edges.where("source = target"), "loop"))
+
+
+def formulas_replaced(formulas: DataFrame, replacements: DataFrame) -> DataFrame:
+    """formulas (id, tex) with the replacements' tex, and whether it changed."""
+    r = replacements.select("id", F.col("tex").alias("_tex"))
+    return formulas.join(r, "id", "left").withColumn("changed", F.coalesce(F.col("_tex") != F.col("tex"), F.lit(False))).withColumn("tex", F.coalesce("_tex", "tex")).drop("_tex")

@@ -129,3 +129,73 @@ def image_numbers(spark, sf_dir):
 def valid_diagrams(spark, sf_dir):
     made = F.when(F.col("quality") == 1, "f").otherwise("old")
     return load(spark, sf_dir, "labels").select("doc_id", library.current_translation(F.lit("complete"), made, F.lit("f")).alias("valid"))
+
+
+@query("sf46_formulas_replaced", "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 'y' ELSE p_name END AS tex, p_partkey % 4 = 0 AS changed FROM part")
+def formulas_replaced(spark, sf_dir):
+    f = load(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_name AS tex")
+    return library.formulas_replaced(f, f.where("id % 4 = 0").selectExpr("id", "'y' AS tex"))
+
+
+@query("sf27_partial_json", "SELECT event_id, pos, '{\"n\":' || CAST(pos AS VARCHAR) || '}' AS object FROM events, (VALUES (0), (1)) t(pos)")
+def partial_json(spark, sf_dir):
+    s = F.expr("concat('{\"items\":[{\"n\":0},{\"n\":1},{\"n\":', event_id)")
+    return load(spark, sf_dir, "events").select("event_id", F.posexplode(parsing.json_objects_udf(s)).alias("pos", "object"))
+
+
+@query("sf31_document_fingerprints", "SELECT count(DISTINCT lang || '|' || source || '|' || text) AS n FROM documents")
+def document_fingerprints(spark, sf_dir):
+    body = parsing.stable_json_udf(F.to_json(F.struct("text", "lang", "source")))
+    return docs(spark, sf_dir).select(parsing.fingerprint_udf(body).alias("f")).distinct().agg(F.count("*").alias("n"))
+
+
+@query("wn07_sentence_groups", "SELECT doc_id, TRUE AS whole FROM documents")
+def sentence_groups(spark, sf_dir):
+    s = F.split("text", r"(?<=[.!?])\s+")
+    d = docs(spark, sf_dir).select("doc_id", "text", s.alias("s"), sequences.greedy_groups(F.transform(s, lambda x: F.length(x)), 1000, 1 << 30, 1).alias("g"))
+    chunks = d.select("doc_id", "text", F.explode(F.arrays_zip("s", "g")).alias("x")).groupBy("doc_id", "text", "x.g").agg(F.sum(F.length("x.s") + 1).alias("n"), F.count("*").alias("parts"))
+    return chunks.groupBy("doc_id").agg(F.every((F.col("n") <= 1001) | (F.col("parts") == 1)).alias("whole"))
+
+
+LINES_OF = "array(named_struct('spans', array(named_struct('type', 'text', 'content', ''), named_struct('type', 'inline_Equation', 'content', lang))), named_struct('spans', array(named_struct('type', 'interline_formula', 'content', source))))"
+
+
+@query("ge05_formula_spans", "SELECT doc_id, lang || ',' || source AS spans FROM documents")
+def formula_spans(spark, sf_dir):
+    spans = layout.spans_of(F.expr(LINES_OF), "equation|formula|latex")
+    return docs(spark, sf_dir).select("doc_id", F.array_join(F.transform(spans, lambda s: s["content"]), ",").alias("spans"))
+
+
+@query("ge06_image_paths", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'own.png' ELSE lang END AS path FROM documents")
+def image_paths(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", layout.first_filled(F.expr("CASE WHEN doc_id % 2 = 0 THEN 'own.png' ELSE '' END"), F.expr(LINES_OF)).alias("path"))
+
+
+@query("jn15_within_band", "SELECT a.user_id, a.event_id AS caption, b.event_id AS \"table\" FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id % 2 = 0 AND b.event_id % 2 = 1 AND abs(a.value - b.value) < 3.5")
+def within_band(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    return layout.within_band(e.where("event_id % 2 = 0").selectExpr("user_id", "event_id AS caption", "value AS bottom"), e.where("event_id % 2 = 1").selectExpr("user_id", "event_id AS table", "value AS top"), "user_id", 3.5)
+
+
+@query("jn13_back_mapped", "SELECT event_id AS page, 1 AS item, CASE event_id % 2 WHEN 0 THEN 'a' ELSE 'b' END AS block, 5.0::DOUBLE AS x, 2.0::DOUBLE AS y FROM events")
+def back_mapped(spark, sf_dir):
+    from ..operators import geometry
+
+    d = lambda x: F.lit(float(x))
+    left = F.when(F.col("event_id") % 2 == 0, 0.0).otherwise(100.0)
+    e = load(spark, sf_dir, "events")
+    lines = e.select(F.col("event_id").alias("page"), F.lit(1).alias("item"), geometry.box(left + 5, d(2), left + 40, d(12)).alias("b"))
+    cells = e.select(F.col("event_id").alias("page"), F.explode(F.array(F.struct(F.lit("a").alias("block"), geometry.box(d(0), d(0), d(90), d(50)).alias("bb")), F.struct(F.lit("b").alias("block"), geometry.box(d(100), d(0), d(190), d(50)).alias("bb")))).alias("c")).select("page", "c.*")
+    return layout.back_mapped(lines, cells, 60.0)
+
+
+@query("ge20_local_right_edges", "SELECT user_id, event_id, max(value) OVER (PARTITION BY user_id, event_type ORDER BY event_id % 100 RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS \"right\" FROM events")
+def local_right_edges(spark, sf_dir):
+    e = load(spark, sf_dir, "events").selectExpr("user_id", "event_id", "event_type", "event_id % 100 AS y0", "value AS x1")
+    return layout.local_right_edge(e, "user_id", "event_type", 10).select("user_id", "event_id", "right")
+
+
+@query("ag14_densest_profiles", "WITH c AS (SELECT user_id % 20 AS d, event_id % 9 AS page, event_id % 3 * 10 AS l, event_id % 3 * 10 + 50 AS r FROM events), g AS (SELECT d, l, r, count(*) AS n, count(DISTINCT page) AS p FROM c GROUP BY 1, 2, 3), b AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY n DESC, l, r) AS k FROM g WHERE n >= 3 AND p >= 2) SELECT d, CAST(l AS DOUBLE) AS \"left\", CAST(r AS DOUBLE) AS \"right\", n FROM b WHERE k = 1")
+def densest_profiles(spark, sf_dir):
+    e = load(spark, sf_dir, "events").selectExpr("user_id % 20 AS d", "event_id % 9 AS page", "event_id % 3 * 10 AS x0", "event_id % 3 * 10 + 50 AS x1")
+    return layout.densest_profile(e, "d", 5.0)
