@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, byte_lengths, hash_sample, mix64, slices, table
 
-BITS = 16
+BITS = 20
 #: The bound of the training sample: lines of the corpus, and documents they come from.
 SAMPLE_LINES, SAMPLE_DOCS, SAMPLE_BYTES = 4000, 400, 50_000
 SIMILARITY = 0.5
@@ -129,16 +129,19 @@ def variants(seed: int = 7, each: int = 20) -> list[tuple[str, str]]:
 
 
 class Model:
-    """weights (features x families), bias, temperature, least probability, and the bound for "none"."""
-
-    def __init__(self, weights, bias, temperature=1.0, least=0.5):
-        self.weights, self.bias, self.temperature, self.least = weights.astype(np.float32), bias, temperature, least
-        self.margin = (self.weights[:, 1:] - self.weights[:, :1]).max(1)
+    """Weights (a row for each feature that has any), bias, temperature, least probability, and the bound for "none"."""
+
+    def __init__(self, features, weights, bias, temperature=1.0, least=0.5):
+        self.bias, self.temperature, self.least = bias, temperature, least
+        self.weights = np.concatenate((np.zeros((1, weights.shape[1])), weights)).astype(np.float32)
+        self.row = np.zeros(1 << BITS, np.int32)
+        self.row[features] = np.arange(1, len(features) + 1)
+        self.margin = (self.weights[:, 1:] - self.weights[:, :1]).max(1)[self.row]
         self.edge = float((bias[1:] - bias[0]).max())
 
     def probabilities(self, feature, line, n: int) -> np.ndarray:
         z = np.tile(self.bias, (n, 1))
-        np.add.at(z, line, self.weights[feature])
+        np.add.at(z, line, self.weights[self.row[feature]])
         z = (z - z.max(1, keepdims=True)) / self.temperature
         p = np.exp(z)
         return p / p.sum(1, keepdims=True)
@@ -155,6 +158,9 @@ def train(background: list[str]) -> Model:
     rows = known + [(b, NONE) for b in rest] + [(w, NONE) for w in ("license", "version", "the public library", "under the terms of the agreement of the parties", "open source", "")]
     y = np.array([FAMILIES.index(f) for _, f in rows])
     feature, line = grams(*hashed([x.encode() for x, _ in rows]))
+    known_to = np.zeros(1 << BITS, bool)
+    known_to[feature[y[line] > 0]] = True  # sparse: what no licence has, has no weight
+    feature, line = feature[known_to[feature]], line[known_to[feature]]
     used, column = np.unique(feature, return_inverse=True)
     held = np.arange(len(rows)) % 5 == 4
     share = np.where(y == 0, 1.0, 2.0) * ~held
@@ -179,9 +185,7 @@ def train(background: list[str]) -> Model:
         slope = p.sum(0)
         square_b += slope**2
         b -= 0.5 * slope / np.sqrt(square_b)
-    weights = np.zeros((1 << BITS, len(FAMILIES)))
-    weights[used] = w
-    model = Model(weights, b)
+    model = Model(used, w, b)
     at = np.flatnonzero(held)
     feature, line = grams(*hashed([rows[i][0].encode() for i in at]))
 
