@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -32,6 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if "dir" not in _own_dir:
         _own_dir["dir"] = tempfile.mkdtemp(prefix="papyra-")
+        atexit.register(shutil.rmtree, _own_dir["dir"], ignore_errors=True)
     return "file://" + _own_dir["dir"]
 
 
@@ -73,6 +75,9 @@ class Stash:
         self.spark.sparkContext._jvm.System.gc()
 
     def _end(self) -> None:
+        if self.root.startswith("file:///"):  # the session may be gone before the folder
+            shutil.rmtree(self.root.removeprefix("file://"), ignore_errors=True)
+            return
         try:
             _delete(self.spark, self.root)
         except Exception:  # noqa: BLE001  the session has gone already
