@@ -58,7 +58,9 @@ def tokens(line: str) -> list[str]:
 
 
 class TokenHashes(WordHashes):
-    """A token between blanks -> the packed hashes of its words."""
+    """A token between blanks -> the hashes of its words."""
+
+    LIMIT = 150_000
 
     def __missing__(self, token: bytes) -> list[int]:
         import xxhash
@@ -225,7 +227,7 @@ def scanned(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         for batch in batches:
             ids, texts = batch.columns
-            for a, b in slices(byte_lengths(texts), 1 << 20):
+            for a, b in slices(byte_lengths(texts), 1 << 19):
                 owner, number, start, lines = [], [], [], []
                 for i in range(a, b):
                     at = 0
