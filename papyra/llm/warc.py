@@ -1,8 +1,8 @@
 """WARC archives: writing with revisits, and reading by boundary-chain verification.
 
 An archive is cut into byte ranges.  A task looks for record magic in its range and emits
-(offset, successor) for whatever parses as a record header; a payload may hold such text
-too.  From the file's start, pointer jumping over these links reaches exactly the records
+(offset, successor) for whatever parses as a record header, however long; a payload may
+hold such text too.  From the file's start, pointer jumping over these links reaches exactly the records
 that the file consists of: what no chain reaches is a payload's content and is dropped.
 """
 
@@ -27,7 +27,9 @@ MAGIC = b"WARC/1."
 REVISIT_BYTES = 1000
 RANGE_BYTES = 8 << 20
 ARCHIVE_BYTES = 256 << 20
-MAX_HEADER = 64 << 10
+READ_AHEAD = 64 << 10
+START = re.compile(rb"WARC/1\.\d\r\n")
+LENGTH = re.compile(rb"\r\n[Cc]ontent-[Ll]ength:[ \t]*(\d{1,18})[ \t]*(?=\r\n)")
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -104,13 +106,28 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     return joined.select("page_id", "url", "n", "sha1", "packed", "refers_to").mapInArrow(write, "path string, size long, records long")
 
 
-def _header(data: bytes, at: int) -> tuple[int, int] | None:
-    """(length of the header, of the block) if a record's header can start here."""
-    end = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
-    if end < 0 or not re.match(rb"WARC/1\.\d\r\n", data[at : at + 10]):
-        return None
-    found = re.search(rb"\r\n[Cc]ontent-[Ll]ength:[ \t]*(\d{1,18})[ \t]*(?:\r\n|\Z)", data[at:end])
-    return (end + 4 - at, int(found[1])) if found else None
+def _headers(data: bytes, stop: int, more=lambda at: b""):
+    """(place, length of the header, of the block) wherever before stop a record's header can start.
+
+    more(n) gives what follows the first n bytes, nothing at the end.  What is found for one
+    place serves those after it, so a payload full of magic costs no more than its bytes.
+    """
+    end, found, at = -1, None, data.find(MAGIC)
+    while 0 <= at < stop:
+        if START.match(data, at):
+            if end < at:
+                seek = at
+                while (end := data.find(b"\r\n\r\n", seek)) < 0 and (extra := more(len(data))):
+                    seek = max(at, len(data) - 3)
+                    data += extra
+                if end < 0:
+                    return
+                found = LENGTH.search(data, at, end + 2)
+            elif found and found.start() < at:
+                found = LENGTH.search(data, at, end + 2)
+            if found:
+                yield at, end + 4 - at, int(found[1])
+        at = data.find(MAGIC, at + 1)
 
 
 def boundary_links(ranges: DataFrame) -> DataFrame:
@@ -121,12 +138,9 @@ def boundary_links(ranges: DataFrame) -> DataFrame:
             for path, size, start, stop in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 where, name = fs.FileSystem.from_uri(path)
                 with where.open_input_file(name) as f:
-                    data = f.read_at(min(size, stop + MAX_HEADER + 16) - start, start)
-                links, at = [], data.find(MAGIC)
-                while 0 <= at < stop - start:
-                    if found := _header(data, at):
-                        links.append((start + at, start + at + sum(found) + 4))
-                    at = data.find(MAGIC, at + 1)
+                    data = f.read_at(min(size, stop + READ_AHEAD) - start, start)
+                    more = lambda n, f=f, start=start, size=size: f.read_at(min(n, size - start - n), start + n)
+                    links = [(start + at, start + at + head + block + 4) for at, head, block in _headers(data, stop - start, more)]
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(links), pa.string()), pa.array([size] * len(links), pa.int64()), *(pa.array([x[i] for x in links], pa.int64()) for i in (0, 1))], ["path", "size", "offset", "successor"])
 
     return ranges.select("path", "size", "start", "stop").mapInArrow(scan, "path string, size long, offset long, successor long")
@@ -150,22 +164,38 @@ def reachable(offset: np.ndarray, successor: np.ndarray) -> np.ndarray:
         seen, jump = more, jump[jump]
 
 
+def _chain(t: pa.Table) -> pa.Table:
+    t = t.sort_by("offset")
+    offset, successor = (t.column(c).to_numpy() for c in ("offset", "successor"))
+    kept = reachable(offset, successor)
+    whole = bool(kept.any()) and int(successor[kept][-1]) == t.column("size")[0].as_py()
+    out = t.filter(pa.array(kept)).select(["path", "offset", "successor"])
+    return out.append_column("whole", pa.array([whole] * len(out), pa.bool_()))
+
+
+VERIFIED = "path string, offset long, successor long, whole boolean"
+
+
 def verified(links: DataFrame) -> DataFrame:
     """Keeps the reachable candidates: (path, offset, successor, whole).
 
     whole: the chain ends at the file's end; else the archive is torn after its last record.
     A task gets one archive's links, 16 bytes a record.
     """
+    return links.groupBy("path").applyInArrow(_chain, VERIFIED)
+
+
+def complete(links: DataFrame, manifest: DataFrame) -> DataFrame:
+    """verified(), and an error where an archive is torn or has not the records that were written."""
 
-    def chain(t: pa.Table) -> pa.Table:
-        t = t.sort_by("offset")
-        offset, successor = (t.column(c).to_numpy() for c in ("offset", "successor"))
-        kept = reachable(offset, successor)
-        whole = bool(kept.any()) and int(successor[kept][-1]) == t.column("size")[0].as_py()
-        out = t.filter(pa.array(kept)).select(["path", "offset", "successor"])
-        return out.append_column("whole", pa.array([whole] * len(out), pa.bool_()))
+    def check(m: pa.Table, t: pa.Table) -> pa.Table:
+        out = _chain(t)
+        path, records = m.column("path")[0].as_py(), m.column("records")[0].as_py()
+        if len(out) != records or not all(out.column("whole").to_pylist()):
+            raise ValueError(f"{path}: {len(out)} of {records} records found, or the archive is torn")
+        return out
 
-    return links.groupBy("path").applyInArrow(chain, "path string, offset long, successor long, whole boolean")
+    return manifest.select("path", "records").groupBy("path").cogroup(links.groupBy("path")).applyInArrow(check, VERIFIED)
 
 
 def read_records(found: DataFrame) -> DataFrame:
@@ -190,7 +220,7 @@ def read_records(found: DataFrame) -> DataFrame:
                     where, name = fs.FileSystem.from_uri(path)
                     now, f = path, where.open_input_file(name)
                 data = f.read_at(successor - offset, offset)
-                n_head, n_block = _header(data, 0)
+                _, n_head, n_block = next(_headers(data, 1))
                 head, block = data[:n_head], data[n_head : n_head + n_block]
                 http, _, payload = block.partition(b"\r\n\r\n")
                 kind = field(head, b"WARC-Type").decode()
@@ -209,12 +239,16 @@ def read_records(found: DataFrame) -> DataFrame:
 
 
 def read_warc(archives: DataFrame) -> DataFrame:
-    """(path, size) of uncompressed archives -> their records, found in parallel."""
+    """(path, size) of uncompressed archives -> their records, found in parallel.
+
+    With records, as write_warc() returns them, an archive that has not all of them is an error.
+    """
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0).cast("long")), F.lit(RANGE_BYTES).cast("long"))
     ranges = archives.where("size > 0").select("path", "size", F.explode(starts).alias("start")).withColumn("stop", F.least(F.col("size"), F.col("start") + RANGE_BYTES))
     total = archives.agg(F.sum("size")).first()[0] or 0
     n = total // (4 * RANGE_BYTES) + 1  # so that no task reads more than some ranges, however small their links
-    found = verified(boundary_links(ranges.repartition(n, "path", "start")))
+    links = boundary_links(ranges.repartition(n, "path", "start"))
+    found = complete(links, archives) if "records" in archives.columns else verified(links)
     return read_records(found.repartition(n, "path", F.floor(F.col("offset") / RANGE_BYTES)))
 
 

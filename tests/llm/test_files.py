@@ -55,6 +55,23 @@ def test_torn_archive_keeps_what_is_whole(spark, tmp_path):
     assert [(r.offset, r.successor, r.whole) for r in found] == [(0, len(one), False)]
 
 
+@pytest.mark.parametrize("range_bytes", [8 << 20, 50_000])
+def test_headers_of_any_length(spark, monkeypatch, range_bytes):
+    monkeypatch.setattr(warc, "RANGE_BYTES", range_bytes)
+    stash = Stash(spark, "test")
+    rows = [(1, "u", "a", "", 0), (2, "data:," + "x" * 300_000, "b", "", 0), (3, " \0" * 40_000, "c", "", 0), (4, "u", "WARC/1.1\r\n" * 20_000, "", 0), (5, "u", "d", "", 0)]
+    archives = stash.put(warc.write_warc(spark.createDataFrame(rows, PAGES).repartition(1), f"{stash.root}/archives"), "manifest")
+    assert sorted((r.page_id, r.payload_bytes) for r in warc.read_warc(archives).collect()) == [(r[0], len(r[2])) for r in rows]
+
+
+@pytest.mark.parametrize("damage", ["records + 1 AS records, size", "records, size - 1 AS size", "records, 3L AS size"])
+def test_archives_that_lack_records_fail(spark, damage):
+    stash = Stash(spark, "test")
+    archives = stash.put(warc.write_warc(spark.createDataFrame(pages(), PAGES).repartition(1), f"{stash.root}/archives"), "manifest")
+    with pytest.raises(Exception, match="records found"):
+        warc.read_warc(archives.selectExpr("path", *damage.split(", "))).collect()
+
+
 def test_warc_query(spark):
     assert_same(warc.op4_warc(spark, SF), warc.SQL, SF)
 
