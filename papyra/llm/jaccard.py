@@ -130,16 +130,16 @@ def _dealt_keys(bucket: np.ndarray, key: np.ndarray, cls: np.ndarray):
         if b > a:
             own, place = np.unique(cls[a:b], return_inverse=True)
             head = pack(cls=own)
-            yield int(bucket[a]), np.int64(len(head)).tobytes() + head + pack(key=key[a:b], v=place)
+            yield int(bucket[a]), np.int64(len(head)).tobytes() + head + pack(key=key[a:b], place=place)
 
 
 def _unpacked_keys(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     keys, classes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for row in rows:
         n = 8 + int(np.frombuffer(row, np.int64, 1)[0])
-        own, c = unpack([row[8:n]], "cls")["cls"], unpack([row[n:]], "key", "v")
+        own, c = unpack([row[8:n]], "cls")["cls"], unpack([row[n:]], "key", "place")
         keys.append(c["key"])
-        classes.append(own[c["v"]])
+        classes.append(own[c["place"]])
     return np.concatenate(keys), np.concatenate(classes)
 
 

@@ -116,6 +116,18 @@ def test_packed_columns_round_trip():
     assert c["id"].tolist() == [*x.tolist(), -5]
 
 
+def test_versions_beyond_two_bytes(spark):
+    v = np.array([0, 65_535, 65_536, 1 << 33], np.int64)
+    assert passages.unpack([passages.pack(id=v, v=v)], "id", "v")["v"].tolist() == v.tolist()
+    passage = " ".join(f"word{i}" for i in range(30))
+    df = spark.range(66_000).selectExpr("9L AS doc_id", "concat('a', id) AS text")
+    df = df.union(spark.createDataFrame([(1, passage), (9, "z " + passage)], df.schema)).repartition(3)
+    got = phrase_dedup.deduplicated(df).where("n_removed > 0").collect()
+    assert [(r.doc_id, r.n_words, r.n_removed) for r in got] == [(9, 31, 30)]
+    got = suffix_dedup.deduplicated(df).where("size(spans) > 0").collect()
+    assert [(r.doc_id, bytes(r.kept)) for r in got] == [(9, b"z ")]
+
+
 def test_spark_hash(spark):
     ids = [0, 1, -1, 7, 1 << 40, -(1 << 50)]
     want = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i long").selectExpr("hash(i)").collect()]
