@@ -25,11 +25,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by 5-word shingles at 0.8, the one with the smallest doc_id stays.
 
-    Documents without words or without doc_id are linked with nothing and stay.
+    Rows that repeat a doc_id are told apart by their texts; of equal ones, and of linked
+    ones with one doc_id, one stays.  Documents without words are linked with nothing,
+    those without doc_id all stay.
     """
-    found = jaccard.near_duplicates(docs.select("doc_id", "text"), words=5, num=80, den=100)
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return jaccard.firsts(docs, words=5, num=80, den=100)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

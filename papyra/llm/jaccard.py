@@ -162,9 +162,9 @@ def _signatures(docs: DataFrame, words: int, num: int, den: int, n: int) -> Data
     def run(batches):
         bands, flags = Bands(num, den), shared.value
         for batch in batches:
-            all_ids, texts = batch.columns
+            all_ids, texts, all_marks = batch.columns
             for a, b in slices(byte_lengths(texts), 8 << 20, 60_000):
-                ids = all_ids[a:b].to_numpy()
+                ids, marks = all_ids[a:b].to_numpy(), all_marks[a:b].to_numpy()
                 cls, size, keys, owner, known = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64), [], [], set()
                 for i in range(b - a):
                     s = shingles(texts[a + i].as_py(), words)
@@ -176,7 +176,7 @@ def _signatures(docs: DataFrame, words: int, num: int, den: int, n: int) -> Data
                         known.add(int(c))
                         keys.append(bands.keys(s, flagged(flags, s)))
                         owner.append(np.full(len(keys[-1]), c))
-                rows = [(n + k, p) for k, p in dealt(spark_hash(ids).astype(np.int64) % n, id=ids, cls=cls, size=size)]
+                rows = [(n + k, p) for k, p in dealt(spark_hash(ids).astype(np.int64) % n, id=ids, cls=cls, size=size, mark=marks)]
                 if keys:
                     key, owner = np.concatenate(keys), np.concatenate(owner)
                     heads, least, other = _stars(key, owner)
@@ -185,26 +185,26 @@ def _signatures(docs: DataFrame, words: int, num: int, den: int, n: int) -> Data
                     rows += [(2 * n + k, p) for k, p in dealt(spark_hash(other).astype(np.int64) % n, cls=least, other=other)]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], ["key", "packed"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "key int, packed binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), "mark").mapInArrow(run, "key int, packed binary")
 
 
 def _met(found: DataFrame, n: int) -> DataFrame:
-    """(kind, a, b, size): documents (doc_id, class, size) and candidate edges (least class, other)."""
+    """(kind, a, b, size, mark): documents (doc_id, class, size, mark) and candidate edges (least class, other)."""
 
     def meet(t: pa.Table) -> pa.Table:
         kind, rows = t.column("key")[0].as_py() // n, t.column("packed").to_pylist()
-        size = None
+        size = mark = None
         if kind == ROWS:
-            c = unpack(rows, "id", "cls", "size")
-            a, b, size = c["id"], c["cls"], c["size"]
+            c = unpack(rows, "id", "cls", "size", "mark")
+            a, b, size, mark = c["id"], c["cls"], c["size"], c["mark"]
         elif kind == EDGES:
             c = unpack(rows, "cls", "other")
             a, b = np.unique(np.stack((c["cls"], c["other"])), axis=1)
         else:
             _, a, b = _stars(*_unpacked_keys(rows))
-        return pa.table([pa.array(np.full(len(a), ROWS if kind == ROWS else EDGES), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.zeros(len(a), np.int64) if size is None else size, pa.int64())], ["kind", "a", "b", "size"])
+        return pa.table([pa.array(np.full(len(a), ROWS if kind == ROWS else EDGES), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.array(np.zeros(len(a), np.int64) if x is None else x, pa.int64()) for x in (size, mark))], ["kind", "a", "b", "size", "mark"])
 
-    return found.groupBy("key").applyInArrow(meet, "kind int, a long, b long, size long")
+    return found.groupBy("key").applyInArrow(meet, "kind int, a long, b long, size long, mark long")
 
 
 # --- tiles -------------------------------------------------------------------------------
@@ -387,34 +387,61 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     nothing and has no component_id.  Other columns are left out.  Shingles and classes are
     compared by 64-bit hashes.
     """
-    spark = docs.sparkSession
+    named = _linked(docs.where("doc_id IS NOT NULL").withColumn("mark", F.lit(0).cast("long")), words, num, den, tile)
+
+    def counts(batches):
+        for batch in batches:
+            size = [len(shingles(x, words)) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(size), pa.int64()), pa.array(size, pa.int64()), pa.nulls(len(size), pa.int64())], ["doc_id", "n_shingles", "component_id"])
+
+    unnamed = docs.where("doc_id IS NULL").select(F.col("text").cast("binary")).mapInArrow(counts, "doc_id long, n_shingles long, component_id long")
+    return named.select("doc_id", "n_shingles", "component_id").unionByName(unnamed)
+
+
+def firsts(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """docs with one row of each component that near_duplicates() finds: the least by (doc_id, hash of the text).
+
+    Rows that repeat a doc_id are told apart by their texts, and go or stay each for itself;
+    of rows with one doc_id and one text, one stays.  Rows without words are each a component,
+    rows without doc_id all stay.  Texts are compared by 64-bit hashes.
+    """
+    stash, at = Stash(docs.sparkSession, "firsts"), ["doc_id", "_papyra_mark"]
+    named = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark")).where("doc_id IS NOT NULL")
+    found = stash.put(_linked(named, words, num, den, TILE).select(F.col("doc_id"), F.col("mark").alias("_papyra_mark"), "component_id", "component_mark"), "found")
+    stash.release()
+    gone = found.where("doc_id <> component_id OR _papyra_mark <> component_mark").select(at).distinct()
+    kept = docs.withColumn("_papyra_mark", F.xxhash64("text")).join(gone, at, "left_anti")
+    again = found.where("doc_id = component_id AND _papyra_mark = component_mark").groupBy(at).agg(F.count("*").alias("rows")).where("rows > 1").select(at)
+    if again.limit(1).count():
+        kept = kept.join(again, at, "left_anti").unionByName(kept.join(again, at, "left_semi").dropDuplicates(at))
+    return kept.select(*docs.columns)
+
+
+def _linked(named: DataFrame, words: int, num: int, den: int, tile: int) -> DataFrame:
+    """(doc_id, text, mark) -> (doc_id, mark, n_shingles, component_id, component_mark), a row a row.
+
+    component_mark is, with component_id, of the component's least row by (doc_id, mark).
+    """
+    spark = named.sparkSession
     stash, n = Stash(spark, "jaccard"), buckets(spark)
-    named = docs.where("doc_id IS NOT NULL")
     met = stash.put(_met(_signatures(named, words, num, den, n), n), "met")
     stash.release()
-    rows = met.where(F.col("kind") == ROWS).select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), F.col("size").alias("n_shingles"))
+    rows = met.where(F.col("kind") == ROWS).select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), F.col("size").alias("n_shingles"), "mark")
     edges = met.where(F.col("kind") == EDGES).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    classes = stash.put(rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least")), "classes")
+    classes = stash.put(rows.where("n_shingles > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "mark")).alias("least")), "classes")
     group = stash.put(components(edges, stash, "candidates").select(F.col("node").alias("cls"), F.col("component").alias("group")), "groups")
-    wanted = classes.join(group, "cls").select(F.col("least").alias("doc_id"), "cls", "group")
+    wanted = classes.join(group, "cls").select(F.col("least.doc_id").alias("doc_id"), "cls", "group")
     payload = stash.put(_payload(named, wanted, words), "payload")
     stash.release()
     label = stash.put(_labels(stash, payload, wanted, num, den, tile, n).distinct(), "labels")
     stash.drop("payload", "spread")
     stash.release()
     whole = classes.join(label, "cls", "left").select("cls", "least", F.coalesce("label", "cls").alias("label"))
-    least = whole.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_class = whole.select("cls", "label").join(least, "label").select("cls", "component_id")
-    out = rows.where("n_shingles > 0").join(by_class, "cls").select("doc_id", "n_shingles", "component_id")
-    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-
-    def counts(batches):
-        for batch in batches:
-            size = [len(shingles(x, words)) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(size), pa.int64()), pa.array(size, pa.int64()), pa.nulls(len(size), pa.int64())], ["doc_id", "n_shingles", "component_id"])
-
-    unnamed = docs.where("doc_id IS NULL").select(F.col("text").cast("binary")).mapInArrow(counts, "doc_id long, n_shingles long, component_id long")
-    return out.unionByName(alone).unionByName(unnamed)
+    least = whole.groupBy("label").agg(F.min("least").alias("least"))
+    by_class = whole.select("cls", "label").join(least, "label").select("cls", F.col("least.doc_id").alias("component_id"), F.col("least.mark").alias("component_mark"))
+    out = rows.where("n_shingles > 0").join(by_class, "cls").select("doc_id", "mark", "n_shingles", "component_id", "component_mark")
+    alone = rows.where("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"), F.col("mark").alias("component_mark"))
+    return out.unionByName(alone)
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

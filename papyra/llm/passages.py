@@ -65,7 +65,7 @@ def spark_hash(ids: np.ndarray) -> np.ndarray:
 # halves are zeros nearly always, which the shuffle's compression takes out.  So are most
 # versions v, but one doc_id may have any number of rows.
 
-LAYOUT = {"seed": 5, "ctx": 6, "id": 8, "v": 8, "place": 2, "at": 4, "n": 1, "key": 5, "cls": 8, "other": 8, "size": 4}
+LAYOUT = {"seed": 5, "ctx": 6, "id": 8, "v": 8, "place": 2, "at": 4, "n": 1, "key": 5, "cls": 8, "other": 8, "size": 4, "mark": 8}
 
 
 def pack(**columns: np.ndarray) -> bytes:

@@ -7,6 +7,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from papyra.llm import jaccard, phrase_dedup  # noqa: E402
 
 from ..conftest import SF  # noqa: E402
+from .conftest import prose  # noqa: E402
 
 
 def test_stages(spark):
@@ -29,5 +30,18 @@ def test_stages(spark):
     assert {r.doc_id for r in pieces} == before
 
 
+def test_near_copies_of_repeated_ids(spark):
+    a, b, c, d = (prose(seed, 200) for seed in (31, 32, 33, 34))
+    near = {x: x.replace(x.split()[100], "CHANGED", 1) for x in (a, c)}
+    rows = [(1, a), (1, a), (1, a), (2, near[a]), (2, b), (3, c), (3, near[c]), (4, ""), (4, ""), (5, a), (5, d), (6, None), (None, a), (None, a)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _v string").repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.jaccard_stage(spark, df, SF).collect()]
+    one = [x for x in got if x[0] == 3]
+    assert len(one) == 1 and one[0][1] in (c, near[c])
+    key = lambda x: (str(x[0]), x[1] or "")
+    want = [(1, a), (2, b), (4, ""), (5, d), (6, None), (None, a), (None, a)]
+    assert sorted((x for x in got if x[0] != 3), key=key) == sorted(want, key=key)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
