@@ -26,11 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests, a laptop) is a temporary one made.
+    Only where a local session names none (tests, a laptop) is a temporary one made.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
     if "dir" not in _own_dir:
         _own_dir["dir"] = tempfile.mkdtemp(prefix="papyra-")
         atexit.register(shutil.rmtree, _own_dir["dir"], ignore_errors=True)
@@ -93,12 +95,24 @@ def buckets(spark: SparkSession) -> int:
     return max(32, 2 * shuffle_partitions(spark))
 
 
-def doc_hash(col: Column) -> Column:
-    """52 bits of md5 of an id's decimal text (DuckDB can compute the same)."""
-    text = F.coalesce(col.cast("string"), F.lit(""))
+def hash52(text: Column) -> Column:
+    """52 bits of md5 (DuckDB can compute the same)."""
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
+def doc_hash(col: Column) -> Column:
+    """52 bits of md5 of an id's decimal text."""
+    return hash52(F.coalesce(col.cast("string"), F.lit("")))
+
+
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have."""
+    taken, name = {c.lower() for c in df.columns}, f"_{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def hash_sample(df: DataFrame, key: Column, rows: int, wanted: int) -> DataFrame:
     """About `wanted` of the `rows` rows of df, those with the least hashes: a filter, so no task gathers them."""
     return df if rows <= wanted else df.where(doc_hash(key) < int(wanted / rows * (1 << 52)))

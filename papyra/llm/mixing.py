@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document has a hash that depends on its id alone.  Words are summed by source and
+Every document has a hash that depends on its id and text alone.  Words are summed by source and
 hash bucket; the running sum shows in which bucket a source's budget ends, and only that
 bucket is summed again by the next bits of the hash, until the bits are used up.  What is
 left is one threshold for each source, so the choice is a filter: nothing is sorted, and a
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Stash, doc_hash, table
+from .common import WORD, Stash, fresh, hash52, table
 
 LEVELS, LEVEL_BITS = 4, 13
 #: A broadcast of the sources' thresholds is at most this many short rows.
@@ -79,32 +79,50 @@ def thresholds(stash: Stash, sized: DataFrame, goals: DataFrame) -> DataFrame:
     return goals.join(found, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "copies", F.coalesce("threshold", F.lit(0).cast("long")).alias("threshold"))
 
 
+def place() -> Column:
+    """52 bits by which a document is chosen: of md5 of its id and text, so rows that repeat an id, or have none, are told apart."""
+    return hash52(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit(""))))
+
+
+def chosen(docs: DataFrame, names: dict[str, str], weights, share: float, most: float) -> DataFrame:
+    """docs with source_size, target and copies under the names given."""
+    stash = Stash(docs.sparkSession, "mix")
+    u = place()
+    sized = stash.put(docs.select("source", word_count(F.col("text")).alias("size"), u.alias("u")), "sized")
+    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    found = stash.put(thresholds(stash, sized, targets(per_source, weights, share, most)), "thresholds")
+    small = found.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    held = found.select(F.col("source").alias(names["s"]), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]), F.col("copies").alias(names["copies"]), F.col("threshold").alias(names["threshold"]))
+    out = docs.join(F.broadcast(held) if small else held, F.col("source").eqNullSafe(F.col(names["s"])), "left")
+    times = F.least(F.col(names["copies"]) + (u < F.col(names["threshold"])).cast("long"), F.lit(int(most)).cast("long"))
+    return out.withColumn(names["copies"], times).drop(names["s"], names["threshold"])
+
+
 def mixed(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(doc_id, source, text) -> (doc_id, source, size, source_size, target, copies_taken, taken).
 
     copies_taken is how often the mix repeats the document: 0, 1 or 2 times for the
-    defaults.  A null text has no words; a null source is a source of its own; rows that
-    repeat an id are chosen together; a source without words has target 0.  Extra columns
-    are left out.
+    defaults.  A null text has no words; a null source is a source of its own; rows equal in
+    doc_id and text are chosen together, others each for itself, also without doc_id; a
+    source without words has target 0; an empty table gives none.  Extra columns are left
+    out.  Texts of any length are counted whole.
     """
-    spark = docs.sparkSession
-    stash = Stash(spark, "mix")
-    sized = stash.put(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), doc_hash(F.col("doc_id")).alias("u")), "sized")
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    found = stash.put(thresholds(stash, sized, targets(per_source, weights, share, most)), "thresholds")
-    small = found.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    found = found.withColumnRenamed("source", "s")
-    joined = sized.join(F.broadcast(found) if small else found, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    times = F.col("copies") + (F.col("u") < F.col("threshold")).cast("long")
-    times = F.least(times, F.lit(int(most)).cast("long"))
-    return joined.select("doc_id", "source", "size", "source_size", "target", times.alias("copies_taken"), (times * F.col("size")).alias("taken"))
+    names = {"s": "s", "source_size": "source_size", "target": "target", "copies": "copies_taken", "threshold": "threshold"}
+    out = chosen(docs.select("doc_id", "source", "text"), names, weights, share, most)
+    size = word_count(F.col("text"))
+    return out.select("doc_id", "source", size.alias("size"), "source_size", "target", "copies_taken", (F.col("copies_taken") * size).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The mix itself: every column of docs, a row for each copy that the mix takes."""
-    takes = mixed(docs, weights, share, most).groupBy("doc_id").agg(F.max("copies_taken").alias("_papyra_copies"))
-    out = docs.join(takes.withColumnRenamed("doc_id", "_papyra_id"), docs["doc_id"].eqNullSafe(F.col("_papyra_id"))).where("_papyra_copies > 0")
-    return out.withColumn("_papyra_copy", F.explode(F.array_repeat(F.lit(0), F.col("_papyra_copies").cast("int")))).drop("_papyra_id", "_papyra_copies", "_papyra_copy")
+    """The mix itself: every column of docs, a row for each copy that the mix takes.
+
+    The thresholds go to the documents, as a broadcast where the sources are few, so texts
+    are not moved.  Odd rows are treated as mixed() states.
+    """
+    names = {x: fresh(docs, x) for x in ("s", "source_size", "target", "copies", "threshold")}
+    copy = fresh(docs, "copy")
+    out = chosen(docs, names, weights, share, most).where(F.col(names["copies"]) > 0)
+    return out.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(names["copies"]).cast("int")))).select(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +132,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS u
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13) AS BIGINT) AS u
   FROM documents),
 per_source AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (

@@ -4,13 +4,20 @@ Labels mark whole documents, so token labels are derived first: features (a word
 beginnings) that toxic documents hold far more often than others make a token toxic where
 the document is.  A two-state chain over hashed features learns from these sequences by
 gradient ascent on their likelihood; beginnings of words let it tag forms it never met.
-Scoring runs forward and backward over chains of 64 words, all chains of a batch at once;
-the marginals give the offending offsets, and their sum and maximum, by a small
-calibrated regression, the document's score.
+Training is piecewise, on parts of 64 words, in one task of an executor; the driver sees
+only the model.
+
+In scoring a document is one chain, however long.  It lies in rows of 64 words; a row's
+effect on the messages that pass through it is a 2 x 2 matrix, so all rows of a batch are
+multiplied out at once, a short scan over each document's rows gives every row its
+incoming messages, and forward-backward then runs in all rows together.  The marginals
+give the offending offsets, and their sum and maximum, by a small calibrated regression,
+the document's score.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from dataclasses import dataclass
@@ -51,6 +58,18 @@ class Model:
     calibration: np.ndarray  # of 1, log(1 + expected toxic tokens), largest log odds
     prior: float
 
+    def packed(self) -> bytes:
+        """The model without the weights that are zero, which are nearly all."""
+        at = np.flatnonzero(self.weights).astype(np.int32)
+        return pickle.dumps((at, self.weights[at], self.bias, self.moves, self.calibration, self.prior))
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> "Model":
+        at, some, *rest = pickle.loads(data)
+        weights = np.zeros(1 << BITS, np.float32)
+        weights[at] = some
+        return cls(weights, *rest)
+
     def emission(self, token: bytes) -> float:
         """A token's score for toxic: its most toxic word's."""
         return max((self.bias + float(self.weights[features(w)].sum()) for w in parts(token)), default=self.bias)
@@ -72,28 +91,53 @@ class Emissions(dict):
         return value
 
 
-def posteriors(scores: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def posteriors(scores: np.ndarray, moves: np.ndarray, ahead_in=None, back_in=None, used=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward and backward over rows of emission scores (toxic against clean).
 
     Returns marginal log odds and the messages as ratios toxic to clean.  With two states
     the messages are one ratio a step, so a step is a few vector operations for all rows.
+    ahead_in, back_in: the messages that come into each row from before (nan: a document
+    begins) and from behind; used: which places of a row hold a token (all, by default).
     """
     e, m = np.exp(np.clip(scores, -40, 40)), np.exp(moves)
     ahead, back = np.empty_like(e), np.empty_like(e)
     r = e[:, 0].copy()
+    if ahead_in is not None:
+        went = e[:, 0] * (ahead_in * m[1, 1] + m[0, 1]) / (ahead_in * m[1, 0] + m[0, 0])
+        r = np.where(np.isnan(ahead_in), r, went)
     ahead[:, 0] = r
     for t in range(1, e.shape[1]):
         r = e[:, t] * (r * m[1, 1] + m[0, 1]) / (r * m[1, 0] + m[0, 0])
         ahead[:, t] = r
-    b = np.ones(len(e))
+    b = np.ones(len(e)) if back_in is None else back_in.copy()
     back[:, -1] = b
     for t in range(e.shape[1] - 2, -1, -1):
         x = e[:, t + 1] * b
-        b = (m[1, 1] * x + m[1, 0]) / (m[0, 1] * x + m[0, 0])
+        went = (m[1, 1] * x + m[1, 0]) / (m[0, 1] * x + m[0, 0])
+        b = went if used is None else np.where(used[:, t + 1], went, b)
         back[:, t] = b
     return np.log(ahead * back), ahead, back
 
 
+def transfers(scores: np.ndarray, moves: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each row does to a message that passes it forward, and backward: [a, b, c, d] maps x to (a x + b) / (c x + d)."""
+    e, m = np.exp(np.clip(scores, -40, 40)), np.exp(moves)
+    ahead = np.zeros((4, len(e)))
+    ahead[0] = ahead[3] = 1
+    back = ahead.copy()
+    for t in range(e.shape[1]):
+        x = e[:, t]
+        a, b, c, d = ahead
+        ahead = np.stack((x * (m[1, 1] * a + m[0, 1] * c), x * (m[1, 1] * b + m[0, 1] * d), m[1, 0] * a + m[0, 0] * c, m[1, 0] * b + m[0, 0] * d))
+        ahead /= ahead.max(0)
+    for t in range(e.shape[1] - 1, -1, -1):
+        x = e[:, t]
+        a, b, c, d = back
+        now = np.stack((m[1, 1] * x * a + m[1, 0] * c, m[1, 1] * x * b + m[1, 0] * d, m[0, 1] * x * a + m[0, 0] * c, m[0, 1] * x * b + m[0, 0] * d))
+        back = np.where(used[:, t], now / now.max(0), back)
+    return ahead, back
+
+
 def chains(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(row, column) of every token when documents are cut into rows of 64 tokens, and the number of rows."""
     per = -(-lengths // CHAIN)
@@ -102,7 +146,7 @@ def chains(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return np.repeat(first, lengths) + at // CHAIN, at % CHAIN, int(per.sum())
 
 
-#: A row's free places behave as surely clean tokens, in training and scoring alike.
+#: In training, a row's free places behave as surely clean tokens; scoring passes them over.
 PAD = -12.0
 
 
@@ -242,14 +286,39 @@ def train(rows: list[tuple[bytes, int]], shares: tuple[float, float]) -> Model:
 
 
 def document_odds(scores: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
-    """The marginal log odds of each document's tokens."""
+    """The marginal log odds of each document's tokens, every document one chain."""
     lengths = np.array([len(s) for s in scores], np.int64)
     if not lengths.sum():
         return [np.zeros(0) for _ in scores]
     row, column, n = chains(lengths)
-    grid = np.full((n, CHAIN), PAD)
+    grid, used = np.full((n, CHAIN), PAD), np.zeros((n, CHAIN), bool)
     grid[row, column] = np.concatenate(scores)
-    odds = posteriors(grid, moves)[0][row, column]
+    used[row, column] = True
+    per = -(-lengths // CHAIN)
+    first = np.cumsum(per) - per
+    ahead_in, back_in = np.full(n, np.nan), np.ones(n)
+    if per.max() > 1:
+        long = np.flatnonzero(per > 1)
+        long = long[np.argsort(-per[long], kind="stable")]
+        some = np.concatenate([np.arange(first[i], first[i] + per[i]) for i in long])
+        forth, back = np.zeros((4, n)), np.zeros((4, n))
+        forth[:, some], back[:, some] = transfers(grid[some], moves, used[some])
+        # the first row's outgoing message: its first token has none before it
+        heads = first[long]
+        ahead_in[heads + 1] = posteriors(grid[heads], moves)[1][:, -1]
+        for k in range(1, int(per[long[0]])):
+            long = long[per[long] > k]
+            a, at = ahead_in[first[long] + k], first[long] + k
+            more = per[long] > k + 1
+            ahead_in[at[more] + 1] = ((forth[0, at] * a + forth[1, at]) / (forth[2, at] * a + forth[3, at]))[more]
+        long = np.flatnonzero(per > 1)
+        long = long[np.argsort(-per[long], kind="stable")]
+        for k in range(1, int(per[long[0]])):
+            long = long[per[long] > k]
+            at = first[long] + per[long] - k
+            b = back_in[at]
+            back_in[at - 1] = (back[0, at] * b + back[1, at]) / (back[2, at] * b + back[3, at])
+    odds = posteriors(grid, moves, ahead_in, back_in, used)[0][row, column]
     return np.split(odds, np.cumsum(lengths)[:-1])
 
 
@@ -260,9 +329,13 @@ def summary(odds: np.ndarray) -> np.ndarray:
     return np.array([np.log1p((1 / (1 + np.exp(-odds))).sum()), float(np.clip(odds.max(), -10, 10))])
 
 
-def sampled(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[bytes, int]], tuple[float, float]]:
-    """The training rows: of labelled rows that are not held out, about so many of each label, those with the least hashes."""
-    usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL AND crc32(cast(doc_id AS string)) % 4 <> 2").select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).cast("int").alias("_y")).dropDuplicates(["_id"])
+def sampled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, tuple[float, float]]:
+    """The training rows (_id, _t, _y) of labelled documents that are not held out, about so many of each label: those with the least hashes.
+
+    A doc_id with several labels is toxic if one says so; of rows that repeat a doc_id the
+    least text stands for it, so the sample's bound holds however often ids recur.
+    """
+    usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL AND crc32(cast(doc_id AS string)) % 4 <> 2").groupBy(F.col("doc_id").alias("_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("_y"))
     sizes = {r["_y"]: r["count"] for r in usable.groupBy("_y").count().collect()}
     picks, shares = None, []
     for y, most in ((0, SAMPLE_CLEAN), (1, SAMPLE_TOXIC)):
@@ -270,29 +343,39 @@ def sampled(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[bytes, int]]
         picks = chosen if picks is None else picks.unionByName(chosen)
         shares.append(sizes.get(y, 0) / max(1, min(most, sizes.get(y, 0))))
     text = F.col("text").cast("binary")
-    found = docs.select("doc_id", text.alias("_t")).where(F.octet_length("_t") <= SAMPLE_BYTES).join(F.broadcast(picks), F.col("doc_id") == F.col("_id")).select("_id", "_t", "_y").collect()
-    return [(bytes(r["_t"]), r["_y"]) for r in sorted(found, key=lambda r: (zlib.crc32(str(r["_id"]).encode()), r["_id"], bytes(r["_t"])))], tuple(shares)
+    found = docs.select("doc_id", text.alias("_t")).where(F.octet_length("_t") <= SAMPLE_BYTES).join(F.broadcast(picks), F.col("doc_id") == F.col("_id"))
+    return found.groupBy("_id").agg(F.min("_t").alias("_t"), F.first("_y").alias("_y")), tuple(shares)
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learns from labels (doc_id, toxic) of docs; the sample's bounds are the constants above."""
+    """Learns from labels (doc_id, toxic) of docs; the sample's bounds are the constants above.
+
+    One task trains; what comes back is the model, a number for each feature of the sample.
+    """
     rows, shares = sampled(docs, labels)
-    return train(distinct(rows), shares)
+
+    def learn(batches):
+        sample = [(t, y, i) for batch in batches for i, t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        sample.sort(key=lambda r: (zlib.crc32(str(r[2]).encode()), r[2]))
+        yield pa.RecordBatch.from_arrays([pa.array([train(distinct([r[:2] for r in sample]), shares).packed()], pa.binary())], ["model"])
+
+    found = rows.select("_id", "_t", "_y").coalesce(1).mapInArrow(learn, "model binary").collect()
+    return Model.unpacked(bytes(found[0]["model"])) if found else train([], shares)
 
 
-_caches: dict[int, tuple[Model, Emissions]] = {}
+_caches: dict[int, tuple[bytes, Model, Emissions]] = {}
 
 
 def scored(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
     """Every column of docs, and score and toxic_spans (start and stop in bytes, probability).
 
     Each text is scored whole, from its words only.  A null or empty text has the score of
-    a document without toxic words and no spans.  Columns of these names are replaced.
-    With spans=False toxic_spans is null.
+    a document without toxic words and no spans; equal texts have equal scores.  Columns of
+    these names are replaced; an empty table gives none.  With spans=False toxic_spans is null.
     """
     kept = [c for c in docs.columns if c not in ("score", "toxic_spans")]
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.packed())
     span = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("probability", pa.float64())])
 
     def offending(text: bytes, odds: np.ndarray) -> list[dict]:
@@ -302,12 +385,13 @@ def scored(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
         return [{"start": m.start(), "stop": m.end(), "probability": float(p[i])} for i, m in enumerate(_WORD.finditer(text)) if odds[i] > 0]
 
     def run(batches):
-        m = shared.value
-        held = _caches.get(id(m))
+        data = shared.value
+        held = _caches.get(id(data))
         if held is None:
             _caches.clear()
-            held = _caches[id(m)] = (m, Emissions(m))
-        seen = held[1]
+            m = Model.unpacked(data)
+            held = _caches[id(data)] = (data, m, Emissions(m))
+        _, m, seen = held
         for batch in batches:
             texts = batch.column(len(kept))
             for a, b in slices(byte_lengths(texts), 2 << 20):
@@ -324,7 +408,8 @@ def scored(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, and toxic_spans: the offending words' byte offsets and probabilities."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = scored(docs, fitted(docs, table(spark, sf_dir, "labels")), spans=False)
+    out = scored(docs, fitted(docs, table(spark, sf_dir, "labels")))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "toxic_spans")
