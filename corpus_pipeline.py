@@ -18,7 +18,7 @@ from papyra.llm.common import Stash, table
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold go; the model learns from the labelled documents."""
     model = toxicity.fitted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    kept = toxicity.scored(docs, model, spans=False).where(F.col("score") < toxicity.THRESHOLD)
+    kept = toxicity.scored(docs, model).where(F.col("score") < toxicity.THRESHOLD)
     return kept.select(*docs.columns)
 
 
