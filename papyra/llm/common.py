@@ -169,15 +169,16 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
-_BLOCKS = 64
+_BLOCKS, _FAN_IN = 64, 128
 
 
 def popular_hashes(texts: DataFrame, hashes, bits: int, factor: float = 3.0, least: float = 32.0) -> np.ndarray:
     """Packed flags: which values of the first `bits` bits of a hash count several times the mean.
 
-    texts: one binary column; hashes: texts -> their hashes.  All rows are counted; the
-    counters are 2^bits, so what tasks send, what reaches the driver (a byte each) and what
-    is broadcast (a bit each) has a bound that does not grow with the rows.
+    texts: one binary column; hashes: texts -> their hashes.  All rows are counted.  The
+    counters are 2^bits; tasks' counters are added up in a tree, _FAN_IN at a time, so what
+    one task gathers, what reaches the driver (a byte each) and what is broadcast (a bit
+    each) has a bound that does not grow with the rows.
     """
     import math
 
@@ -185,29 +186,42 @@ def popular_hashes(texts: DataFrame, hashes, bits: int, factor: float = 3.0, lea
 
     size = (1 << bits) // _BLOCKS
 
-    def count(batches):
+    def packed(block: int, counts: np.ndarray):
         import zstandard
 
+        return block, zstandard.ZstdCompressor(level=1).compress(counts.tobytes())
+
+    def count(batches):
         counts = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             column = batch.column(0)
             for a, b in slices(byte_lengths(column), 2 << 20):
                 found = hashes([x or b"" for x in column[a:b].to_pylist()])
-                counts += np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
-        squeeze = zstandard.ZstdCompressor(level=1)
-        parts = [squeeze.compress(x.tobytes()) for x in np.split(counts, _BLOCKS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array(parts, pa.binary())], ["block", "counts"])
+                np.add.at(counts, (found >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+        rows = [packed(i, x.astype(np.int64)) for i, x in enumerate(np.split(counts, _BLOCKS))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "counts"])
 
-    def add(t: pa.Table) -> pa.Table:
+    def total(t: pa.Table) -> tuple[int, np.ndarray]:
         import zstandard
 
-        total, unpack = np.zeros(size, np.int64), zstandard.ZstdDecompressor()
+        out, unpack = np.zeros(size, np.int64), zstandard.ZstdDecompressor()
         for x in t.column("counts").to_pylist():
-            total += np.frombuffer(unpack.decompress(x), np.uint32)
-        scale = np.minimum(255, np.round(6 * np.log2(1.0 + total))).astype(np.uint8)
-        return pa.table([pa.array([t.column("block")[0].as_py()], pa.int32()), pa.array([int(total.sum())], pa.int64()), pa.array([scale.tobytes()], pa.binary())], ["block", "total", "scale"])
+            out += np.frombuffer(unpack.decompress(x), np.int64)
+        return t.column("block")[0].as_py(), out
 
-    sums = texts.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, total long, scale binary").collect()
+    def add(t: pa.Table) -> pa.Table:
+        block, counts = packed(*total(t))
+        return pa.table([pa.array([block], pa.int32()), t.column("part").slice(0, 1).combine_chunks(), pa.array([counts], pa.binary())], ["block", "part", "counts"])
+
+    def end(t: pa.Table) -> pa.Table:
+        block, counts = total(t)
+        scale = np.minimum(255, np.round(6 * np.log2(1.0 + counts))).astype(np.uint8)
+        return pa.table([pa.array([block], pa.int32()), pa.array([int(counts.sum())], pa.int64()), pa.array([scale.tobytes()], pa.binary())], ["block", "total", "scale"])
+
+    sums = texts.mapInArrow(count, "block int, counts binary").withColumn("part", F.spark_partition_id())
+    for _ in range(2):
+        sums = sums.withColumn("part", F.floor(F.col("part") / _FAN_IN).cast("int")).groupBy("block", "part").applyInArrow(add, "block int, part int, counts binary")
+    sums = sums.groupBy("block").applyInArrow(end, "block int, total long, scale binary").collect()
     scale = np.zeros((_BLOCKS, size), np.uint8)
     for r in sums:
         scale[r["block"]] = np.frombuffer(r["scale"], np.uint8)

@@ -1,4 +1,4 @@
-"""Finding the passages that recur anywhere in a table, exactly and without pairs.
+"""Finding the passages that recur anywhere in a table, and bringing them to the documents that repeat them.
 
 A window is W consecutive units (bytes or words) of one document; a unit is to be removed
 if a window covering it also occurs earlier.  A window's seed is the K units inside it with
@@ -8,36 +8,39 @@ takes its seed from what is its own, and what shares a popular seed lies inside
 alike everywhere.  Neighbouring windows with one seed make an occurrence: about
 2 / (W - K + 2) of them for each unit.
 
-1. `occurrences`: each task turns its documents into occurrences (seed, fingerprint of the
-   units that its windows cover, document, place), settles copies among its own rows, and
-   deals the rest by seed.  They travel packed, some 18 bytes each, a row for each task
-   and bucket.
-2. `compared`: a bucket's occurrences meet.  Equal seed and equal fingerprint: all but the
-   first are copies and are settled here.  A seed whose occurrences all agree needs no
-   more.  Where fingerprints differ, the first occurrence of each is asked for its units.
-3. `segments`: the documents cut out what was asked for.
-4. A solver (suffix arrays, automata) gets each bucket's segments and tells which of their
-   windows occur earlier.
-5. `covered`: documents meet the settled ranges.
-
-No stage compares pairs; a group of any size costs its occurrences.  The hot case, many
-copies of one text, shrinks before the first exchange.  Buckets follow the session's
-shuffle partitions, so a task's share does not grow with the table.
+1. `Corpus`: documents are dealt into groups of some megabytes, written once as a bucketed
+   table, so that no later stage moves texts.
+2. `occurrences`: each group turns its documents into occurrences (seed, fingerprint of the
+   units that its windows cover, document, place).  Of equal ones it sends the first.
+3. `compared`: a seed's occurrences meet.  Where it recurs, its first occurrence is asked to
+   send its passage to every group that holds a later one.  Where surroundings differ, the
+   windows that are alike are found first (`confirmed`), from the units (`segments`).
+4. `passages`: groups cut out what was asked for; neighbouring passages travel as one.
+5. `Corpus.solved`: a group's whole documents meet the passages that came from earlier
+   ones.  What is removed is for the solver alone to find: it gets the documents and the
+   passages, no ranges.
+
+No stage compares pairs.  Seeds and fingerprints only nominate passages; the solver works
+on the units themselves.  A passage that very many groups hold is handed on from group to
+group, FAN at a time, so no group sends it to all; and a group of copies costs a seed's
+bucket one occurrence for each group, however many copies a group holds.  Groups and seed
+buckets follow the bytes of the table, so neither grows with it.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash, buckets, byte_lengths, flagged, mix64, popular_hashes, shuffle_partitions, slices, word_hashes
+from .common import Stash, flagged, fresh, mix64, popular_hashes, shuffle_partitions, word_hashes
 
-PACK_BYTES, PACK_ROWS, SLICE_BYTES = 8 << 20, 60_000, 1 << 19
+GROUP_BYTES, TASK_GROUPS, SLICE_BYTES, FAN = 4 << 20, 16, 1 << 19, 256
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _LOW = np.uint64(0xFFFFFFFF)
 _MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
@@ -65,7 +68,7 @@ def spark_hash(ids: np.ndarray) -> np.ndarray:
 # halves are zeros nearly always, which the shuffle's compression takes out.  So are most
 # versions v, but one doc_id may have any number of rows.
 
-LAYOUT = {"seed": 5, "ctx": 6, "id": 8, "v": 8, "place": 2, "at": 4, "n": 1, "key": 5, "cls": 8, "other": 8, "size": 4, "mark": 8}
+LAYOUT = {"seed": 5, "ctx": 6, "id": 8, "v": 8, "place": 2, "at": 4, "n": 1, "many": 1, "q": 4, "owner": 8, "vid": 4, "off": 4, "key": 5, "cls": 8, "other": 8, "size": 4, "mark": 8}
 
 
 def pack(**columns: np.ndarray) -> bytes:
@@ -136,6 +139,19 @@ class Units:
         words = text.split()
         return [b" ".join(words[a : a + n]) for a, n in zip(starts, counts, strict=True)]
 
+    def window_hashes(self, part: bytes) -> np.ndarray:
+        """A hash of every window of a part."""
+        if self.kind == "bytes":
+            x = np.frombuffer(part, np.uint8)
+        else:
+            x = word_hashes(part.split(b" "))
+        n = len(x) - self.window + 1
+        h = np.zeros(max(n, 0), np.uint64)
+        for i in range(self.window if n > 0 else 0):
+            h *= _A
+            h += x[i : i + n]
+        return mix64(h)
+
     def _flat(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(starts, lengths, units or 8-byte words at every place, hash of the K units from every place)."""
         k = self.seed
@@ -205,17 +221,6 @@ class Units:
 # --- stages ------------------------------------------------------------------------------
 
 
-def keyed(docs: DataFrame, q: int) -> DataFrame:
-    """docs with _papyra_v, which tells apart rows that repeat a doc_id, and _papyra_q, the bucket of the document.
-
-    Such rows are one document's versions: none is earlier than another.  Rows without
-    doc_id are never earlier than anything and keep all they have.
-    """
-    repeats = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    docs = docs.withColumn("_papyra_v", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1 if repeats else F.lit(0))
-    return docs.withColumn("_papyra_q", F.pmod(F.when(F.col("doc_id").isNull(), F.hash("text")).otherwise(F.hash(F.col("doc_id").cast("long"))), F.lit(q)))
-
-
 def first_of(*sorted_columns: np.ndarray) -> np.ndarray:
     new = np.zeros(len(sorted_columns[0]), bool)
     new[:1] = True
@@ -224,190 +229,331 @@ def first_of(*sorted_columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _copies(units: Units, group: np.ndarray, ids: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Which rows, sorted by group, id, v and place, an earlier row of the group repeats."""
-    start = np.maximum.accumulate(np.where(group, np.arange(len(group)), 0))
-    later = ids != ids[start]
-    if not units.strict:
-        later |= ~first_of(np.cumsum(group), ids, v)
-    return later
+def _place(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where its group starts, place in it) of each row; new marks the groups' first rows."""
+    start = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0)) if len(new) else np.zeros(0, np.int64)
+    return start, np.arange(len(new)) - start
 
 
-def popular_seeds(docs: DataFrame, units: Units) -> np.ndarray:
-    bits = min(24, max(20 if units.kind == "words" else 22, docs.count().bit_length() + 2))
+def _rows(out: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in out], schema.field(i).type) for i in range(len(schema))], schema=schema)
+
+
+def popular_seeds(docs: DataFrame, units: Units, rows: int) -> np.ndarray:
+    bits = min(24, max(20 if units.kind == "words" else 22, rows.bit_length() + 2))
     return popular_hashes(docs.select(F.col("text").cast("binary")), units.hashes, bits)
 
 
-def occurrences(docs: DataFrame, units: Units, flags: np.ndarray, n: int, nq: int) -> DataFrame:
-    """(key, packed): occurrences under their seed's bucket, settled ranges under n + the document's."""
-    shared = docs.sparkSession.sparkContext.broadcast(flags)
+def _documents(t: pa.Table, id_name: str, v_name: str, text_name: str):
+    """(ids, v, texts) of a group's documents that have an id, in their order, each once."""
+    ids, v = t.column(id_name), t.column(v_name).to_numpy()
+    some = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
+    ids = ids.fill_null(0).to_numpy()[some]
+    order = np.lexsort((v[some], ids))
+    ids, v, some = ids[order], v[some][order], some[order]
+    keep = first_of(ids, v)
+    texts = t.column(text_name).take(pa.array(some[keep])).to_pylist()
+    return ids[keep], v[keep], [x or b"" for x in texts]
+
+
+OCCURRENCES = "key int, packed binary"
 
-    def run(batches):
+
+def _occurrences(units: Units, n: int, shared):
+    schema = pa.schema([("key", pa.int32()), ("packed", pa.binary())])
+
+    def run(t: pa.Table) -> pa.Table:
         flags = shared.value
-        for batch in batches:
-            ids_all, v_all, texts = batch.columns
-            sizes = byte_lengths(texts)
-            for a, b in slices(sizes, PACK_BYTES, PACK_ROWS):
-                ids, v = ids_all[a:b].to_numpy(), v_all[a:b].to_numpy().astype(np.int64)
-                data = texts[a:b]
-                found, waiting, held = [], [], 0
-
-                def flush():
-                    nonlocal waiting, held
-                    if waiting:
-                        part, at, count, seed, ctx = units.seeds([w[2] for w in waiting], flags)
-                        doc, base = np.array([w[0] for w in waiting]), np.array([w[1] for w in waiting])
-                        found.append((doc[part], at + base[part], count, seed, ctx))
-                    waiting, held = [], 0
-
-                for d in np.lexsort((v, ids)):
-                    for base, part in units.pieces(data[int(d)].as_py() or b""):
-                        waiting.append((d, base, part))
-                        held += len(part) * (1 if units.kind == "bytes" else 8)
-                        if held >= SLICE_BYTES:
-                            flush()
-                flush()
-                if not found:
-                    continue
-                doc, at, count, seed, ctx = (np.concatenate(x) for x in zip(*found, strict=True))
-                order = np.argsort(seed ^ (ctx * _B), kind="stable")
-                doc, at, count, seed, ctx = (x[order] for x in (doc, at, count, seed, ctx))
-                id_, v_ = ids[doc], v[doc]
-                settled = _copies(units, first_of(seed, ctx), id_, v_)
-                keep = ~settled
-                rows = []
-                if settled.any():
-                    rows += dealt(n + spark_hash(id_[settled]).astype(np.int64) % nq, id=id_[settled], v=v_[settled], at=at[settled], n=count[settled] + units.window - 1)
-                bucket = ((seed >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
-                rows += dealt(bucket[keep], seed=seed[keep], ctx=ctx[keep], id=id_[keep], v=v_[keep], at=at[keep], n=count[keep])
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], ["key", "packed"])
-
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("_papyra_v").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "key int, packed binary")
-
-
-RANGES, WANTED = 0, 1
-
-
-def compared(found: DataFrame, units: Units, n: int, nq: int) -> DataFrame:
-    """(q, kind, bucket, packed) for the documents: settled ranges, and segments wanted by a bucket."""
-    schema = pa.schema([("q", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("packed", pa.binary())])
+        q = t.column("q")[0].as_py()
+        ids, v, texts = _documents(t, "doc_id", "v", "text")
+        found, waiting, held = [], [], 0
+
+        def flush():
+            nonlocal waiting, held
+            if waiting:
+                part, at, count, seed, ctx = units.seeds([w[2] for w in waiting], flags)
+                doc, base = np.array([w[0] for w in waiting]), np.array([w[1] for w in waiting])
+                found.append((doc[part], at + base[part], count, seed, ctx))
+            waiting, held = [], 0
+
+        for d, text in enumerate(texts):
+            for base, part in units.pieces(text):
+                waiting.append((d, base, part))
+                held += len(part) * (1 if units.kind == "bytes" else 8)
+                if held >= SLICE_BYTES:
+                    flush()
+        flush()
+        if not found:
+            return _rows([], schema)
+        doc, at, count, seed, ctx = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(seed ^ (ctx * _B), kind="stable")
+        doc, at, count, seed, ctx = (x[order] for x in (doc, at, count, seed, ctx))
+        new = first_of(seed, ctx)
+        heads = np.flatnonzero(new)
+        again = doc != doc[_place(new)[0]] if units.strict else ~new
+        many = np.logical_or.reduceat(again, heads)
+        doc, at, count, seed, ctx = (x[heads] for x in (doc, at, count, seed, ctx))
+        bucket = ((seed >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
+        return _rows(list(dealt(bucket, seed=seed, ctx=ctx, id=ids[doc], v=v[doc], at=at, n=count, many=many, q=np.full(len(at), q))), schema)
+
+    return run
+
+
+CUT, ASK, MEMBERS = 0, 1, 2
+REPLIES = "key int, kind int, bucket int, packed binary"
+_REPLIES = pa.schema([("key", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("packed", pa.binary())])
+
+
+def _parents(start: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Who hands a group's passage on to each member: a tree of FAN branches, its root the first member."""
+    return start + np.maximum(place - 1, 0) // FAN
+
+
+def _compared(units: Units):
+    """A bucket's occurrences -> what is cut for whom; where a seed's surroundings differ, what is looked at more closely."""
 
     def meet(t: pa.Table) -> pa.Table:
-        key, rows = t.column("key")[0].as_py(), t.column("packed").to_pylist()
-        if key >= n:
-            return pa.table([pa.array([key - n] * len(rows), pa.int32()), pa.array([RANGES] * len(rows), pa.int32()), pa.array([None] * len(rows), pa.int32()), pa.array(rows, pa.binary())], schema=schema)
-        c = unpack(rows, "seed", "ctx", "id", "v", "at", "n")
-        order = np.argsort(c["seed"])
+        key = t.column("key")[0].as_py()
+        c = unpack(t.column("packed").to_pylist(), "seed", "ctx", "id", "v", "at", "n", "many", "q")
+        order = np.argsort(c["seed"], kind="stable")
         seed = c["seed"][order]
         new = first_of(seed)
-        again = ~new
+        again = ~new | (c["many"][order] > 0)
         again[:-1] |= ~new[1:]
         c = {k: x[order[again]] for k, x in c.items()}
         order = np.lexsort((c["at"], c["v"], c["id"], c["ctx"], c["seed"]))
         c = {k: x[order] for k, x in c.items()}
         by_seed, by_ctx = first_of(c["seed"]), first_of(c["seed"], c["ctx"])
-        later = _copies(units, by_ctx, c["id"], c["v"])
-        several = np.add.reduceat(by_ctx, np.flatnonzero(by_seed)) > 1 if len(by_seed) else np.zeros(0, bool)
-        asked = ~later & np.repeat(several, np.diff(np.append(np.flatnonzero(by_seed), len(by_seed))))
+        start, place = _place(by_ctx)
         out = []
-        for kind, chosen, extra in ((RANGES, later, units.window - 1), (WANTED, asked, 0)):
-            ids = c["id"][chosen]
-            q = spark_hash(ids).astype(np.int64) % nq
-            out += [(k, kind, key, p) for k, p in dealt(q, id=ids, v=c["v"][chosen], at=c["at"][chosen], n=c["n"][chosen] + extra)]
-        return pa.table([pa.array([r[i] for r in out], schema.field(i).type) for i in range(4)], schema=schema)
+        # copies of one occurrence; a group with copies of its own first needs the passage too
+        src = _parents(start, place)
+        takes = c["q"][src] != c["q"] if units.strict else (place > 0) | (c["many"] > 0)
+        src, to = src[takes], c["q"][takes]
+        out += [(k, CUT, None, p) for k, p in dealt(c["q"][src], id=c["id"][src], v=c["v"][src], at=c["at"][src], n=c["n"][src], owner=c["id"][start[takes]], q=to)]
+        # seeds with several surroundings
+        heads = np.flatnonzero(by_seed)
+        several = np.zeros(len(by_seed), bool)
+        if len(heads):
+            more = np.add.reduceat(by_ctx, heads) > 1
+            if units.strict:  # what one group holds, its solver finds
+                more &= np.maximum.reduceat(c["q"], heads) > np.minimum.reduceat(c["q"], heads)
+            several = np.repeat(more, np.diff(np.append(heads, len(by_seed))))
+        if several.any():
+            vid = np.cumsum(by_ctx) - 1
+            ask = several & by_ctx
+            out += [(k, ASK, key, p) for k, p in dealt(c["q"][ask], id=c["id"][ask], v=c["v"][ask], at=c["at"][ask], n=c["n"][ask], vid=vid[ask])]
+            out.append((key, MEMBERS, None, pack(vid=vid[several], id=c["id"][several], v=c["v"][several], at=c["at"][several], q=c["q"][several])))
+        return _rows(out, _REPLIES)
+
+    return meet
+
+
+def _segments(units: Units, names: tuple[str, str, str]):
+    """A group's documents and what buckets ask of them -> (bucket, packed, units)."""
+    schema = pa.schema([("bucket", pa.int32()), ("packed", pa.binary()), ("units", pa.list_(pa.binary()))])
 
-    return found.groupBy("key").applyInArrow(meet, "q int, kind int, bucket int, packed binary")
+    def cut(d: pa.Table, w: pa.Table) -> pa.Table:
+        if not len(w) or not len(d):
+            return _rows([], schema)
+        ids, v, texts = _documents(d, *names)
+        place = {key: i for i, key in enumerate(zip(ids.tolist(), v.tolist(), strict=True))}
+        per: dict[int, list] = {}
+        for bucket, packed in zip(w.column("bucket").to_pylist(), w.column("packed").to_pylist(), strict=True):
+            c = unpack([packed], "id", "v", "at", "n", "vid")
+            for row in zip(*(c[x].tolist() for x in ("id", "v", "at", "n", "vid")), strict=True):
+                per.setdefault(place[row[:2]], []).append((bucket, *row))
+        by_bucket: dict[int, list] = {}
+        for i, asks in per.items():
+            parts = units.cut(texts[i], [x[3] for x in asks], [x[4] + units.window - 1 for x in asks])
+            for x, part in zip(asks, parts, strict=True):
+                by_bucket.setdefault(x[0], []).append((*x[1:], part))
+        out = []
+        for bucket, rows in by_bucket.items():
+            i, v_, at, n, vid, parts = zip(*rows, strict=True)
+            out.append((bucket, pack(id=np.array(i), v=np.array(v_), at=np.array(at), n=np.array(n), vid=np.array(vid)), list(parts)))
+        return _rows(out, schema)
 
+    return cut
 
-def segments(docs: DataFrame, wanted: DataFrame, units: Units) -> DataFrame:
-    """(bucket, packed, units): the wanted places of each bucket and their units, a row a document group."""
 
-    def cut(d: pa.Table, w: pa.Table) -> pa.Table:
-        out = []
-        if len(w) and len(d):
-            place = {key: i for i, key in enumerate(zip(d.column("doc_id").to_pylist(), d.column("_papyra_v").to_pylist(), strict=True))}
-            texts, per = d.column("text"), {}
-            for bucket, packed in zip(w.column("bucket").to_pylist(), w.column("packed").to_pylist(), strict=True):
-                c = unpack([packed], "id", "v", "at", "n")
-                for i, key in enumerate(zip(c["id"].tolist(), c["v"].tolist(), strict=True)):
-                    per.setdefault(place[key], []).append((bucket, *key, int(c["at"][i]), int(c["n"][i])))
-            by_bucket: dict[int, list] = {}
-            for i, asks in per.items():
-                parts = units.cut(texts[i].as_py(), [x[3] for x in asks], [x[4] + units.window - 1 for x in asks])
-                for x, part in zip(asks, parts, strict=True):
-                    by_bucket.setdefault(x[0], []).append((*x[1:], part))
-            for bucket, rows in by_bucket.items():
-                ids, v, at, n, parts = zip(*rows, strict=True)
-                out.append((bucket, pack(id=np.array(ids), v=np.array(v), at=np.array(at), n=np.array(n)), list(parts)))
-        return pa.table([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.list_(pa.binary())))], ["bucket", "packed", "units"])
-
-    left = docs.where("doc_id IS NOT NULL").select("_papyra_q", F.col("doc_id").cast("long"), F.col("_papyra_v").cast("long"), F.col("text").cast("binary"))
-    return left.groupBy("_papyra_q").cogroup(wanted.select("q", "bucket", "packed").groupBy("q")).applyInArrow(cut, "bucket int, packed binary, units array<binary>")
-
-
-Solver = Callable[[dict, list], np.ndarray]
-
-
-def solved(parts: DataFrame, units: Units, nq: int, solve: Solver) -> DataFrame:
-    """(q, kind, bucket, packed): ranges of the windows that occur earlier in the bucket's segments.
-
-    solve gets id, v, at and n of the segments, in the order of documents and places, and
-    their units; it returns, for each window of each segment in turn, whether it is covered.
-    """
-    schema = pa.schema([("q", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("packed", pa.binary())])
+def _confirmed(units: Units):
+    """A bucket's segments and their members -> CUT rows of the windows that occur earlier in another surrounding."""
 
-    def run(t: pa.Table) -> pa.Table:
-        c = unpack(t.column("packed").to_pylist(), "id", "v", "at", "n")
+    def run(t: pa.Table, m: pa.Table) -> pa.Table:
+        if not len(t) or not len(m):
+            return _rows([], _REPLIES)
+        c = unpack(t.column("packed").to_pylist(), "id", "v", "at", "n", "vid")
         data = t.column("units").combine_chunks().flatten().to_pylist()
         order = np.lexsort((c["at"], c["v"], c["id"]))
         c = {k: x[order] for k, x in c.items()}
-        hit = solve(c, [data[i] for i in order])
-        segment = np.repeat(np.arange(len(order)), c["n"])
-        at = np.arange(len(segment)) - np.repeat(np.cumsum(c["n"]) - c["n"], c["n"]) + c["at"][segment]
-        edge = hit & ~np.concatenate(([False], hit[:-1] & (segment[1:] == segment[:-1])))
-        run_of = np.cumsum(edge)[hit] - 1
-        length = np.bincount(run_of, minlength=edge.sum()) + units.window - 1
-        ids = c["id"][segment[edge]]
-        q = spark_hash(ids).astype(np.int64) % nq
-        out = list(dealt(q, id=ids, v=c["v"][segment[edge]], at=at[edge], n=length))
-        return pa.table([pa.array([k for k, _ in out], pa.int32()), pa.array([RANGES] * len(out), pa.int32()), pa.array([None] * len(out), pa.int32()), pa.array([p for _, p in out], pa.binary())], schema=schema)
-
-    return parts.groupBy("bucket").applyInArrow(run, "q int, kind int, bucket int, packed binary")
-
+        h = np.concatenate([units.window_hashes(data[i]) for i in order])
+        part = np.repeat(np.arange(len(order)), c["n"])
+        base = np.cumsum(c["n"]) - c["n"]
+        by_hash = np.argsort(h, kind="stable")
+        start, _ = _place(first_of(h[by_hash]))
+        first = np.empty(len(h), np.int64)
+        first[by_hash] = by_hash[start]
+        owner = part[first]
+        hit = c["id"][owner] < c["id"][part] if units.strict else first != np.arange(len(h))
+        if not hit.any():
+            return _rows([], _REPLIES)
+        edge = hit.copy()
+        edge[1:] &= ~(hit[:-1] & (part[1:] == part[:-1]) & (first[1:] == first[:-1] + 1) & (owner[1:] == owner[:-1]))
+        runs = np.flatnonzero(edge)
+        size = np.bincount(np.cumsum(edge)[hit] - 1, minlength=len(runs))
+        # members by variant, the first of each the one that sent its units
+        g = unpack(m.column("packed").to_pylist(), "vid", "id", "v", "at", "q")
+        order = np.lexsort((g["at"], g["v"], g["id"], g["vid"]))
+        g = {k: x[order] for k, x in g.items()}
+        heads = np.flatnonzero(first_of(g["vid"]))
+        count = np.diff(np.append(heads, len(order)))
+        slot = np.searchsorted(g["vid"][heads], c["vid"])  # of each part
+        mine, theirs = heads[slot[part[runs]]], heads[slot[owner[runs]]]
+        times = count[slot[part[runs]]]
+        run_of = np.repeat(np.arange(len(runs)), times)
+        place = np.arange(len(run_of)) - np.repeat(np.cumsum(times) - times, times)
+        root = place == 0
+        src = np.where(root, theirs[run_of], _parents(mine[run_of], place))
+        off = np.where(root, first[runs][run_of] - base[owner[runs]][run_of], (runs - base[part[runs]])[run_of])
+        to, own = g["q"][mine[run_of] + place], g["id"][theirs][run_of]
+        takes = g["q"][src] != to if units.strict else np.ones(len(to), bool)
+        src, off, size, to, own = src[takes], off[takes], size[run_of][takes], to[takes], own[takes]
+        return _rows([(k, CUT, None, p) for k, p in dealt(g["q"][src], id=g["id"][src], v=g["v"][src], at=g["at"][src] + off, n=size, owner=own, q=to)], _REPLIES)
+
+    return run
+
+
+PASSAGES = "key int, packed binary, phrases binary, units array<binary>"
+
+
+def _passages(units: Units, names: tuple[str, str, str]):
+    """A group's documents and what is to be cut from them -> for each group: owners, phrases and units of passages."""
+    schema = pa.schema([("key", pa.int32()), ("packed", pa.binary()), ("phrases", pa.binary()), ("units", pa.list_(pa.binary()))])
 
-def covered(docs: DataFrame, units: Units, solve: Solver, label: str, columns: list[str], finish, schema: str) -> DataFrame:
-    """Runs the stages; finish(rows of columns and text, their covered masks) makes the result.
-
-    finish gets an Arrow table of `columns` and, for each row, None or the (start, stop)
-    arrays of its covered ranges; text is among the columns, as bytes.
-    """
-    spark = docs.sparkSession
-    stash, n, nq = Stash(spark, label), buckets(spark), max(16, shuffle_partitions(spark))
-    docs = keyed(docs, nq)
-    flags = popular_seeds(docs.where("doc_id IS NOT NULL"), units)
-    stash.release()
-    replies = stash.put(compared(occurrences(docs, units, flags, n, nq), units, n, nq), "compared")
-    stash.release()
-    parts = segments(docs, replies.where(F.col("kind") == WANTED), units)
-    more = stash.put(solved(parts, units, nq, solve), "solved")
-    stash.release()
-    ranges = replies.where(F.col("kind") == RANGES).select("q", "packed").unionByName(more.select("q", "packed"))
-
-    def end(d: pa.Table, r: pa.Table) -> pa.Table:
-        c = unpack(r.column("packed").to_pylist(), "id", "v", "at", "n")
-        order = np.lexsort((c["at"], c["v"], c["id"]))
+    def cut(d: pa.Table, w: pa.Table) -> pa.Table:
+        if not len(w) or not len(d):
+            return _rows([], schema)
+        ids, v, texts = _documents(d, *names)
+        place = {key: i for i, key in enumerate(zip(ids.tolist(), v.tolist(), strict=True))}
+        c = unpack(w.column("packed").to_pylist(), "id", "v", "at", "n", "owner", "q")
+        c["n"] = c["n"] + units.window - 1
+        order = np.lexsort((c["n"], c["at"], c["v"], c["id"], c["owner"], c["q"]))
         c = {k: x[order] for k, x in c.items()}
-        heads = np.flatnonzero(first_of(c["id"], c["v"]))
-        stops = np.append(heads, len(order))[1:]
-        place = {(i, v): (a, b) for i, v, a, b in zip(c["id"][heads].tolist(), c["v"][heads].tolist(), heads.tolist(), stops.tolist(), strict=True)}
-        found = []
-        for key in zip(d.column("doc_id").to_pylist(), d.column("_papyra_v").to_pylist(), strict=True):
-            x = place.get(key)
-            found.append(None if x is None else (c["at"][x[0] : x[1]], c["at"][x[0] : x[1]] + c["n"][x[0] : x[1]]))
-        return finish(d, found)
-
-    left = docs.select("_papyra_q", F.col("_papyra_v").cast("long").alias("_papyra_v"), *[F.col(x).cast("binary").alias(x) if x == "text" else F.col(x) for x in columns])
-    return left.groupBy("_papyra_q").cogroup(ranges.groupBy("q")).applyInArrow(end, schema)
+        keep = first_of(*(c[k] for k in ("q", "owner", "id", "v", "at", "n")))
+        c = {k: x[keep] for k, x in c.items()}
+        # neighbours of one document for one group are one passage
+        same = first_of(c["q"], c["owner"], c["id"], c["v"])
+        stop = c["at"] + c["n"]
+        block = np.cumsum(same) - 1
+        reach = np.maximum.accumulate(stop + block * (1 << 40)) - block * (1 << 40)  # so far, in its document
+        new = same.copy()
+        new[1:] |= c["at"][1:] > reach[:-1]
+        heads = np.flatnonzero(new)
+        which = np.cumsum(new) - 1
+        ends = np.maximum.reduceat(stop, heads)
+        split: dict[int, list] = {}
+        out, target = [], c["q"][heads]
+        cuts = np.flatnonzero(first_of(target))
+        for a, b in zip(cuts, np.append(cuts, len(heads))[1:], strict=True):
+            rows = slice(heads[a], heads[b] if b < len(heads) else len(which))
+            parts = []
+            for j in range(a, b):
+                i = place[int(c["id"][heads[j]]), int(c["v"][heads[j]])]
+                x, y = int(c["at"][heads[j]]), int(ends[j])
+                if units.kind == "bytes":
+                    parts.append(texts[i][x:y])
+                else:
+                    if i not in split:
+                        split[i] = texts[i].split()
+                    parts.append(b" ".join(split[i][x:y]))
+            of = which[rows]
+            phrases = pack(vid=of - a, off=c["at"][rows] - c["at"][heads[of]], size=c["n"][rows])
+            out.append((int(target[a]), pack(owner=c["owner"][heads[a:b]]), phrases, parts))
+        return _rows(out, schema)
+
+    return cut
+
+
+#: ids and units' texts of a group's documents, and the passages' (owner, text, [(offset, units)]) -> for each
+#: document None or the (start, stop) arrays of what is covered.
+Solver = Callable[[np.ndarray, list[bytes], list[tuple]], list]
+
+
+def _received(p: pa.Table) -> list[tuple]:
+    out = []
+    for packed, phrases, parts in zip(*(p.column(x).to_pylist() for x in ("packed", "phrases", "units")), strict=True):
+        owner, c = unpack([packed], "owner")["owner"].tolist(), unpack([phrases], "vid", "off", "size")
+        per = [[] for _ in parts]
+        for i, off, size in zip(*(c[x].tolist() for x in ("vid", "off", "size")), strict=True):
+            per[i].append((off, size))
+        out += zip(owner, parts, per, strict=True)
+    return out
+
+
+class Corpus:
+    """docs in groups of about GROUP_BYTES, as a table bucketed by group: stages meet them without moving texts.
+
+    Rows that repeat a doc_id are told apart by a hash of their text; they are one
+    document's versions, none earlier than another, and equal rows are one.  Rows without
+    doc_id are never earlier than anything and keep all they have.
+    """
+
+    def __init__(self, docs: DataFrame, label: str):
+        self.spark, self.stash = docs.sparkSession, Stash(docs.sparkSession, label)
+        self.columns = docs.columns
+        size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+        self.rows, least = size[0], max(16, shuffle_partitions(self.spark))
+        self.groups = max(least, -(-(size[1] or 0) // GROUP_BYTES))
+        self.tasks = max(least, -(-self.groups // TASK_GROUPS))
+        self.id, self.v, self.q, self.text = (fresh(docs, x) for x in ("id", "v", "q", "bytes"))
+        repeats = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+        out = docs.withColumn(self.id, F.col("doc_id").cast("long")).withColumn(self.v, F.xxhash64("text") if repeats else F.lit(0).cast("long"))
+        spread = F.when(F.col("doc_id").isNull(), F.xxhash64(F.col("text"), F.monotonically_increasing_id())).otherwise(F.xxhash64(self.id, self.v))
+        out = out.withColumn(self.q, F.pmod(spread, F.lit(self.groups)).cast("int"))
+        name = f"papyra_{uuid.uuid4().hex}"
+        out.repartition(self.tasks, self.q).write.bucketBy(self.tasks, self.q).sortBy(self.q).format("parquet").option("compression", "zstd").option("path", f"{self.stash.root}/documents").saveAsTable(name)
+        self.stash.release()
+        self.table = self.spark.table(name)
+
+    def slim(self) -> DataFrame:
+        """q, doc_id, v and text of the documents that have an id."""
+        return self.table.where("doc_id IS NOT NULL").select(F.col(self.q).alias("q"), F.col(self.id).alias("doc_id"), F.col(self.v).alias("v"), F.col("text").cast("binary").alias("text"))
+
+    def meeting(self, left: DataFrame, right: DataFrame, columns: list[str], key: str = "key"):
+        """left by group with right by key, which alone is moved."""
+        return left.groupBy("q").cogroup(right.select(key, *columns).repartition(self.tasks, key).groupBy(key))
+
+    def solved(self, units: Units, solve: Solver, finish, schema: str) -> DataFrame:
+        """Runs the stages; finish(rows, None or covered ranges of each) makes the result.
+
+        rows: an Arrow table of the columns of docs, text as bytes.
+        """
+        stash, slim, n, names = self.stash, self.slim(), self.groups, ("doc_id", "v", "text")
+        flags = self.spark.sparkContext.broadcast(popular_seeds(slim, units, self.rows))
+        stash.release()
+        found = slim.groupBy("q").applyInArrow(_occurrences(units, n, flags), OCCURRENCES)
+        replies = stash.put(found.repartition(self.tasks, "key").groupBy("key").applyInArrow(_compared(units), REPLIES), "compared")
+        stash.release()
+        parts = self.meeting(slim, replies.where(F.col("kind") == ASK), ["bucket", "packed"]).applyInArrow(_segments(units, names), "bucket int, packed binary, units array<binary>")
+        members = replies.where(F.col("kind") == MEMBERS).select("key", "packed")
+        more = parts.repartition(self.tasks, "bucket").groupBy("bucket").cogroup(members.repartition(self.tasks, "key").groupBy("key")).applyInArrow(_confirmed(units), REPLIES)
+        more = stash.put(more, "confirmed")
+        stash.release()
+        cuts = replies.where(F.col("kind") == CUT).unionByName(more)
+        sent = stash.put(self.meeting(slim, cuts, ["packed"]).applyInArrow(_passages(units, names), PASSAGES), "passages")
+        stash.release()
+        id_name, v_name, columns = self.id, self.v, self.columns
+
+        def end(d: pa.Table, p: pa.Table) -> pa.Table:
+            ids, v, texts = _documents(d, id_name, v_name, "text")
+            place = {key: i for i, key in enumerate(zip(ids.tolist(), v.tolist(), strict=True))}
+            found = solve(ids, texts, _received(p))
+            rows = [None if i is None else found[place[i, w]] for i, w in zip(d.column(id_name).to_pylist(), d.column(v_name).to_pylist(), strict=True)]
+            return finish(d.select(columns), rows)
+
+        left = self.table.select(F.col(self.q).alias(self.q), self.id, self.v, *[F.col(c).cast("binary").alias(c) if c == "text" else F.col(c) for c in columns])
+        return left.groupBy(self.q).cogroup(sent.repartition(self.tasks, "key").groupBy("key")).applyInArrow(end, schema)
 
 
 def mask(length: int, ranges) -> np.ndarray:

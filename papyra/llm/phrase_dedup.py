@@ -1,11 +1,10 @@
 """Substring de-duplication by repeated-phrase automata.
 
-Recurring passages are confirmed bucket by bucket (see passages.py), and each bucket's
-confirmed phrases become one shard: an Aho-Corasick automaton over word numbers, compiled
-with pyahocorasick.  Every document is sampled whole; what can hold a phrase of a shard
-is streamed through that shard's automaton, which locates each occurrence.  Streaming
-whole documents through every shard would cost documents times shards; the seeds tell
-beforehand which parts can match where, and only those travel.
+Recurring passages are confirmed and reach every group of documents that may hold them
+(see passages.py), each cut into phrases of 20 words or some more.  A group's phrases are
+compiled into Aho-Corasick automata (pyahocorasick), shards of bounded size, and all its
+documents are streamed through every shard, whole.  The automata's hits alone decide what
+is removed: a phrase that an earlier document owns, or that a document repeats of itself.
 """
 
 from __future__ import annotations
@@ -18,56 +17,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .passages import Units, covered, mask
+from .passages import Corpus, Units, mask
 
 WINDOW_WORDS = 20
 UNITS = Units("words", WINDOW_WORDS, 8, strict=False)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-
-
-def recurring_phrases(numbers: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
-    """The windows that more than one place of the segments holds."""
-    once, again = set(), {}
-    for words in numbers:
-        for i in range(len(words) - WINDOW_WORDS + 1):
-            phrase = words[i : i + WINDOW_WORDS]
-            if phrase in once:
-                again[phrase] = None
-            else:
-                once.add(phrase)
-    return list(again)
-
-
-def compile_shard(phrases: list[tuple[int, ...]]):
-    """An automaton whose hits give the number of the phrase."""
+#: Words of the phrases that one automaton holds; its memory is some 100 bytes a word.
+SHARD_WORDS = 400_000
+
+
+def shards(passages: list[tuple]):
+    """(word -> sign, phrases with their least owner) for each shard: every word of its phrases is one sign."""
+    owners: dict[tuple, int] = {}
+    for owner, text, phrases in passages:
+        words = text.split(b" ")
+        for off, size in phrases:
+            phrase = tuple(words[off : off + size])
+            owners[phrase] = min(owner, owners.get(phrase, owner))
+    held, room = {}, SHARD_WORDS
+    for phrase, owner in owners.items():
+        held[phrase] = owner
+        room -= len(phrase)
+        if room <= 0:
+            yield signs(held), held
+            held, room = {}, SHARD_WORDS
+    if held:
+        yield signs(held), held
+
+
+def signs(phrases) -> dict[bytes, str]:
+    """A sign of its own for each word; no surrogates, and not the first, which stands for all other words."""
+    words = dict.fromkeys(w for phrase in phrases for w in phrase)
+    return {w: chr(i if i < 0xD800 else i + 0x800) for i, w in enumerate(words, 1)}
+
+
+def compile_shard(sign: dict[bytes, str], phrases: dict[tuple, int]):
+    """(automaton, [(words, owner)]): a hit gives the number of the phrase."""
     import ahocorasick
 
-    shard = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for i, phrase in enumerate(phrases):
-        shard.add_word(phrase, i)
+    shard, known = ahocorasick.Automaton(), []
+    for phrase, owner in phrases.items():
+        shard.add_word("".join([sign[w] for w in phrase]), len(known))
+        known.append((len(phrase), owner))
     shard.make_automaton()
-    return shard
-
-
-def _solve(c: dict, parts: list) -> np.ndarray:
-    known: dict[bytes, int] = {}
-    numbers = [tuple([known.setdefault(w, len(known)) for w in p.split(b" ")]) for p in parts]
-    hit = np.zeros(int(c["n"].sum()), bool)
-    phrases = recurring_phrases(numbers)
-    if not phrases:
-        return hit
-    shard, owner = compile_shard(phrases), [None] * len(phrases)
-    base = np.cumsum(c["n"]) - c["n"]
-    for s, words in enumerate(numbers):
-        doc_id, v, at = int(c["id"][s]), int(c["v"][s]), int(c["at"][s])
-        for end, phrase in shard.iter(words):
-            i = end - WINDOW_WORDS + 1
-            first = owner[phrase]
-            if first is None:
-                owner[phrase] = (doc_id, v, at + i)
-            elif first[0] < doc_id or (first[:2] == (doc_id, v) and first[2] < at + i):
-                hit[base[s] + i] = True
-    return hit
+    return shard, known
+
+
+def _solve(ids: np.ndarray, texts: list[bytes], passages: list[tuple]) -> list:
+    found = [([], []) for _ in texts]
+    for sign, phrases in shards(passages):
+        shard, known = compile_shard(sign, phrases)
+        for doc_id, text, (starts, stops) in zip(ids.tolist(), texts, found, strict=True):
+            own = set()
+            for end, phrase in shard.iter("".join([sign.get(w, "\0") for w in text.split()])):
+                size, owner = known[phrase]
+                if owner < doc_id or phrase in own:
+                    starts.append(end + 1 - size)
+                    stops.append(end + 1)
+                elif owner == doc_id:
+                    own.add(phrase)
+    return [(np.array(a), np.array(b)) if a else None for a, b in found]
 
 
 def _cut(text: bytes, gone: np.ndarray) -> bytes:
@@ -84,10 +93,11 @@ def _cut(text: bytes, gone: np.ndarray) -> bytes:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Every column of docs, text without the words of recurring passages, and n_words, n_removed, kept_sha256.
 
-    A null text has no words and stays null; documents under 20 words stay whole; rows
-    that repeat a doc_id are versions of it and do not take from each other; rows without
-    doc_id stay whole.  kept_sha256 is of the kept words joined by one space.  A column
-    that has one of these names is replaced.
+    A null text has no words and stays null; documents under 20 words stay whole, longer
+    ones of any length are treated whole; rows that repeat a doc_id are versions of it and
+    do not take from each other; rows without doc_id stay whole; an empty table gives none.
+    kept_sha256 is of the kept words joined by one space.  A column that has one of these
+    names is replaced.
     """
     own = ("n_words", "n_removed", "kept_sha256")
     columns = [c for c in docs.columns if c not in own]
@@ -111,7 +121,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         out = [pa.array(texts, pa.binary()).cast(pa.string()) if c == "text" else d.column(c) for c in columns]
         return pa.table([*out, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], [*columns, *own])
 
-    return covered(docs.select(*columns), UNITS, _solve, "phrases", columns, finish, schema)
+    return Corpus(docs.select(*columns), "phrases").solved(UNITS, _solve, finish, schema)
 
 
 def op8_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Suffix-array de-duplication: bytes that an earlier document holds are removed.
 
-The windows that may recur (see passages.py) are put in suffix order.  For each, the
-nearest entries before and after it that belong to an earlier document hold its longest
-previous factor: the longest match that begins in any earlier document.  Where that is 50
-bytes or more, they are covered; the first copy, which has no earlier one, stays whole.
+A shard is a group of whole documents and the passages of earlier documents that they may
+repeat (see passages.py).  All its suffixes are put in order, by prefix doubling without a
+limit.  For each, the nearest entries before and after it that belong to an earlier document
+hold its longest previous factor: the longest match that begins in any earlier document.
+Where that is 50 bytes or more, they are covered; the first copy, which has no earlier one,
+stays whole.  Nothing else removes a byte.
 """
 
 from __future__ import annotations
@@ -15,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, table
-from .passages import Units, covered, mask
+from .common import table
+from .passages import Corpus, Units, mask
 
 MATCH_BYTES = 50
 UNITS = Units("bytes", MATCH_BYTES, 24, strict=True)
@@ -42,67 +44,98 @@ def _equal_bytes(differ: np.ndarray) -> np.ndarray:
     return sum((differ < np.uint64(1 << (8 * i))).astype(np.int64) for i in range(8))
 
 
-def longest_previous_factors(text: np.ndarray, starts: np.ndarray, owner: np.ndarray, most: int) -> np.ndarray:
-    """For each start, the longest match (up to `most` bytes) with a start of a smaller owner.
-
-    text needs `most` + 8 bytes after every start.  Suffix order is that of the first `most`
-    bytes, eight at a time, equal ones by owner.
-    """
+def _words(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as a number that sorts as they do."""
     raw = text.tobytes()
     x = np.empty(len(text) - 7, np.uint64)
     for i in range(8):
         x[i::8] = np.frombuffer(raw, ">u8", (len(raw) - i) // 8, i)
-    steps = [*range(0, most - 7, 8), most - 8]
-    order = np.lexsort((owner, *(x[starts + i] for i in reversed(steps))))
-    who, at = owner[order], starts[order]
+    return x
+
+
+def suffix_order(x: np.ndarray, least: int = 0) -> np.ndarray:
+    """The places of x, a text's _words(), in the order of the suffixes that begin there.
+
+    Prefix doubling: suffixes in the order of their first h bytes are put in that of their
+    first 2 h by the rank of what follows; only those that still have equals are sorted
+    again.  With `least`, places are left out whose suffix shares fewer than h bytes with
+    any other, h the greatest 8 * 2^k up to least: they have no longer match.
+    """
+    n = len(x)
+    order = np.argsort(x)
+    new = np.concatenate(([True], x[order[1:]] != x[order[:-1]])) if n else np.zeros(0, bool)
+    heads = np.flatnonzero(new)
+    rank = np.full(n + 1, -1, np.int32)
+    size = np.diff(np.append(heads, n))
+    rank[order] = np.repeat(heads, size)
+    shared = np.repeat(size > 1, size)
+    chosen, at, h = order if least < 8 else None, order[shared].astype(np.int32), 8
+    del order, new, shared
+    while len(at):
+        if chosen is None and 2 * h > least:
+            chosen = at
+        then = at.astype(np.int64) + h
+        key = rank[at].astype(np.int64) << 32
+        key |= np.where(then < n, rank[np.minimum(then, n)].astype(np.int64) + n + 1, n + h - then)  # at the end, the shorter first
+        by = np.argsort(key)
+        key, at = key[by], at[by]
+        old = key >> 32
+        index = np.arange(len(at))
+        base = np.maximum.accumulate(np.where(np.concatenate(([True], old[1:] != old[:-1])), index, 0))
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        heads = np.flatnonzero(new)
+        size = np.diff(np.append(heads, len(at)))
+        rank[at] = old + np.repeat(heads, size) - base
+        at = at[np.repeat(size > 1, size)]
+        h *= 2
+    if chosen is None:
+        chosen = at
+    return chosen[np.argsort(rank[chosen])].astype(np.int64)
+
+
+def longest_previous_factors(strings: list[bytes], owner: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, place, length) of the longest match that begins in a string of a smaller owner.
+
+    Of places with `most` bytes after them, and matches of `most` bytes, up to which a
+    length is told.  The shard is all strings, with a byte between that UTF-8 has not.
+    """
+    text = np.frombuffer(b"\xff".join([*strings, bytes(most + 8)]), np.uint8)
+    lengths = np.array([len(x) for x in strings], np.int64)
+    first = np.cumsum(lengths + 1) - lengths - 1
+    x = _words(text)
+    at = suffix_order(x, most)
+    which = np.searchsorted(first, at, "right") - 1
+    whole = (which < len(strings)) & (at - first[which] + most <= lengths[which])
+    at, which = at[whole], which[whole]
+    who = owner[which]
     before = previous_smaller(who)
     after = len(who) - 1 - previous_smaller(who[::-1])[::-1]
     best = np.zeros(len(at), np.int64)
     for other, there in ((before, before >= 0), (after, after < len(at))):
         alive = np.flatnonzero(there)
-        for i in range(0, most, 8):
+        for i in (*range(0, most - 7, 8), *([most - 8] if most % 8 else [])):
             same = _equal_bytes(x[at[alive] + i] ^ x[at[other[alive]] + i])
             best[alive] = np.maximum(best[alive], np.minimum(i + same, most))
             alive = alive[same == 8]
-    out = np.zeros(len(starts), np.int64)
-    out[order] = best
-    return out
-
-
-def recurring(text: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """Which starts have a window whose fingerprint another start shares; no other can match in full."""
-    raw = text.tobytes()
-    x = np.empty(len(text) - 7, np.uint64)
-    for i in range(8):
-        x[i::8] = np.frombuffer(raw, "<u8", (len(raw) - i) // 8, i)
-    h = np.zeros(len(starts), np.uint64)
-    for i in (*range(0, size - 7, 8), size - 8):
-        h = mix64(h ^ x[starts + i])
-    order = np.argsort(h)
-    same = np.concatenate(([False], h[order[1:]] == h[order[:-1]], [False]))
-    out = np.zeros(len(starts), bool)
-    out[order] = same[1:] | same[:-1]
-    return out
+    hit = np.flatnonzero(best >= most)
+    hit = hit[np.argsort(at[hit])]
+    return which[hit], at[hit] - first[which[hit]], best[hit]
 
 
-def _solve(c: dict, parts: list) -> np.ndarray:
-    gap = bytes(MATCH_BYTES + 16)
-    text = np.frombuffer(gap.join([*parts, b""]), np.uint8)
-    lengths = np.array([len(p) for p in parts])
-    first = np.cumsum(lengths + len(gap)) - lengths - len(gap)
-    segment = np.repeat(np.arange(len(parts)), c["n"])
-    starts = np.arange(len(segment)) - np.repeat(np.cumsum(c["n"]) - c["n"], c["n"]) + first[segment]
-    hit = recurring(text, starts, MATCH_BYTES)
-    hit[hit] = longest_previous_factors(text, starts[hit], c["id"][segment[hit]], MATCH_BYTES) >= MATCH_BYTES
-    return hit
+def _solve(ids: np.ndarray, texts: list[bytes], passages: list[tuple]) -> list:
+    owner = np.concatenate((ids, np.array([p[0] for p in passages], np.int64)))
+    which, at, _ = longest_previous_factors([*texts, *(p[1] for p in passages)], owner, MATCH_BYTES)
+    cuts = np.searchsorted(which, np.arange(len(texts) + 1))
+    return [(at[a:b], at[a:b] + MATCH_BYTES) if b > a else None for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, kept (the bytes that stay), spans (removed runs, start and stop), n_bytes.
 
-    A null text is empty; texts under 50 bytes stay whole; rows that repeat a doc_id are
-    treated as versions of it and do not take from each other; rows without doc_id stay
-    whole.  Other columns are left out.
+    A null text is empty; texts under 50 bytes stay whole, longer ones of any length are
+    treated whole; rows that repeat a doc_id are versions of it and do not take from each
+    other; rows without doc_id stay whole; an empty table gives none.  Other columns are
+    left out.
     """
     schema = "doc_id long, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, kept binary"
     span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
@@ -122,7 +155,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
         return pa.table([d.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    return covered(docs, UNITS, _solve, "suffix", ["doc_id", "text"], finish, schema)
+    return Corpus(docs.select("doc_id", "text"), "suffix").solved(UNITS, _solve, finish, schema)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from papyra.llm import jaccard, passages, phrase_dedup, suffix_dedup
 from papyra.llm.common import flagged
 
 from ..conftest import SF
-from .conftest import CLASHES, SCHEMA
+from .conftest import CLASHES, SCHEMA, prose
 
 
 def _suffix(df):
@@ -85,29 +85,55 @@ def test_previous_smaller(values):
     assert got.tolist() == want
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.binary(max_size=40).map(lambda b: bytes(x % 3 + 97 for x in b)), min_size=1, max_size=6))
-def test_longest_previous_factors(parts):
-    gap = bytes(80)
-    text = np.frombuffer(gap.join([*parts, b""]), np.uint8)
-    starts, owner, at = [], [], 0
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=80).map(lambda b: bytes(x % 2 + 97 for x in b)), st.integers(0, 3))
+def test_suffix_order(data, copies):
+    text = data * (copies + 1)
+    x = suffix_dedup._words(np.frombuffer(text + bytes(8), np.uint8))
+    assert suffix_dedup.suffix_order(x)[1:].tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(max_size=40).map(lambda b: bytes(x % 3 + 97 for x in b)), min_size=1, max_size=6), st.sampled_from([8, 11, 16]))
+def test_longest_previous_factors(parts, most):
+    owner = np.array([i // 2 for i in range(len(parts))])
+    which, at, length = suffix_dedup.longest_previous_factors(parts, owner, most)
+    want = []
     for i, p in enumerate(parts):
-        starts += range(at, at + len(p))
-        owner += [i] * len(p)
-        at += len(p) + 80
-    if not starts:
-        return
-    got = suffix_dedup.longest_previous_factors(text, np.array(starts), np.array(owner), 16)
-    raw = text.tobytes()
-    for k, (s, o) in enumerate(zip(starts, owner, strict=True)):
-        best = 0
-        for t, q in zip(starts, owner, strict=True):
-            if q < o:
-                n = 0
-                while n < 16 and raw[s + n] == raw[t + n]:
-                    n += 1
-                best = max(best, n)
-        assert got[k] == best
+        for k in range(len(p) - most + 1):
+            if any(p[k : k + most] in q for j, q in enumerate(parts) if owner[j] < owner[i]):
+                want.append((i, k))
+    assert list(zip(which.tolist(), at.tolist(), strict=True)) == want and (length == most).all()
+
+
+def _nothing(ids, texts, passages):
+    return [None] * len(texts)
+
+
+def test_the_solvers_alone_remove(spark, docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_solve", _nothing)
+    monkeypatch.setattr(phrase_dedup, "_solve", _nothing)
+    assert not [r for r in suffix_dedup.deduplicated(docs).collect() if r.spans]
+    assert not [r for r in phrase_dedup.deduplicated(docs).collect() if r.n_removed]
+
+
+@pytest.mark.parametrize("fan,shard", [(2, 30), (1, 1)])
+def test_passages_handed_on(spark, docs, texts, monkeypatch, fan, shard):
+    """Many groups share passages and hand them on; automata hold few words each."""
+    monkeypatch.setattr(passages, "FAN", fan)
+    monkeypatch.setattr(passages, "GROUP_BYTES", 500)
+    monkeypatch.setattr(phrase_dedup, "SHARD_WORDS", shard)
+    common = prose(90, 60)
+    rows = [(1000 + i, f"{prose(200 + i, i % 7)} {common} {prose(300 + i, i % 5)}".strip()) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in phrase_dedup.deduplicated(df).collect()} == phrase_dedup.brute_force([(i, t.encode()) for i, t in rows])
+    assert _suffix(df) == suffix_dedup.brute_force([(i, t.encode()) for i, t in rows])
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, prose(1, 40), "a", 5), (2, prose(1, 40), "b", 6)], "doc_id long, text string, _id string, _q int")
+    got = {r.doc_id: (r["_id"], r["_q"], r.n_removed) for r in phrase_dedup.deduplicated(df).collect()}
+    assert got == {1: ("a", 5, 0), 2: ("b", 6, 40)}
 
 
 def test_packed_columns_round_trip():
@@ -116,9 +142,7 @@ def test_packed_columns_round_trip():
     assert c["id"].tolist() == [*x.tolist(), -5]
 
 
-def test_versions_beyond_two_bytes(spark):
-    v = np.array([0, 65_535, 65_536, 1 << 33], np.int64)
-    assert passages.unpack([passages.pack(id=v, v=v)], "id", "v")["v"].tolist() == v.tolist()
+def test_any_number_of_versions(spark):
     passage = " ".join(f"word{i}" for i in range(30))
     df = spark.range(66_000).selectExpr("9L AS doc_id", "concat('a', id) AS text")
     df = df.union(spark.createDataFrame([(1, passage), (9, "z " + passage)], df.schema)).repartition(3)
