@@ -110,6 +110,14 @@ def dealt(key: np.ndarray, /, **columns: np.ndarray):
             yield int(key[a]), pack(**{k: x[a:b] for k, x in columns.items()})
 
 
+def eight_bytes(raw: bytes, kind: str) -> np.ndarray:
+    """The eight bytes from every place on as one number."""
+    x = np.empty(len(raw) - 7, np.uint64)
+    for i in range(8):
+        x[i::8] = np.frombuffer(raw, kind, (len(raw) - i) // 8, i)
+    return x
+
+
 # --- units -----------------------------------------------------------------------------
 
 
@@ -139,18 +147,19 @@ class Units:
         words = text.split()
         return [b" ".join(words[a : a + n]) for a, n in zip(starts, counts, strict=True)]
 
-    def window_hashes(self, part: bytes) -> np.ndarray:
-        """A hash of every window of a part."""
+    def window_hashes(self, parts: list[bytes], windows: np.ndarray) -> np.ndarray:
+        """A hash of every window of every part in turn; windows: how many each has."""
+        w = self.window
         if self.kind == "bytes":
-            x = np.frombuffer(part, np.uint8)
+            x, steps = eight_bytes(b"".join([*parts, bytes(8)]), "<u8"), (*range(0, w - 7, 8), w - 8)
         else:
-            x = word_hashes(part.split(b" "))
-        n = len(x) - self.window + 1
-        h = np.zeros(max(n, 0), np.uint64)
-        for i in range(self.window if n > 0 else 0):
-            h *= _A
-            h += x[i : i + n]
-        return mix64(h)
+            x, steps = word_hashes(b" ".join(parts).split(b" ")), range(w)
+        first = np.cumsum(windows + w - 1) - windows - w + 1
+        at = np.arange(windows.sum()) + np.repeat(first - (np.cumsum(windows) - windows), windows)
+        h = np.zeros(len(at), np.uint64)
+        for i in steps:
+            h = mix64(h ^ x[at + i]) * _A
+        return h
 
     def _flat(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(starts, lengths, units or 8-byte words at every place, hash of the K units from every place)."""
@@ -162,10 +171,7 @@ class Units:
         for p, a in zip(parts, starts, strict=False):
             flat[a : a + len(p)] = p
         if self.kind == "bytes":
-            raw = flat.tobytes()
-            x = np.empty(len(flat) - 7, np.uint64)
-            for i in range(8):
-                x[i::8] = np.frombuffer(raw, "<u8", (len(raw) - i) // 8, i)
+            x = eight_bytes(flat.tobytes(), "<u8")
             h = x[: len(x) - k + 8] * _A
             for at, m in zip(range(8, k, 8), (_B, _C, _A), strict=False):
                 h ^= h >> np.uint64(32)
@@ -387,7 +393,7 @@ def _confirmed(units: Units):
         data = t.column("units").combine_chunks().flatten().to_pylist()
         order = np.lexsort((c["at"], c["v"], c["id"]))
         c = {k: x[order] for k, x in c.items()}
-        h = np.concatenate([units.window_hashes(data[i]) for i in order])
+        h = units.window_hashes([data[i] for i in order], c["n"])
         part = np.repeat(np.arange(len(order)), c["n"])
         base = np.cumsum(c["n"]) - c["n"]
         by_hash = np.argsort(h, kind="stable")
@@ -468,25 +474,26 @@ def _passages(units: Units, names: tuple[str, str, str]):
                         split[i] = texts[i].split()
                     parts.append(b" ".join(split[i][x:y]))
             of = which[rows]
-            phrases = pack(vid=of - a, off=c["at"][rows] - c["at"][heads[of]], size=c["n"][rows])
+            phrases = pack(vid=of - a, off=c["at"][rows] - c["at"][heads[of]], size=c["n"][rows]) if units.kind == "words" else None
             out.append((int(target[a]), pack(owner=c["owner"][heads[a:b]]), phrases, parts))
         return _rows(out, schema)
 
     return cut
 
 
-#: ids and units' texts of a group's documents, and the passages' (owner, text, [(offset, units)]) -> for each
-#: document None or the (start, stop) arrays of what is covered.
+#: ids and texts of a group's documents, and the passages' (owner, text, its phrases as (offset, words)) -> for
+#: each document None or the (start, stop) arrays of what is covered.  Bytes have no phrases.
 Solver = Callable[[np.ndarray, list[bytes], list[tuple]], list]
 
 
 def _received(p: pa.Table) -> list[tuple]:
     out = []
     for packed, phrases, parts in zip(*(p.column(x).to_pylist() for x in ("packed", "phrases", "units")), strict=True):
-        owner, c = unpack([packed], "owner")["owner"].tolist(), unpack([phrases], "vid", "off", "size")
-        per = [[] for _ in parts]
-        for i, off, size in zip(*(c[x].tolist() for x in ("vid", "off", "size")), strict=True):
-            per[i].append((off, size))
+        owner, per = unpack([packed], "owner")["owner"].tolist(), [[] for _ in parts]
+        if phrases is not None:
+            c = unpack([phrases], "vid", "off", "size")
+            for i, off, size in zip(*(c[x].tolist() for x in ("vid", "off", "size")), strict=True):
+                per[i].append((off, size))
         out += zip(owner, parts, per, strict=True)
     return out
 

@@ -10,6 +10,7 @@ is removed: a phrase that an earlier document owns, or that a document repeats o
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -26,57 +27,77 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SHARD_WORDS = 400_000
 
 
-def shards(passages: list[tuple]):
-    """(word -> sign, phrases with their least owner) for each shard: every word of its phrases is one sign."""
-    owners: dict[tuple, int] = {}
+class Signs(dict):
+    """word -> the signs it has in automata: two digits, or more, each with an alphabet of its own.
+
+    An automaton's node looks through its children one by one, so one sign a word would
+    make its root slow; and as a first digit is no second one, nothing matches half a word.
+    Words that no phrase has are all alike.
+    """
+
+    def __init__(self, words):
+        words = dict.fromkeys(words)
+        self.digits = 2
+        while 200**self.digits < len(words):
+            self.digits += 1
+        base = max(2, math.ceil(len(words) ** (1 / self.digits)))
+        super().__init__((w, "".join([chr(1 + k * base + n // base**k % base) for k in range(self.digits)])) for n, w in enumerate(words))
+        self.other = "\0" * self.digits
+
+    def __missing__(self, word: bytes) -> str:
+        return self.other
+
+    def of(self, words: list[bytes]) -> str:
+        return "".join(map(self.__getitem__, words))
+
+
+def shards(passages: list[tuple], signs: Signs):
+    """{phrase: least owner} for each shard; phrases in signs."""
+    owners: dict[str, int] = {}
+    d = signs.digits
     for owner, text, phrases in passages:
-        words = text.split(b" ")
+        whole = signs.of(text.split(b" "))
         for off, size in phrases:
-            phrase = tuple(words[off : off + size])
-            owners[phrase] = min(owner, owners.get(phrase, owner))
-    held, room = {}, SHARD_WORDS
+            phrase = whole[off * d : (off + size) * d]
+            if owners.setdefault(phrase, owner) > owner:
+                owners[phrase] = owner
+    held, room = {}, SHARD_WORDS * d
     for phrase, owner in owners.items():
         held[phrase] = owner
         room -= len(phrase)
         if room <= 0:
-            yield signs(held), held
-            held, room = {}, SHARD_WORDS
+            yield held
+            held, room = {}, SHARD_WORDS * d
     if held:
-        yield signs(held), held
-
-
-def signs(phrases) -> dict[bytes, str]:
-    """A sign of its own for each word; no surrogates, and not the first, which stands for all other words."""
-    words = dict.fromkeys(w for phrase in phrases for w in phrase)
-    return {w: chr(i if i < 0xD800 else i + 0x800) for i, w in enumerate(words, 1)}
+        yield held
 
 
-def compile_shard(sign: dict[bytes, str], phrases: dict[tuple, int]):
-    """(automaton, [(words, owner)]): a hit gives the number of the phrase."""
+def compile_shard(phrases: dict[str, int]):
+    """(automaton, owners, lengths): a hit gives the number of the phrase."""
     import ahocorasick
 
-    shard, known = ahocorasick.Automaton(), []
-    for phrase, owner in phrases.items():
-        shard.add_word("".join([sign[w] for w in phrase]), len(known))
-        known.append((len(phrase), owner))
+    shard = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for i, phrase in enumerate(phrases):
+        shard.add_word(phrase, i)
     shard.make_automaton()
-    return shard, known
+    return shard, list(phrases.values()), list(map(len, phrases))
 
 
 def _solve(ids: np.ndarray, texts: list[bytes], passages: list[tuple]) -> list:
     found = [([], []) for _ in texts]
-    for sign, phrases in shards(passages):
-        shard, known = compile_shard(sign, phrases)
+    signs = Signs(w for p in passages for w in p[1].split(b" "))
+    for phrases in shards(passages, signs):
+        shard, owners, lengths = compile_shard(phrases)
         for doc_id, text, (starts, stops) in zip(ids.tolist(), texts, found, strict=True):
             own = set()
-            for end, phrase in shard.iter("".join([sign.get(w, "\0") for w in text.split()])):
-                size, owner = known[phrase]
+            for end, phrase in shard.iter(signs.of(text.split())):
+                owner = owners[phrase]
                 if owner < doc_id or phrase in own:
-                    starts.append(end + 1 - size)
+                    starts.append(end + 1 - lengths[phrase])
                     stops.append(end + 1)
                 elif owner == doc_id:
                     own.add(phrase)
-    return [(np.array(a), np.array(b)) if a else None for a, b in found]
+    return [(np.array(a) // signs.digits, np.array(b) // signs.digits) if a else None for a, b in found]
 
 
 def _cut(text: bytes, gone: np.ndarray) -> bytes:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .passages import Corpus, Units, mask
+from .passages import Corpus, Units, eight_bytes, mask
 
 MATCH_BYTES = 50
 UNITS = Units("bytes", MATCH_BYTES, 24, strict=True)
@@ -44,17 +44,12 @@ def _equal_bytes(differ: np.ndarray) -> np.ndarray:
     return sum((differ < np.uint64(1 << (8 * i))).astype(np.int64) for i in range(8))
 
 
-def _words(text: np.ndarray) -> np.ndarray:
-    """The eight bytes from every place on, as a number that sorts as they do."""
-    raw = text.tobytes()
-    x = np.empty(len(text) - 7, np.uint64)
-    for i in range(8):
-        x[i::8] = np.frombuffer(raw, ">u8", (len(raw) - i) // 8, i)
-    return x
+#: How many suffixes are sorted again at a time, so that memory is some 30 bytes a byte of the shard.
+PART = 1 << 20
 
 
 def suffix_order(x: np.ndarray, least: int = 0) -> np.ndarray:
-    """The places of x, a text's _words(), in the order of the suffixes that begin there.
+    """The places of x, the eight bytes from each place of a text, in the order of the suffixes that begin there.
 
     Prefix doubling: suffixes in the order of their first h bytes are put in that of their
     first 2 h by the rank of what follows; only those that still have equals are sorted
@@ -63,46 +58,54 @@ def suffix_order(x: np.ndarray, least: int = 0) -> np.ndarray:
     """
     n = len(x)
     order = np.argsort(x)
-    new = np.concatenate(([True], x[order[1:]] != x[order[:-1]])) if n else np.zeros(0, bool)
-    heads = np.flatnonzero(new)
+    ordered = x[order]
+    heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    order, ordered = order.astype(np.int32), None
+    size = np.diff(np.append(heads, n)).astype(np.int32)
     rank = np.full(n + 1, -1, np.int32)
-    size = np.diff(np.append(heads, n))
-    rank[order] = np.repeat(heads, size)
-    shared = np.repeat(size > 1, size)
-    chosen, at, h = order if least < 8 else None, order[shared].astype(np.int32), 8
-    del order, new, shared
+    rank[order] = np.repeat(heads.astype(np.int32), size)
+    at, h = order[np.repeat(size > 1, size)], 8
+    chosen = order if least < 8 else None
+    del order, heads, size
     while len(at):
         if chosen is None and 2 * h > least:
             chosen = at
-        then = at.astype(np.int64) + h
-        key = rank[at].astype(np.int64) << 32
-        key |= np.where(then < n, rank[np.minimum(then, n)].astype(np.int64) + n + 1, n + h - then)  # at the end, the shorter first
-        by = np.argsort(key)
-        key, at = key[by], at[by]
-        old = key >> 32
-        index = np.arange(len(at))
-        base = np.maximum.accumulate(np.where(np.concatenate(([True], old[1:] != old[:-1])), index, 0))
-        new = np.concatenate(([True], key[1:] != key[:-1]))
-        heads = np.flatnonzero(new)
-        size = np.diff(np.append(heads, len(at)))
-        rank[at] = old + np.repeat(heads, size) - base
-        at = at[np.repeat(size > 1, size)]
+        # parts of whole groups; what a part has put in order only helps those after it
+        new = np.flatnonzero(np.diff(rank[at])) + 1
+        cuts = new[np.searchsorted(new, np.arange(PART, len(at), PART))[: max(0, (len(at) - 1) // PART)].clip(max=max(len(new) - 1, 0))] if len(new) else new
+        bounds = np.unique(np.concatenate(([0], cuts, [len(at)])))
+        at = np.concatenate([_doubled(rank, at[a:b], h, n) for a, b in zip(bounds, bounds[1:], strict=False)])
         h *= 2
     if chosen is None:
         chosen = at
     return chosen[np.argsort(rank[chosen])].astype(np.int64)
 
 
+def _doubled(rank: np.ndarray, at: np.ndarray, h: int, n: int) -> np.ndarray:
+    """Ranks suffixes that share h bytes by the next h, in place; returns those that still have equals."""
+    then = at.astype(np.int64) + h
+    key = np.where(then < n, rank[np.minimum(then, n)].astype(np.int64) + n + 1, n + h - then)  # at the end, the shorter first
+    key |= rank[at].astype(np.int64) << 32
+    by = np.argsort(key)
+    key, at = key[by], at[by]
+    old = key >> 32
+    index = np.arange(len(at))
+    base = np.maximum.accumulate(np.where(np.concatenate(([True], old[1:] != old[:-1])), index, 0))
+    heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(heads, len(at)))
+    rank[at] = old + np.repeat(heads, size) - base
+    return at[np.repeat(size > 1, size)]
+
+
 def longest_previous_factors(strings: list[bytes], owner: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, place, length) of the longest match that begins in a string of a smaller owner.
 
     Of places with `most` bytes after them, and matches of `most` bytes, up to which a
     length is told.  The shard is all strings, with a byte between that UTF-8 has not.
     """
-    text = np.frombuffer(b"\xff".join([*strings, bytes(most + 8)]), np.uint8)
     lengths = np.array([len(x) for x in strings], np.int64)
     first = np.cumsum(lengths + 1) - lengths - 1
-    x = _words(text)
+    x = eight_bytes(b"\xff".join([*strings, bytes(most + 8)]), ">u8")
     at = suffix_order(x, most)
     which = np.searchsorted(first, at, "right") - 1
     whole = (which < len(strings)) & (at - first[which] + most <= lengths[which])

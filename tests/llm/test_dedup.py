@@ -89,8 +89,10 @@ def test_previous_smaller(values):
 @given(st.binary(max_size=80).map(lambda b: bytes(x % 2 + 97 for x in b)), st.integers(0, 3))
 def test_suffix_order(data, copies):
     text = data * (copies + 1)
-    x = suffix_dedup._words(np.frombuffer(text + bytes(8), np.uint8))
-    assert suffix_dedup.suffix_order(x)[1:].tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+    want = sorted(range(len(text)), key=lambda i: text[i:])
+    for part in (1, 7, 1 << 20):
+        suffix_dedup.PART = part
+        assert suffix_dedup.suffix_order(passages.eight_bytes(text + bytes(8), ">u8"))[1:].tolist() == want
 
 
 @settings(max_examples=60, deadline=None)
