@@ -1,10 +1,12 @@
 """Exact top-k by vector-approximation files.
 
-Every vector also has an approximation: for each component the cell of a fixed grid it
-lies in.  A scan over the approximations alone bounds each score from both sides; a query
-keeps the candidates whose upper bound reaches its k-th largest lower bound.  Only their
-exact vectors are read, in the order of their bounds, until the k-th score found is at
-least every bound that is left.
+Candidates lie in blocks, and each block is a vector-approximation file of its own: every
+dimension is cut into at most 256 cells at the quantiles of the block's values, and a vector
+is stored as the numbers of its cells.  A cell's edges are the least and the greatest value
+in it, so an outlier widens one cell of one block and nothing else.  A scan over the cells
+bounds each score from both sides; a query keeps the candidates whose upper bound reaches
+its k-th largest lower bound.  Only their exact vectors are read, in the order of their
+bounds, until the k-th score found is above every bound that is left.
 """
 
 from __future__ import annotations
@@ -17,114 +19,166 @@ from pyspark.sql import functions as F
 from .common import Stash, buckets, shuffle_partitions, table
 
 CELLS = 256
-QUERY_BLOCK, CANDIDATE_BLOCK = 8192, 65536
-SCAN_ROWS = 1024
+QUERY_BLOCK, CANDIDATE_BLOCK = 8192, 16384
+#: Scores that a scan holds at a time, and survivors of a query that one task refines.
+SCAN_SCORES, REFINED_ROWS = 1 << 21, 512
+LONG = (1 << 63) - 1
 
 
-def integer_vectors(vectors: DataFrame, scale: int) -> DataFrame:
-    """(vec_id, embedding) -> (vec_id, e): floor(scale * x), where every component is a finite number.
+def finite_vectors(vectors: DataFrame, scale: int) -> DataFrame:
+    """(vec_id, embedding) -> (rid, vec_id, d, embedding): rows with an id and nothing but components that are finite, scaled too."""
+    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * float(scale)) < float("inf")))
+    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine)
+    return rows.select(F.monotonically_increasing_id().alias("rid"), F.col("vec_id").cast("long"), F.size("embedding").alias("d"), "embedding")
+
+
+def _whole(column, scale: int) -> np.ndarray:
+    """floor(scale * x) of the rows of a list column, all of one length: whole numbers as doubles, so of any size."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.floor(scale * flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)).reshape(len(flat), -1)
+
+
+def _cells(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell of every component, least and greatest value of every cell) by dimension."""
+    n, d = m.shape
+    low, high, cells = np.zeros((CELLS, d)), np.zeros((CELLS, d)), np.zeros((n, d), np.uint8)
+    for j in range(d):
+        s = np.sort(m[:, j])
+        cuts = np.unique(s[np.arange(1, CELLS) * n // CELLS])
+        cells[:, j] = np.searchsorted(cuts, m[:, j], "right")
+        at = np.concatenate(([0], np.searchsorted(s, cuts, "left"), [n]))
+        full = np.flatnonzero(at[1:] > at[:-1])
+        low[full, j], high[full, j] = s[at[full]], s[at[full + 1] - 1]
+    return cells, low, high
+
+
+FILE = "block int, d int, ids binary, rids binary, cells binary, low binary, high binary"
 
-    Rows without vec_id, without vector or with other components take no part.  Of rows
-    that repeat a vec_id the one with the least vector stays.
-    """
-    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    e = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    out = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine).select(F.col("vec_id").cast("long"), e.alias("e"))
-    if out.groupBy("vec_id").count().where("count > 1").limit(1).count():
-        out = out.withColumn("r", F.row_number().over(Window.partitionBy("vec_id").orderBy("e"))).where("r = 1").drop("r")
-    return out
 
+def approximations(candidates: DataFrame, blocks: int, scale: int) -> DataFrame:
+    """(rid, vec_id, d, embedding) -> a row a block and dimension: its vector-approximation file."""
+    schema = pa.schema([("block", pa.int32()), ("d", pa.int32()), *((x, pa.binary()) for x in ("ids", "rids", "cells", "low", "high"))])
 
-def _matrix(column, kind=np.float64) -> np.ndarray:
-    """The rows of a list column, all of one length."""
-    flat = column.combine_chunks()
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(flat), -1)
+    def build(t: pa.Table) -> pa.Table:
+        cells, low, high = _cells(_whole(t.column("embedding"), scale))
+        row = {"block": t.column("block")[0].as_py(), "d": t.column("d")[0].as_py(), "ids": t.column("vec_id").to_numpy().tobytes(), "rids": t.column("rid").to_numpy().tobytes(), "cells": cells.tobytes(), "low": low.tobytes(), "high": high.tobytes()}
+        return pa.Table.from_pylist([row], schema)
 
+    block = F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int")
+    return candidates.select("rid", "vec_id", "d", "embedding", block.alias("block")).groupBy("block", "d").applyInArrow(build, FILE)
 
-def survivors(approximate: DataFrame, queries: DataFrame, k: int, low: int, width: int) -> DataFrame:
-    """(block, query_block, d, vec_id, cells) and queries -> (query_id, vec_id, below, above): the scan's candidates of each tile."""
+
+def bounds(q: np.ndarray, cells: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lower, upper) bounds of the inner products of rows of q with the vectors of the cells; rounding is on the safe side."""
+    every = np.arange(cells.shape[1])
+    a, b = low[cells, every], high[cells, every]
+    slack = np.maximum(np.abs(a), np.abs(b)) * ((cells.shape[1] + 4) * 2.0**-50)
+    middle, half = q @ ((a + b) / 2).T, np.abs(q) @ ((b - a) / 2 + slack).T
+    return middle - half, middle + half
+
+
+def survivors(files: DataFrame, queries: DataFrame, k: int, scale: int) -> DataFrame:
+    """Files and queries, both with (block, query_block, d) -> (qid, query_id, rid, below, above): a tile's candidates by its own bounds."""
+    kinds = {"qid": pa.int64(), "rid": pa.int64(), "below": pa.float64(), "above": pa.float64()}
 
     def scan(c: pa.Table, q: pa.Table) -> pa.Table:
-        empty = pa.table([pa.array([], pa.int64())] * 2 + [pa.array([], pa.float64())] * 2, ["query_id", "vec_id", "below", "above"])
         if not len(c) or not len(q):
-            return empty
-        ids, query_ids, vectors = c.column("vec_id").to_numpy(), q.column("vec_id").to_numpy(), _matrix(q.column("e"))
-        cells = np.frombuffer(b"".join(c.column("cells").to_pylist()), np.uint8).reshape(len(ids), -1)
-        floor = (low + cells.astype(np.float64) * width).T.copy()
-        out = []
-        # a component times its cell's lower edge, and how far it can rise or fall up to the upper one
-        rise, fall = np.maximum(vectors, 0).sum(1) * (width - 1), np.minimum(vectors, 0).sum(1) * (width - 1)
-        for a in range(0, len(query_ids), SCAN_ROWS):
-            part = slice(a, a + SCAN_ROWS)
-            base = vectors[part] @ floor
-            base[query_ids[part][:, None] == ids[None, :]] = -np.inf
-            n = min(k, base.shape[1])
-            kth = np.partition(base, base.shape[1] - n, axis=1)[:, base.shape[1] - n]
-            slack = (rise - fall)[part]
-            i, j = np.nonzero((base >= (kth - slack)[:, None]) & np.isfinite(base))
-            out.append((query_ids[part][i], ids[j], base[i, j] + fall[part][i], base[i, j] + rise[part][i]))
-        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "below", "above"])
-
-    return approximate.groupBy("block", "query_block", "d").cogroup(queries.groupBy("block", "query_block", "d")).applyInArrow(scan, "query_id long, vec_id long, below double, above double")
-
-
-def refined(found: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, above, q, e, deal) -> (query_id, rank, vec_id, score): exact scores in the order of bounds."""
+            return pa.table({n: pa.array([], t) for n, t in kinds.items()})
+        one = {x: c.column(x)[0].as_py() for x in ("d", "ids", "rids", "cells", "low", "high")}
+        ids, rids = (np.frombuffer(one[x], np.int64) for x in ("ids", "rids"))
+        cells = np.frombuffer(one["cells"], np.uint8).reshape(len(ids), one["d"])
+        low, high = (np.frombuffer(one[x], np.float64).reshape(CELLS, one["d"]) for x in ("low", "high"))
+        qids, query_ids, vectors = q.column("rid").to_numpy(), q.column("vec_id").to_numpy(), _whole(q.column("embedding"), scale)
+        step, out = max(1, SCAN_SCORES // len(ids)), []
+        for a in range(0, len(qids), step):
+            part = slice(a, a + step)
+            below, above = bounds(vectors[part], cells, low, high)
+            own = query_ids[part][:, None] == ids[None, :]
+            below[own] = above[own] = -np.inf
+            n = min(k, below.shape[1])
+            kth = np.partition(below, below.shape[1] - n, axis=1)[:, below.shape[1] - n]
+            i, j = np.nonzero((above >= kth[:, None]) & ~own)
+            out.append((qids[part][i], rids[j], below[i, j], above[i, j]))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], list(kinds))
+
+    return files.groupBy("block", "query_block", "d").cogroup(queries.groupBy("block", "query_block", "d")).applyInArrow(scan, "qid long, rid long, below double, above double")
+
+
+def _scores(q: np.ndarray, m: np.ndarray):
+    """Inner products of whole numbers, exactly: as 64-bit numbers where these suffice, else as Python's."""
+    top = float(np.abs(q).max(initial=0)) * float(np.abs(m).max(initial=0)) * max(1, len(q))
+    if top < 2.0**62:
+        return (m.astype(np.int64) @ q.astype(np.int64)).tolist()
+    whole = [int(x) for x in q]
+    return [sum(a * int(b) for a, b in zip(whole, row, strict=True)) for row in m]
+
+
+def refined(found: DataFrame, k: int, scale: int) -> DataFrame:
+    """(qid, query_id, vec_id, above, q, e, part) -> (qid, query_id, vec_id, score, beyond): each part's k best, read in the order of bounds.
+
+    Scores beyond a long's range are its ends; beyond puts these in order (else it is empty).
+    """
+    kinds = {"qid": pa.int64(), "query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.int64(), "beyond": pa.binary()}
+
+    def ends(score: int) -> tuple[int, bytes]:
+        if -LONG - 1 < score < LONG:
+            return score, b""
+        return max(-LONG - 1, min(LONG, score)), (score + (1 << 2111)).to_bytes(264, "big")
 
     def refine(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("query_id", "ascending"), ("above", "descending"), ("vec_id", "ascending")])
-        query, ids, above = (t.column(x).to_numpy() for x in ("query_id", "vec_id", "above"))
-        starts = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1]))) if len(query) else []
-        out = []
-        for a, b in zip(starts, np.append(starts, len(query))[1:], strict=True):
-            q = np.array(t.column("q")[int(a)].as_py(), object)
-            best: list[tuple[int, int]] = []
-            for i in range(a, b):
-                if len(best) == k and -best[-1][0] > above[i]:
-                    break  # no bound that is left reaches the k-th score
-                score = int((q * np.array(t.column("e")[i].as_py(), object)).sum())
-                best = sorted([*best, (-score, int(ids[i]))])[:k]
-            out += [(int(query[a]), r + 1, v, -s) for r, (s, v) in enumerate(best)]
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        return pa.table([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["query_id", "rank", "vec_id", "score"])
-
-    return found.groupBy("deal").applyInArrow(refine, "query_id long, rank int, vec_id long, score long")
+        t = t.sort_by([("above", "descending"), ("vec_id", "ascending")])
+        q, ids, above = _whole(t.column("q").slice(0, 1), scale)[0], t.column("vec_id").to_numpy(), t.column("above").to_numpy()
+        best: list[tuple[int, int]] = []
+        for a in range(0, len(t), 64):  # some at a time
+            if len(best) == k and -best[-1][0] > above[a]:
+                break  # no bound that is left reaches the k-th score
+            got = _scores(q, _whole(t.column("e").slice(a, 64), scale))
+            best = sorted(best + [(-s, int(i)) for s, i in zip(got, ids[a : a + 64], strict=True)])[:k]
+        head = [t.column(x)[0].as_py() for x in ("qid", "query_id")]
+        rows = [(*head, i, *ends(-s)) for s, i in best]
+        return pa.table([pa.array([r[n] for r in rows], kind) for n, kind in enumerate(kinds.values())], list(kinds))
+
+    return found.groupBy("qid", "part").applyInArrow(refine, "qid long, query_id long, vec_id long, score long, beyond binary")
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> DataFrame:
     """The k largest inner products of each query's integer vector with all others: query_id, rank, vec_id, score.
 
     is_query: a Column over vec_id.  Ties go to the smaller vec_id; a query has fewer rows
-    if there are fewer candidates of its dimension.  Of equal vectors only the k + 1
-    smallest ids can matter to any query, so no more enter the scan, however often a
+    if there are fewer candidates of its dimension.  Rows without vec_id, without vector or
+    with a component that is null or not finite take no part; extra columns are left out.
+    Rows that repeat a vec_id are candidates each and queries each; none is a candidate of a
+    query of its own vec_id.  Finite components of any size are exact; a score beyond a long
+    is told as the nearest one.  Of equal vectors only the k + 1 smallest ids can matter to
+    any query (2 k + 1 rows, where ids repeat), so no more enter the scan, however often a
     vector recurs.  Queries and candidates meet in blocks.
     """
     spark = vectors.sparkSession
     stash = Stash(spark, "vectors")
-    exact = stash.put(integer_vectors(vectors, scale), "exact")
+    exact = stash.put(finite_vectors(vectors, scale), "exact")
+    repeats = exact.groupBy("vec_id").count().where("count > 1").limit(1).count()
     queries = exact.where(is_query)
-    few = exact.withColumn("r", F.row_number().over(Window.partitionBy("e").orderBy("vec_id"))).where(F.col("r") <= k + 1).drop("r")
-    bounds = exact.agg(F.min(F.array_min("e")), F.max(F.array_max("e")), F.count("*"), F.count(F.when(is_query, 1))).first()
-    low, high = bounds[0] or 0, bounds[1] or 0
-    width = -(-(high - low + 1) // CELLS)
-    blocks = max(-(-bounds[2] // CANDIDATE_BLOCK), min(shuffle_partitions(spark), max(1, bounds[2] // 1024)))
-    query_blocks = max(1, -(-bounds[3] // QUERY_BLOCK))
-
-    def encode(batches):
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            cells = [((np.array(x, np.float64) - low) // width).astype(np.uint8).tobytes() for x in t.column("e").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in cells], pa.int32()), pa.array(cells, pa.binary())], ["vec_id", "d", "cells"])
-
-    approximate = few.mapInArrow(encode, "vec_id long, d int, cells binary")
-    tiles = approximate.select(F.pmod(F.hash("vec_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"), "d", "vec_id", "cells")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.hash("vec_id", F.lit(1)), F.lit(query_blocks)).alias("query_block"), F.size("e").alias("d"), "vec_id", "e")
-    found = stash.put(survivors(tiles, asked, k, low, width), "survivors")
-    w = Window.partitionBy("query_id").orderBy(F.col("below").desc())
-    kth = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("below")).alias("kth"))
-    left = found.join(kth, "query_id").where(F.col("kth").isNull() | (F.col("above") >= F.col("kth")))
-    read = left.join(exact, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("e").alias("q")), "query_id")
-    return refined(read.select("query_id", "vec_id", "above", "q", "e", F.pmod(F.hash("query_id"), F.lit(buckets(spark))).alias("deal")), k)
+    alike = exact
+    if repeats:  # a query must find k rows of other ids, so no id may fill the places
+        alike = exact.withColumn("r", F.row_number().over(Window.partitionBy("embedding", "vec_id").orderBy("rid"))).where(F.col("r") <= k).drop("r")
+    order = F.rank() if repeats else F.row_number()
+    few = alike.withColumn("r", order.over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("r") <= (k + k if repeats else k) + 1).drop("r")
+    rows, asked = exact.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
+    blocks = max(-(-rows // CANDIDATE_BLOCK), min(shuffle_partitions(spark), max(1, rows // 1024)))
+    query_blocks = max(1, -(-asked // QUERY_BLOCK))
+    files = stash.put(approximations(few, blocks, scale), "approximations")
+    tiles = files.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    spread = queries.withColumn("query_block", F.pmod(F.xxhash64("rid"), F.lit(query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    found = stash.put(survivors(tiles, spread, k, scale), "survivors")
+    best = Window.partitionBy("qid").orderBy(F.col("below").desc())
+    kth = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy("qid").agg(F.when(F.count("*") == k, F.min("below")).alias("kth"))
+    left = found.join(kth, "qid").where(F.col("kth").isNull() | (F.col("above") >= F.col("kth")))
+    parts = left.groupBy("qid").agg(F.ceil(F.count("*") / REFINED_ROWS).cast("int").alias("parts"))
+    left = left.join(parts, "qid").select("qid", "rid", "above", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("part"))
+    read = left.join(exact.select("rid", "vec_id", F.col("embedding").alias("e")), "rid").join(queries.select(F.col("rid").alias("qid"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "qid")
+    scored = refined(read.select("qid", "query_id", "vec_id", "above", "q", "e", "part").repartition(buckets(spark), "qid", "part"), k, scale)
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("beyond").desc(), "vec_id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op9_vector_file(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,7 +140,45 @@ def test_top_k_of_few(spark):
     schema = "vec_id long, embedding array<float>"
     assert vector_file.top_k(spark.createDataFrame([], schema), F.col("vec_id") % 50 == 0).count() == 0
     one = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (1, [3.0]), (2, [1.0, 1.0])], schema)
-    assert [(r.query_id, r.vec_id, r.score) for r in vector_file.top_k(one, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 131072)]
+    got = vector_file.top_k(one, F.col("vec_id") % 50 == 0).collect()
+    assert sorted((r.rank, r.query_id, r.vec_id, r.score) for r in got) == [(1, 0, 1, 196608), (2, 0, 1, 131072)]
+
+
+@pytest.mark.parametrize("huge", [1e6, 1e30, -3e38])
+def test_one_outlier(spark, huge):
+    """Huge components are exact, and cost other vectors no bound; a score beyond a long is its end."""
+    from pyspark.sql import functions as F
+
+    rows = [*vectors(5, 400, 16)[:400], (7000, [huge] + [0.0] * 15, 0)]
+    exact = {i: [int(np.floor(256 * float(np.float32(x)))) for x in e] for i, e, _ in rows}
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in vector_file.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), F.col("vec_id") % 50 == 0).collect())
+    want = []
+    for q in exact:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(exact[q], e, strict=True)), i) for i, e in exact.items() if i != q)[:5]
+            want += [(q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+    m = np.array([exact[i] for i in range(400)] + [exact[7000]], np.float64)
+    below, above = vector_file.bounds(m[:8], *vector_file._cells(m))
+    kept = (above >= np.sort(below, axis=1)[:, -5:-4]).sum()
+    assert kept < 8 * 40  # cells by quantile: of 401 candidates a tenth is left at most
+
+
+def test_bounds_hold():
+    rnd = np.random.default_rng(8)
+    m = np.floor(256 * rnd.standard_t(2, (700, 12)))
+    below, above = vector_file.bounds(m[:50], *vector_file._cells(m))
+    true = m[:50] @ m.T
+    assert (below <= true).all() and (true <= above).all()
+
+
+def test_repeated_ids_of_one_vector(spark):
+    """No id may keep others out: 30 rows of one id and one vector, beside others of that vector."""
+    from pyspark.sql import functions as F
+
+    rows = [(50, [1.0, 2.0])] * 30 + [(60 + i, [1.0, 2.0]) for i in range(6)] + [(1, [0.5, 0.5])]
+    got = vector_file.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 3).collect()
+    assert len(got) == 90 and sorted((r.rank, r.vec_id) for r in got) == sorted([(1, 60), (2, 61), (3, 62)] * 30)
 
 
 def test_vector_query(spark):
