@@ -2,12 +2,14 @@
 
 Documents are tokenised once.  Each packing task holds a share of all sources as queues
 and fills one window after another by deficit round-robin: every window gives each source
-its share of the window as credit, a source is served when it has credit for a piece, and
-what it could not get or got too much stays with it.  Credits pass from window to window
-and, as prefix sums of the tasks' token counts, from task to task, so the mixture holds
-over the whole order of sequences and not only inside a task.
+its share of the window as credit and serves it what it has credit for, so while its queue
+lasts a source has its share of every window, give or take two PIECEs.  What it could not
+get, or got too much, stays with it: credits pass from window to window and, as prefix sums
+of the tasks' token counts, from task to task, so the mixture holds over the whole order of
+sequences and not only inside a task.
 
 A task's last tokens fill sequences of descending powers of two, which need no padding.
+Tasks follow the number of tokens alone.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stash, buckets, byte_lengths, slices, table
+from .common import Stash, byte_lengths, shuffle_partitions, slices, table
 
-SEQUENCE, PIECE, END_ID = 2048, 256, 1
-TASK_TOKENS = 512 * SEQUENCE
+SEQUENCE, PIECE, END_ID = 2048, 32, 1
+#: Tokens of a group that is packed together, and groups of one task.
+TASK_TOKENS, TASK_PARTS = 512 * SEQUENCE, 16
 
 
 class Tokenizer:
@@ -48,6 +51,8 @@ class Tokenizer:
 
         self.file = File.from_file(path)
         self.model = self.file.model
+        self.code = "H" if self.file.get_vocab_size() <= 1 << 16 else "I"
+        self.width = array(self.code).itemsize
         # for plain parts in lower case, letters and numbers are sets that can be told
         split = json.loads(self.file.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         letters = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f"
@@ -63,7 +68,7 @@ class Tokenizer:
         if len(self.of_piece) > self.LIMIT:
             self.of_piece.clear()
         shown = piece if piece.isascii() else "".join([self.letters[x] for x in piece.encode()])
-        ids = self.of_piece[piece] = array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        ids = self.of_piece[piece] = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
         return ids
 
     def _part(self, part: bytes) -> bytes:
@@ -71,7 +76,7 @@ class Tokenizer:
         if (text.isascii() and text.isprintable() or self.PLAIN.fullmatch(text)) and "<|" not in text:
             found = [self.of_piece.get(x) or self._piece(x) for x in self.pieces(text.lower())]
             return found[0] if len(found) == 1 else b"".join(found)
-        return array("H", self.file.encode(text, add_special_tokens=False).ids).tobytes()
+        return array(self.code, self.file.encode(text, add_special_tokens=False).ids).tobytes()
 
     def learn(self, parts: set[bytes]) -> None:
         if len(self.known) > self.LIMIT:
@@ -81,31 +86,30 @@ class Tokenizer:
             self.known[p] = self._part(p) if ids is None else ids
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        """Each text's ids as 16-bit little-endian numbers, the end id last."""
+        """Each text's ids as little-endian numbers of `width` bytes, the end id last."""
         split = [x.split() for x in texts]
         self.learn(set().union(*split))
-        end = END_ID.to_bytes(2, "little")
+        end = END_ID.to_bytes(self.width, "little")
         return [b"".join([*map(self.known.__getitem__, parts), end]) for parts in split]
 
 
 _loaded: dict[str, Tokenizer] = {}
 
 
-def tokenised(docs: DataFrame, path: str, parts: int) -> DataFrame:
-    """(doc_id, source, text) -> (part, doc_id, source, n, ids); a null text is empty."""
+def tokenised(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, source, text) -> (place, doc_id, source, n, ids); a null text is empty; place: a hash of id and text."""
 
     def run(batches):
         if path not in _loaded:
             _loaded[path] = Tokenizer(path)
         t = _loaded[path]
         for batch in batches:
-            part, doc_id, source, texts = batch.columns
+            place, doc_id, source, texts = batch.columns
             for a, b in slices(byte_lengths(texts)):
                 ids = t.ids([x or b"" for x in texts[a:b].to_pylist()])
-                yield pa.RecordBatch.from_arrays([part[a:b], doc_id[a:b], source[a:b], pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["part", "doc_id", "source", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([place[a:b], doc_id[a:b], source[a:b], pa.array([len(x) // t.width for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["place", "doc_id", "source", "n", "ids"])
 
-    part = F.pmod(F.when(F.col("doc_id").isNull(), F.hash("text")).otherwise(F.hash("doc_id")), F.lit(parts))
-    return docs.select(part.alias("part"), F.col("doc_id").cast("long"), "source", F.col("text").cast("binary")).mapInArrow(run, "part int, doc_id long, source string, n long, ids binary")
+    return docs.select(F.xxhash64("doc_id", "text").alias("place"), F.col("doc_id").cast("long"), "source", F.col("text").cast("binary")).mapInArrow(run, "place long, doc_id long, source string, n long, ids binary")
 
 
 def plan(tokens: DataFrame, shares: dict | None, stash: Stash) -> DataFrame:
@@ -135,31 +139,36 @@ def plan(tokens: DataFrame, shares: dict | None, stash: Stash) -> DataFrame:
 def fill(lengths: list[int], shares: list[float], credits: list[float], capacities: list[int], piece: int = PIECE):
     """Deficit round-robin: yields (window, queue, tokens) until the queues are empty.
 
-    lengths: tokens in each queue; capacities must add up to theirs.
+    lengths: tokens in each queue; capacities must add up to theirs.  A window serves every
+    queue its whole credit, within `piece` of the window's own share; a queue whose share is
+    below `piece` waits until it has credit for one.  What is then free goes, a piece at a
+    time, to those with most credit, and what is too much is taken from those with least.
     """
-    left, credit, turn, n = list(lengths), list(credits), 0, len(lengths)
+    left, share, credit = np.array(lengths, np.int64), np.array(shares, np.float64), np.array(credits, np.float64)
     for window, size in enumerate(capacities):
-        room = size
-        for q in range(n):
-            credit[q] += shares[q] * size
-        idle = 0
-        while room:
-            q = turn % n
-            turn += 1
-            least = min(piece, room, left[q])
-            if left[q] and credit[q] >= least:
-                idle = 0
-            elif idle < n:
-                idle += 1
-                continue
-            else:  # none has enough: the queue with most credit goes into debt
-                q = max((i for i in range(n) if left[i]), key=lambda i: credit[i])
-                least, idle = min(piece, room, left[q]), 0
-            take = min(max(int(credit[q]), least), room, left[q])
-            left[q] -= take
-            credit[q] -= take
-            room -= take
-            yield window, q, take
+        due = share * size
+        credit += due
+        give = np.floor(np.clip(credit, np.maximum(due - piece, 0), due + piece)).astype(np.int64)
+        give = np.minimum(np.where(give >= np.minimum(piece, left), give, 0), left)
+        free = size - int(give.sum())
+        while free < 0:
+            for q in np.argsort(credit - give, kind="stable"):
+                cut = min(piece, -free, int(give[q]))
+                give[q] -= cut
+                free += cut
+                if not free:
+                    break
+        while free:
+            for q in np.argsort(give - credit, kind="stable"):
+                more = min(piece, free, int(left[q] - give[q]))
+                give[q] += more
+                free -= more
+                if not free:
+                    break
+        credit -= give
+        left -= give
+        for q in np.flatnonzero(give).tolist():
+            yield window, q, int(give[q])
 
 
 def capacities(tokens: int) -> list[int]:
@@ -171,16 +180,18 @@ def packed(docs: DataFrame, path: str, shares: dict | None = None) -> DataFrame:
     """(doc_id, source, text) -> pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, ids.
 
     Every id of every document lies in exactly one piece (a null or empty text is the end
-    id alone).  A null source is a source; rows that repeat a doc_id are packed each; a
-    null doc_id is packed too.  Other columns are left out.  ids are 16-bit numbers.
+    id alone; a text of any length is packed whole).  A null source is a source; rows that
+    repeat a doc_id are packed each, in the order of their lengths and ids; a null doc_id is
+    packed too; an empty table gives no pieces.  Other columns are left out.  ids are
+    little-endian numbers of 16 bits, or of 32 where the vocabulary needs them.
     """
     spark = docs.sparkSession
     stash = Stash(spark, "packing")
-    n = buckets(spark)
-    tokens = stash.put(tokenised(docs, path, n), "tokens")
+    tokens = stash.put(tokenised(docs, path), "tokens")
     total = tokens.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, min(n, total // TASK_TOKENS))  # small tables need no n tasks, and so no n tails
-    tokens = tokens.withColumn("part", F.col("part") % parts)
+    parts = max(1, total // TASK_TOKENS)
+    tasks = max(shuffle_partitions(spark), -(-parts // TASK_PARTS))
+    tokens = tokens.withColumn("part", F.pmod("place", F.lit(parts)).cast("int")).drop("place")
     plans = plan(tokens, shares, stash)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"]
     kinds = [pa.int64()] * 7 + [pa.string(), pa.binary()]
@@ -189,7 +200,8 @@ def packed(docs: DataFrame, path: str, shares: dict | None = None) -> DataFrame:
         out = []
         if len(t):
             first, queues = p.column("first_sequence")[0].as_py(), p.column("queues")[0].as_py()
-            order = np.lexsort((t.column("n").to_numpy(), t.column("doc_id").fill_null(-1).to_numpy()))
+            mark = [zlib.crc32(x) for x in t.column("ids").to_pylist()]
+            order = np.lexsort((mark, t.column("n").to_numpy(), t.column("doc_id").fill_null(-1).to_numpy()))
             t = t.take(pa.array(order))
             doc, n_ids, data, source = t.column("doc_id").to_pylist(), t.column("n").to_pylist(), t.column("ids"), t.column("source").to_pylist()
             at = {q["source"]: i for i, q in enumerate(queues)}
@@ -205,7 +217,8 @@ def packed(docs: DataFrame, path: str, shares: dict | None = None) -> DataFrame:
                 while take:
                     i = rows[q][next_row[q]]
                     if ids[q] is None:
-                        ids[q] = np.frombuffer(data[i].as_py(), "<u2")
+                        raw = data[i].as_py()
+                        ids[q] = np.frombuffer(raw, f"<u{len(raw) // n_ids[i]}")
                     size = min(take, n_ids[i] - start[q])
                     piece = ids[q][start[q] : start[q] + size]
                     out.append((doc[i], start[q], size, zlib.crc32(piece.astype("<u4").tobytes()), n_ids[i], first + w, used, source[i], piece.tobytes()))
@@ -215,7 +228,7 @@ def packed(docs: DataFrame, path: str, shares: dict | None = None) -> DataFrame:
         columns = list(zip(*out, strict=True)) or [()] * len(names)
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return tokens.groupBy("part").cogroup(plans.groupBy("part")).applyInArrow(pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary")
+    return tokens.repartition(tasks, "part").groupBy("part").cogroup(plans.repartition(tasks, "part").groupBy("part")).applyInArrow(pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary")
 
 
 def tokenizer_path() -> str:

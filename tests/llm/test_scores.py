@@ -258,6 +258,51 @@ def test_deficits_hold_the_mixture():
     assert all(filled[w] == c for w, c in enumerate(packing.capacities(total)))
 
 
+@pytest.mark.parametrize("carried", [0, 5000])
+def test_every_window_holds_the_mixture(carried):
+    """While a queue lasts, a source has its share of each window, give or take two pieces, whatever credit it brings."""
+    rnd = np.random.default_rng(4)
+    lengths = rnd.integers(30_000, 60_000, 20).tolist()
+    total = sum(lengths)
+    shares = [x / total for x in lengths[::-1]]  # not what the queues hold, so some run dry
+    credits = (carried * (np.arange(20) - 9.5) / 10).tolist()
+    given, left = defaultdict(lambda: [0] * 20), list(lengths)
+    for w, q, n in packing.fill(lengths, shares, credits, packing.capacities(total)):
+        given[w][q] += n
+    for w, size in enumerate(packing.capacities(total)):
+        assert sum(given[w]) == size
+        left = [a - b for a, b in zip(left, given[w], strict=True)]
+        if size == 2048 and min(left) > 0:
+            assert max(abs(n - s * size) for n, s in zip(given[w], shares, strict=True)) <= 2 * packing.PIECE + 1
+    assert not any(left)
+
+
+def test_rare_sources_wait_for_a_piece():
+    lengths = [100_000, *[400] * 50]
+    total = sum(lengths)
+    pieces = [n for _, q, n in packing.fill(lengths, [x / total for x in lengths], [0] * 51, packing.capacities(total)) if q]
+    assert sum(pieces) == 20_000 and len(pieces) < 900
+
+
+def test_packing_query(spark):
+    """op6 itself: every id in one piece, windows whole, every full window near the mixture."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows, windows = defaultdict(list), defaultdict(int)
+    for r in packing.op6_packing(spark, SF).collect():
+        rows[r.doc_id].append(r)
+        windows[r.sequence_id] += r.length
+    for doc_id, text in docs.items():
+        ids, at = [*t.encode(text, add_special_tokens=False).ids, 1], 0
+        for r in sorted(rows[doc_id], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes()))
+            at += r.length
+        assert at == len(ids)
+    assert all(n == 2048 or n & (n - 1) == 0 for n in windows.values())
+
+
 def test_packing_to_given_shares(spark):
     rows = [(i, prose(i, 400), f"s{i % 2}") for i in range(80)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
