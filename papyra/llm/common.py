@@ -195,7 +195,7 @@ def popular_hashes(texts: DataFrame, hashes, bits: int, factor: float = 3.0, lea
         counts = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             column = batch.column(0)
-            for a, b in slices(byte_lengths(column), 2 << 20):
+            for a, b in slices(byte_lengths(column), 1 << 19):  # what fits a core's cache
                 found = hashes([x or b"" for x in column[a:b].to_pylist()])
                 np.add.at(counts, (found >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
         rows = [packed(i, x.astype(np.int64)) for i, x in enumerate(np.split(counts, _BLOCKS))]

@@ -42,7 +42,7 @@ from .common import Stash, flagged, fresh, mix64, popular_hashes, shuffle_partit
 
 GROUP_BYTES, TASK_GROUPS, SLICE_BYTES, FAN = 4 << 20, 16, 1 << 19, 256
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_LOW = np.uint64(0xFFFFFFFF)
+_LOW, _HALF = np.uint64(0xFFFFFFFF), np.uint64(1 << 63)
 _MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 
 
@@ -185,18 +185,22 @@ class Units:
         return starts, lengths, x, mix64(h)
 
     def hashes(self, texts: list[bytes]) -> np.ndarray:
-        """The hashes of every K units in a row."""
+        """The hashes of every K units in a row that are likely seeds: the lower half of them, made to fill the range."""
         parts = [p for t in texts for _, p in self.pieces(t)]
         starts, lengths, _, h = self._flat(parts)
-        n = np.maximum(lengths - self.seed + 1, 0)
-        return h[np.arange(n.sum()) + np.repeat(starts[:-1] - (np.cumsum(n) - n), n)]
+        inside = np.zeros(len(h), bool)
+        for a, n in zip(starts.tolist(), lengths.tolist(), strict=False):
+            inside[a : a + n - self.seed + 1] = True
+        return h[inside & (h < _HALF)] << np.uint64(1)
 
     def seeds(self, parts: list[np.ndarray], flags: np.ndarray) -> tuple[np.ndarray, ...]:
         """(part, first window, number of windows, seed, fingerprint) of every occurrence."""
         w, k = self.window, self.seed
         starts, lengths, x, h = self._flat(parts)
-        popular = flagged(flags, h).astype(np.uint64) << np.uint64(63)
-        least = popular | ((h >> np.uint64(1)) & ~_LOW) | np.arange(len(h), dtype=np.uint64)
+        least = ((h >> np.uint64(1)) & ~_LOW) | np.arange(len(h), dtype=np.uint64)
+        likely = np.flatnonzero(h < _HALF)
+        popular = likely[flagged(flags, h[likely] << np.uint64(1))]
+        least[popular] |= np.uint64(1 << 63)
         span, done = w - k + 1, 1
         while done < span:
             step = min(done, span - done)

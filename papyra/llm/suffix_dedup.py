@@ -44,56 +44,85 @@ def _equal_bytes(differ: np.ndarray) -> np.ndarray:
     return sum((differ < np.uint64(1 << (8 * i))).astype(np.int64) for i in range(8))
 
 
-#: How many suffixes are sorted again at a time, so that memory is some 30 bytes a byte of the shard.
-PART = 1 << 20
+#: How many suffixes are sorted again at a time.
+PART = 1 << 18
 
 
-def suffix_order(x: np.ndarray, least: int = 0) -> np.ndarray:
-    """The places of x, the eight bytes from each place of a text, in the order of the suffixes that begin there.
+def _sorted(*columns: tuple[np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(columns as one number, place before) of rows in the order of the columns; each is given with its bits.
 
-    Prefix doubling: suffixes in the order of their first h bytes are put in that of their
-    first 2 h by the rank of what follows; only those that still have equals are sorted
-    again.  With `least`, places are left out whose suffix shares fewer than h bytes with
-    any other, h the greatest 8 * 2^k up to least: they have no longer match.
+    Where all fit, the place is the number's last bits, and sorting plain numbers is enough.
     """
-    n = len(x)
-    order = np.argsort(x)
-    ordered = x[order]
-    heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    order, ordered = order.astype(np.int32), None
-    size = np.diff(np.append(heads, n)).astype(np.int32)
+    n = len(columns[0][0])
+    place, key = n.bit_length(), np.zeros(n, np.uint64)
+    for x, bits in columns:
+        key = key << np.uint64(bits) | x.astype(np.uint64)
+    if place + sum(bits for _, bits in columns) > 64:
+        by = np.argsort(key)
+        return key[by], by
+    key = np.sort(key << np.uint64(place) | np.arange(n, dtype=np.uint64))
+    return key >> np.uint64(place), (key & np.uint64((1 << place) - 1)).astype(np.int64)
+
+
+def suffix_order(text: np.ndarray, least: int = 0) -> np.ndarray:
+    """The places of a text in the order of the suffixes that begin there.
+
+    Suffixes are sorted by as many first bytes as fit a number, bytes that the text has not
+    left out of account.  Then prefix doubling: what is in the order of its first h bytes is
+    put in that of its first 2 h by the rank of what follows; only suffixes that still have
+    equals are sorted again.  With `least`, places are left out whose suffix shares fewer
+    than h bytes with any other, h the last such depth up to least: they have no longer match.
+    """
+    n = len(text)
+    if not n:
+        return np.zeros(0, np.int64)
+    seen = np.flatnonzero(np.bincount(text, minlength=256))
+    number, bits = np.zeros(256, np.uint8), len(seen).bit_length()
+    number[seen] = np.arange(1, len(seen) + 1)  # 0 is behind the end
+    h = max(1, (64 - n.bit_length()) // bits)
+    coded = np.concatenate((number[text], np.zeros(h, np.uint8)))
+    key = np.zeros(n, np.uint64)
+    for i in range(h):
+        key = key << np.uint64(bits) | coded[i : i + n]
+    key, order = _sorted((key, h * bits))
+    heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    del key, coded
+    size = np.diff(np.append(heads, n))
     rank = np.full(n + 1, -1, np.int32)
     rank[order] = np.repeat(heads.astype(np.int32), size)
-    at, h = order[np.repeat(size > 1, size)], 8
-    chosen = order if least < 8 else None
-    del order, heads, size
+    at = order[np.repeat(size > 1, size)]
+    chosen = order if least < h else None
+    del order
     while len(at):
         if chosen is None and 2 * h > least:
             chosen = at
         # parts of whole groups; what a part has put in order only helps those after it
         new = np.flatnonzero(np.diff(rank[at])) + 1
-        cuts = new[np.searchsorted(new, np.arange(PART, len(at), PART))[: max(0, (len(at) - 1) // PART)].clip(max=max(len(new) - 1, 0))] if len(new) else new
+        cuts = new[np.searchsorted(new, np.arange(PART, len(at), PART)).clip(max=len(new) - 1)] if len(new) else new
         bounds = np.unique(np.concatenate(([0], cuts, [len(at)])))
         at = np.concatenate([_doubled(rank, at[a:b], h, n) for a, b in zip(bounds, bounds[1:], strict=False)])
         h *= 2
     if chosen is None:
         chosen = at
-    return chosen[np.argsort(rank[chosen])].astype(np.int64)
+    return chosen[_sorted((rank[chosen], n.bit_length()))[1]]
 
 
 def _doubled(rank: np.ndarray, at: np.ndarray, h: int, n: int) -> np.ndarray:
-    """Ranks suffixes that share h bytes by the next h, in place; returns those that still have equals."""
-    then = at.astype(np.int64) + h
-    key = np.where(then < n, rank[np.minimum(then, n)].astype(np.int64) + n + 1, n + h - then)  # at the end, the shorter first
-    key |= rank[at].astype(np.int64) << 32
-    by = np.argsort(key)
-    key, at = key[by], at[by]
-    old = key >> 32
-    index = np.arange(len(at))
-    base = np.maximum.accumulate(np.where(np.concatenate(([True], old[1:] != old[:-1])), index, 0))
+    """Ranks suffixes that share h bytes by the next h, in place; returns those that still have equals.
+
+    at: whole groups, in the order of their ranks.  Of one group no two end within their
+    first h bytes, as they would differ in length.
+    """
+    old = rank[at]
+    starts = np.flatnonzero(np.concatenate(([True], old[1:] != old[:-1])))
+    sizes = np.diff(np.append(starts, len(at)))
+    group = np.repeat(np.arange(len(starts)), sizes)
+    then = rank[np.minimum(at + h, n)] + 1
+    key, by = _sorted((group, len(starts).bit_length()), (then, n.bit_length()))
+    at = at[by]
     heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(heads, len(at)))
-    rank[at] = old + np.repeat(heads, size) - base
+    rank[at] = old + np.repeat(heads, size) - np.repeat(starts, sizes)
     return at[np.repeat(size > 1, size)]
 
 
@@ -105,15 +134,15 @@ def longest_previous_factors(strings: list[bytes], owner: np.ndarray, most: int)
     """
     lengths = np.array([len(x) for x in strings], np.int64)
     first = np.cumsum(lengths + 1) - lengths - 1
-    x = eight_bytes(b"\xff".join([*strings, bytes(most + 8)]), ">u8")
-    at = suffix_order(x, most)
+    raw = b"\xff".join([*strings, bytes(most + 8)])
+    at = suffix_order(np.frombuffer(raw, np.uint8), most)
     which = np.searchsorted(first, at, "right") - 1
     whole = (which < len(strings)) & (at - first[which] + most <= lengths[which])
     at, which = at[whole], which[whole]
     who = owner[which]
     before = previous_smaller(who)
     after = len(who) - 1 - previous_smaller(who[::-1])[::-1]
-    best = np.zeros(len(at), np.int64)
+    x, best = eight_bytes(raw, ">u8"), np.zeros(len(at), np.int64)
     for other, there in ((before, before >= 0), (after, after < len(at))):
         alive = np.flatnonzero(there)
         for i in (*range(0, most - 7, 8), *([most - 8] if most % 8 else [])):
