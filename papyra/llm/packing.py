@@ -176,9 +176,11 @@ def capacities(tokens: int) -> list[int]:
     return [SEQUENCE] * (tokens // SEQUENCE) + [1 << i for i in reversed(range(rest.bit_length())) if rest >> i & 1]
 
 
-def packed(docs: DataFrame, path: str, shares: dict | None = None) -> DataFrame:
+def packed(docs: DataFrame, path: str, shares: dict | None = None, with_ids: bool = True) -> DataFrame:
     """(doc_id, source, text) -> pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, ids.
 
+    with_ids=False leaves ids out.
+
     Every id of every document lies in exactly one piece (a null or empty text is the end
     id alone; a text of any length is packed whole).  A null source is a source; rows that
     repeat a doc_id are packed each, in the order of their lengths and ids; a null doc_id is
@@ -193,15 +195,17 @@ def packed(docs: DataFrame, path: str, shares: dict | None = None) -> DataFrame:
     tasks = max(shuffle_partitions(spark), -(-parts // TASK_PARTS))
     tokens = tokens.withColumn("part", F.pmod("place", F.lit(parts)).cast("int")).drop("place")
     plans = plan(tokens, shares, stash)
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"]
-    kinds = [pa.int64()] * 7 + [pa.string(), pa.binary()]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"][: 9 if with_ids else 8]
+    kinds = ([pa.int64()] * 7 + [pa.string(), pa.binary()])[: len(names)]
 
     def pack(t: pa.Table, p: pa.Table) -> pa.Table:
         out = []
         if len(t):
             first, queues = p.column("first_sequence")[0].as_py(), p.column("queues")[0].as_py()
-            mark = [zlib.crc32(x) for x in t.column("ids").to_pylist()]
-            order = np.lexsort((mark, t.column("n").to_numpy(), t.column("doc_id").fill_null(-1).to_numpy()))
+            key, n = t.column("doc_id").fill_null(-1).to_numpy(), t.column("n").to_numpy()
+            order = np.lexsort((n, key))
+            if ((np.diff(key[order]) == 0) & (np.diff(n[order]) == 0)).any():
+                order = np.lexsort(([zlib.crc32(x) for x in t.column("ids").to_pylist()], n, key))
             t = t.take(pa.array(order))
             doc, n_ids, data, source = t.column("doc_id").to_pylist(), t.column("n").to_pylist(), t.column("ids"), t.column("source").to_pylist()
             at = {q["source"]: i for i, q in enumerate(queues)}
@@ -209,26 +213,31 @@ def packed(docs: DataFrame, path: str, shares: dict | None = None) -> DataFrame:
             for i, s in enumerate(source):
                 rows[at[s]].append(i)
             lengths = [sum(n_ids[i] for i in r) for r in rows]
-            next_row, start, ids = [0] * len(rows), [0] * len(rows), [None] * len(rows)
+            waiting = [iter(r) for r in rows]
+            now = [None] * len(rows)  # of each queue: its document, where it has got to, its ids, and these as 32-bit numbers
             window, used = -1, 0
             for w, q, take in fill(lengths, [x["share"] for x in queues], [x["credit"] for x in queues], capacities(sum(lengths))):
                 if w != window:
                     window, used = w, 0
                 while take:
-                    i = rows[q][next_row[q]]
-                    if ids[q] is None:
+                    if now[q] is None:
+                        i = next(waiting[q])
                         raw = data[i].as_py()
-                        ids[q] = np.frombuffer(raw, f"<u{len(raw) // n_ids[i]}")
-                    size = min(take, n_ids[i] - start[q])
-                    piece = ids[q][start[q] : start[q] + size]
-                    out.append((doc[i], start[q], size, zlib.crc32(piece.astype("<u4").tobytes()), n_ids[i], first + w, used, source[i], piece.tobytes()))
-                    used, take, start[q] = used + size, take - size, start[q] + size
-                    if start[q] == n_ids[i]:
-                        next_row[q], start[q], ids[q] = next_row[q] + 1, 0, None
+                        width = len(raw) // n_ids[i]
+                        now[q] = [i, 0, raw, width, memoryview(np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes())]
+                    i, start, raw, width, wide = now[q]
+                    stop = min(start + take, n_ids[i])
+                    piece = (doc[i], start, stop - start, zlib.crc32(wide[4 * start : 4 * stop]), n_ids[i], first + w, used, source[i])
+                    out.append((*piece, raw[width * start : width * stop]) if with_ids else piece)
+                    used, take = used + stop - start, take - stop + start
+                    now[q][1] = stop
+                    if stop == n_ids[i]:
+                        now[q] = None
         columns = list(zip(*out, strict=True)) or [()] * len(names)
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return tokens.repartition(tasks, "part").groupBy("part").cogroup(plans.repartition(tasks, "part").groupBy("part")).applyInArrow(pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary")
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + (", ids binary" if with_ids else "")
+    return tokens.repartition(tasks, "part").groupBy("part").cogroup(plans.repartition(tasks, "part").groupBy("part")).applyInArrow(pack, schema)
 
 
 def tokenizer_path() -> str:
@@ -238,4 +247,4 @@ def tokenizer_path() -> str:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"), tokenizer_path()).drop("source", "ids")
+    return packed(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False).drop("source")
