@@ -47,7 +47,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens, every window in the corpus's mixture."""
-    return packing.packed(docs, packing.tokenizer_path()).drop("ids")
+    return packing.packed(docs, packing.tokenizer_path(), with_ids=False)
 
 
 STAGES = [
