@@ -1,6 +1,8 @@
 """N-gram Jaccard join: every pair of documents whose word n-grams overlap enough, as components.
 
-Documents of one shingle set are one class; links are sought between classes.
+Documents of one shingle set are one class; links are sought between classes.  A class is
+known by a 64-bit hash of its set; a second one tells whether two sets have the same, and
+then all is hashed anew.
 
 1. Size bands and the pigeonhole give candidates without loss.  Sets that link differ in
    at most H shingles, H by size band; a band splits the range of shingle hashes into
@@ -28,11 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stash, buckets, byte_lengths, flagged, mix64, popular_hashes, slices, table, word_hashes
+from .common import Stash, buckets, byte_lengths, flagged, fresh, mix64, popular_hashes, slices, table, word_hashes
 from .components import components
 from .passages import dealt, first_of, pack, spark_hash, unpack
 
-TILE = 4000
+TILE, BUCKET_BYTES = 800, 16 << 20
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -155,9 +157,13 @@ def popular_shingles(docs: DataFrame, words: int) -> np.ndarray:
     return popular_hashes(docs.select(F.col("text").cast("binary")), lambda texts: np.concatenate([shingles(x, words) for x in texts]), bits)
 
 
-def _signatures(docs: DataFrame, words: int, num: int, den: int, n: int) -> DataFrame:
+def _class_of(s: np.ndarray, salt: int) -> np.int64:
+    return np.array(xxhash.xxh3_64_intdigest(s.tobytes(), salt), np.uint64).astype(np.int64)
+
+
+def _signatures(docs: DataFrame, words: int, num: int, den: int, n: int, flags: np.ndarray, salt: int) -> DataFrame:
     """(key, packed): candidate keys by their bucket, documents under n + q, local stars under 2n + q."""
-    shared = docs.sparkSession.sparkContext.broadcast(popular_shingles(docs, words))
+    shared = docs.sparkSession.sparkContext.broadcast(flags)
 
     def run(batches):
         bands, flags = Bands(num, den), shared.value
@@ -165,18 +171,19 @@ def _signatures(docs: DataFrame, words: int, num: int, den: int, n: int) -> Data
             all_ids, texts, all_marks = batch.columns
             for a, b in slices(byte_lengths(texts), 8 << 20, 60_000):
                 ids, marks = all_ids[a:b].to_numpy(), all_marks[a:b].to_numpy()
-                cls, size, keys, owner, known = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64), [], [], set()
+                cls, check, size, keys, owner, known = *np.zeros((3, b - a), np.int64), [], [], set()
                 for i in range(b - a):
                     s = shingles(texts[a + i].as_py(), words)
                     size[i] = len(s)
                     if not len(s):
                         continue
-                    cls[i] = c = np.array(xxhash.xxh3_64_intdigest(s.tobytes()), np.uint64).astype(np.int64)
+                    cls[i] = c = _class_of(s, salt)
+                    check[i] = np.array(xxhash.xxh64_intdigest(s.tobytes(), salt), np.uint64).astype(np.int64)
                     if int(c) not in known:
                         known.add(int(c))
                         keys.append(bands.keys(s, flagged(flags, s)))
                         owner.append(np.full(len(keys[-1]), c))
-                rows = [(n + k, p) for k, p in dealt(spark_hash(ids).astype(np.int64) % n, id=ids, cls=cls, size=size, mark=marks)]
+                rows = [(n + k, p) for k, p in dealt(spark_hash(ids).astype(np.int64) % n, id=ids, cls=cls, size=size, mark=marks, check=check)]
                 if keys:
                     key, owner = np.concatenate(keys), np.concatenate(owner)
                     heads, least, other = _stars(key, owner)
@@ -188,23 +195,23 @@ def _signatures(docs: DataFrame, words: int, num: int, den: int, n: int) -> Data
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), "mark").mapInArrow(run, "key int, packed binary")
 
 
-def _met(found: DataFrame, n: int) -> DataFrame:
-    """(kind, a, b, size, mark): documents (doc_id, class, size, mark) and candidate edges (least class, other)."""
+def _met(found: DataFrame, n: int, tasks: int) -> DataFrame:
+    """(kind, a, b, size, mark, check): documents (doc_id, class, size, mark, check) and candidate edges (least class, other)."""
 
     def meet(t: pa.Table) -> pa.Table:
         kind, rows = t.column("key")[0].as_py() // n, t.column("packed").to_pylist()
-        size = mark = None
+        size = mark = check = None
         if kind == ROWS:
-            c = unpack(rows, "id", "cls", "size", "mark")
-            a, b, size, mark = c["id"], c["cls"], c["size"], c["mark"]
+            c = unpack(rows, "id", "cls", "size", "mark", "check")
+            a, b, size, mark, check = (c[x] for x in ("id", "cls", "size", "mark", "check"))
         elif kind == EDGES:
             c = unpack(rows, "cls", "other")
             a, b = np.unique(np.stack((c["cls"], c["other"])), axis=1)
         else:
             _, a, b = _stars(*_unpacked_keys(rows))
-        return pa.table([pa.array(np.full(len(a), ROWS if kind == ROWS else EDGES), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.array(np.zeros(len(a), np.int64) if x is None else x, pa.int64()) for x in (size, mark))], ["kind", "a", "b", "size", "mark"])
+        return pa.table([pa.array(np.full(len(a), ROWS if kind == ROWS else EDGES), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.array(np.zeros(len(a), np.int64) if x is None else x, pa.int64()) for x in (size, mark, check))], ["kind", "a", "b", "size", "mark", "check"])
 
-    return found.groupBy("key").applyInArrow(meet, "kind int, a long, b long, size long, mark long")
+    return found.repartition(tasks, "key").groupBy("key").applyInArrow(meet, "kind int, a long, b long, size long, mark long, check long")
 
 
 # --- tiles -------------------------------------------------------------------------------
@@ -318,7 +325,7 @@ def _cross(num: int, den: int):
     return run
 
 
-def _payload(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+def _payload(docs: DataFrame, wanted: DataFrame, words: int, salt: int) -> DataFrame:
     """(group, cls, n, shingles) of the wanted classes, from one document each (rows that repeat it do no harm)."""
 
     def run(batches):
@@ -326,7 +333,7 @@ def _payload(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             group, cls, texts = batch.columns
             for a, b in slices(byte_lengths(texts)):
                 sets = [shingles(x, words) for x in texts[a:b].to_pylist()]
-                same = [len(s) > 0 and np.array(xxhash.xxh3_64_intdigest(s.tobytes()), np.uint64).astype(np.int64) == c for s, c in zip(sets, cls[a:b].to_numpy(), strict=True)]
+                same = [len(s) > 0 and _class_of(s, salt) == c for s, c in zip(sets, cls[a:b].to_numpy(), strict=True)]
                 keep = pa.array([bool(x) for x in same], pa.bool_())
                 yield pa.RecordBatch.from_arrays([group[a:b], cls[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["group", "cls", "n", "shingles"]).filter(keep)
 
@@ -384,8 +391,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     word n-grams (a shorter text is one n-gram; without words it is linked with nothing).
     component_id is the smallest doc_id that links reach.  A null text has no words; rows
     that repeat a doc_id are told apart by their texts; a row without doc_id is linked with
-    nothing and has no component_id.  Other columns are left out.  Shingles and classes are
-    compared by 64-bit hashes.
+    nothing and has no component_id; an empty table gives none; texts of any length count
+    whole.  Other columns are left out.  Shingles are compared by 64-bit hashes, sets by two.
     """
     named = _linked(docs.where("doc_id IS NOT NULL").withColumn("mark", F.lit(0).cast("long")), words, num, den, tile)
 
@@ -405,13 +412,14 @@ def firsts(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     of rows with one doc_id and one text, one stays.  Rows without words are each a component,
     rows without doc_id all stay.  Texts are compared by 64-bit hashes.
     """
-    stash, at = Stash(docs.sparkSession, "firsts"), ["doc_id", "_papyra_mark"]
+    mark = fresh(docs, "mark")
+    stash, at = Stash(docs.sparkSession, "firsts"), ["doc_id", mark]
     named = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark")).where("doc_id IS NOT NULL")
-    found = stash.put(_linked(named, words, num, den, TILE).select(F.col("doc_id"), F.col("mark").alias("_papyra_mark"), "component_id", "component_mark"), "found")
+    found = stash.put(_linked(named, words, num, den, TILE).select(F.col("doc_id"), F.col("mark").alias(mark), "component_id", "component_mark"), "found")
     stash.release()
-    gone = found.where("doc_id <> component_id OR _papyra_mark <> component_mark").select(at).distinct()
-    kept = docs.withColumn("_papyra_mark", F.xxhash64("text")).join(gone, at, "left_anti")
-    again = found.where("doc_id = component_id AND _papyra_mark = component_mark").groupBy(at).agg(F.count("*").alias("rows")).where("rows > 1").select(at)
+    gone = found.where(f"doc_id <> component_id OR {mark} <> component_mark").select(at).distinct()
+    kept = docs.withColumn(mark, F.xxhash64("text")).join(gone, at, "left_anti")
+    again = found.where(f"doc_id = component_id AND {mark} = component_mark").groupBy(at).agg(F.count("*").alias("rows")).where("rows > 1").select(at)
     if again.limit(1).count():
         kept = kept.join(again, at, "left_anti").unionByName(kept.join(again, at, "left_semi").dropDuplicates(at))
     return kept.select(*docs.columns)
@@ -423,15 +431,23 @@ def _linked(named: DataFrame, words: int, num: int, den: int, tile: int) -> Data
     component_mark is, with component_id, of the component's least row by (doc_id, mark).
     """
     spark = named.sparkSession
-    stash, n = Stash(spark, "jaccard"), buckets(spark)
-    met = stash.put(_met(_signatures(named, words, num, den, n), n), "met")
-    stash.release()
-    rows = met.where(F.col("kind") == ROWS).select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), F.col("size").alias("n_shingles"), "mark")
+    stash = Stash(spark, "jaccard")
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(buckets(spark), -(-size // BUCKET_BYTES))  # documents and keys of so many bytes of text meet in one group
+    tasks = max(buckets(spark), -(-n // 8))
+    flags, salt, alike = popular_shingles(named, words), 0, True
+    while alike:
+        met = stash.put(_met(_signatures(named, words, num, den, n, flags, salt), n, tasks), f"met{salt}")
+        stash.release()
+        rows = met.where(F.col("kind") == ROWS).select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), F.col("size").alias("n_shingles"), "mark", "check")
+        classes = stash.put(rows.where("n_shingles > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "mark")).alias("least"), (F.min("check") != F.max("check")).alias("alike")), f"classes{salt}")
+        alike = classes.where("alike").limit(1).count()
+        salt += 1
+    salt -= 1
     edges = met.where(F.col("kind") == EDGES).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    classes = stash.put(rows.where("n_shingles > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "mark")).alias("least")), "classes")
     group = stash.put(components(edges, stash, "candidates").select(F.col("node").alias("cls"), F.col("component").alias("group")), "groups")
     wanted = classes.join(group, "cls").select(F.col("least.doc_id").alias("doc_id"), "cls", "group")
-    payload = stash.put(_payload(named, wanted, words), "payload")
+    payload = stash.put(_payload(named, wanted, words, salt), "payload")
     stash.release()
     label = stash.put(_labels(stash, payload, wanted, num, den, tile, n).distinct(), "labels")
     stash.drop("payload", "spread")
@@ -472,3 +488,22 @@ def brute_force(rows: list[tuple[int, bytes]], words: int, num: int, den: int) -
                     p, q = sorted((root(a), root(b)))
                     up[q] = p
     return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+#: Shingles as texts, pairs by a join on them, components as a closure: for tables of some thousands of documents.
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM items a JOIN items b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM sets
+  UNION
+  SELECT r.doc_id, CASE WHEN l.u = r.other THEN l.v ELSE l.u END FROM reach r JOIN links l ON r.other = l.u OR r.other = l.v)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c.component_id FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
+"""

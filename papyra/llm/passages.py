@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import Stash, flagged, fresh, mix64, popular_hashes, shuffle_partitions, word_hashes
 
-GROUP_BYTES, TASK_GROUPS, SLICE_BYTES, FAN = 4 << 20, 16, 1 << 19, 256
+BUCKET_BYTES, TASK_BYTES, SLICE_BYTES, FAN = 4 << 20, 64 << 20, 1 << 19, 256
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _LOW, _HALF = np.uint64(0xFFFFFFFF), np.uint64(1 << 63)
 _MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
@@ -68,7 +68,7 @@ def spark_hash(ids: np.ndarray) -> np.ndarray:
 # halves are zeros nearly always, which the shuffle's compression takes out.  So are most
 # versions v, but one doc_id may have any number of rows.
 
-LAYOUT = {"seed": 5, "ctx": 6, "id": 8, "v": 8, "place": 2, "at": 4, "n": 1, "many": 1, "q": 4, "owner": 8, "vid": 4, "off": 4, "key": 5, "cls": 8, "other": 8, "size": 4, "mark": 8}
+LAYOUT = {"seed": 5, "ctx": 6, "id": 8, "v": 8, "place": 2, "at": 4, "n": 1, "many": 1, "q": 4, "owner": 8, "vid": 4, "off": 4, "key": 5, "cls": 8, "other": 8, "size": 4, "mark": 8, "check": 8}
 
 
 def pack(**columns: np.ndarray) -> bytes:
@@ -503,20 +503,19 @@ def _received(p: pa.Table) -> list[tuple]:
 
 
 class Corpus:
-    """docs in groups of about GROUP_BYTES, as a table bucketed by group: stages meet them without moving texts.
+    """docs in groups of about group_bytes, as a table bucketed by group: stages meet them without moving texts.
 
     Rows that repeat a doc_id are told apart by a hash of their text; they are one
     document's versions, none earlier than another, and equal rows are one.  Rows without
     doc_id are never earlier than anything and keep all they have.
     """
 
-    def __init__(self, docs: DataFrame, label: str):
+    def __init__(self, docs: DataFrame, label: str, group_bytes: int):
         self.spark, self.stash = docs.sparkSession, Stash(docs.sparkSession, label)
         self.columns = docs.columns
         size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
         self.rows, least = size[0], max(16, shuffle_partitions(self.spark))
-        self.groups = max(least, -(-(size[1] or 0) // GROUP_BYTES))
-        self.tasks = max(least, -(-self.groups // TASK_GROUPS))
+        self.groups, self.buckets, self.tasks = (max(least, -(-(size[1] or 0) // x)) for x in (group_bytes, BUCKET_BYTES, TASK_BYTES))
         self.id, self.v, self.q, self.text = (fresh(docs, x) for x in ("id", "v", "q", "bytes"))
         repeats = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
         out = docs.withColumn(self.id, F.col("doc_id").cast("long")).withColumn(self.v, F.xxhash64("text") if repeats else F.lit(0).cast("long"))
@@ -540,7 +539,7 @@ class Corpus:
 
         rows: an Arrow table of the columns of docs, text as bytes.
         """
-        stash, slim, n, names = self.stash, self.slim(), self.groups, ("doc_id", "v", "text")
+        stash, slim, n, names = self.stash, self.slim(), self.buckets, ("doc_id", "v", "text")
         flags = self.spark.sparkContext.broadcast(popular_seeds(slim, units, self.rows))
         stash.release()
         found = slim.groupBy("q").applyInArrow(_occurrences(units, n, flags), OCCURRENCES)

@@ -25,6 +25,8 @@ UNITS = Units("words", WINDOW_WORDS, 8, strict=False)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Words of the phrases that one automaton holds; its memory is some 100 bytes a word.
 SHARD_WORDS = 400_000
+#: Text of a group of documents.
+GROUP_BYTES = 4 << 20
 
 
 class Signs(dict):
@@ -142,7 +144,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         out = [pa.array(texts, pa.binary()).cast(pa.string()) if c == "text" else d.column(c) for c in columns]
         return pa.table([*out, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], [*columns, *own])
 
-    return Corpus(docs.select(*columns), "phrases").solved(UNITS, _solve, finish, schema)
+    return Corpus(docs.select(*columns), "phrases", GROUP_BYTES).solved(UNITS, _solve, finish, schema)
 
 
 def op8_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,3 +169,17 @@ def brute_force(rows: list[tuple[int, bytes]]) -> dict[int, tuple]:
         kept = b" ".join(w for w, g in zip(words, gone, strict=True) if not g)
         out[doc_id] = (len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest())
     return out
+
+
+SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY phrase ORDER BY doc_id, i) AS place
+  FROM (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS phrase FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words) a) b),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM windows WHERE place > 1),
+kept AS (
+  SELECT p.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p.i) AS t
+  FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words) p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i WHERE g.i IS NULL GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""

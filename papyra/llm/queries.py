@@ -18,7 +18,10 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_jaccard": jaccard.SQL,
+    "op3_suffix_dedup": suffix_dedup.SQL,
     "op4_warc": warc.SQL,
+    "op8_phrase_dedup": phrase_dedup.SQL,
     "op9_vector_file": vector_file.SQL,
     "op10_mixing": mixing.SQL,
 }

@@ -22,6 +22,8 @@ from .passages import Corpus, Units, eight_bytes, mask
 
 MATCH_BYTES = 50
 UNITS = Units("bytes", MATCH_BYTES, 24, strict=True)
+#: Text of one shard: what sorting it touches fits a core's cache.
+SHARD_BYTES = 1 << 20
 
 
 def previous_smaller(value: np.ndarray) -> np.ndarray:
@@ -187,7 +189,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
         return pa.table([d.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    return Corpus(docs.select("doc_id", "text"), "suffix").solved(UNITS, _solve, finish, schema)
+    return Corpus(docs.select("doc_id", "text"), "suffix", SHARD_BYTES).solved(UNITS, _solve, finish, schema)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,3 +213,23 @@ def brute_force(rows: list[tuple[int, bytes]]) -> dict[int, tuple]:
         spans = int((gone & ~np.concatenate(([False], gone[:-1]))).sum()) if len(text) else 0
         out[doc_id] = (len(text), int(gone.sum()), spans, hashlib.sha256(bytes(b for b, g in zip(text, gone, strict=True) if not g)).hexdigest())
     return out
+
+
+#: Texts as hexadecimal digits, two a byte: a window is 100 of them.
+SQL = """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY part) AS first_id
+  FROM (SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS part FROM (SELECT doc_id, h, unnest(range(1, CAST(length(h) / 2 AS BIGINT) - 48)) AS i FROM texts) a) b),
+hits AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM windows WHERE first_id < doc_id),
+runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b
+  FROM (SELECT *, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hits) r GROUP BY doc_id, run),
+kept AS (
+  SELECT t.doc_id, count(*) AS spans, sum(b - a) AS removed,
+         string_agg(substr(h, 2 * upto - 1, 2 * (a - upto)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) - 1) AS k
+  FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 1) AS upto FROM runs) r JOIN texts t USING (doc_id) GROUP BY 1)
+SELECT doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(from_hex(coalesce(k, h))) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""

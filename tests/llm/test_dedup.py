@@ -123,7 +123,9 @@ def test_the_solvers_alone_remove(spark, docs, monkeypatch):
 def test_passages_handed_on(spark, docs, texts, monkeypatch, fan, shard):
     """Many groups share passages and hand them on; automata hold few words each."""
     monkeypatch.setattr(passages, "FAN", fan)
-    monkeypatch.setattr(passages, "GROUP_BYTES", 500)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 500)
+    monkeypatch.setattr(phrase_dedup, "GROUP_BYTES", 500)
+    monkeypatch.setattr(passages, "BUCKET_BYTES", 300)
     monkeypatch.setattr(phrase_dedup, "SHARD_WORDS", shard)
     common = prose(90, 60)
     rows = [(1000 + i, f"{prose(200 + i, i % 7)} {common} {prose(300 + i, i % 5)}".strip()) for i in range(60)]
