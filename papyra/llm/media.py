@@ -1,9 +1,12 @@
 """Media columns: ISO base media containers (MP4, MOV) described by their boxes.
 
-The reader walks nested boxes, decodes the sample tables (stts, stsc, stsz, stco/co64,
-stss) and gives codec, timescale, duration, sample count and the byte ranges of the
+The reader walks nested boxes, decodes the sample tables (stts, stsc, stsz or stz2,
+stco/co64, stss) and the runs of movie fragments (moof, traf, tfhd, trun, with the defaults
+of trex), and gives codec, timescale, duration, sample count and the byte ranges of the
 keyframes.  Samples are never decoded: all comes from the tables, and the stored bytes are
-only cut out by them.  The writer makes such a container around 8-bit samples.
+only cut out by them.  Counts are held against the bytes there are before anything is made
+of them, so a torn or hostile file is an error and costs no more than its size.  The writer
+makes such a container around 8-bit samples.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ from .common import byte_lengths, slices, table
 
 FRAME, RATE = 576, 8000
 CHUNK_FRAMES, KEY_EVERY = 16, 8
-CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta"}
+CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
+#: Samples of one size, which need no table, that are told of one file.
+MOST_SAMPLES = 1 << 26
 
 
 def _box(kind: bytes, *parts: bytes) -> bytes:
@@ -99,52 +104,129 @@ def boxes(data, start: int = 0, end: int | None = None, path: tuple = ()) -> Ite
         start = stop
 
 
-def _table(data, body: int, width: int, kind: str = ">u4") -> np.ndarray:
+def _table(data, body: int, stop: int, width: int, kind: str = ">u4") -> np.ndarray:
     (n,) = struct.unpack_from(">I", data, body + 4)
+    if body + 8 + n * width * np.dtype(kind).itemsize > stop:
+        raise ValueError("a table is longer than its box")
     return np.frombuffer(data, kind, n * width, body + 8).astype(np.int64).reshape(n, width)
 
 
+def _sizes(data, kind: bytes, body: int, stop: int) -> np.ndarray:
+    """The samples' sizes: one for all, or a table of 32, 16, 8 or 4 bits each."""
+    size, n = struct.unpack_from(">II", data, body + 4)
+    if kind == b"stsz" and size:
+        if n > min(MOST_SAMPLES, len(data) // size):
+            raise ValueError("more samples than the file holds")
+        return np.full(n, size, np.int64)
+    bits = 32 if kind == b"stsz" else size & 0xFF
+    if bits not in (4, 8, 16, 32) or body + 12 + -(-n * bits // 8) > stop:
+        raise ValueError("a table of sizes is longer than its box")
+    if bits == 4:
+        pairs = np.frombuffer(data, np.uint8, -(-n // 2), body + 12)
+        return np.stack((pairs >> 4, pairs & 15), axis=1).ravel()[:n].astype(np.int64)
+    return np.frombuffer(data, f">u{bits // 8}", n, body + 12).astype(np.int64)
+
+
+def _fields(data, body: int, names: list[tuple[int, str, str]]) -> tuple[dict, int]:
+    """The optional fields that a full box's flags announce, in order, and where they end."""
+    flags = int.from_bytes(data[body + 1 : body + 4], "big")
+    out, at = {"flags": flags}, body + 4
+    for bit, name, kind in names:
+        if not bit or flags & bit:
+            (out[name],) = struct.unpack_from(f">{kind}", data, at)
+            at += struct.calcsize(f">{kind}")
+    return out, at
+
+
+_TFHD = [(0, "id", "I"), (0x1, "base", "Q"), (0x2, "description", "I"), (0x8, "duration", "I"), (0x10, "size", "I"), (0x20, "sample_flags", "I")]
+_TRUN = [(0, "count", "I"), (0x1, "offset", "i"), (0x4, "first_flags", "I")]
+NOT_A_KEY = 0x10000
+
+
+def _run(data, body: int, stop: int, head: dict, moof: int, follow: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(offsets, sizes, is a keyframe, duration) of a fragment's run; follow: where the run before it ended."""
+    f, at = _fields(data, body, _TRUN)
+    n, own = f["count"], [bit for bit in (0x100, 0x200, 0x400, 0x800) if f["flags"] & bit]
+    if at + 4 * n * len(own) > stop or n > max(len(data), 1):
+        raise ValueError("a run is longer than its box")
+    rows = dict(zip(own, np.frombuffer(data, ">u4", n * len(own), at).astype(np.int64).reshape(n, len(own)).T, strict=True)) if own else {}
+    sizes = rows.get(0x200, np.full(n, head.get("size", 0), np.int64))
+    flags = rows.get(0x400, np.full(n, head.get("sample_flags", 0), np.int64)).copy()
+    if n and "first_flags" in f:
+        flags[0] = f["first_flags"]
+    base = head.get("base", moof if head["flags"] & 0x20000 or "offset" in f else follow)
+    start = base + f["offset"] if "offset" in f else follow
+    ticks = int(rows[0x100].sum()) if 0x100 in rows else n * head.get("duration", 0)
+    return start + np.cumsum(sizes) - sizes, sizes, flags & NOT_A_KEY == 0, ticks
+
+
+def _in_chunks(t: dict) -> None:
+    """The offsets of samples that lie in chunks."""
+    sizes, chunks, runs = t["sizes"], t.get("chunks", np.zeros(0, np.int64)), t.get("stsc", np.zeros((0, 3), np.int64))
+    reach = np.append(runs[1:, 0], len(chunks) + 1) - runs[:, 0] if len(runs) else np.zeros(0, np.int64)
+    if (reach < 0).any() or reach.sum() != len(chunks) or (reach * runs[:, 1]).sum() != len(sizes):
+        raise ValueError("sample tables disagree")
+    per_chunk = np.repeat(runs[:, 1], reach)
+    ends = np.cumsum(sizes)
+    before = np.concatenate(([0], ends))[np.cumsum(per_chunk) - per_chunk]
+    t["offsets"] = np.repeat(chunks - before, per_chunk) + ends - sizes
+
+
 def tracks(data: bytes) -> list[dict]:
-    """Each track's codec, timescale, duration and sample offsets, sizes and keyframes."""
+    """Each track's codec, timescale, duration and sample offsets, sizes and keyframes, fragments included."""
     found: list[dict] = []
+    defaults: dict[int, dict] = {}
+    runs: list[tuple] = []
+    moof, head, follow = 0, None, 0
     for path, body, stop in boxes(data):
         kind = path[-1]
         if kind == b"trak":
             found.append({})
+        elif kind == b"moof":
+            moof, follow = body - 8, body - 8
+        elif kind == b"trex":
+            track, _, duration, size, flags = struct.unpack_from(">5I", data, body + 4)
+            defaults[track] = {"duration": duration, "size": size, "sample_flags": flags}
+        elif kind == b"tfhd":
+            own, _ = _fields(data, body, _TFHD)
+            head = defaults.get(own["id"], {}) | own
+        elif kind == b"trun" and head is not None:
+            runs.append((head["id"], *_run(data, body, stop, head, moof, follow)))
+            follow = int(runs[-1][1][-1] + runs[-1][2][-1]) if len(runs[-1][1]) else follow
         if not found or b"trak" not in path:
             continue
         t = found[-1]
-        if kind == b"mdhd":
+        if kind == b"tkhd":
+            (t["id"],) = struct.unpack_from(">I", data, body + (20 if data[body] == 1 else 12))
+        elif kind == b"mdhd":
             t["timescale"], t["duration"] = struct.unpack_from(">IQ", data, body + 20) if data[body] == 1 else struct.unpack_from(">II", data, body + 12)
         elif kind == b"stsd":
             t["codec"] = bytes(data[body + 12 : body + 16]).decode("latin-1")
         elif kind == b"stts":
-            t["stts"] = _table(data, body, 2)
+            t["stts"] = _table(data, body, stop, 2)
         elif kind == b"stsc":
-            t["stsc"] = _table(data, body, 3)
-        elif kind == b"stsz":
-            size, n = struct.unpack_from(">II", data, body + 4)
-            t["sizes"] = np.full(n, size, np.int64) if size else np.frombuffer(data, ">u4", n, body + 12).astype(np.int64)
+            t["stsc"] = _table(data, body, stop, 3)
+        elif kind in (b"stsz", b"stz2"):
+            t["sizes"] = _sizes(data, kind, body, stop)
         elif kind in (b"stco", b"co64"):
-            t["chunks"] = _table(data, body, 1, ">u4" if kind == b"stco" else ">u8")[:, 0]
+            t["chunks"] = _table(data, body, stop, 1, ">u4" if kind == b"stco" else ">u8")[:, 0]
         elif kind == b"stss":
-            t["keys"] = _table(data, body, 1)[:, 0] - 1
+            t["keys"] = _table(data, body, stop, 1)[:, 0] - 1
     for t in found:
-        sizes, chunks, runs = t["sizes"], t["chunks"], t["stsc"]
-        if len(runs):
-            reach = np.append(runs[1:, 0], len(chunks) + 1) - runs[:, 0]
-            per_chunk = np.repeat(runs[:, 1], reach)
-        else:
-            per_chunk = np.zeros(0, np.int64)
-        if per_chunk.sum() != len(sizes) or len(per_chunk) != len(chunks):
-            raise ValueError("sample tables disagree")
-        ends = np.cumsum(sizes)
-        first = np.cumsum(per_chunk) - per_chunk
-        before = np.concatenate(([0], ends))[first]
-        t["offsets"] = np.repeat(chunks - before, per_chunk) + ends - sizes
-        t.setdefault("keys", np.arange(len(sizes)))
+        _in_chunks(t)
+        t.setdefault("keys", np.arange(len(t["sizes"])))
+        ticks = 0
+        for track, offsets, sizes, key, lasts in runs:
+            if track == t.get("id"):
+                t["keys"] = np.concatenate((t["keys"], len(t["sizes"]) + np.flatnonzero(key)))
+                t["offsets"], t["sizes"] = np.concatenate((t["offsets"], offsets)), np.concatenate((t["sizes"], sizes))
+                ticks += lasts
+        t["duration"] = t["duration"] or ticks
+        sizes = t["sizes"]
         if len(sizes) and (t["offsets"].min() < 0 or (t["offsets"] + sizes).max() > len(data)):
             raise ValueError("a sample lies outside the file")
+        if len(t["keys"]) and (t["keys"].min() < 0 or t["keys"].max() >= len(sizes)):
+            raise ValueError("a keyframe that is no sample")
     return found
 
 
@@ -172,7 +254,8 @@ def describe(data: bytes | None) -> dict:
 def media_columns(files: DataFrame, media: str = "media") -> DataFrame:
     """Every other column of files, and codec, timescale, duration, samples, keyframes, error.
 
-    keyframes: array of (offset, length).  Columns of these names are replaced.
+    keyframes: array of (offset, length).  Columns of these names are replaced.  A null, torn
+    or hostile file has an error and nulls; an empty table gives none.
     """
     names = ("codec", "timescale", "duration", "samples", "keyframes", "error")
     kept = [c for c in files.columns if c != media and c not in names]
@@ -193,7 +276,10 @@ def media_columns(files: DataFrame, media: str = "media") -> DataFrame:
 
 
 def stored(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_bytes, media): each text, padded, in a container."""
+    """(doc_id, text) -> (doc_id, n_bytes, media): each text, whole and padded, in a container; equal texts have equal ones.
+
+    A null text is empty; repeated rows are stored each; other columns are left out.
+    """
 
     def write(batches):
         for batch in batches:

@@ -71,32 +71,48 @@ def spark_hash(ids: np.ndarray) -> np.ndarray:
 LAYOUT = {"seed": 5, "ctx": 6, "id": 8, "v": 8, "place": 2, "at": 4, "n": 1, "many": 1, "q": 4, "owner": 8, "vid": 4, "off": 4, "key": 5, "cls": 8, "other": 8, "size": 4, "mark": 8, "check": 8}
 
 
-def pack(**columns: np.ndarray) -> bytes:
-    n = len(next(iter(columns.values())))
-    parts = [np.int64(n).tobytes()]
-    for name, x in columns.items():
+def _spans(names) -> list[tuple[str, int, int]]:
+    """(column, first byte, last) of the parts of a packed row."""
+    out = []
+    for name in names:
         width = LAYOUT[name]
-        raw = np.ascontiguousarray(x.astype(np.int64)).view(np.uint8).reshape(n, 8)
         half = width // 2 if width in (4, 8) else width
-        parts.append(raw[:, :half].tobytes())
-        if half < width:
-            parts.append(raw[:, half:width].tobytes())
-    return b"".join(parts)
+        out += [(name, 0, half), (name, half, width)][: 1 + (half < width)]
+    return out
+
+
+def _parts(columns: dict[str, np.ndarray]) -> list[tuple[int, bytes]]:
+    """(bytes a value, all values) of each part of the columns."""
+    raw = {k: np.ascontiguousarray(x.astype(np.int64)).view(np.uint8).reshape(len(x), 8) for k, x in columns.items()}
+    return [(b - a, raw[name][:, a:b].tobytes()) for name, a, b in _spans(columns)]
+
+
+def pack(**columns: np.ndarray) -> bytes:
+    n = len(next(iter(columns.values())))
+    return b"".join([n.to_bytes(8, "little"), *(x for _, x in _parts(columns))])
 
 
 def unpack(rows: list[bytes], *names: str) -> dict[str, np.ndarray]:
-    found = {name: [] for name in names}
+    """The columns of packed rows, one after another; names as they were packed."""
+    spans = _spans(names)
+    found: list[list[bytes]] = [[] for _ in spans]
+    total = 0
     for row in rows:
-        n, at = int(np.frombuffer(row, np.int64, 1)[0]), 8
-        for name in names:
-            width = LAYOUT[name]
-            half = width // 2 if width in (4, 8) else width
-            out = np.zeros((n, 8), np.uint8)
-            for a, b in ((0, half), (half, width)) if half < width else ((0, half),):
-                out[:, a:b] = np.frombuffer(row, np.uint8, n * (b - a), at).reshape(n, b - a)
-                at += n * (b - a)
-            found[name].append(out.view(np.int64).ravel())
-    return {k: np.concatenate(x) if x else np.zeros(0, np.int64) for k, x in found.items()}
+        n, at = int.from_bytes(row[:8], "little"), 8
+        total += n
+        for part, (_, a, b) in zip(found, spans, strict=True):
+            end = at + n * (b - a)
+            part.append(row[at:end])
+            at = end
+    out = {name: np.zeros((total, 8), np.uint8) for name in names}
+    for part, (name, a, b) in zip(found, spans, strict=True):
+        out[name][:, a:b] = np.frombuffer(b"".join(part), np.uint8).reshape(total, b - a)
+    return {name: x.view(np.int64).ravel() for name, x in out.items()}
+
+
+def counts(rows: list[bytes]) -> np.ndarray:
+    """How many values each packed row has of each column."""
+    return np.array([int.from_bytes(row[:8], "little") for row in rows], np.int64)
 
 
 def dealt(key: np.ndarray, /, **columns: np.ndarray):
@@ -104,10 +120,10 @@ def dealt(key: np.ndarray, /, **columns: np.ndarray):
     order = np.argsort(key, kind="stable")
     key = key[order]
     cuts = np.flatnonzero(np.diff(key)) + 1
-    columns = {k: x[order] for k, x in columns.items()}
-    for a, b in zip(np.concatenate(([0], cuts)), np.append(cuts, len(key)), strict=True):
+    parts = _parts({k: x[order] for k, x in columns.items()})
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
         if b > a:
-            yield int(key[a]), pack(**{k: x[a:b] for k, x in columns.items()})
+            yield int(key[a]), b"".join([(b - a).to_bytes(8, "little"), *(x[a * w : b * w] for w, x in parts)])
 
 
 def eight_bytes(raw: bytes, kind: str) -> np.ndarray:
@@ -368,20 +384,21 @@ def _segments(units: Units, names: tuple[str, str, str]):
             return _rows([], schema)
         ids, v, texts = _documents(d, *names)
         place = {key: i for i, key in enumerate(zip(ids.tolist(), v.tolist(), strict=True))}
-        per: dict[int, list] = {}
-        for bucket, packed in zip(w.column("bucket").to_pylist(), w.column("packed").to_pylist(), strict=True):
-            c = unpack([packed], "id", "v", "at", "n", "vid")
-            for row in zip(*(c[x].tolist() for x in ("id", "v", "at", "n", "vid")), strict=True):
-                per.setdefault(place[row[:2]], []).append((bucket, *row))
-        by_bucket: dict[int, list] = {}
-        for i, asks in per.items():
-            parts = units.cut(texts[i], [x[3] for x in asks], [x[4] + units.window - 1 for x in asks])
-            for x, part in zip(asks, parts, strict=True):
-                by_bucket.setdefault(x[0], []).append((*x[1:], part))
-        out = []
-        for bucket, rows in by_bucket.items():
-            i, v_, at, n, vid, parts = zip(*rows, strict=True)
-            out.append((bucket, pack(id=np.array(i), v=np.array(v_), at=np.array(at), n=np.array(n), vid=np.array(vid)), list(parts)))
+        packed = w.column("packed").to_pylist()
+        c = unpack(packed, "id", "v", "at", "n", "vid")
+        bucket = np.repeat(w.column("bucket").to_numpy(), counts(packed))
+        doc = np.array([place[key] for key in zip(c["id"].tolist(), c["v"].tolist(), strict=True)], np.int64)
+        order = np.argsort(doc, kind="stable")
+        heads = np.flatnonzero(first_of(doc[order]))
+        at, n, parts = c["at"][order].tolist(), (c["n"][order] + units.window - 1).tolist(), []
+        for x, y in zip(heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True):
+            parts += units.cut(texts[int(doc[order[x]])], at[x:y], n[x:y])
+        by_bucket = np.argsort(bucket[order], kind="stable")
+        parts, out, upto = [parts[i] for i in by_bucket], [], 0
+        for key, row in dealt(bucket[order], **{k: x[order] for k, x in c.items()}):
+            size = int.from_bytes(row[:8], "little")
+            out.append((key, row, parts[upto : upto + size]))
+            upto += size
         return _rows(out, schema)
 
     return cut
@@ -491,15 +508,15 @@ Solver = Callable[[np.ndarray, list[bytes], list[tuple]], list]
 
 
 def _received(p: pa.Table) -> list[tuple]:
-    out = []
-    for packed, phrases, parts in zip(*(p.column(x).to_pylist() for x in ("packed", "phrases", "units")), strict=True):
-        owner, per = unpack([packed], "owner")["owner"].tolist(), [[] for _ in parts]
-        if phrases is not None:
-            c = unpack([phrases], "vid", "off", "size")
-            for i, off, size in zip(*(c[x].tolist() for x in ("vid", "off", "size")), strict=True):
-                per[i].append((off, size))
-        out += zip(owner, parts, per, strict=True)
-    return out
+    packed, phrases = p.column("packed").to_pylist(), p.column("phrases").to_pylist()
+    owner, parts = unpack(packed, "owner")["owner"].tolist(), [x for row in p.column("units").to_pylist() for x in row]
+    per: list[list] = [[] for _ in parts]
+    if phrases and phrases[0] is not None:
+        c, n = unpack(phrases, "vid", "off", "size"), counts(packed)
+        which = c["vid"] + np.repeat(np.cumsum(n) - n, counts(phrases))
+        for i, off, size in zip(which.tolist(), c["off"].tolist(), c["size"].tolist(), strict=True):
+            per[i].append((off, size))
+    return list(zip(owner, parts, per, strict=True))
 
 
 class Corpus:

@@ -108,6 +108,65 @@ def test_media_that_is_none(data):
     assert d["codec"] is None and d["error"]
 
 
+def _replaced(data: bytes, kind: bytes, body: bytes) -> bytes:
+    """A container with the body of its first box of a kind replaced, lengths as they were."""
+    at = data.index(kind)
+    return data[: at + 4] + body + data[at + 4 + len(body) :]
+
+
+@pytest.mark.parametrize("kind,body", [(b"stsz", bytes(4) + b"\0\0\0\1" + b"\xff" * 4), (b"stsz", bytes(8) + b"\xff" * 4), (b"stsc", bytes(4) + b"\xff" * 4), (b"stsc", bytes(4) + b"\0\0\0\1" + b"\0\0\0\1" + b"\xff" * 4), (b"stco", bytes(4) + b"\xff" * 4), (b"stss", bytes(4) + b"\xff" * 4), (b"stss", bytes(8) + b"\0\0\0\1" + b"\0\0\0\0"), (b"stco", bytes(8) + b"\xff" * 4)])
+def test_hostile_containers(kind, body):
+    d = media.describe(_replaced(media.container(media.padded(b"x" * 20_000)), kind, body))
+    assert d["error"] or d["samples"] is not None
+    if kind in (b"stsz", b"stsc"):
+        assert d["error"]
+
+
+def test_compact_sizes():
+    import struct
+
+    for bits, sizes in ((4, [1, 15, 7]), (8, [200, 3, 9]), (16, [500, 1, 2])):
+        raw = bytes([sizes[0] << 4 | sizes[1], sizes[2] << 4]) if bits == 4 else struct.pack(f">3{'B' if bits == 8 else 'H'}", *sizes)
+        box = bytes(4) + struct.pack(">II", bits, 3) + raw
+        assert media._sizes(box, b"stz2", 0, len(box)).tolist() == sizes
+
+
+def test_fragments():
+    """A movie without samples, and two fragments: one with sizes and flags of its own, one with defaults."""
+    import struct
+
+    empty = media._box(b"stbl", media._STSD, media._full(b"stts", bytes(4)), media._full(b"stsc", bytes(4)), media._full(b"stsz", bytes(8)), media._full(b"stco", bytes(4)))
+    mdhd = media._full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 0, 0, 0))
+    tkhd = media._box(b"tkhd", b"\0\0\0\7", struct.pack(">IIIII", 0, 0, 3, 0, 0), bytes(60))
+    trex = media._full(b"trex", struct.pack(">5I", 3, 1, 20, 5, 0x10000))
+    movie = media._box(b"moov", media._box(b"trak", tkhd, media._box(b"mdia", mdhd, media._HDLR, media._box(b"minf", empty))), media._box(b"mvex", trex))
+
+    def fragment(trun: bytes, payload: bytes) -> bytes:
+        tfhd = media._box(b"tfhd", b"\0\2\0\0", struct.pack(">I", 3))
+        size = 8 + 8 + len(tfhd) + len(trun)
+        return media._box(b"moof", media._box(b"traf", tfhd, trun.replace(b"OFFS", struct.pack(">i", size + 8)))) + media._box(b"mdat", payload)
+
+    own = media._box(b"trun", b"\0\0\6\1", struct.pack(">I", 2), b"OFFS", struct.pack(">4I", 3, 0, 4, 0x10000))
+    plain = media._box(b"trun", b"\0\0\0\5", struct.pack(">I", 2), b"OFFS", struct.pack(">I", 0))
+    data = movie + fragment(own, b"abcdefg") + fragment(plain, b"0123456789")
+    t = media.tracks(data)[0]
+    assert media.stored_bytes(data, t) == b"abcdefg0123456789" and t["sizes"].tolist() == [3, 4, 5, 5] and t["keys"].tolist() == [0, 2] and t["duration"] == 80
+    d = media.describe(data)
+    assert [data[o : o + n] for o, n in d["keyframes"]] == [b"abc", b"01234"]
+    assert media.describe(data[:-3])["error"]
+
+
+def test_media_query(spark):
+    """op5 itself, against what it must store."""
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = media.op5_media(spark, SF).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        p = media.padded(docs[r.doc_id])
+        made = media.container(p)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) == (len(docs[r.doc_id]), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(made), hashlib.sha256(made).hexdigest())
+
+
 def test_media_columns(spark):
     good = media.container(media.padded(b"abc"))
     df = spark.createDataFrame([(1, bytearray(good), "x"), (2, None, "y"), (3, bytearray(b"junk"), "z")], "id long, media binary, error string")

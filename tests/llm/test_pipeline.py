@@ -43,5 +43,43 @@ def test_near_copies_of_repeated_ids(spark):
     assert sorted((x for x in got if x[0] != 3), key=key) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize("place", range(5))
+def test_stages_of_odd_rows(spark, docs, no_docs, place):
+    """Nulls, empty and repeated rows, missing ids, columns of clashing names, and no rows at all."""
+    name, stage = corpus_pipeline.STAGES[place]
+    odd = docs.unionByName(docs.limit(4)).unionByName(docs.limit(2).selectExpr("CAST(NULL AS BIGINT) AS doc_id", *docs.columns[1:]))
+    rows, given = stage(spark, odd, SF).collect(), odd.collect()
+    if name == "packing":
+        assert sum(r.length for r in rows if r.doc_id is None) == sum(r.doc_tokens for r in rows if r.doc_id is None and r.start == 0)
+    else:
+        key = lambda r: str({**r.asDict(), "text": None, "n_chars": None})
+        assert {key(r) for r in rows} <= {key(r) for r in given}
+        if name in ("toxicity", "substring_dedup"):
+            assert sum(r.doc_id is None for r in rows) == 2
+        if name == "toxicity":
+            assert len(rows) == len(given)
+    out = stage(spark, no_docs, SF)
+    assert out.count() == 0 and (name == "packing" or out.columns == no_docs.columns)
+
+
+def test_toxicity_stage_by_its_operator(spark):
+    from papyra.llm import toxicity
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.fitted(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    want = {r.doc_id for r in toxicity.scored(docs, model).collect() if r.score < toxicity.THRESHOLD}
+    assert {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, docs, SF).collect()} == want
+
+
+def test_mixing_stage_takes_what_the_mix_says(spark):
+    from collections import Counter
+
+    from papyra.llm import mixing
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r.doc_id: r.copies_taken for r in mixing.mixed(docs).collect() if r.copies_taken}
+    assert Counter(r.doc_id for r in corpus_pipeline.STAGES[3][1](spark, docs, SF).collect()) == Counter(want)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0

@@ -145,6 +145,34 @@ def test_toxicity_learns_from_the_training_rows_alone(spark):
     assert scores[0] == scores[1]
 
 
+def test_toxicity_query(spark):
+    """op7 itself: a row a document, its offending offsets inside the text, the threshold applied."""
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = toxicity.op7_toxicity(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1
+        assert all(docs[r.doc_id][s.start : s.stop].split() == [docs[r.doc_id][s.start : s.stop]] and s.probability > 0.5 for s in r.toxic_spans)
+
+
+def test_labels_that_disagree(spark):
+    """A doc_id with several labels is toxic if one says so, in whatever order they come."""
+    rows = toxic_rows(120)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    once = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    twice = spark.createDataFrame([(i, x) for i, _, y in rows for x in ((0, y), (y, 0))[i % 2]], "doc_id long, toxic int")
+    scores = [{r.doc_id: r.score for r in toxicity.scored(docs, toxicity.fitted(docs, x)).collect()} for x in (once, twice)]
+    assert scores[0] == scores[1]
+
+
+def test_long_documents_are_one_chain():
+    """Messages pass from row to row: as if the whole document were one."""
+    rnd = np.random.default_rng(6)
+    scores, moves = [rnd.normal(size=n) * 3 for n in (5, 0, 64, 65, 200, 1, 128, 1000)], rnd.normal(size=(2, 2))
+    for s, odds in zip(scores, toxicity.document_odds(scores, moves), strict=True):
+        assert len(s) == len(odds) and (not len(s) or np.allclose(odds, toxicity.posteriors(s[None, :], moves)[0][0]))
+
+
 def test_toxicity_without_labels(spark, docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fitted(docs, none)
@@ -263,6 +291,14 @@ def test_mixing_of_odd_rows(spark, docs, no_docs):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_rows_without_ids_are_mixed_each(spark):
+    rows = [(None if i % 3 == 0 else i, prose(i, 40), f"s{i % 3}") for i in range(600)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source in ("s0", "s1", "s2"):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 45
+
+
 def test_targets_are_reached(spark):
     rows = [(i, prose(i, 20 + i % 30), f"s{i % 3}") for i in range(600)]
     got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
