@@ -16,7 +16,11 @@ from papyra.llm.common import Stash, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches the threshold go; the model learns from the labelled documents."""
+    """Documents whose score reaches the threshold go; the model learns from the labelled documents.
+
+    A null or empty text is scored as one without toxic words.  Rows that repeat a doc_id, or
+    have none, are scored each by their own text; an empty table stays one.
+    """
     model = toxicity.fitted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     kept = toxicity.scored(docs, model).where(F.col("score") < toxicity.THRESHOLD)
     return kept.select(*docs.columns)
@@ -33,7 +37,11 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages of 20 words or more that stand earlier in the corpus are cut out; texts left empty go."""
+    """Words of passages of 20 words or more that stand earlier in the corpus are cut out; texts left empty go.
+
+    Null texts and texts without words stay as they are.  Rows that repeat a doc_id do not
+    take from each other; rows without doc_id stay whole.
+    """
     out = phrase_dedup.deduplicated(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -41,12 +49,19 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights; a document that the mix takes twice is two rows."""
+    """Sources at their target weights; a document that the mix takes twice is two rows.
+
+    A null source is one; a null text has no words.  Rows equal in doc_id and text are taken
+    together, others each for itself.
+    """
     return mixing.mixed_documents(docs).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens, every window in the corpus's mixture."""
+    """Pieces of sequences of 2048 tokens, every window in the corpus's mixture.
+
+    A null or empty text is its end id; rows that repeat a doc_id, or have none, are packed each.
+    """
     return packing.packed(docs, packing.tokenizer_path(), with_ids=False)
 
 
