@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import gc
 import shutil
 import tempfile
@@ -135,6 +137,17 @@ def slices(lengths, most: int = 4 << 20, rows: int = 4096):
         yield start, len(lengths)
 
 
+@functools.cache
+def keep_memory() -> None:
+    """Lets this process keep the memory of large arrays for the next ones, where the C library can be told so."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 256 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):
+        pass
+
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -34,7 +34,7 @@ from .common import Stash, buckets, byte_lengths, flagged, fresh, mix64, popular
 from .components import components
 from .passages import dealt, first_of, pack, spark_hash, unpack
 
-TILE, BUCKET_BYTES = 800, 16 << 20
+TILE, BUCKET_BYTES = 256, 16 << 20
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 

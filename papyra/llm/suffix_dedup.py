@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import keep_memory, table
 from .passages import Corpus, Units, eight_bytes, mask
 
 MATCH_BYTES = 50
@@ -56,14 +56,19 @@ def _sorted(*columns: tuple[np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
     Where all fit, the place is the number's last bits, and sorting plain numbers is enough.
     """
     n = len(columns[0][0])
-    place, key = n.bit_length(), np.zeros(n, np.uint64)
-    for x, bits in columns:
-        key = key << np.uint64(bits) | x.astype(np.uint64)
+    place, key = n.bit_length(), columns[0][0].astype(np.uint64)
+    for x, bits in columns[1:]:
+        key <<= np.uint64(bits)
+        key |= x.astype(np.uint64)
     if place + sum(bits for _, bits in columns) > 64:
         by = np.argsort(key)
         return key[by], by
-    key = np.sort(key << np.uint64(place) | np.arange(n, dtype=np.uint64))
-    return key >> np.uint64(place), (key & np.uint64((1 << place) - 1)).astype(np.int64)
+    key <<= np.uint64(place)
+    key |= np.arange(n, dtype=np.uint64)
+    key.sort()
+    by = (key & np.uint64((1 << place) - 1)).view(np.int64)
+    key >>= np.uint64(place)
+    return key, by
 
 
 def suffix_order(text: np.ndarray, least: int = 0) -> np.ndarray:
@@ -85,47 +90,50 @@ def suffix_order(text: np.ndarray, least: int = 0) -> np.ndarray:
     coded = np.concatenate((number[text], np.zeros(h, np.uint8)))
     key = np.zeros(n, np.uint64)
     for i in range(h):
-        key = key << np.uint64(bits) | coded[i : i + n]
+        key <<= np.uint64(bits)
+        key |= coded[i : i + n]
     key, order = _sorted((key, h * bits))
     heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     del key, coded
     size = np.diff(np.append(heads, n))
     rank = np.full(n + 1, -1, np.int32)
     rank[order] = np.repeat(heads.astype(np.int32), size)
-    at = order[np.repeat(size > 1, size)]
+    place = np.flatnonzero(np.repeat(size > 1, size))
+    at = order[place]
     chosen = order if least < h else None
     del order
     while len(at):
         if chosen is None and 2 * h > least:
             chosen = at
         # parts of whole groups; what a part has put in order only helps those after it
-        new = np.flatnonzero(np.diff(rank[at])) + 1
+        new = np.flatnonzero(np.diff(rank[at])) + 1 if len(at) > PART else place[:0]
         cuts = new[np.searchsorted(new, np.arange(PART, len(at), PART)).clip(max=len(new) - 1)] if len(new) else new
         bounds = np.unique(np.concatenate(([0], cuts, [len(at)])))
-        at = np.concatenate([_doubled(rank, at[a:b], h, n) for a, b in zip(bounds, bounds[1:], strict=False)])
+        parts = [_doubled(rank, at[a:b], place[a:b], h, n) for a, b in zip(bounds, bounds[1:], strict=False)]
+        at, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         h *= 2
     if chosen is None:
         chosen = at
     return chosen[_sorted((rank[chosen], n.bit_length()))[1]]
 
 
-def _doubled(rank: np.ndarray, at: np.ndarray, h: int, n: int) -> np.ndarray:
+def _doubled(rank: np.ndarray, at: np.ndarray, place: np.ndarray, h: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Ranks suffixes that share h bytes by the next h, in place; returns those that still have equals.
 
-    at: whole groups, in the order of their ranks.  Of one group no two end within their
-    first h bytes, as they would differ in length.
+    at: whole groups, in the order of their ranks; place: where these stand among all.  A
+    suffix's rank is the place of the first of its equals.  Of one group no two end within
+    their first h bytes, as they would differ in length.
     """
     old = rank[at]
-    starts = np.flatnonzero(np.concatenate(([True], old[1:] != old[:-1])))
-    sizes = np.diff(np.append(starts, len(at)))
-    group = np.repeat(np.arange(len(starts)), sizes)
+    old -= old[0]
     then = rank[np.minimum(at + h, n)] + 1
-    key, by = _sorted((group, len(starts).bit_length()), (then, n.bit_length()))
+    key, by = _sorted((old, int(old[-1]).bit_length()), (then, n.bit_length()))
     at = at[by]
     heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(heads, len(at)))
-    rank[at] = old + np.repeat(heads, size) - np.repeat(starts, sizes)
-    return at[np.repeat(size > 1, size)]
+    rank[at] = np.repeat(place[heads], size)
+    alike = np.repeat(size > 1, size)
+    return at[alike], place[alike]
 
 
 def longest_previous_factors(strings: list[bytes], owner: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,6 +165,7 @@ def longest_previous_factors(strings: list[bytes], owner: np.ndarray, most: int)
 
 
 def _solve(ids: np.ndarray, texts: list[bytes], passages: list[tuple]) -> list:
+    keep_memory()
     owner = np.concatenate((ids, np.array([p[0] for p in passages], np.int64)))
     which, at, _ = longest_previous_factors([*texts, *(p[1] for p in passages)], owner, MATCH_BYTES)
     cuts = np.searchsorted(which, np.arange(len(texts) + 1))
