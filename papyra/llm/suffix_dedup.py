@@ -47,7 +47,7 @@ def _equal_bytes(differ: np.ndarray) -> np.ndarray:
 
 
 #: How many suffixes are sorted again at a time.
-PART = 1 << 18
+PART = 1 << 15
 
 
 def _sorted(*columns: tuple[np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,14 +87,15 @@ def suffix_order(text: np.ndarray, least: int = 0) -> np.ndarray:
     number, bits = np.zeros(256, np.uint8), len(seen).bit_length()
     number[seen] = np.arange(1, len(seen) + 1)  # 0 is behind the end
     h = max(1, (64 - n.bit_length()) // bits)
-    coded = np.concatenate((number[text], np.zeros(h, np.uint8)))
-    key = np.zeros(n, np.uint64)
-    for i in range(h):
-        key <<= np.uint64(bits)
-        key |= coded[i : i + n]
+    key, held = np.concatenate((number[text], np.zeros(2 * h, np.uint8))).astype(np.uint64), 1
+    while held < h:  # the codes of `held` bytes from each place, and of as many more as are wanted
+        more = min(held, h - held)
+        key = key[:-held] << np.uint64(more * bits) | key[held:] >> np.uint64((held - more) * bits)
+        held += more
+    key = key[:n]
     key, order = _sorted((key, h * bits))
     heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    del key, coded
+    del key
     size = np.diff(np.append(heads, n))
     rank = np.full(n + 1, -1, np.int32)
     rank[order] = np.repeat(heads.astype(np.int32), size)
@@ -144,17 +145,19 @@ def longest_previous_factors(strings: list[bytes], owner: np.ndarray, most: int)
     """
     lengths = np.array([len(x) for x in strings], np.int64)
     first = np.cumsum(lengths + 1) - lengths - 1
+    string = np.repeat(np.arange(len(strings), dtype=np.int32), lengths + 1)
     raw = b"\xff".join([*strings, bytes(most + 8)])
     at = suffix_order(np.frombuffer(raw, np.uint8), most)
-    which = np.searchsorted(first, at, "right") - 1
-    whole = (which < len(strings)) & (at - first[which] + most <= lengths[which])
+    at = at[at < len(string)]
+    which = string[at]
+    whole = at - first[which] + most <= lengths[which]
     at, which = at[whole], which[whole]
-    who = owner[which]
+    who = np.unique(owner, return_inverse=True)[1].astype(np.int32)[which]
     before = previous_smaller(who)
     after = len(who) - 1 - previous_smaller(who[::-1])[::-1]
     x, best = eight_bytes(raw, ">u8"), np.zeros(len(at), np.int64)
     for other, there in ((before, before >= 0), (after, after < len(at))):
-        alive = np.flatnonzero(there)
+        alive = np.flatnonzero(there & (best < most))
         for i in (*range(0, most - 7, 8), *([most - 8] if most % 8 else [])):
             same = _equal_bytes(x[at[alive] + i] ^ x[at[other[alive]] + i])
             best[alive] = np.maximum(best[alive], np.minimum(i + same, most))
