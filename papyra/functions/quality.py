@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import cjk_count, compare_text, equation_numbers, formula_issue, latin_count, text, translatable, visible_length
 
@@ -44,13 +49,22 @@ def reason_counts(records: DataFrame) -> DataFrame:
     return records.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def bigram_coverage(pairs: DataFrame, key: str, source: str, extracted: str) -> DataFrame:
-    """The share of a source's character bigrams, with their counts, that the extracted text has."""
-    def grams(c: str) -> DataFrame:
-        t = F.regexp_replace(F.lower(text(F.col(c))), r"\s+", "")
-        at = F.when(F.length(t) > 1, F.sequence(F.lit(1), F.length(t) - 1)).otherwise(F.array().cast("array<int>"))
-        return pairs.select(key, F.explode(F.transform(at, lambda i: F.substr(t, i, F.lit(2)))).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("n"))
+def _bigrams(t: str) -> tuple[np.ndarray, np.ndarray]:
+    """(bigram, count) of the characters but white space of a text."""
+    signs = np.frombuffer(re.sub(r"\s+", "", t.lower()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return np.unique(signs[:-1] << np.uint64(32) | signs[1:], return_counts=True)
+
+
+def bigram_coverage(source: str, extracted: str) -> float | None:
+    """The share of a source's character bigrams, with their counts, that the extracted text has; null if it has none."""
+    (a, n), (b, m) = _bigrams(source), _bigrams(extracted)
+    if not len(a):
+        return None
+    at = np.searchsorted(b, a).clip(max=max(len(b) - 1, 0))
+    there = b[at] == a if len(b) else np.zeros(len(a), bool)
+    return float(np.minimum(n, np.where(there, m[at] if len(b) else 0, 0)).sum() / n.sum())
+
 
-    a, b = grams(source), grams(extracted).withColumnRenamed("n", "m")
-    joined = a.join(b, [key, "gram"], "left")
-    return joined.groupBy(key).agg((F.sum(F.least("n", F.coalesce("m", F.lit(0)))) / F.sum("n")).alias("coverage"))
+@F.pandas_udf(T.DoubleType())
+def bigram_coverage_udf(source: pd.Series, extracted: pd.Series) -> pd.Series:
+    return pd.Series([bigram_coverage(a, b) for a, b in zip(source.fillna(""), extracted.fillna(""), strict=True)], dtype="float64")

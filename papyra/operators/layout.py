@@ -110,11 +110,10 @@ def shelves(crops: DataFrame, key: str, width: int = 688, height: int = 976, gap
 
 
 def id_batches(ids: DataFrame, key: str, size: int = 50) -> DataFrame:
-    """Distinct ids in batches of at most `size`, numbered within each task's hash range."""
-    w = Window.partitionBy("_p").orderBy(key)
-    parted = ids.select(key).distinct().withColumn("_p", F.pmod(F.hash(key), F.lit(16)))
-    n = F.row_number().over(w) - 1
-    return parted.withColumn("batch", F.concat_ws("-", F.col("_p").cast("string"), F.floor(n / size).cast("string"))).drop("_p")
+    """Distinct ids in batches of at most `size`, numbered within each task: no order over all of them is needed."""
+    n = F.monotonically_increasing_id()
+    task, place = F.shiftright(n, 33), n.bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
+    return ids.select(key).distinct().withColumn("batch", F.concat_ws("-", task.cast("string"), F.floor(place / size).cast("string")))
 
 
 def spans_of(lines: Column, kind: str) -> Column:
@@ -158,3 +157,13 @@ def densest_profile(boxes: DataFrame, document: str, tolerance: float) -> DataFr
     groups = boxes.select(document, "page", "x0", "x1", *cell).groupBy(document, "_x0", "_x1").agg(F.count("*").alias("n"), F.count_distinct("page").alias("pages"), F.avg("x0").alias("left"), F.avg("x1").alias("right"))
     best = Window.partitionBy(document).orderBy(F.col("n").desc(), "_x0", "_x1")
     return groups.where("n >= 3 AND pages >= 2").withColumn("_n", F.row_number().over(best)).where("_n = 1").select(document, "left", "right", "n")
+
+
+def matched_by_box(rows: DataFrame, blocks: DataFrame, page: str, box: str = "bbox", places: int = 1) -> DataFrame:
+    """rows with the one block of their page whose box is theirs, to `places` decimals; none where two blocks share it.
+
+    Boxes are arrays of four numbers, so they meet by an equi join.
+    """
+    key = F.transform(F.col(box), lambda x: F.round(x.cast("double"), places) + 0.0)
+    one = blocks.select(page, "block", key.alias("_k")).groupBy(page, "_k").agg(F.count("*").alias("_n"), F.first("block").alias("block")).where("_n = 1").drop("_n")
+    return rows.withColumn("_k", key).join(one, [page, "_k"], "left").drop("_k")

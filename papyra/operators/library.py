@@ -68,7 +68,8 @@ def manifest(payload: Column) -> Column:
     return F.struct(F.lit(3).alias("schema_version"), first("documentID", "documentId", "document_id").alias("document_id"), first("sourceFingerprint", "source_fingerprint", "fingerprint").alias("fingerprint"))
 
 
-WRITABLE = ["title", "abstract", "date", "publication", "volume", "issue", "pages", "doi", "isbn", "url", "language", "rights", "extra"]
+#: Fields of an item that may be overwritten.
+WRITABLE = ["title", "abstractNote", "date", "DOI", "ISBN", "publicationTitle", "journalAbbreviation", "url", "volume", "issue", "pages", "publisher", "language"]
 
 
 def updated(current: DataFrame, values: DataFrame, key: str) -> DataFrame:
@@ -113,8 +114,12 @@ def regular(item_type: Column) -> Column:
     return ~item_type.isin("attachment", "note", "annotation")
 
 
+#: Types of blocks that are no content of a page.
+FURNITURE = ["header", "footer", "page_header", "page_footer", "page_number", "aside_text"]
+
+
 def furniture(kind: Column) -> Column:
-    return kind.isin("header", "footer", "page_header", "page_footer", "page_number", "aside_text")
+    return kind.isin(FURNITURE)
 
 
 def current_translation(status: Column, made_for: Column, now: Column) -> Column:
@@ -203,18 +208,27 @@ def translatable_queue(batch: DataFrame, parsed: DataFrame, key: str) -> DataFra
 
 def signature(rows: DataFrame, *columns: str) -> DataFrame:
     """One row (n, signature): an order-independent digest of a table, by sums that tasks make in part."""
-    h = F.xxhash64(*columns)
-    return rows.agg(F.count("*").alias("n"), F.concat_ws(":", F.count("*").cast("string"), F.bit_xor(h).cast("string"), F.sum(h.cast("decimal(20,0)")).cast("string")).alias("signature"))
+    row = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    h = F.conv(F.substring(F.md5(row), 1, 13), 16, 10).cast("long")
+    n = F.count("*")
+    return rows.agg(n.alias("n"), F.concat_ws(":", n.cast("string"), F.bit_xor(h).cast("string"), F.sum(h.cast("decimal(20,0)")).cast("string")).alias("signature"))
 
 
 def majority_spelling(labels: DataFrame, label: str) -> DataFrame:
-    """(label, corrected): a label gives way to a more frequent one at edit distance 1 or 2 with its last two signs.
+    """(label, corrected): a label gives way to the most frequent one at edit distance 1 or 2 with its last two signs.
 
-    Labels meet only within their last two signs, so the pairs are few.
+    Labels within two edits share a form that either has with at most two signs left out, so
+    they meet by an equi join on these forms and no label meets all others.  Labels are
+    short: one of n signs has some n * n / 2 forms.
     """
-    n = labels.groupBy(label).agg(F.count("*").alias("n")).withColumn("_e", F.right(label, F.lit(2)))
-    other = n.select(F.col(label).alias("_o"), F.col("n").alias("_m"), "_e")
-    better = n.join(other, "_e").where((F.col("_m") > F.col("n")) & (F.levenshtein(label, "_o") <= 2))
+    n = labels.groupBy(label).agg(F.count("*").alias("n"))
+    without = lambda t, i: F.concat(F.left(t, i - 1), F.substr(t, i + 1))
+    drop = lambda t: F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: without(t, i))).otherwise(F.array().cast("array<string>"))
+    once = drop(F.col(label))
+    forms = F.array_distinct(F.concat(F.array(F.col(label)), once, F.flatten(F.transform(once, drop))))
+    keyed = n.select(label, "n", F.explode(forms).alias("_f"))
+    other = keyed.select(F.col(label).alias("_o"), F.col("n").alias("_m"), "_f")
+    better = keyed.join(other, "_f").where((F.col("_m") > F.col("n")) & (F.right(label, F.lit(2)) == F.right("_o", F.lit(2))) & (F.levenshtein(label, "_o") <= 2))
     best = better.groupBy(label).agg(F.max_by("_o", F.struct("_m", "_o")).alias("_best"))
     return n.join(best, label, "left").select(label, F.coalesce("_best", label).alias("corrected"))
 

@@ -125,6 +125,16 @@ def markdown_table(rows: Column) -> Column:
     return F.array_join(F.concat(F.array(line(rows[0]), rule), F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), line)), "\n")
 
 
+def html_table(rows: Column) -> Column:
+    """An array of rows as an HTML table, the first one its head; ragged rows are padded to the widest."""
+    width = F.aggregate(rows, F.lit(0), lambda n, r: F.greatest(n, F.size(r)))
+    escape = lambda x: F.replace(F.replace(F.replace(text(x), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    padded = lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))
+    line = lambda r, tag: F.concat(F.lit("<tr>"), F.array_join(F.transform(padded(r), lambda x: F.concat(F.lit(f"<{tag}>"), escape(x), F.lit(f"</{tag}>"))), ""), F.lit("</tr>"))
+    body = F.array_join(F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: line(r, "td")), "")
+    return F.concat(F.lit("<table>"), line(rows[0], "th"), body, F.lit("</table>"))
+
+
 # --- jobs ----------------------------------------------------------------------------------------
 
 

@@ -44,6 +44,7 @@ _POSITIVE = {
     "lte": lambda v, w: v.try_cast("double") <= float(w),
 }
 _NEGATIVE = {"notequals": "equals", "notcontains": "contains", "notin": "in"}
+#: Other names of operators.
 _ALIASES = {"present": "exists", "absent": "notexists", "equal": "equals", "is": "equals", "exact": "equals", "isnot": "notequals", "not": "notequals", "prefix": "startswith", "suffix": "endswith", "matches": "regex", "greaterthan": "gt", "after": "gt", "onorafter": "gte", "before": "lt", "onorbefore": "lte", "oneof": "in", "noneof": "notin"}
 
 
@@ -186,8 +187,8 @@ def occurrences(docs: DataFrame, key: str, column: str, literal: str, limit: int
 
 
 def page_of(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
-    """One page of an ordering, and the total of all rows on each of its rows."""
-    return df.orderBy(*order).offset(max(0, offset)).limit(limit).withColumn("total", F.lit(df.count()).cast("long"))
+    """One page of an ordering, and the total of all rows, by a scalar subquery, on each of its rows."""
+    return df.orderBy(*order).offset(max(0, offset)).limit(limit).withColumn("total", df.agg(F.count("*")).scalar())
 
 
 def by_identifier(cards: DataFrame, identifiers: Column, wanted: str) -> DataFrame:
