@@ -59,9 +59,10 @@ def append_log(df: DataFrame, to: str) -> None:
     df.write.mode("append").json(to)
 
 
-def write_bundle(blocks: DataFrame, to: str, key: str = "document_id") -> None:
-    """A folder for each document; a document's rows stay in few files."""
-    blocks.repartition(F.col(key)).write.mode("overwrite").partitionBy(key).json(to)
+def write_bundle(blocks: DataFrame, to: str, key: str = "document_id", files: int | None = None) -> None:
+    """Documents as JSON lines, a document's rows beside one another in one file; files: how many, by default as many as tasks."""
+    spread = blocks.repartitionByRange(files, key) if files else blocks.repartitionByRange(key)
+    spread.sortWithinPartitions(key).write.mode("overwrite").json(to)
 
 
 def commit_batches(stream: DataFrame, to: str, checkpoint: str):

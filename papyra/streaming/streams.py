@@ -94,6 +94,113 @@ def frames_of_batch(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("stream").applyInPandas(run, "stream string, event string, data string")
 
 
+def emissions(events: DataFrame) -> DataFrame:
+    """Streaming: (stream, seq, record as JSON) -> (stream, seq, delta): of each record what was not emitted before.
+
+    A delta is emitted as it is, of a snapshot only the part beyond what was; the state is a
+    reply's text and how much of it went out.
+    """
+    schema = "stream string, seq long, delta string"
+
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        reply, out = Reply(*state.get) if state.exists else Reply(), []
+        for seq, record in _in_order(rows, "record"):
+            try:
+                reply.apply(json.loads(record))
+            except (ValueError, TypeError):
+                continue
+            if new := reply.emit():
+                out.append((key[0], seq, new))
+        state.update((reply.text, reply.emitted))
+        yield pd.DataFrame(out, columns=["stream", "seq", "delta"])
+
+    return events.groupBy("stream").applyInPandasWithState(step, schema, "text string, emitted long", "append", GroupStateTimeout.NoTimeout)
+
+
+def _in_order(rows: Iterator[pd.DataFrame], column: str) -> list[tuple]:
+    return sorted((int(seq), x) for batch in rows for seq, x in zip(batch["seq"], batch[column], strict=True))
+
+
+#: Where a completion's event keeps reasoning.
+REASONING_KEYS = ["reasoning_content", "reasoning", "thinking", "reasoning_delta", "thinking_delta", "analysis_delta"]
+
+
+def completion_parts(event: dict) -> tuple[str, str]:
+    """(text, reasoning) of one event of a completion, whatever dialect it is in."""
+    def joined(x) -> str:
+        if isinstance(x, list):
+            return "".join(joined(i) for i in x)
+        return joined(x.get("text", x.get("content", ""))) if isinstance(x, dict) else "" if x is None else str(x)
+
+    def thought(x: dict) -> str:
+        return next((joined(x[k]) for k in REASONING_KEYS if x.get(k)), "")
+
+    text, reasoning = [], []
+    for choice in event.get("choices") or []:
+        delta, message = choice.get("delta") or {}, choice.get("message") or {}
+        places = (delta.get("content"), delta.get("text"), message.get("content"), choice.get("text"))
+        text.append(joined(next((x for x in places if x is not None), "")))
+        reasoning.append(thought(delta) or thought(message) or thought(choice))
+    kind, delta = str(event.get("type") or ""), event.get("delta")
+    if not any(text) and delta:
+        if kind == "response.reasoning_summary_text.delta" or (isinstance(delta, dict) and delta.get("type") == "thinking_delta"):
+            reasoning.append(joined(delta.get("thinking")) if isinstance(delta, dict) else str(delta))
+        elif "delta" in kind:
+            text.append(joined(delta))
+    return "".join(text), "".join(reasoning) or thought(event)
+
+
+class Completion:
+    """A completion from chunks cut anywhere: frames, or bare JSON on one line; <think> tags part reasoning from text."""
+
+    def __init__(self, waiting: str = "", raw: str = "", reasoning: str = ""):
+        self.frames, self.raw, self.reasoning = FrameParser(waiting), raw, reasoning
+
+    def push(self, chunk: str) -> None:
+        for _, data in self.frames.push(chunk):
+            self._event(data)
+        rest = self.frames.waiting.strip()
+        if rest.startswith("{") and rest.endswith("}") and self._event(rest):
+            self.frames.waiting = ""
+
+    def _event(self, data: str) -> bool:
+        try:
+            event = json.loads(data)
+        except ValueError:
+            return False
+        if not isinstance(event, dict):
+            return False
+        text, reasoning = completion_parts(event)
+        self.raw += text
+        self.reasoning += reasoning
+        return True
+
+    def result(self) -> tuple[str, str]:
+        body, inner = split_thinking([self.raw])
+        return body, self.reasoning + inner
+
+
+def completions(chunks: DataFrame) -> DataFrame:
+    """Streaming, in update mode: (stream, seq, chunk) -> (stream, text, reasoning), each stream's reply so far."""
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        reply = Completion(*state.get) if state.exists else Completion()
+        for _, chunk in _in_order(rows, "chunk"):
+            reply.push(chunk)
+        state.update((reply.frames.waiting, reply.raw, reply.reasoning))
+        yield pd.DataFrame([(key[0], *reply.result())], columns=["stream", "text", "reasoning"])
+
+    return chunks.groupBy("stream").applyInPandasWithState(step, "stream string, text string, reasoning string", "waiting string, raw string, reasoning string", "update", GroupStateTimeout.NoTimeout)
+
+
+def drained(stream: DataFrame, to: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that its source has now, into Parquet, and reads it."""
+    def commit(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{to}/rows/batch={number}")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{to}/checkpoint").trigger(availableNow=True).foreachBatch(commit).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{to}/rows").select(*stream.columns)
+
+
 def replies(events: DataFrame) -> DataFrame:
     """(stream, seq, record as JSON) -> (stream, text): deltas and snapshots in order."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
