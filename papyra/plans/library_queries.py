@@ -217,11 +217,13 @@ def formula_blocks(spark, sf_dir):
     return library.first_holder(li.select("l_partkey").distinct(), holders, "l_partkey", "held", "l_orderkey", "at").select("l_partkey", "l_orderkey")
 
 
-@query("jn11_located", "SELECT doc_id AS quote, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS found FROM documents WHERE length(trim(substr(text, 1, 90))) > 50")
+@query("jn11_located", "WITH q AS (SELECT doc_id, text, doc_id % 2 = 0 AS named FROM documents WHERE length(text) > 50), o AS (SELECT doc_id, 0 AS b, substr(text, 1, CAST(floor(length(text) / 2) AS INT)) AS t FROM q UNION ALL SELECT doc_id, 1, substr(text, CAST(floor(length(text) / 2) AS INT) + 1) FROM q) SELECT doc_id AS quote, CASE WHEN named THEN 1 ELSE (SELECT min(b) FROM o WHERE o.doc_id = q.doc_id AND contains(o.t, left(substr(q.text, CAST(floor(length(q.text) / 2) AS INT) + 1), 80))) END AS found FROM q")
 def located(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").where("length(trim(substr(text, 1, 90))) > 50")
-    blocks = d.selectExpr("doc_id AS document_id", "0 AS block_id", "0 AS place", "text").unionByName(d.selectExpr("doc_id AS document_id", "1 AS block_id", "1 AS place", "'' AS text"))
-    quotes = d.selectExpr("doc_id AS quote", "doc_id AS document_id", "CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 9 END AS block_id", "substr(text, 1, 90) AS text")
+    """Documents in two blocks; every second quote, the second block itself, names a block that is not there."""
+    half = "CAST(floor(length(text) / 2) AS INT)"
+    d = load(spark, sf_dir, "documents").where("length(text) > 50")
+    blocks = d.selectExpr("doc_id AS document_id", "0 AS block_id", "0 AS place", f"substr(text, 1, {half}) AS text").unionByName(d.selectExpr("doc_id AS document_id", "1 AS block_id", "1 AS place", f"substr(text, {half} + 1) AS text"))
+    quotes = d.selectExpr("doc_id AS quote", "doc_id AS document_id", "CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 9 END AS block_id", f"substr(text, {half} + 1) AS text")
     return library.located(quotes, blocks).select("quote", "found")
 
 
@@ -275,15 +277,17 @@ def batch_items(spark, sf_dir):
     return records.first_by(load(spark, sf_dir, "orders"), ["o_custkey"], [F.col("o_orderkey")]).agg(F.count("*").alias("n"))
 
 
-@query("ag08_signature")
+@query("ag08_signature", "SELECT count(*) AS n, CAST(count(*) AS VARCHAR) || ':' || CAST(bit_xor(h) AS VARCHAR) || ':' || CAST(sum(h) AS VARCHAR) AS signature FROM (SELECT CAST('0x' || substr(md5(CAST(c_custkey AS VARCHAR) || chr(31) || c_name || chr(31) || CAST(c_nationkey AS VARCHAR)), 1, 13) AS BIGINT) AS h FROM customer) c")
 def signature(spark, sf_dir):
-    return library.signature(load(spark, sf_dir, "customer"), "c_custkey", "c_name", "c_acctbal")
+    return library.signature(load(spark, sf_dir, "customer"), "c_custkey", "c_name", "c_nationkey")
 
 
-@query("ag13_majority_spelling", "SELECT 'label' AS label, 'label' AS corrected UNION ALL SELECT 'lobel', 'label' UNION ALL SELECT 'zzz', 'zzz'")
+SPELT = "CASE WHEN c_custkey % 7 = 0 THEN replace(c_mktsegment, 'U', 'V') WHEN c_custkey % 11 = 0 THEN substr(c_mktsegment, 2) WHEN c_custkey % 13 = 0 THEN substr(c_mktsegment, 1, 2) || 'Q' || substr(c_mktsegment, 3) ELSE c_mktsegment END"
+
+
+@query("ag13_majority_spelling", f"WITH l AS (SELECT {SPELT} AS label, count(*) AS n FROM customer GROUP BY 1), b AS (SELECT a.label, c.label AS better, row_number() OVER (PARTITION BY a.label ORDER BY c.n DESC, c.label DESC) AS k FROM l a JOIN l c ON c.n > a.n AND right(a.label, 2) = right(c.label, 2) AND levenshtein(a.label, c.label) <= 2) SELECT l.label, coalesce(better, l.label) AS corrected FROM l LEFT JOIN b ON l.label = b.label AND k = 1")
 def majority_spelling(spark, sf_dir):
-    spelt = load(spark, sf_dir, "documents").select(F.expr("CASE WHEN doc_id % 10 = 0 THEN 'lobel' WHEN doc_id % 10 = 1 THEN 'zzz' ELSE 'label' END").alias("label"))
-    return library.majority_spelling(spelt, "label")
+    return library.majority_spelling(load(spark, sf_dir, "customer").select(F.expr(SPELT).alias("label")), "label")
 
 
 @query("ag16_distinct_values", "SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS flags FROM lineitem GROUP BY 1")
@@ -307,7 +311,11 @@ def role_ordinals(spark, sf_dir):
     return load(spark, sf_dir, "conversations").select("conv_id", "role", n.alias("n")).groupBy("conv_id", "role").agg(F.max("n").cast("long").alias("messages"))
 
 
-@query("wn15_lines_by_baseline")
+@query("wn15_lines_by_baseline", """
+WITH RECURSIVE s AS (SELECT user_id AS page, event_id AS item, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS n FROM events),
+r AS (SELECT page, item, n, v AS base, 0 AS line FROM s WHERE n = 1
+      UNION ALL SELECT s.page, s.item, s.n, CASE WHEN s.v - r.base <= 3.0 THEN r.base ELSE s.v END, CASE WHEN s.v - r.base <= 3.0 THEN r.line ELSE r.line + 1 END FROM r JOIN s ON s.page = r.page AND s.n = r.n + 1)
+SELECT page, item, line FROM r""")
 def lines_by_baseline(spark, sf_dir):
     i = load(spark, sf_dir, "events").selectExpr("user_id AS page", "event_id AS item", "value AS baseline", "10.0D AS size")
     return sequences.lines_by_baseline(i, "page")
@@ -399,11 +407,12 @@ def formulas(spark, sf_dir):
     return load(spark, sf_dir, "part").where(library.search_text(F.col("p_partkey").cast("string"), F.col("p_name")).contains("12")).select("p_partkey")
 
 
-@query("sr12_label_references", "SELECT page_id, instr(html, 'Fig. ' || CAST(page_id % 10 AS VARCHAR)) > 0 AS found FROM (SELECT page_id, 'see Fig. ' || CAST(page_id % 7 AS VARCHAR) AS html FROM pages) p WHERE page_id % 7 = 3")
+@query("sr12_label_references", """
+WITH p AS (SELECT page_id, string_split(lower(html || ' see Fig. ' || CAST(page_id % 7 AS VARCHAR) || ', FIG. 3'), 'fig. 3') AS parts FROM pages)
+SELECT page_id, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + 6 * (i - 1) AS INTEGER) AS position FROM (SELECT *, unnest(range(1, least(len(parts), 21))) AS i FROM p) z""")
 def label_references(spark, sf_dir):
-    p = load(spark, sf_dir, "pages").select("page_id", F.expr("'see fig. ' || page_id % 7").alias("t"))
-    hits = search.occurrences(p, "page_id", "t", "Fig. 3", 20)
-    return hits.select("page_id", (F.col("page_id") % 10 == 3).alias("found"))
+    p = load(spark, sf_dir, "pages").select("page_id", F.expr("html || ' see Fig. ' || page_id % 7 || ', FIG. 3'").alias("t"))
+    return search.occurrences(p, "page_id", "t", "Fig. 3", 20).select("page_id", "position")
 
 
 @query("sr13_collection_search", "SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE contains(lower(n_name || ' ' || r_name || ' > ' || n_name), 'asia')")
@@ -425,10 +434,10 @@ def seed_kinds(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", library.seed_kind(s).alias("kind"))
 
 
-@query("sr16_neighbours", "SELECT DISTINCT l_orderkey AS seed, l_partkey AS target FROM lineitem WHERE l_orderkey < 100")
+@query("sr16_neighbours", "SELECT DISTINCT l_orderkey AS seed, l_partkey AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def one_hop(spark, sf_dir):
     edges = load(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS source", "l_partkey AS target", "'cites' AS kind")
-    seeds = load(spark, sf_dir, "orders").where("o_orderkey < 100").select(F.col("o_orderkey").alias("key"))
+    seeds = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
     return graphs.neighbours(edges, seeds).select("seed", "target")
 
 
@@ -501,10 +510,14 @@ def document_keys(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", T.document_key(F.col("doc_id"), F.upper("source")).alias("key"))
 
 
-@query("sf33_safe_stems", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'a_b_ c' WHEN 1 THEN 'document_' || '9ba0f8f0' ELSE source END AS stem FROM documents WHERE doc_id % 3 <> 1")
+FNV = "lower(lpad(to_hex(list_reduce(list_prepend(2166136261::UBIGINT, list_transform(list_filter(string_split({}, ''), lambda x: x <> ''), lambda x: unicode(x)::UBIGINT)), lambda h, x: ((xor(h, x) * 16777619::UBIGINT) & 4294967295::UBIGINT)::UBIGINT)), 8, '0'))"
+LONG_NAME = "repeat('n', 90) || '-' || source || '-' || CAST(doc_id AS VARCHAR)"
+
+
+@query("sf33_safe_stems", f"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a_b_ c' WHEN 1 THEN 'document_' || {FNV.format("'CON.' || source")} WHEN 2 THEN CASE WHEN length({LONG_NAME}) > 96 THEN left({LONG_NAME}, 87) || '_' || {FNV.format(LONG_NAME)} ELSE {LONG_NAME} END ELSE source END AS stem FROM documents")
 def safe_stems(spark, sf_dir):
-    s = F.expr("CASE doc_id % 3 WHEN 0 THEN ' a/b:  c.. ' ELSE source END")
-    return load(spark, sf_dir, "documents").where("doc_id % 3 <> 1").select("doc_id", T.safe_stem(s).alias("stem"))
+    s = F.expr("CASE doc_id % 4 WHEN 0 THEN ' a/b:  c.. ' WHEN 1 THEN 'CON.' || source WHEN 2 THEN repeat('n', 90) || '-' || source || '-' || doc_id ELSE source END")
+    return load(spark, sf_dir, "documents").select("doc_id", T.safe_stem(s).alias("stem"))
 
 
 @query("sf13_markers", "SELECT doc_id, doc_id % 3 <> 2 AS found FROM documents")
@@ -589,7 +602,15 @@ def good_lines(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", layout.good_lines(F.col("value") / 100, F.col("event_id") % 40, F.lit(10), F.col("event_type")).alias("good"))
 
 
-@query("ge26_shelves")
+@query("ge26_shelves", """
+WITH RECURSIVE c AS (SELECT l_orderkey AS page, l_partkey AS crop, CAST(l_quantity * 10 AS BIGINT) AS w, l_suppkey % 90 + 10 AS h FROM lineitem),
+s AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY h DESC, w DESC, crop) AS n FROM c),
+r AS (SELECT page, crop, n, w, h, 0 AS sheet, 0::BIGINT AS x, 0::BIGINT AS y, h AS shelf FROM s WHERE n = 1
+      UNION ALL SELECT page, crop, n, w, h, CASE WHEN over THEN sheet + 1 ELSE sheet END, CASE WHEN over THEN 0 ELSE x END, CASE WHEN over THEN 0 ELSE y END, CASE WHEN over THEN h ELSE greatest(shelf, h) END
+      FROM (SELECT *, y > 0 AND y + h > 976 AS over FROM (
+        SELECT s.page, s.crop, s.n, s.w, s.h, r.sheet, CASE WHEN r.x + r.w + 8 + s.w > 688 THEN 0 ELSE r.x + r.w + 8 END AS x, CASE WHEN r.x + r.w + 8 + s.w > 688 THEN r.y + r.shelf + 8 ELSE r.y END AS y, CASE WHEN r.x + r.w + 8 + s.w > 688 THEN 0 ELSE r.shelf END AS shelf
+        FROM r JOIN s ON s.page = r.page AND s.n = r.n + 1) a) b)
+SELECT page, crop, sheet, x, y FROM r""")
 def shelves(spark, sf_dir):
     return layout.shelves(load(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS page", "l_partkey AS crop", "CAST(l_quantity * 10 AS BIGINT) AS w", "CAST(l_suppkey % 90 + 10 AS BIGINT) AS h"), "page")
 

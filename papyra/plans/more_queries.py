@@ -62,10 +62,19 @@ def common_areas(spark, sf_dir):
     return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", geometry.overlap(geometry.box(d(0), d(0), F.col("l_quantity"), d(2)), geometry.box(d(0), d(0), d(20), d(9))).alias("area"))
 
 
-@query("sf63_quote_identities", "SELECT count(DISTINCT lang || '|' || source) AS n FROM documents")
+LANES = "lower(lpad(to_hex(list_reduce(list_prepend(2166136261::UBIGINT, list_transform(u, lambda x: x::UBIGINT)), lambda h, x: ((xor(h, x) * 16777619::UBIGINT) & 4294967295::UBIGINT)::UBIGINT)), 8, '0')) || lower(lpad(to_hex(list_reduce(list_prepend(2654435769::UBIGINT, list_transform(u, lambda x, i: ((x + i * 131) & 4294967295)::UBIGINT)), lambda h, x: ((xor(h, x) * 2246822507::UBIGINT) & 4294967295::UBIGINT)::UBIGINT)), 8, '0'))"
+
+
+def print_of(json: str) -> str:
+    """SQL: the fingerprint of a text without signs beyond 16 bits, of every row of documents."""
+    return f"SELECT doc_id, {LANES} AS value FROM (SELECT doc_id, list_transform(string_split({json}, ''), lambda c: unicode(c)) AS u FROM documents) d"
+
+
+@query("sf63_quote_identities", print_of("""'{"blockID":"b' || CAST(doc_id AS VARCHAR) || '","documentID":"d1","kind":"text","page":' || CAST(doc_id % 9 AS VARCHAR) || ',"side":"source","text":"' || lang || ' ' || source || '"}'"""))
 def quote_identities(spark, sf_dir):
-    q = docs(spark, sf_dir).select(parsing.fingerprint_udf(F.to_json(F.struct("lang", "source"))).alias("id"))
-    return q.distinct().agg(F.count("*").alias("n"))
+    """Six fields, in the order of their names."""
+    six = F.struct(F.concat(F.lit("b"), F.col("doc_id").cast("string")).alias("blockID"), F.lit("d1").alias("documentID"), F.lit("text").alias("kind"), (F.col("doc_id") % 9).alias("page"), F.lit("source").alias("side"), F.concat_ws(" ", "lang", "source").alias("text"))
+    return docs(spark, sf_dir).select("doc_id", T.fingerprint(F.to_json(six)).alias("value"))
 
 
 @query("sf35_unique_paths", "SELECT conv_id, turn, role || CASE WHEN n > 1 THEN ' (' || CAST(n AS VARCHAR) || ')' ELSE '' END || '.md' AS name FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations) q")
@@ -74,21 +83,31 @@ def unique_paths(spark, sf_dir):
     return sequences.unique_paths(p, "conv_id", "turn", "path").select("conv_id", "turn", "name")
 
 
-@query("wn09_chunk_table", "SELECT conv_id, turn, CAST(e - length(text) AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\" FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM conversations) q")
+FNV = "lower(lpad(to_hex(list_reduce(list_prepend(2166136261::UBIGINT, list_transform(list_filter(string_split(text, ''), lambda x: x <> ''), lambda x: unicode(x)::UBIGINT)), lambda h, x: ((xor(h, x) * 16777619::UBIGINT) & 4294967295::UBIGINT)::UBIGINT)), 8, '0'))"
+
+
+@query("wn09_chunk_table", f"SELECT conv_id, turn, CAST(e - length(text) AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\", '[[CHUNK_END_' || lpad(CAST(n AS VARCHAR), 4, '0') || '_' || {FNV} || ']]' AS marker FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS e, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) q")
 def chunk_table(spark, sf_dir):
-    return sequences.chunk_table(load(spark, sf_dir, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", "start", "end")
+    return sequences.chunk_table(load(spark, sf_dir, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", "start", "end", "marker")
 
 
-@query("wn11_page_ranges")
+@query("wn11_page_ranges", """
+WITH RECURSIVE p AS (SELECT user_id % 5 AS d, event_id AS page, value AS score, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id % 5) AS total FROM events),
+e AS (SELECT p.d, p.i AS first, CASE WHEN p.i + 200 >= p.total THEN p.total - 1 ELSE max(CASE WHEN q.i = b.i THEN q.i END) END AS last
+      FROM p JOIN p q ON q.d = p.d AND q.i BETWEEN p.i + 180 AND p.i + 199 JOIN (SELECT p.d, p.i AS f, arg_max(q.i, struct_pack(s := q.score, i := q.i)) AS i FROM p JOIN p q ON q.d = p.d AND q.i BETWEEN p.i + 180 AND p.i + 199 GROUP BY 1, 2) b ON b.d = p.d AND b.f = p.i GROUP BY p.d, p.i, p.total
+      UNION ALL SELECT d, i, total - 1 FROM p WHERE i + 180 >= total),
+r AS (SELECT d, 0 AS part, first, last FROM e WHERE first = 0 UNION ALL SELECT e.d, r.part + 1, e.first, e.last FROM r JOIN e ON e.d = r.d AND e.first = r.last + 1)
+SELECT r.d AS document_id, part, a.page AS first, z.page AS last FROM r JOIN p a ON a.d = r.d AND a.i = r.first JOIN p z ON z.d = r.d AND z.i = r.last""")
 def page_ranges(spark, sf_dir):
     p = load(spark, sf_dir, "events").selectExpr("user_id % 5 AS document_id", "event_id AS page", "value AS score")
     return sequences.page_ranges(p, "document_id", "page", "score")
 
 
-@query("wn18_toc_entries", "SELECT doc_id, '1.' || CAST(doc_id AS VARCHAR) AS number, lang AS title, 'xiv' AS page FROM documents WHERE doc_id % 2 = 0")
+@query("wn18_toc_entries", r"SELECT doc_id, regexp_extract(line, p, 1) AS number, regexp_extract(line, p, 2) AS title, regexp_extract(line, p, 3) AS page FROM (SELECT doc_id, unnest(string_split(' 1.' || CAST(doc_id AS VARCHAR) || '  ' || lang || ' ..... xiv ' || chr(10) || text, chr(10))) AS line, '(?i)^\s*(\d+(?:\.\d+)*\.?)\s+(.+?)\s*(?:\.{2,}|…{2,}|·{2,}|-{3,})\s*(\d+|[ivxlcdm]+)\s*$' AS p FROM documents) l WHERE regexp_matches(line, p)")
 def toc_entries(spark, sf_dir):
-    line = F.expr("CASE WHEN doc_id % 2 = 0 THEN ' 1.' || doc_id || '  ' || lang || ' ..... xiv ' ELSE text END")
-    return docs(spark, sf_dir).where("doc_id % 2 = 0 OR NOT text RLIKE '[.]{2,}'").select("doc_id", T.toc_entry(line).alias("e")).where("e IS NOT NULL").select("doc_id", "e.*")
+    """Every line of every text, after one that is an entry."""
+    lines = docs(spark, sf_dir).select("doc_id", F.explode(F.split(F.expr("' 1.' || doc_id || '  ' || lang || ' ..... xiv ' || chr(10) || text"), "\n")).alias("line"))
+    return lines.select("doc_id", T.toc_entry(F.col("line")).alias("e")).where("e IS NOT NULL").select("doc_id", "e.*")
 
 
 @query("jn19_captions", "WITH w AS (SELECT conv_id, turn, lag(role, 1) OVER o AS b1, lag(role, 2) OVER o AS b2, lead(role, 1) OVER o AS a1, lead(role, 2) OVER o AS a2 FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, CASE WHEN 'user' IN (b1, b2, a1, a2) THEN 'user' END AS near FROM w")
@@ -120,15 +139,18 @@ def region_unions(spark, sf_dir):
 
 @query("ge27_image_numbers", "SELECT page_id, CAST(n AS INTEGER) AS n, printf('IMAGE_%03d', n) AS label, CASE n WHEN 1 THEN 'a.png' ELSE 'b.png' END AS target FROM pages, (VALUES (1), (2)) t(n)")
 def image_numbers(spark, sf_dir):
-    refs = T.image_references(F.concat(F.lit("![x](a.png) and ![](b.png) "), F.regexp_replace(F.substring("html", 1, 50), r"[!\[\]()]", "")))
+    refs = T.image_references(F.concat(F.lit("![x](a.png) and ![](b.png) "), F.regexp_replace("html", r"[!\[\]()]", "")))
     rows = load(spark, sf_dir, "pages").select("page_id", F.posexplode(refs).alias("pos", "r"))
     return rows.select("page_id", (F.col("pos") + 1).alias("n"), F.format_string("IMAGE_%03d", F.col("pos") + 1).alias("label"), "r.target")
 
 
-@query("sf70_valid_diagrams", "SELECT doc_id, quality = 1 AS valid FROM labels")
+@query("sf70_valid_diagrams", f"SELECT doc_id, doc_id % 3 <> 0 AND doc_id % 4 <> 1 AS valid FROM documents")
 def valid_diagrams(spark, sf_dir):
-    made = F.when(F.col("quality") == 1, "f").otherwise("old")
-    return load(spark, sf_dir, "labels").select("doc_id", library.current_translation(F.lit("complete"), made, F.lit("f")).alias("valid"))
+    """A diagram counts while it is complete and made from what its source now is."""
+    now = T.fingerprint(F.col("text"))
+    made = F.when(F.col("doc_id") % 3 == 0, T.fingerprint(F.concat("text", F.lit(" ")))).otherwise(T.fingerprint(F.regexp_replace("text", "\n", "\r\n")))
+    status = F.when(F.col("doc_id") % 4 == 1, "partial").otherwise("complete")
+    return docs(spark, sf_dir).select("doc_id", library.current_translation(status, made, now).alias("valid"))
 
 
 @query("sf46_formulas_replaced", "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 'y' ELSE p_name END AS tex, p_partkey % 4 = 0 AS changed FROM part")
@@ -143,18 +165,24 @@ def partial_json(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", F.posexplode(parsing.json_objects_udf(s)).alias("pos", "object"))
 
 
-@query("sf31_document_fingerprints", "SELECT count(DISTINCT lang || '|' || source || '|' || text) AS n FROM documents")
+@query("sf31_document_fingerprints", print_of("""'{"formulas":[],"images":[],"markdown":"' || lang || '","pages":[{"blocks":[{"bbox":[0,1],"id":"b' || CAST(doc_id AS VARCHAR) || '","order":0,"text":"' || source || '","type":"text"}],"height":2,"page":1,"width":1}]}'"""))
 def document_fingerprints(spark, sf_dir):
-    body = parsing.stable_json_udf(F.to_json(F.struct("text", "lang", "source")))
-    return docs(spark, sf_dir).select(parsing.fingerprint_udf(body).alias("f")).distinct().agg(F.count("*").alias("n"))
+    """Stable JSON of what counts of a document: names in order, whatever order they came in."""
+    raw = F.concat(F.lit('{"markdown": "'), F.col("lang"), F.lit('", "pages": [{"page": 1, "width": 1, "height": 2, "blocks": [{"type": "text", "id": "b'), F.col("doc_id").cast("string"), F.lit('", "text": "'), F.col("source"), F.lit('", "bbox": [0, 1], "order": 0}]}], "images": [], "formulas": []}'))
+    return docs(spark, sf_dir).select("doc_id", T.fingerprint(parsing.stable_json_udf(raw)).alias("value"))
 
 
-@query("wn07_sentence_groups", "SELECT doc_id, TRUE AS whole FROM documents")
+@query("wn07_sentence_groups", r"""
+WITH RECURSIVE s AS (SELECT doc_id, unnest(x) AS t, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1)) AS x FROM documents) d),
+r AS (SELECT doc_id, i, 0 AS chunk, length(t) + 1 AS size FROM s WHERE i = 1
+      UNION ALL SELECT s.doc_id, s.i, CASE WHEN r.size + length(s.t) + 1 > 1000 THEN r.chunk + 1 ELSE r.chunk END, CASE WHEN r.size + length(s.t) + 1 > 1000 THEN length(s.t) + 1 ELSE r.size + length(s.t) + 1 END FROM r JOIN s ON s.doc_id = r.doc_id AND s.i = r.i + 1)
+SELECT r.doc_id, chunk, string_agg(t, ' ' ORDER BY r.i) AS text FROM r JOIN s ON s.doc_id = r.doc_id AND s.i = r.i GROUP BY 1, 2""")
 def sentence_groups(spark, sf_dir):
-    s = F.split("text", r"(?<=[.!?])\s+")
-    d = docs(spark, sf_dir).select("doc_id", "text", s.alias("s"), sequences.greedy_groups(F.transform(s, lambda x: F.length(x)), 1000, 1 << 30, 1).alias("g"))
-    chunks = d.select("doc_id", "text", F.explode(F.arrays_zip("s", "g")).alias("x")).groupBy("doc_id", "text", "x.g").agg(F.sum(F.length("x.s") + 1).alias("n"), F.count("*").alias("parts"))
-    return chunks.groupBy("doc_id").agg(F.every((F.col("n") <= 1001) | (F.col("parts") == 1)).alias("whole"))
+    """Whole sentences in chunks of at most 1000 signs, a longer sentence alone."""
+    s = F.split("text", r"(?<=[.!?。！？])\s+")
+    d = docs(spark, sf_dir).select("doc_id", F.arrays_zip(s.alias("s"), sequences.greedy_groups(F.transform(s, lambda x: F.length(x)), 1000, 1 << 30, 1).alias("g")).alias("x"))
+    rows = d.select("doc_id", F.explode(F.transform("x", lambda x, i: F.struct(x["g"].alias("chunk"), i.alias("i"), x["s"].alias("s")))).alias("x")).groupBy("doc_id", "x.chunk").agg(F.array_sort(F.collect_list(F.struct("x.i", "x.s"))).alias("p"))
+    return rows.select("doc_id", "chunk", F.array_join(F.transform("p", lambda p: p["s"]), " ").alias("text"))
 
 
 LINES_OF = "array(named_struct('spans', array(named_struct('type', 'text', 'content', ''), named_struct('type', 'inline_Equation', 'content', lang))), named_struct('spans', array(named_struct('type', 'interline_formula', 'content', source))))"

@@ -13,7 +13,7 @@ from .registry import load, query
 CARD_COLUMNS = [
     "doc_id AS id",
     "substr(text, 1, 60) AS title",
-    "substr(text, 61, 300) AS abstract",
+    "substr(text, 61) AS abstract",
     "lang || ' ' || source AS author",
     "source AS venue",
     "lang AS tag",
@@ -43,6 +43,7 @@ def _weighted_sql(weights):
     return " + ".join(f"CASE WHEN contains(lower({c}), '{t}') THEN {w}.0::DOUBLE ELSE 0.0::DOUBLE END" for t in TERMS for c, w in weights)
 
 
+#: The weights of a card's fields.
 W6 = [("title", 8), ("abstract", 4), ("author", 3), ("venue", 2), ("tag", 2), ("doi", 5)]
 
 
@@ -72,18 +73,20 @@ def library_relevance(spark, sf_dir):
     return cards(spark, sf_dir).select("id", search.relevance(fields, " EN ").alias("value"))
 
 
+HALF = "CAST(floor(length(text) / 2) AS INT)"
+FIELDS = ["doc_id AS document_id", "source AS title", "'text' AS type", "'' AS block_id", "text"], ["doc_id AS document_id", "source AS title", "'table' AS type", "'b1' AS block_id", f"substr(text, {HALF} + 1) AS text"]
+
+
 @query("corpus_search", f"""
-WITH f AS (SELECT doc_id AS document_id, source AS title, 'text' AS type, '' AS block_id, substr(text, 1, 400) AS text FROM documents
-           UNION ALL SELECT doc_id, source, 'table', 'b1', substr(text, 401, 400) FROM documents),
+WITH f AS (SELECT {', '.join(FIELDS[0])} FROM documents UNION ALL SELECT {', '.join(FIELDS[1])} FROM documents),
 s AS (SELECT *, (CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'ver') THEN 1 ELSE 0 END) / 2.0::DOUBLE AS score FROM f),
 r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, (block_id <> '') DESC, block_id, type) AS rank FROM s WHERE score > 0),
 t AS (SELECT *, greatest(instr(lower(text), 'the') - 1, 0) AS p0 FROM r WHERE rank <= 1 ORDER BY score DESC, title, document_id LIMIT 50)
 SELECT document_id, title, type, block_id, score, substr(text, greatest(p0 - 180, 0) + 1, p0 + 520 - greatest(p0 - 180, 0)) AS snippet FROM t""")
 def corpus_search(spark, sf_dir):
+    """Two fields of each document: its whole text, and its second half as a block of its own."""
     d = load(spark, sf_dir, "documents")
-    a = d.selectExpr("doc_id AS document_id", "source AS title", "'text' AS type", "'' AS block_id", "substr(text, 1, 400) AS text")
-    b = d.selectExpr("doc_id AS document_id", "source AS title", "'table' AS type", "'b1' AS block_id", "substr(text, 401, 400) AS text")
-    return search.corpus_search(a.unionByName(b), "the ver", 50)
+    return search.corpus_search(d.selectExpr(*FIELDS[0]).unionByName(d.selectExpr(*FIELDS[1])), "the ver", 50)
 
 
 @query("sr01_tokens", r"SELECT t AS term, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: length(x) > 1)) AS t FROM documents) q GROUP BY 1 HAVING count(*) >= 5")
@@ -233,11 +236,11 @@ def ris(spark, sf_dir):
     return c.select("id", records.ris(F.lit("JOUR"), F.array("author"), [("TI", F.col("title")), ("PY", F.col("year")), ("DO", F.lit(None))]).alias("entry"))
 
 
-@query("sk06_table_export", "SELECT n_nationkey, '| k | v |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_name || ' | ' || CAST(n_regionkey AS VARCHAR) || ' |' AS markdown, 'k,v' || chr(10) || n_name || ',\"a,b\"' AS csv FROM nation")
+@query("sk06_table_export", "SELECT n_nationkey, '| k | v |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_name || ' | ' || CAST(n_regionkey AS VARCHAR) || ' |' AS markdown, 'k,v' || chr(10) || n_name || ',\"a,b\"' AS csv, '<table><tr><th>k</th><th>v</th></tr><tr><td>' || n_name || '</td><td>a&lt;b</td></tr><tr><td>x</td><td></td></tr></table>' AS html FROM nation")
 def table_export(spark, sf_dir):
     rows = F.array(F.array(F.lit("k"), F.lit("v")), F.array(F.col("n_name"), F.col("n_regionkey").cast("string")))
     cells = F.array(F.array(F.lit("k"), F.lit("v")), F.array(F.col("n_name"), F.lit("a,b")))
-    return load(spark, sf_dir, "nation").select("n_nationkey", records.markdown_table(rows).alias("markdown"), records.csv_rows(cells).alias("csv"))
+    return load(spark, sf_dir, "nation").select("n_nationkey", records.markdown_table(rows).alias("markdown"), records.csv_rows(cells).alias("csv"), records.html_table(F.array(F.array(F.lit("k"), F.lit("v")), F.array(F.col("n_name"), F.lit("a<b")), F.array(F.lit("x")))).alias("html"))
 
 
 @query("st02_page", "SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40")
@@ -312,7 +315,13 @@ def top_per_document(spark, sf_dir):
     return records.retained(load(spark, sf_dir, "orders"), ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 3).select("o_custkey", "o_orderkey")
 
 
-@query("wn05_greedy_groups")
+@query("wn05_greedy_groups", """
+WITH RECURSIVE l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents) d),
+n AS (SELECT doc_id, i, length(line) AS n FROM l),
+r AS (SELECT doc_id, i, n AS size, 1 AS items, 0 AS chunk FROM n WHERE i = 0
+      UNION ALL SELECT n.doc_id, n.i, CASE WHEN r.size + n.n > 500 OR r.items >= 8 THEN n.n ELSE r.size + n.n END, CASE WHEN r.size + n.n > 500 OR r.items >= 8 THEN 1 ELSE r.items + 1 END, CASE WHEN r.size + n.n > 500 OR r.items >= 8 THEN r.chunk + 1 ELSE r.chunk END
+      FROM r JOIN n ON n.doc_id = r.doc_id AND n.i = r.i + 1)
+SELECT doc_id, CAST(i AS INTEGER) AS line_no, chunk FROM r""")
 def greedy_groups(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.length(x)).alias("n"))
     return d.select("doc_id", F.posexplode(sequences.greedy_groups(F.col("n"), 500, 8)).alias("line_no", "chunk"))
@@ -361,10 +370,10 @@ def outline_parents(spark, sf_dir):
 
 
 def _boxes(spark, sf_dir):
-    return load(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("item"), geometry.box(F.col("l_partkey") % 50 * 1.0, F.col("l_suppkey") % 40 * 1.0, F.col("l_partkey") % 50 + F.col("l_quantity"), F.col("l_suppkey") % 40 + 10.0).alias("b"))
+    return load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("item"), geometry.box(F.col("l_partkey") % 50 * 1.0, F.col("l_suppkey") % 40 * 1.0, F.col("l_partkey") % 50 + F.col("l_quantity"), F.col("l_suppkey") % 40 + 10.0).alias("b"))
 
 
-BOXES = "SELECT l_orderkey AS page, l_linenumber AS item, l_partkey % 50 * 1.0::DOUBLE AS x0, l_suppkey % 40 * 1.0::DOUBLE AS y0, l_partkey % 50 + l_quantity AS x1, l_suppkey % 40 + 10.0::DOUBLE AS y1 FROM lineitem WHERE l_orderkey % 4 = 0"
+BOXES = "SELECT l_orderkey AS page, l_partkey * 10 + l_linenumber AS item, l_partkey % 50 * 1.0::DOUBLE AS x0, l_suppkey % 40 * 1.0::DOUBLE AS y0, l_partkey % 50 + l_quantity AS x1, l_suppkey % 40 + 10.0::DOUBLE AS y1 FROM lineitem"
 
 
 @query("jn12_assigned", f"WITH b AS ({BOXES}), k AS (SELECT page, 'L' AS block, 0.0 AS bx0, 0.0 AS by0, 45.0 AS bx1, 60.0 AS by1 FROM b GROUP BY 1 UNION ALL SELECT page, 'R', 40.0, 0.0, 110.0, 60.0 FROM b GROUP BY 1), h AS (SELECT b.page, item, block, greatest(least(x1, bx1) - greatest(x0, bx0), 0) * greatest(least(y1, by1) - greatest(y0, by0), 0) / ((x1 - x0) * (y1 - y0)) AS ratio FROM b JOIN k USING (page) WHERE (x0 + x1) / 2 BETWEEN bx0 AND bx1 AND (y0 + y1) / 2 BETWEEN by0 AND by1), r AS (SELECT *, row_number() OVER (PARTITION BY page, item ORDER BY ratio DESC, block) AS n FROM h WHERE ratio >= 0.5) SELECT page, item, block, round(ratio, 9) AS ratio FROM r WHERE n = 1")
@@ -386,10 +395,10 @@ def sides(spark, sf_dir):
     return _boxes(spark, sf_dir).select("page", "item", geometry.side(F.col("b"), F.lit(100.0)).alias("side"))
 
 
-@query("jn14_unique_below", f"WITH b AS ({BOXES}), h AS (SELECT c.page, c.item AS caption, t.item AS t, count(*) OVER (PARTITION BY c.page, c.item) AS n FROM b c JOIN b t ON c.page = t.page AND c.item <= 2 AND t.item > 2 WHERE t.y0 - c.y1 BETWEEN -2 AND 20 AND abs(t.x0 - c.x0) < 20) SELECT page, caption, t AS \"table\" FROM h WHERE n = 1")
+@query("jn14_unique_below", f"WITH b AS ({BOXES}), h AS (SELECT c.page, c.item AS caption, t.item AS t, count(*) OVER (PARTITION BY c.page, c.item) AS n FROM b c JOIN b t ON c.page = t.page AND c.item % 10 <= 2 AND t.item % 10 > 2 WHERE t.y0 - c.y1 BETWEEN -2 AND 20 AND abs(t.x0 - c.x0) < 20) SELECT page, caption, t AS \"table\" FROM h WHERE n = 1")
 def unique_below(spark, sf_dir):
     b = _boxes(spark, sf_dir)
-    return geometry.unique_below(b.where("item <= 2").select("page", F.col("item").alias("caption"), F.col("b").alias("cb")), b.where("item > 2").select("page", F.col("item").alias("table"), F.col("b").alias("tb")))
+    return geometry.unique_below(b.where("item % 10 <= 2").select("page", F.col("item").alias("caption"), F.col("b").alias("cb")), b.where("item % 10 > 2").select("page", F.col("item").alias("table"), F.col("b").alias("tb")))
 
 
 # --- aggregates ------------------------------------------------------------------------------------

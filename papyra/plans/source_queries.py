@@ -80,7 +80,7 @@ def archive_roots(spark, sf_dir):
     return readers.archive_roots(rows, "c_custkey", "path").select("c_custkey", "root", F.col("score").cast("int").alias("score"))
 
 
-@query("sm01_frames")
+@query("sm01_frames", "SELECT CAST(conv_id AS VARCHAR) AS stream, 'message' AS event, role AS data FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS f FROM conversations) c WHERE turn = f")
 def frames(spark, sf_dir):
     c = load(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("stream"), F.col("turn").alias("seq"), F.expr("'data: ' || role || '\n\nda'").alias("chunk"))
     return streams.frames_of_batch(c)
@@ -106,6 +106,10 @@ def progress(spark, sf_dir):
     return streams.progress(e, "ts", "10 minutes", "1 minute", "event_type", "value")
 
 
-@query("sm14_packed_batches")
+@query("sm14_packed_batches", """
+WITH RECURSIVE s AS (SELECT conv_id, turn, text, CAST(octet_length(encode(text)) AS BIGINT) AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations),
+r AS (SELECT conv_id, turn, text, n, b AS size, 0 AS batch FROM s WHERE n = 1
+      UNION ALL SELECT s.conv_id, s.turn, s.text, s.n, CASE WHEN r.size + s.b > 900 THEN s.b ELSE r.size + s.b END, CASE WHEN r.size + s.b > 900 THEN r.batch + 1 ELSE r.batch END FROM r JOIN s ON s.conv_id = r.conv_id AND s.n = r.n + 1)
+SELECT conv_id, turn, text, batch FROM r""")
 def packed_batches(spark, sf_dir):
     return streams.packed_batches(load(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 900)

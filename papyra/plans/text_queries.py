@@ -38,9 +38,9 @@ scalar("sf04_arxiv_id", "documents", "doc_id", ARXIV, T.arxiv_id, r"lower(regexp
 scalar("sf05_year", "events", "event_id", "'on ' || CAST(ts AS STRING) || ' x' || CAST(event_id AS STRING)", T.year, r"CAST(nullif(regexp_extract(s, '\b((?:18|19|20|21)\d{2})\b', 1), '') AS INTEGER)")
 scalar("sf06_work_id", "documents", "doc_id", f"CASE WHEN doc_id % 2 = 0 THEN 'https://works.example/w' || {ID} ELSE 'A' || {ID} || '/' END", T.work_id, r"upper(regexp_extract(s, '(?i)(W\d+)$', 1))")
 scalar("sf08_clean_markdown", *DOC, T.clean_markdown, _strip(_g(r"\n{4,}", "\n\n\n", _g(r"(?m)[ \t]+$", "", _g(r"\r\n?", "\n")))) + " || chr(10)")
-LINE = "CASE doc_id % 5 WHEN 0 THEN '## ' || substr(text, 1, 40) WHEN 1 THEN '- ' || substr(text, 1, 40) WHEN 2 THEN '![x](a.png)' WHEN 3 THEN '12) see ![y](b.png) ' || substr(text, 1, 20) ELSE text END"
+LINE = "CASE doc_id % 5 WHEN 0 THEN '## ' || text WHEN 1 THEN '- ' || text WHEN 2 THEN '![x](a.png)' WHEN 3 THEN '12) see ![y](b.png) ' || text ELSE text END"
 scalar("sf10_block_text", "documents", "doc_id", LINE, T.block_text, r"CASE WHEN regexp_matches(" + _strip("s") + r", '^(```|~~~)') OR regexp_matches(" + _strip("s") + r", '^!\[[^\]]*\]\([^)]+\)\s*$') THEN '' ELSE " + _strip(r"regexp_replace(regexp_replace(regexp_replace(s, '^#{1,6}\s+', ''), '^\s*(?:[-*+]|\d+[.)])\s+', ''), '!\[[^\]]*\]\([^)]+\)', '', 'g')") + " END")
-MATH = "substr(text, 1, 50) || CASE doc_id % 4 WHEN 0 THEN ' $x$ and $$y$$' WHEN 1 THEN ' $x' WHEN 2 THEN ' $$a \\[ b' ELSE ' \\[c\\]' END"
+MATH = "text || CASE doc_id % 4 WHEN 0 THEN ' $x$ and $$y$$' WHEN 1 THEN ' $x' WHEN 2 THEN ' $$a \\[ b' ELSE ' \\[c\\]' END"
 MATH_SQL = MATH
 MATH_SPARK = MATH.replace("\\", "\\\\")
 
@@ -54,10 +54,10 @@ scalar("sf20_html_text", *PAGE, T.html_text, _strip(_g(r"[ \t]+", " ", "replace(
 scalar("sf47_plain_text", *PAGE, T.plain_text, _strip(_g(r"\s+", " ", _g("<[^>]+>", " "))))
 scalar("sf32_sha256", *DOC, lambda c: F.sha2(T.text(c), 256), "sha256(s)")
 scalar("sf38_latin_count", *DOC, T.latin_count, "CAST(len(regexp_extract_all(s, '[A-Za-z]')) AS INTEGER)")
-scalar("sf38_cjk_count", "documents", "doc_id", "CASE WHEN doc_id % 7 = 0 THEN '汉字カナ' || substr(text, 1, 30) ELSE text END", T.cjk_count, r"CAST(len(regexp_extract_all(s, '[\x{3400}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]')) AS INTEGER)")
+scalar("sf38_cjk_count", "documents", "doc_id", "CASE WHEN doc_id % 7 = 0 THEN '汉字カナ' || text ELSE text END", T.cjk_count, r"CAST(len(regexp_extract_all(s, '[\x{3400}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]')) AS INTEGER)")
 scalar("sf40_compare_text", *DOC, T.compare_text, r"regexp_replace(lower(s), '[\p{P}\p{S}\s]+', '', 'g')")
 scalar("sf41_visible_length", *DOC, T.visible_length, "CAST(length(" + _g(r"\s+", "", _g("<[^>]+>", "", _g(r"\$[^$]*\$", ""))) + ") AS INTEGER)")
-scalar("sf42_equation_numbers", "documents", "doc_id", f"'by (1.' || {ID} || ') and (2.3), not (4)' || substr(text, 1, 20)", lambda c: F.array_join(T.equation_numbers(c), ","), r"array_to_string(regexp_extract_all(s, '\((\d+(?:\.\d+)*)\)', 1), ',')")
+scalar("sf42_equation_numbers", "documents", "doc_id", f"'by (1.' || {ID} || ') and (2.3), not (4)' || text", lambda c: F.array_join(T.equation_numbers(c), ","), r"array_to_string(regexp_extract_all(s, '\((\d+(?:\.\d+)*)\)', 1), ',')")
 scalar("sf48_head_with_notice", *DOC, lambda c: T.head_with_notice(c, 800), "CASE WHEN length(s) > 800 THEN left(s, 800) || '… [' || CAST(length(s) AS VARCHAR) || ' characters]' ELSE s END")
 scalar("sf48_head_and_tail", *DOC, lambda c: T.head_and_tail(c, 1000), "CASE WHEN length(s) > 1000 THEN left(s, 720) || chr(10) || '…' || chr(10) || right(s, 280) ELSE s END")
 scalar("sf49_redacted", *DOC, T.redacted, r"regexp_replace(s, '(?i)\b(api[-_]?key|authorization|password|secret|token)\b(\s*[:=]\s*)\S+', '\1\2[REDACTED]', 'g')")
@@ -69,12 +69,12 @@ scalar("sf64_retryable_status", "events", "event_id", "CAST(400 + event_id % 120
 scalar("sf65_language_code", "documents", "doc_id", "CASE doc_id % 4 WHEN 0 THEN ' Deutsch' WHEN 1 THEN 'English' WHEN 2 THEN lang ELSE 'Klingon' END", T.language_code, "CASE lower(trim(s)) WHEN 'deutsch' THEN 'de' WHEN 'english' THEN 'en' ELSE lower(trim(s)) END")
 scalar("fl13_translatable", *DOC, T.translatable, "regexp_matches(s, '[A-Za-z]{3,}')")
 scalar("fl14_bibliography_like", *DOC, T.bibliography_like, r"regexp_matches(s, '^\s*\[\d+\]\s') OR regexp_matches(s, '(?i)\b(doi:|et al\.|vol\.|pp\.)')")
-scalar("fl14_affiliation_like", *DOC, T.affiliation_like, r"regexp_matches(s, '(?i)\b(university|institute|department|laboratory|college|school of|academy)\b') AND length(s) < 260")
+scalar("fl14_affiliation_like", "documents", "doc_id", "CASE doc_id % 5 WHEN 0 THEN 'City HOSPITAL, ' || text WHEN 1 THEN '某大学 ' || text WHEN 2 THEN 'universityx' ELSE text END", T.affiliation_like, r"regexp_matches(s, '(?i)\b(university|institute|department|laboratory|school|college|hospital)\b|大学|学院|研究所|实验室')")
 scalar("sf39_expects_cjk", "documents", "doc_id", "CASE doc_id % 3 WHEN 0 THEN 'Chinese' WHEN 1 THEN 'ja' ELSE lang END", T.expects_cjk, "regexp_matches(lower(s), 'zh|chinese|ja|japanese|ko|korean')")
 scalar("sf62_compact_reference", "documents", "doc_id", "'<details>x' || chr(10) || 'y</details>![a](b)' || text", T.without_images_and_details, _strip(_g(r"\n{3,}", "\n\n", _g(r"!\[[^\]]*\]\([^)]+\)", "", _g(r"(?is)<details\b[^>]*>.*?</details>", "")))))
 scalar("sf23_split_cells", "documents", "doc_id", "'| ' || substr(source, 1, 9) || ' | a\\\\|b | ' || lang || ' |'", lambda c: F.array_join(T.split_cells(c), "~"), "source || '~a|b~' || lang".replace("source", "regexp_extract(s, '\\| (\\w+)', 1)").replace("lang", "regexp_extract(s, '(\\w+) \\|$', 1)"))
 scalar("sf66_bytes_text", "documents", "doc_id", "n_chars * 37", T.bytes_text, "CASE WHEN s < 1024 THEN CAST(s AS VARCHAR) || ' B' WHEN s / 1024.0::DOUBLE < 1024 THEN CAST(round(s / 1024.0::DOUBLE, 1) AS VARCHAR) || ' KB' ELSE CAST(round(s / 1048576.0::DOUBLE, 1) AS VARCHAR) || ' MB' END")
-scalar("sf30_fnv32", "documents", "doc_id", "substr(text, 1, 200)", T.fnv32, "lower(lpad(to_hex(list_reduce(list_prepend(2166136261::UBIGINT, list_transform(list_filter(string_split(s, ''), lambda x: x <> ''), lambda x: unicode(x)::UBIGINT)), lambda h, x: ((xor(h, x) * 16777619::UBIGINT) & 4294967295::UBIGINT)::UBIGINT)), 8, '0'))")
+scalar("sf30_fnv32", "documents", "doc_id", "text", T.fnv32, "lower(lpad(to_hex(list_reduce(list_prepend(2166136261::UBIGINT, list_transform(list_filter(string_split(s, ''), lambda x: x <> ''), lambda x: unicode(x)::UBIGINT)), lambda h, x: ((xor(h, x) * 16777619::UBIGINT) & 4294967295::UBIGINT)::UBIGINT)), 8, '0'))")
 scalar("sf34_relative_path", "documents", "doc_id", "CASE doc_id % 4 WHEN 0 THEN 'a/./' || lang || '/../' || source || '/x.md' WHEN 1 THEN '../' || source WHEN 2 THEN source || '/../../y' ELSE ' ' || lang || ' // z ' END", T.relative_path, "CASE doc_id % 4 WHEN 0 THEN 'a/' || regexp_extract(s, '/(\\w+)/x.md$', 1) || '/x.md' WHEN 3 THEN trim(string_split(s, '//')[1]) || '/z' END")
 
 
@@ -112,11 +112,15 @@ scalar("pj17_chat_role", "conversations", "conv_id, turn", "CASE turn % 3 WHEN 0
 scalar("ge02_ends_sentence", *DOC, T.ends_sentence, r"regexp_matches(trim(s), '[.!?。！？][\])}\"''”’」』）】]?$')")
 
 
-@query("fl16_overexpanded", "SELECT doc_id, length(regexp_replace(regexp_replace(regexp_replace(text, '\\$[^$]*\\$', '', 'g'), '<[^>]+>', '', 'g'), '\\s+', '', 'g')) > greatest(120.0, 5.5 * greatest(1, length(regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 300), '\\$[^$]*\\$', '', 'g'), '<[^>]+>', '', 'g'), '\\s+', '', 'g')))) AS value FROM documents")
+VISIBLE = "length(regexp_replace(regexp_replace(regexp_replace({}, '\\$[^$]*\\$', '', 'g'), '<[^>]+>', '', 'g'), '\\s+', '', 'g'))"
+
+
+@query("fl16_overexpanded", f"SELECT doc_id, {VISIBLE.format('t')} > greatest(120.0, 5.5 * greatest(1, {VISIBLE.format('text')})) AS value FROM (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN repeat(text, 6) WHEN 1 THEN repeat(text, 5) ELSE text END AS t FROM documents) d")
 def overexpanded(spark, sf_dir):
     from ..functions import quality
 
-    return load(spark, sf_dir, "documents").select("doc_id", quality.overexpanded(F.expr("substr(text, 1, 300)"), F.col("text")).alias("value"))
+    t = F.expr("CASE doc_id % 3 WHEN 0 THEN repeat(text, 6) WHEN 1 THEN repeat(text, 5) ELSE text END")
+    return load(spark, sf_dir, "documents").select("doc_id", quality.overexpanded(F.col("text"), t).alias("value"))
 
 
 @query("fl15_untranslated", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN TRUE WHEN NOT regexp_matches(text, '[A-Za-z]{3,}') THEN FALSE WHEN doc_id % 3 = 1 THEN TRUE ELSE regexp_replace(lower(text), '[\\p{P}\\p{S}\\s]+', '', 'g') = '' END AS value FROM documents")
@@ -143,20 +147,12 @@ def with_equation_numbers(spark, sf_dir):
     return d.select("doc_id", quality.with_equation_numbers(F.expr("CASE WHEN doc_id % 2 = 0 THEN '(1.2) and (' || doc_id || ')' ELSE '(1.2)' END"), F.lit("see (1.2)")).alias("value"))
 
 
-@query("ag12_bigram_coverage", "WITH p AS (SELECT doc_id, regexp_replace(lower(substr(text, 1, 200)), '\\s+', '', 'g') AS a, regexp_replace(lower(substr(text, 50, 200)), '\\s+', '', 'g') AS b FROM documents), x AS (SELECT doc_id, substr(a, i, 2) AS g, count(*) AS n FROM (SELECT *, unnest(range(1, length(a))) AS i FROM p) q GROUP BY 1, 2), y AS (SELECT doc_id, substr(b, i, 2) AS g, count(*) AS m FROM (SELECT *, unnest(range(1, length(b))) AS i FROM p) q GROUP BY 1, 2) SELECT doc_id, CAST(sum(least(n, coalesce(m, 0))) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS coverage FROM x LEFT JOIN y USING (doc_id, g) GROUP BY 1")
+@query("ag12_bigram_coverage", "WITH p AS (SELECT doc_id, regexp_replace(lower(text), '\\s+', '', 'g') AS a, regexp_replace(lower(substr(text, 50)), '\\s+', '', 'g') AS b FROM documents), x AS (SELECT doc_id, substr(a, i, 2) AS g, count(*) AS n FROM (SELECT *, unnest(range(1, length(a))) AS i FROM p) q GROUP BY 1, 2), y AS (SELECT doc_id, substr(b, i, 2) AS g, count(*) AS m FROM (SELECT *, unnest(range(1, length(b))) AS i FROM p) q GROUP BY 1, 2), c AS (SELECT doc_id, CAST(sum(least(n, coalesce(m, 0))) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS coverage FROM x LEFT JOIN y USING (doc_id, g) GROUP BY 1) SELECT doc_id, coverage FROM documents LEFT JOIN c USING (doc_id)")
 def bigram_coverage(spark, sf_dir):
+    """Whole texts against themselves without their first 49 signs."""
     from ..functions import quality
 
-    pairs = load(spark, sf_dir, "documents").selectExpr("doc_id", "substr(text, 1, 200) AS a", "substr(text, 50, 200) AS b")
-    return quality.bigram_coverage(pairs, "doc_id", "a", "b")
-
-
-@query("sf09_markdown_blocks")
-def markdown_blocks(spark, sf_dir):
-    from ..functions import parsing
-
-    d = load(spark, sf_dir, "documents").select("doc_id", F.explode(parsing.markdown_blocks_udf(F.regexp_replace("text", "\n", "\n\n"))).alias("b"))
-    return d.select("doc_id", "b.*")
+    return load(spark, sf_dir, "documents").select("doc_id", quality.bigram_coverage_udf(F.col("text"), F.substr("text", F.lit(50))).alias("coverage"))
 
 
 @query("sf22_table_grid", "SELECT page_id, r AS row, c AS column, CASE WHEN r = 0 AND c = 0 THEN 'a' WHEN r = 0 THEN url WHEN c = 1 THEN CAST(page_id AS VARCHAR) ELSE 'z' END AS text FROM pages, (VALUES (0, 0), (0, 1), (1, 1), (1, 2)) t(r, c)")
@@ -189,18 +185,12 @@ def redacted_json(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", parsing.redacted_json_udf(F.expr("concat('{\"Api-Key\": {\"x\": 1}, \"in\": [{\"token\": 5, \"n\": ', event_id, '}]}')")).alias("value"))
 
 
-@query("sf29_fingerprint")
-def fingerprint(spark, sf_dir):
-    from ..functions import parsing
-
-    return load(spark, sf_dir, "documents").select("doc_id", parsing.fingerprint_udf("text").alias("value"))
+PATHS = "CASE doc_id % 5 WHEN 0 THEN 'see C:/a b' || chr(10) || source WHEN 1 THEN 'http://x.y/C:/q \\\\srv\\share\\f http://z' WHEN 2 THEN 'http:\\\\doi.org\\10.1 ' || lang WHEN 3 THEN 'a \\\\ b = 1' ELSE text END"
 
 
-@query("sf16_math_tokens")
-def math_tokens(spark, sf_dir):
-    from ..functions import parsing
-
-    return load(spark, sf_dir, "documents").select("doc_id", F.posexplode(parsing.math_tokens_udf(F.expr(MATH_SPARK))).alias("pos", "t")).select("doc_id", "pos", "t.*")
+@query("sf49_without_local_paths", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'see [本地路径已隐藏]' || chr(10) || source WHEN 1 THEN 'http://x.y/C:/q [本地路径已隐藏]' WHEN 2 THEN 'http:\\\\doi.org\\10.1 ' || lang WHEN 3 THEN 'a \\\\ b = 1' ELSE text END AS value FROM documents")
+def without_local_paths(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", T.without_local_paths(F.expr(PATHS.replace("\\", "\\\\"))).alias("value"))
 
 
 @query("sf59_protected", "SELECT doc_id, 'see ⟦0⟧ at ⟦1⟧ end' AS text, '$x' || CAST(doc_id AS VARCHAR) || '$|https://a.b/c' AS kept FROM documents")
