@@ -106,20 +106,22 @@ def suffix_order(text: np.ndarray, least: int = 0) -> np.ndarray:
     while len(at):
         if chosen is None and 2 * h > least:
             chosen = at
-        # parts of whole groups; what a part has put in order only helps those after it
+        # parts of whole groups; ranks change when all are sorted, or some would be told apart by more than 2 h bytes
         new = np.flatnonzero(np.diff(rank[at])) + 1 if len(at) > PART else place[:0]
         cuts = new[np.searchsorted(new, np.arange(PART, len(at), PART)).clip(max=len(new) - 1)] if len(new) else new
         bounds = np.unique(np.concatenate(([0], cuts, [len(at)])))
         parts = [_doubled(rank, at[a:b], place[a:b], h, n) for a, b in zip(bounds, bounds[1:], strict=False)]
-        at, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        at, ranks, alike = (np.concatenate(x) for x in zip(*parts, strict=True))
+        rank[at] = ranks
+        at, place = at[alike], place[alike]
         h *= 2
     if chosen is None:
         chosen = at
     return chosen[_sorted((rank[chosen], n.bit_length()))[1]]
 
 
-def _doubled(rank: np.ndarray, at: np.ndarray, place: np.ndarray, h: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks suffixes that share h bytes by the next h, in place; returns those that still have equals.
+def _doubled(rank: np.ndarray, at: np.ndarray, place: np.ndarray, h: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes that share h bytes in the order of the next h: (places in the text, ranks, which still have equals).
 
     at: whole groups, in the order of their ranks; place: where these stand among all.  A
     suffix's rank is the place of the first of its equals.  Of one group no two end within
@@ -129,12 +131,9 @@ def _doubled(rank: np.ndarray, at: np.ndarray, place: np.ndarray, h: int, n: int
     old -= old[0]
     then = rank[np.minimum(at + h, n)] + 1
     key, by = _sorted((old, int(old[-1]).bit_length()), (then, n.bit_length()))
-    at = at[by]
     heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(heads, len(at)))
-    rank[at] = np.repeat(place[heads], size)
-    alike = np.repeat(size > 1, size)
-    return at[alike], place[alike]
+    return at[by], np.repeat(place[heads], size).astype(np.int32), np.repeat(size > 1, size)
 
 
 def longest_previous_factors(strings: list[bytes], owner: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

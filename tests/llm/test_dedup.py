@@ -9,6 +9,7 @@ from papyra.llm import jaccard, passages, phrase_dedup, suffix_dedup
 from papyra.llm.common import flagged
 
 from ..conftest import SF
+from ..oracle import assert_same
 from .conftest import CLASHES, SCHEMA, prose
 
 
@@ -66,6 +67,27 @@ def test_repeated_and_missing_ids(spark):
     assert [r.component_id for r in near if r.doc_id is None] == [None]
 
 
+@pytest.mark.parametrize("part", [64, 1 << 15])
+def test_shards_of_many_parts(part):
+    """Sorting in parts changes nothing: shards of the test table's documents against brute force."""
+    import pyarrow.parquet as pq
+
+    rows = sorted((r["doc_id"], (r["text"] or "").encode()) for r in pq.read_table(SF.replace("sf0.001", "sf0.01") + "/documents.parquet").to_pylist())
+    rows = rows[:300]
+    suffix_dedup.PART = part
+    found = suffix_dedup._solve(np.array([i for i, _ in rows]), [t for _, t in rows], [])
+    want = suffix_dedup.brute_force(rows)
+    for (i, text), ranges in zip(rows, found, strict=True):
+        assert (0 if ranges is None else int(passages.mask(len(text), ranges).sum())) == want[i][1]
+
+
+@pytest.mark.parametrize("query,sql", [("op2_jaccard", jaccard.SQL), ("op3_suffix_dedup", suffix_dedup.SQL), ("op8_phrase_dedup", phrase_dedup.SQL)])
+def test_queries_against_sql(spark, query, sql):
+    from papyra.llm.queries import QUERIES
+
+    assert_same(QUERIES[query](spark, SF), sql, SF)
+
+
 @pytest.mark.parametrize("sf", [SF])
 def test_queries_against_brute_force(spark, sf):
     rows = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
@@ -96,9 +118,10 @@ def test_suffix_order(data, copies):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.binary(max_size=40).map(lambda b: bytes(x % 3 + 97 for x in b)), min_size=1, max_size=6), st.sampled_from([8, 11, 16]))
-def test_longest_previous_factors(parts, most):
+@given(st.lists(st.binary(max_size=40).map(lambda b: bytes(x % 3 + 97 for x in b)), min_size=1, max_size=6), st.sampled_from([8, 11, 16, 30]), st.sampled_from([1, 3, 1 << 15]))
+def test_longest_previous_factors(parts, most, part):
     owner = np.array([i // 2 for i in range(len(parts))])
+    suffix_dedup.PART = part
     which, at, length = suffix_dedup.longest_previous_factors(parts, owner, most)
     want = []
     for i, p in enumerate(parts):
