@@ -34,7 +34,9 @@ from .common import Stash, buckets, byte_lengths, flagged, fresh, mix64, popular
 from .components import components
 from .passages import dealt, first_of, pack, spark_hash, unpack
 
-TILE, BUCKET_BYTES = 256, 16 << 20
+TILE, BUCKET_BYTES = 800, 16 << 20
+#: Tiles in which what is apart meets all others are so many times larger: each is read once for each of the other side's.
+CROSS = 5
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -374,8 +376,8 @@ def _labels(stash: Stash, payload: DataFrame, wanted: DataFrame, num: int, den:
     sizes = label.groupBy("group", "label").agg(F.count("*").alias("members"))
     main = sizes.groupBy("group").agg(F.max_by("label", F.struct("members", "label")).alias("main"))
     tagged = spread.drop("block").join(label, ["group", "cls"]).join(main, "group").withColumn("rest", F.col("label") != F.col("main")).drop("main")
-    apart = tagged.where("rest").groupBy("group").agg(F.ceil(F.count("*") / tile).cast("int").alias("others"))
-    tagged = tagged.join(apart, "group").join(big, "group").withColumn("blocks", F.ceil(F.col("members") / tile).cast("int"))
+    apart = tagged.where("rest").groupBy("group").agg(F.ceil(F.count("*") / (CROSS * tile)).cast("int").alias("others"))
+    tagged = tagged.join(apart, "group").join(big, "group").withColumn("blocks", F.ceil(F.col("members") / (CROSS * tile)).cast("int"))
     sides = tagged.select("group", "label", "shingles", F.lit(False).alias("rest"), F.pmod(F.hash("cls"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"))
     moved = tagged.where("rest").select("group", "label", "shingles", F.lit(True).alias("rest"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.hash("cls"), "others").cast("int").alias("other"))
     edges = sides.unionByName(moved).groupBy("group", "block", "other").applyInArrow(_cross(num, den), "u long, v long")
