@@ -23,7 +23,7 @@ from .passages import Corpus, Units, eight_bytes, mask
 MATCH_BYTES = 50
 UNITS = Units("bytes", MATCH_BYTES, 24, strict=True)
 #: Text of one shard: what sorting it touches fits a core's cache.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 3 << 18
 
 
 def previous_smaller(value: np.ndarray) -> np.ndarray:
