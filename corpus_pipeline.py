@@ -12,7 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.llm import jaccard, mixing, packing, phrase_dedup, toxicity
-from papyra.llm.common import Stash, table
+from papyra.llm.common import Stash, fresh, table
+
+
+def _apart(docs: DataFrame, own: tuple[str, ...]):
+    """docs with its columns of an operator's own names renamed, and what puts a frame's columns back as they were."""
+    names = {c: fresh(docs, c) for c in docs.columns if c.lower() in own}
+    return docs.withColumnsRenamed(names), lambda out: out.select(*[F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +28,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     have none, are scored each by their own text; an empty table stays one.
     """
     model = toxicity.fitted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    kept = toxicity.scored(docs, model).where(F.col("score") < toxicity.THRESHOLD)
-    return kept.select(*docs.columns)
+    rows, back = _apart(docs, ("score", "toxic_spans"))
+    return back(toxicity.scored(rows, model).where(F.col("score") < toxicity.THRESHOLD))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +48,11 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null texts and texts without words stay as they are.  Rows that repeat a doc_id do not
     take from each other; rows without doc_id stay whole.
     """
-    out = phrase_dedup.deduplicated(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    rows, back = _apart(docs, ("n_words", "n_removed", "kept_sha256"))
+    out = phrase_dedup.deduplicated(rows).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return back(out)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
