@@ -328,7 +328,7 @@ def _cross(num: int, den: int):
 
 
 def _payload(docs: DataFrame, wanted: DataFrame, words: int, salt: int) -> DataFrame:
-    """(group, cls, n, shingles) of the wanted classes, from one document each (rows that repeat it do no harm)."""
+    """(group, cls, n, shingles) of the wanted classes, from one document each, whose id other rows may repeat."""
 
     def run(batches):
         for batch in batches:
@@ -355,18 +355,19 @@ def _labels(stash: Stash, payload: DataFrame, wanted: DataFrame, num: int, den:
         return done
     done = stash.put(done, "small")
     stash.release()
+    # a large group may be most of a table: what is planned by group carries no shingles, these meet it by class
+    held = payload.select("cls", "shingles")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)).cast("int")
-    large = payload.join(big, "group")
-    per_band = large.groupBy("group", band.alias("band")).agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
-    spread = large.withColumn("band", band).join(per_band, ["group", "band"]).withColumn("block", F.pmod(F.hash("cls"), "blocks").cast("int"))
-    spread = stash.put(spread.select("group", F.hash("band", "block").alias("block"), "cls", "n", "shingles"), "spread")
-    label = stash.put(spread.groupBy("group", "block").applyInArrow(small_tile, "group long, cls long, label long"), "local")
+    large = stash.put(payload.select("group", "cls", "n").join(big, "group").withColumn("band", band), "large")
+    per_band = large.groupBy("group", "band").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
+    spread = large.join(per_band, ["group", "band"]).select("group", "cls", F.hash("band", F.pmod(F.hash("cls"), "blocks").cast("int")).alias("block"))
+    label = stash.put(spread.join(held, "cls").select("group", "block", "cls", "shingles").groupBy("group", "block").applyInArrow(small_tile, "group long, cls long, label long"), "local")
     # the blocks' leaders, as long as that joins many
     for turn in range(6):
         heads = label.select("group", F.col("label").alias("cls")).distinct()
         parts = heads.groupBy("group").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
-        leaders = spread.drop("block").join(heads, ["group", "cls"]).join(parts, "group").withColumn("block", F.pmod(F.hash("cls", F.lit(turn)), "blocks"))
-        raised = leaders.select("group", "block", "cls", "shingles").groupBy("group", "block").applyInArrow(small_tile, "group long, cls long, label long")
+        leaders = heads.join(parts, "group").select("group", "cls", F.pmod(F.hash("cls", F.lit(turn)), "blocks").alias("block"))
+        raised = leaders.join(held, "cls").select("group", "block", "cls", "shingles").groupBy("group", "block").applyInArrow(small_tile, "group long, cls long, label long")
         more = label.join(raised.select(F.col("cls").alias("label"), F.col("label").alias("higher")), "label", "left").select("group", "cls", F.coalesce("higher", "label").alias("label"))
         before = heads.count()
         label = stash.put(more, f"leaders{turn}")
@@ -375,12 +376,13 @@ def _labels(stash: Stash, payload: DataFrame, wanted: DataFrame, num: int, den:
     # whatever is not in its group's largest component meets all the others
     sizes = label.groupBy("group", "label").agg(F.count("*").alias("members"))
     main = sizes.groupBy("group").agg(F.max_by("label", F.struct("members", "label")).alias("main"))
-    tagged = spread.drop("block").join(label, ["group", "cls"]).join(main, "group").withColumn("rest", F.col("label") != F.col("main")).drop("main")
+    tagged = label.join(main, "group").withColumn("rest", F.col("label") != F.col("main")).drop("main")
     apart = tagged.where("rest").groupBy("group").agg(F.ceil(F.count("*") / (CROSS * tile)).cast("int").alias("others"))
     tagged = tagged.join(apart, "group").join(big, "group").withColumn("blocks", F.ceil(F.col("members") / (CROSS * tile)).cast("int"))
-    sides = tagged.select("group", "label", "shingles", F.lit(False).alias("rest"), F.pmod(F.hash("cls"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"))
-    moved = tagged.where("rest").select("group", "label", "shingles", F.lit(True).alias("rest"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.hash("cls"), "others").cast("int").alias("other"))
-    edges = sides.unionByName(moved).groupBy("group", "block", "other").applyInArrow(_cross(num, den), "u long, v long")
+    sides = tagged.select("group", "cls", "label", F.lit(False).alias("rest"), F.pmod(F.hash("cls"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"))
+    moved = tagged.where("rest").select("group", "cls", "label", F.lit(True).alias("rest"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.hash("cls"), "others").cast("int").alias("other"))
+    met = sides.unionByName(moved).join(held, "cls").select("group", "block", "other", "label", "rest", "shingles")
+    edges = met.groupBy("group", "block", "other").applyInArrow(_cross(num, den), "u long, v long")
     over = components(edges, stash, "labels").select(F.col("node").alias("label"), "component")
     label = label.join(over, "label", "left").select("cls", F.coalesce("component", "label").alias("label"))
     return done.unionByName(label)
@@ -449,10 +451,13 @@ def _linked(named: DataFrame, words: int, num: int, den: int, tile: int) -> Data
     edges = met.where(F.col("kind") == EDGES).select(F.col("a").alias("u"), F.col("b").alias("v"))
     group = stash.put(components(edges, stash, "candidates").select(F.col("node").alias("cls"), F.col("component").alias("group")), "groups")
     wanted = classes.join(group, "cls").select(F.col("least.doc_id").alias("doc_id"), "cls", "group")
-    payload = stash.put(_payload(named, wanted, words, salt), "payload")
+    payload = _payload(named, wanted, words, salt)
+    if rows.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count():
+        payload = payload.dropDuplicates(["cls"])  # rows that repeat a doc_id give one set
+    payload = stash.put(payload, "payload")
     stash.release()
     label = stash.put(_labels(stash, payload, wanted, num, den, tile, n).distinct(), "labels")
-    stash.drop("payload", "spread")
+    stash.drop("payload", "large")
     stash.release()
     whole = classes.join(label, "cls", "left").select("cls", "least", F.coalesce("label", "cls").alias("label"))
     least = whole.groupBy("label").agg(F.min("least").alias("least"))
