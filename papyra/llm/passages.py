@@ -347,7 +347,7 @@ def _compared(units: Units):
         again = ~new | (c["many"][order] > 0)
         again[:-1] |= ~new[1:]
         c = {k: x[order[again]] for k, x in c.items()}
-        order = np.lexsort((c["at"], c["v"], c["id"], c["ctx"], c["seed"]))
+        order = np.lexsort([c[k] for k in ("at", "v", "id", "ctx", "seed") if k != "v" or c["v"].any()])
         c = {k: x[order] for k, x in c.items()}
         by_seed, by_ctx = first_of(c["seed"]), first_of(c["seed"], c["ctx"])
         start, place = _place(by_ctx)
@@ -539,7 +539,7 @@ class Corpus:
         spread = F.when(F.col("doc_id").isNull(), F.xxhash64(F.col("text"), F.monotonically_increasing_id())).otherwise(F.xxhash64(self.id, self.v))
         out = out.withColumn(self.q, F.pmod(spread, F.lit(self.groups)).cast("int"))
         name = f"papyra_{uuid.uuid4().hex}"
-        out.repartition(self.tasks, self.q).write.bucketBy(self.tasks, self.q).sortBy(self.q).format("parquet").option("compression", "zstd").option("path", f"{self.stash.root}/documents").saveAsTable(name)
+        out.repartition(self.tasks, self.q).write.bucketBy(self.tasks, self.q).sortBy(self.q).format("parquet").option("compression", "snappy").option("path", f"{self.stash.root}/documents").saveAsTable(name)
         self.stash.release()
         self.table = self.spark.table(name)
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keep_memory, table
-from .passages import Corpus, Units, eight_bytes, mask
+from .passages import Corpus, Units, eight_bytes
 
 MATCH_BYTES = 50
 UNITS = Units("bytes", MATCH_BYTES, 24, strict=True)
@@ -194,10 +194,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 spans.append([])
                 kept.append(text)
                 continue
-            gone = mask(len(text), ranges)
-            turns = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
-            spans.append([{"start": int(a), "stop": int(b)} for a, b in turns.reshape(-1, 2)])
-            kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
+            at = ranges[0]  # ascending, all of one length
+            cut = np.flatnonzero(at[1:] > at[:-1] + MATCH_BYTES)
+            first, last = at[np.append(0, cut + 1)].tolist(), (at[np.append(cut, len(at) - 1)] + MATCH_BYTES).tolist()
+            spans.append([{"start": a, "stop": b} for a, b in zip(first, last, strict=True)])
+            kept.append(b"".join([text[a:b] for a, b in zip([0, *last], [*first, len(text)], strict=True)]))
         return pa.table([d.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     return Corpus(docs.select("doc_id", "text"), "suffix", SHARD_BYTES).solved(UNITS, _solve, finish, schema)
