@@ -36,7 +36,7 @@ from .passages import dealt, first_of, pack, spark_hash, unpack
 
 TILE, BUCKET_BYTES = 800, 16 << 20
 #: Tiles in which what is apart meets all others are so many times larger: each is read once for each of the other side's.
-CROSS = 5
+CROSS = 2
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -249,6 +249,16 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _bits_apart(marks: np.ndarray, i: int, js: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many bits only i has, and only each of js; some rows at a time, as they may be of 8 kB each."""
+    out = np.empty((2, len(js)), np.int64)
+    for a in range(0, len(js), 512):
+        some = marks[js[a : a + 512]]
+        out[0, a : a + 512] = np.bitwise_count(marks[i] & ~some).sum(1, dtype=np.int64)
+        out[1, a : a + 512] = np.bitwise_count(some & ~marks[i]).sum(1, dtype=np.int64)
+    return out[0], out[1]
+
+
 def settle(sets: list[np.ndarray], joined: Joined, num: int, den: int, pairs=None) -> list[tuple[int, int]]:
     """Links of one tile that join what was apart; joined is updated.
 
@@ -270,8 +280,7 @@ def settle(sets: list[np.ndarray], joined: Joined, num: int, den: int, pairs=Non
         if marks is None:
             marks = bitmaps(sets)
         mine = joined.root(i)
-        only_i = np.bitwise_count(marks[i] & ~marks[js]).sum(1, dtype=np.int64)
-        only_j = np.bitwise_count(marks[js] & ~marks[i]).sum(1, dtype=np.int64)
+        only_i, only_j = _bits_apart(marks, i, js)
         most = np.minimum(n[i] - only_i, n[js] - only_j)
         fit = den * most >= num * (n[i] + n[js] - most)
         js, most = js[fit], most[fit]
