@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import cjk_count, compare_text, equation_numbers, formula_issue, latin_count, text, translatable, visible_length
+from .text import cjk_count, compare_capitals, compare_text, equation_numbers, formula_issue, latin_count, text, translatable, visible_length
 
 
 def overexpanded(source: Column, translated: Column) -> Column:
@@ -20,7 +20,8 @@ def overexpanded(source: Column, translated: Column) -> Column:
 
 
 def untranslated(source: Column, translated: Column, kind: Column, to_cjk: bool) -> Column:
-    same = compare_text(source) == compare_text(translated)
+    # in capitals too: these write some letters as two, as in STRASSE, which lower case does not take back
+    same = (compare_text(source) == compare_text(translated)) | (compare_capitals(source) == compare_capitals(translated))
     latin = latin_count(translated)
     if to_cjk:
         title = (latin_count(source) >= 4) & same & (cjk_count(translated) < 2)
