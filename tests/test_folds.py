@@ -28,3 +28,14 @@ def test_untranslated_with_sharp_s(spark, tmp_path):
     """STRASSE is Straße in capitals, not a translation of it."""
     sf = with_table(tmp_path, "documents", "SELECT i AS doc_id, t AS text, 'de' AS lang, 's' AS source, length(t)::BIGINT AS n_chars FROM range(1, 4) r(i), (VALUES ('Die Straße ist groß.'), ('STRASSE'), ('12')) v(t)")
     assert_same(QUERIES["fl15_untranslated"](spark, sf), ORACLE["fl15_untranslated"], sf)
+
+
+def test_sentence_parts_of_long_numbers(spark, tmp_path):
+    sf = with_table(tmp_path, "events", "SELECT CAST(n * 10 ** k AS BIGINT) AS event_id FROM (SELECT unnest([0, 1, 7, 10, 99]) AS n), range(0, 9) r(k)")
+    assert_same(QUERIES["wn08_sentence_parts"](spark, sf), ORACLE["wn08_sentence_parts"], sf)
+
+
+def test_split_text_cuts_long_numbers(spark):
+    """The splitter itself keeps to its limit: no number is longer than a part."""
+    rows = spark.createDataFrame([("One two. " + "x" * 20 + "1234567",)], "s string").select(markdown.split_text(F.col("s"), 12).alias("p"))
+    assert rows.first()["p"] == ["One two. ", "x" * 12, "x" * 8 + "1234", "567"]
