@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, text
+from . import folds
 
 # --- what a text is -----------------------------------------------------------------------------
 
@@ -179,24 +181,33 @@ def retreated(streams: DataFrame, page: str) -> DataFrame:
 
     Pairs are met in the streams' order and share the middle of what both claim, if each
     keeps 20; a boundary once moved counts for the pairs after it, so a page is one fold.
+    The n-th pairs of all pages with as many streams are one step.
     """
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("stream").reset_index(drop=True)
-        x0, x1 = t["x0"].astype(float).tolist(), t["x1"].astype(float).tolist()
-        top, bottom, keys = t["y0"].tolist(), t["y1"].tolist(), t["column_key"].tolist()
-        some = [i for i, k in enumerate(keys) if k and k != "full"]
-        for n, i in enumerate(some):
-            for j in some[n + 1 :]:
-                a, b = (i, j) if x0[i] <= x0[j] else (j, i)
-                middle = (x1[a] + x0[b]) / 2
-                apart = keys[i] == keys[j] or min(bottom[i], bottom[j]) - max(top[i], top[j]) <= 2 or x1[a] <= x0[b]
-                if not apart and middle - x0[a] >= 20 and x1[b] - middle >= 20:
-                    x1[a] = x0[b] = middle
-        return t.assign(x0=x0, x1=x1)
+    def run(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        x0, x1, top, bottom = (np.array(folds.numbers(t, c)) for c in ("x0", "x1", "y0", "y1"))
+        keys = t.column("column_key").combine_chunks().dictionary_encode()
+        known = np.array([bool(k) and k != "full" for k in keys.dictionary.to_pylist()] + [False])
+        keys = keys.indices.fill_null(-1).to_numpy()
+        some = np.flatnonzero(known[keys])
+        page = np.searchsorted(starts, some, "right")
+        new = np.flatnonzero(np.diff(page, prepend=-1))
+        for m, at in folds.alike(np.diff(np.append(new, len(some))), new):
+            for n in range(m):
+                for k in range(n + 1, m):
+                    i, j = some[at[:, n]], some[at[:, k]]
+                    first = x0[i] <= x0[j]
+                    a, b = np.where(first, i, j), np.where(first, j, i)
+                    middle = (x1[a] + x0[b]) / 2
+                    over = (keys[i] != keys[j]) & (np.minimum(bottom[i], bottom[j]) - np.maximum(top[i], top[j]) > 2) & (x1[a] > x0[b])
+                    over &= (middle - x0[a] >= 20) & (x1[b] - middle >= 20)
+                    x1[a[over]] = x0[b[over]] = middle[over]
+        for c, x in (("x0", x0), ("x1", x1)):
+            t = t.set_column(columns.index(c), c, pa.array(x, from_pandas=True))
+        return t
 
     columns = [page, "stream", "column_key", "x0", "y0", "x1", "y1"]
     kinds = {f.name: f.dataType.simpleString() for f in streams.schema}
-    return streams.select(columns).groupBy(page).applyInPandas(run, ", ".join(f"{c} {'double' if c in ('x0', 'x1') else kinds[c]}" for c in columns))
+    return folds.folded(streams.select(columns), page, [F.asc_nulls_last("stream")], run, ", ".join(f"{c} {'double' if c in ('x0', 'x1') else kinds[c]}" for c in columns))
 
 
 # --- lines --------------------------------------------------------------------------------------------

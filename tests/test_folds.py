@@ -24,6 +24,58 @@ def with_table(tmp_path, name: str, sql: str) -> str:
     return str(tmp_path)
 
 
+@pytest.fixture(params=[7, 10000])
+def batch(spark, request):
+    """Rows of an Arrow batch: pages that go on in the next one, and many in one."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, request.param)
+    yield request.param
+    spark.conf.unset(name)
+
+
+def pages(rnd):
+    """Some hundred short pages, one long, one without an id."""
+    return [(p, rnd.randint(0, 7)) for p in range(300)] + [(-1, 40), (None, 5)]
+
+
+def by_page(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r[0], []).append(r)
+    return out
+
+
+def ungrouped(df) -> bool:
+    """No call of Python for each page: that took hours on millions of pages."""
+    plan = df._jdf.queryExecution().toString()
+    return "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def test_retreated(spark, batch):
+    rnd = random.Random(4)
+    rows = []
+    for p, n in pages(rnd):
+        for k in range(n):
+            a, b = rnd.randint(0, 300), rnd.randint(0, 300)
+            rows.append((p, k, rnd.choice(["column-0", "column-1", "column-2", "full", "", None]), float(a), float(b), float(a + rnd.randint(5, 300)), float(b + rnd.randint(0, 200))))
+    want = set()
+    for page, own in by_page(rows).items():
+        x0, x1 = [r[3] for r in own], [r[5] for r in own]
+        some = [i for i, r in enumerate(own) if r[2] and r[2] != "full"]
+        for n, i in enumerate(some):
+            for j in some[n + 1 :]:
+                a, b = (i, j) if x0[i] <= x0[j] else (j, i)
+                middle = (x1[a] + x0[b]) / 2
+                apart = own[i][2] == own[j][2] or min(own[i][6], own[j][6]) - max(own[i][4], own[j][4]) <= 2 or x1[a] <= x0[b]
+                if not apart and middle - x0[a] >= 20 and x1[b] - middle >= 20:
+                    x1[a] = x0[b] = middle
+        want |= {(page, r[1], r[2], x0[i], r[4], x1[i], r[6]) for i, r in enumerate(own)}
+    got = solver.retreated(spark.createDataFrame(rows, "page long, stream int, column_key string, x0 double, y0 double, x1 double, y1 double"), "page")
+    assert ungrouped(got)
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(rows) and set(found) == want
+
+
 def test_untranslated_with_sharp_s(spark, tmp_path):
     """STRASSE is Straße in capitals, not a translation of it."""
     sf = with_table(tmp_path, "documents", "SELECT i AS doc_id, t AS text, 'de' AS lang, 's' AS source, length(t)::BIGINT AS n_chars FROM range(1, 4) r(i), (VALUES ('Die Straße ist groß.'), ('STRASSE'), ('12')) v(t)")
