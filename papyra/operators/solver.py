@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -268,36 +269,48 @@ def glossary_blocks(lines: DataFrame, page: str) -> DataFrame:
 def rotated_words(lines: DataFrame, page: str) -> DataFrame:
     """Lines (page, line, text, rotation, score, x0..y1) with single rotated words that stand over one another joined.
 
-    A word takes the one above it (its end within 0.6 of their width of the word's start,
-    over 70 % of the narrower one's width) again and again, so a page is one fold.  A joined
-    line is no single word any more.
+    In their order, words take the first one above them (its end within 0.6 of their width of
+    the word's start, over 70 % of the narrower one's width).  A joined line is no single word
+    any more, so a page is one fold; the n-th words of all pages with as many are one step.
     """
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        rows = t.sort_values("line").to_dict("records")
-
-        def word(r) -> bool:
-            return r["rotation"] == -90 and r["text"].isascii() and r["text"].isalpha()
-
-        def above(r, o) -> bool:
-            wide = min(r["x1"] - r["x0"], o["x1"] - o["x0"])
-            over, gap = min(r["x1"], o["x1"]) - max(r["x0"], o["x0"]), r["y0"] - o["y1"]
-            return over >= wide * 0.7 and -0.002 <= gap <= wide * 0.6
-
-        i = 0
-        while i < len(rows):
-            r = rows[i]
-            j = next((k for k, o in enumerate(rows) if k != i and word(o) and above(r, o)), None) if word(r) else None
-            if j is None:
-                i += 1
+    def run(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        x0, y0, x1, y1 = (folds.numbers(t, c) for c in ("x0", "y0", "x1", "y1"))
+        word = pc.ascii_is_alpha(t.column("text")).fill_null(False).to_numpy() & (folds.numbers(t, "rotation") == -90)
+        some = np.flatnonzero(word)
+        page = np.searchsorted(starts, some, "right")
+        new = np.flatnonzero(np.diff(page, prepend=-1))
+        free, pairs = word, [np.zeros((2, 0), np.int64)]
+        for m, at in folds.alike(np.diff(np.append(new, len(some))), new):
+            if m == 1:
                 continue
-            o = rows.pop(j)
-            r |= {"text": f"{r['text']} {o['text']}", "score": min(r["score"], o["score"]), "x0": min(r["x0"], o["x0"]), "x1": max(r["x1"], o["x1"]), "y0": o["y0"]}
-            i += j > i
-        return pd.DataFrame(rows, columns=columns)
+            for n in range(m):
+                r = some[at[:, n]]
+                found = np.full(len(r), -1)
+                for k in range(m):
+                    o = some[at[:, k]]
+                    wide = np.minimum(x1[r] - x0[r], x1[o] - x0[o])
+                    over, gap = np.minimum(x1[r], x1[o]) - np.maximum(x0[r], x0[o]), y0[r] - y1[o]
+                    fit = (found < 0) & free[r] & free[o] & (k != n) & (over >= wide * 0.7) & (gap >= -0.002) & (gap <= wide * 0.6)
+                    found[fit] = o[fit]
+                pairs.append(np.stack((r, found))[:, found >= 0])
+                free[pairs[-1].ravel()] = False
+        pairs = np.concatenate(pairs, axis=1)
+        r, o = pairs[:, np.argsort(pairs[0])]
+        if not len(r):
+            return t
+        joined, kept = np.zeros(len(t), bool), np.ones(len(t), bool)
+        joined[r], kept[o] = True, False
+        low, high = t.take(r), t.take(o)
+        put = {"text": pc.binary_join_element_wise(low.column("text"), high.column("text"), " "), "y0": high.column("y0")}
+        put |= {c: pc.min_element_wise(low.column(c), high.column(c), skip_nulls=False) for c in ("score", "x0")}
+        put["x1"] = pc.max_element_wise(low.column("x1"), high.column("x1"), skip_nulls=False)
+        for c, values in put.items():
+            t = t.set_column(columns.index(c), c, pc.replace_with_mask(t.column(c).combine_chunks(), pa.array(joined), values.combine_chunks()))
+        return t.filter(pa.array(kept))
 
     columns = [page, "line", "text", "rotation", "score", "x0", "y0", "x1", "y1"]
     kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
-    return lines.select(columns).groupBy(page).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in columns))
+    return folds.folded(lines.select(columns), page, [F.asc_nulls_last("line")], run, ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
 # --- style ----------------------------------------------------------------------------------------------

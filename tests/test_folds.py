@@ -76,6 +76,41 @@ def test_retreated(spark, batch):
     assert len(found) == len(rows) and set(found) == want
 
 
+def test_rotated_words(spark, batch):
+    rnd = random.Random(5)
+    rows = []
+    for p, n in pages(rnd):
+        for k in range(n):
+            x, y = rnd.randint(0, 6), rnd.randint(0, 12) * 5
+            rows.append((p, k, rnd.choice(["Up", "Low", "high", "a b", "é", "x1", "", None]), rnd.choice([-90, -90, -90, 0, None]), rnd.random(), float(x), float(y), float(x + rnd.randint(9, 14)), float(y + rnd.choice([5, 10, 20]))))
+    want, joins = set(), 0
+    for page, own in by_page(rows).items():
+        left = [list(r) for r in own]
+
+        def word(r):
+            return r[3] == -90 and r[2] is not None and r[2].isascii() and r[2].isalpha()
+
+        def above(r, o):
+            wide = min(r[7] - r[5], o[7] - o[5])
+            return min(r[7], o[7]) - max(r[5], o[5]) >= wide * 0.7 and -0.002 <= r[6] - o[8] <= wide * 0.6
+
+        i = 0
+        while i < len(left):
+            r = left[i]
+            j = next((k for k, o in enumerate(left) if k != i and word(o) and above(r, o)), None) if word(r) else None
+            if j is None:
+                i += 1
+                continue
+            o = left.pop(j)
+            r[2:9] = f"{r[2]} {o[2]}", r[3], min(r[4], o[4]), min(r[5], o[5]), o[6], max(r[7], o[7]), r[8]
+            i, joins = i + (j > i), joins + 1
+        want |= {tuple(r) for r in left}
+    got = solver.rotated_words(spark.createDataFrame(rows, "page long, line int, text string, rotation int, score double, x0 double, y0 double, x1 double, y1 double"), "page")
+    assert ungrouped(got) and joins > 10
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(want) and set(found) == want
+
+
 def test_untranslated_with_sharp_s(spark, tmp_path):
     """STRASSE is Straße in capitals, not a translation of it."""
     sf = with_table(tmp_path, "documents", "SELECT i AS doc_id, t AS text, 'de' AS lang, 's' AS source, length(t)::BIGINT AS n_chars FROM range(1, 4) r(i), (VALUES ('Die Straße ist groß.'), ('STRASSE'), ('12')) v(t)")
