@@ -16,8 +16,9 @@ then all is hashed anew.
    signatures bound each overlap from above by bit counts; what passes is settled by
    intersecting the sorted shingle arrays.  A pair already joined through others is
    skipped, so a group of copies costs about one intersection a member.
-3. Candidate components too large for a tile are settled block by block, then by the
-   blocks' leaders, then by comparing what is not in the largest component with all.
+3. Candidate components too large for a tile are parted by keys of two parts, which sets
+   seldom share by chance; of what is then too large still, blocks are settled, then the
+   blocks' leaders, then what is not in the largest component is compared with all.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from .passages import dealt, first_of, pack, spark_hash, unpack
 TILE, BUCKET_BYTES = 800, 16 << 20
 #: Tiles in which what is apart meets all others are so many times larger: each is read once for each of the other side's.
 CROSS = 2
+#: In sets that may differ in fewer shingles a key of the second kind is one part.
+FINER = 8
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,10 +86,9 @@ class Bands:
         self._grow(size)
         return int(np.searchsorted(self.edges, size, "right")) - 1
 
-    def _parts(self, s: np.ndarray, band: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    def _parts(self, s: np.ndarray, band: int, salt: int, k: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(key of every part of a set's hash range, whether the part holds any)."""
-        most, spare = self.parts[band]
-        k = most + 1 + spare
+        k = k or sum(self.parts[band]) + 1
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(s.copy()))))
         cuts = np.searchsorted(s, (np.arange(1, k, dtype=np.float64) * (2.0**64 / k)).astype(np.uint64))
         at = np.concatenate(([0], cuts, [len(s)]))
@@ -100,17 +102,49 @@ class Bands:
         without these, so 1 + e parts still agree; a set with more than e parts empty then
         also gives the keys of the whole set, and of its empty parts if these are too many.
         """
+        out = [x for band in self._bands(s) for x in self._single(s, band, popular)]
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+    def _bands(self, s: np.ndarray) -> list[int]:
         own = self.of(len(s))
+        return [band for band in (own, own - 1) if band >= 0 and self.parts[band][0]]
+
+    def _single(self, s: np.ndarray, band: int, popular: np.ndarray | None) -> list[np.ndarray]:
+        spare = self.parts[band][1]
+        value, filled = self._parts(s if popular is None else s[~popular], band, 0)
+        out = [value[filled]]
+        if len(value) - filled.sum() > spare:
+            value, filled = self._parts(s, band, 1 << 60)
+            out.append(value if len(value) - filled.sum() > spare else value[filled])
+        return out
+
+    def finer(self, s: np.ndarray, popular: np.ndarray) -> np.ndarray:
+        """Keys of a set that fewer others share by chance: each is of two parts.
+
+        Of 2H + 1 parts linked sets agree in H + 1.  The parts make blocks; where more agree,
+        and hold any, than there are blocks, two of them are in one block, and the keys are
+        all twos of filled parts in a block.  Empty parts are met as in keys().  Where H is
+        small, a key is one part, as a band has one kind of keys.
+        """
         out = []
-        for band in (own, own - 1):
-            if band < 0 or not self.parts[band][0]:
+        for band in self._bands(s):
+            most = self.parts[band][0]
+            if most < FINER:
+                out += self._single(s, band, popular)
                 continue
-            spare = self.parts[band][1]
-            value, filled = self._parts(s if popular is None else s[~popular], band, 0)
-            out.append(value[filled])
-            if len(value) - filled.sum() > spare:
-                value, filled = self._parts(s, band, 1 << 60)
-                out.append(value if len(value) - filled.sum() > spare else value[filled])
+            k = 2 * most + 1
+            size = 4 if k > 64 else 8
+            blocks = -(-k // size)
+            a, b = np.triu_indices(size, 1)
+            for salt, some in ((2 << 60, s[~popular]), (3 << 60, s)):
+                value, filled = self._parts(some, band, salt, k)
+                few = k - filled.sum() > most - blocks
+                if few and salt == 3 << 60:
+                    filled[:] = True
+                value, filled = (np.append(x, np.zeros(blocks * size - k, x.dtype)).reshape(blocks, size) for x in (value, filled))
+                out.append(mix64((value[:, a] * _C + value[:, b])[filled[:, a] & filled[:, b]]))
+                if not few:
+                    break
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -353,6 +387,36 @@ def _payload(docs: DataFrame, wanted: DataFrame, words: int, salt: int) -> DataF
     return joined.select("group", "cls", "text").mapInArrow(run, "group long, cls long, n long, shingles binary")
 
 
+def _parted(stash: Stash, payload: DataFrame, wanted: DataFrame, num: int, den: int, tile: int, n: int, tasks: int, flags: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """payload and wanted with the groups of more than a tile parted by their sets' finer keys; what these link with nothing is left out."""
+    big = stash.put(wanted.groupBy("group").agg(F.count("*").alias("members")).where(F.col("members") > tile).select("group"), "parted")
+    if not big.limit(1).count():
+        return payload, wanted
+    shared = payload.sparkSession.sparkContext.broadcast(flags)
+
+    def run(batches):
+        bands, flags = Bands(num, den), shared.value
+        for batch in batches:
+            cls, packed = batch.columns
+            for a, b in slices(byte_lengths(packed), 8 << 20, 60_000):
+                sets = [np.frombuffer(x, np.uint64) for x in packed[a:b].to_pylist()]
+                keys = [bands.finer(s, flagged(flags, s)) for s in sets]
+                key, owner = np.concatenate(keys), np.repeat(cls[a:b].to_numpy(), [len(x) for x in keys])
+                heads, least, other = _stars(key, owner)
+                key, owner = key[heads], owner[heads]
+                rows = [*_dealt_keys(((key >> np.uint64(40)) % np.uint64(n)).astype(np.int64), key, owner)]
+                rows += [(2 * n + k, p) for k, p in dealt(spark_hash(other).astype(np.int64) % n, cls=least, other=other)]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], ["key", "packed"])
+
+    large = payload.join(big, "group", "left_semi")
+    edges = _met(large.select("cls", "shingles").mapInArrow(run, "key int, packed binary"), n, tasks).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    group = stash.put(components(edges, stash, "finer").select(F.col("node").alias("cls"), F.col("component").alias("group")), "finer_groups")
+    stash.release()
+    large = stash.put(large.drop("group").join(group, "cls").select(payload.columns), "large")
+    rest = [x.join(big, "group", "left_anti") for x in (payload, wanted)]
+    return rest[0].unionByName(large), rest[1].select("cls", "group").unionByName(large.select("cls", "group"))
+
+
 def _labels(stash: Stash, payload: DataFrame, wanted: DataFrame, num: int, den: int, tile: int, n: int) -> DataFrame:
     """(group, cls, n, shingles) of the wanted classes -> (cls, label): the components by true links."""
     counts = wanted.groupBy("group").agg(F.count("*").alias("members"))
@@ -463,8 +527,10 @@ def _linked(named: DataFrame, words: int, num: int, den: int, tile: int) -> Data
         payload = payload.dropDuplicates(["cls"])  # rows that repeat a doc_id give one set
     payload = stash.put(payload, "payload")
     stash.release()
+    payload, wanted = _parted(stash, payload, wanted, num, den, tile, n, tasks, flags)
+    stash.release()
     label = stash.put(_labels(stash, payload, wanted, num, den, tile, n).distinct(), "labels")
-    stash.drop("payload", "spread")
+    stash.drop("payload", "large", "spread")
     stash.release()
     whole = classes.join(label, "cls", "left").select("cls", "least", F.coalesce("label", "cls").alias("label"))
     least = whole.groupBy("label").agg(F.min("least").alias("least"))
