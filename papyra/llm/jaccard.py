@@ -12,11 +12,15 @@ then all is hashed anew.
    the parts, lest one common passage make candidates of all that quote it.  A task links
    equal keys among its own rows to the least class and sends each key once, so a key
    that very many sets share stays small.
-2. Candidates' components are cut into tiles of similar sizes.  In a tile, hashed bitmap
+2. Where few classes share a key, each two of them are a pair of their own, which counts
+   only where their sketches, some bytes a set, allow a link.  Shingles are then read for
+   those classes alone that a pair or a larger key leaves together: chance meetings grow
+   with the square of the table, and would soon bring in every document.
+3. Candidates' components are cut into tiles of similar sizes.  In a tile, hashed bitmap
    signatures bound each overlap from above by bit counts; what passes is settled by
    intersecting the sorted shingle arrays.  A pair already joined through others is
    skipped, so a group of copies costs about one intersection a member.
-3. Candidate components too large for a tile are parted by keys of two parts, which sets
+4. Candidate components too large for a tile are parted by keys of two parts, which sets
    seldom share by chance; of what is then too large still, blocks are settled, then the
    blocks' leaders, then what is not in the largest component is compared with all.
 """
@@ -38,6 +42,8 @@ from .passages import dealt, first_of, pack, spark_hash, unpack
 TILE, BUCKET_BYTES = 800, 16 << 20
 #: Tiles in which what is apart meets all others are so many times larger: each is read once for each of the other side's.
 CROSS = 2
+#: Classes of a key that are compared two by two by their sketches; a key of more is a star around the least.
+FEW = 8
 #: In sets that may differ in fewer shingles a key of the second kind is one part.
 FINER = 8
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -148,40 +154,112 @@ class Bands:
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _stars(key: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(which rows stand for their key, least class, other class): every key's classes as a star."""
-    order = np.lexsort((cls, key))
-    key, cls = key[order], cls[order]
-    new = first_of(key)
-    least = cls[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))] if len(key) else cls
-    other = cls != least
-    pairs = np.unique(np.stack((least[other], cls[other])), axis=1) if other.any() else np.zeros((2, 0), np.int64)
-    return order[new], pairs[0], pairs[1]
+def sketch(s: np.ndarray) -> bytes:
+    """How many hashes lie in each of 64 or more equal ranges, a byte each: sets differ in as many hashes at least as their counts do."""
+    bits = max(6, (len(s) // 8).bit_length())
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
-def _dealt_keys(bucket: np.ndarray, key: np.ndarray, cls: np.ndarray):
-    """(bucket, packed keys): a bucket's classes once, its keys with their class's place among them."""
+def may_link(n: tuple[np.ndarray, np.ndarray], sketches: tuple[list[bytes], list[bytes]], num: int, den: int) -> np.ndarray:
+    """Which pairs of sets of n hashes can link by their sketches; never false where they do."""
+    width = np.array([[len(x) for x in side] for side in sketches])
+    differ = np.zeros(len(n[0]), np.int64)
+    for some in np.unique(width, axis=1).T if width.size else ():
+        rows, least = np.flatnonzero((width == some[:, None]).all(0)), int(some.min())
+        for at in range(0, len(rows), 2048):
+            part = rows[at : at + 2048]
+            x, y = (np.frombuffer(b"".join([side[i] for i in part]), np.uint8).reshape(len(part), least, -1).sum(2, dtype=np.int64) for side in sketches)
+            differ[part] = np.abs(np.minimum(x, 255) - np.minimum(y, 255)).sum(1)
+    return (den + num) * differ <= (den - num) * (n[0] + n[1])
+
+
+def _ordered(*columns: np.ndarray) -> list[np.ndarray]:
+    """Distinct rows, by the first column, then the next."""
+    order = np.lexsort(columns[::-1])
+    columns = [x[order] for x in columns]
+    new = first_of(*columns)
+    return [x[new] for x in columns]
+
+
+def _meetings(key: np.ndarray, cls: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(key, class, whether the key is of more than FEW classes: the least stands for these; stars of such keys; pairs of the others).
+
+    many tells which rows stand for more than FEW classes already.
+    """
+    order = np.lexsort((~many, cls, key))
+    key, cls, many = key[order], cls[order], many[order]
+    new = first_of(key, cls)
+    key, cls, many = key[new], cls[new], many[new]
+    start = np.flatnonzero(first_of(key))
+    size = np.diff(np.append(start, len(key)))
+    large = size > FEW
+    if len(start):
+        large |= np.logical_or.reduceat(many, start)
+    wide, least = np.repeat(large, size), np.repeat(cls[start], size)
+    other = wide & (cls != least)
+    pairs = [np.zeros((2, 0), np.int64)]
+    for k in range(2, FEW + 1):
+        i, j = np.triu_indices(k, 1)
+        at = start[(size == k) & ~large][:, None]
+        pairs.append(np.stack((cls[at + i].ravel(), cls[at + j].ravel())))
+    return key[~other], cls[~other], wide[~other], _ordered(least[other], cls[other]), _ordered(*np.concatenate(pairs, axis=1))
+
+
+def _dealt_keys(n: int, key: np.ndarray, cls: np.ndarray):
+    """(key, packed): local stars of large keys under 2n + q; keys by their bucket, a bucket's classes once, its keys with their class's place among them."""
+    key, cls, many, stars, _ = _meetings(key, cls, np.zeros(len(key), bool))
+    yield from ((2 * n + k, p) for k, p in dealt(spark_hash(stars[1]).astype(np.int64) % n, cls=stars[0], other=stars[1]))
+    bucket = ((key >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    bucket, key, cls = bucket[order], key[order], cls[order]
+    bucket, key, cls, many = bucket[order], key[order], cls[order], many[order]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     for a, b in zip(np.concatenate(([0], cuts)), np.append(cuts, len(bucket)), strict=True):
         if b > a:
             own, place = np.unique(cls[a:b], return_inverse=True)
             head = pack(cls=own)
-            yield int(bucket[a]), np.int64(len(head)).tobytes() + head + pack(key=key[a:b], place=place)
+            yield int(bucket[a]), np.int64(len(head)).tobytes() + head + pack(key=key[a:b], place=place, many=many[a:b])
 
 
-def _unpacked_keys(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    keys, classes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def _unpacked_keys(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys, classes, many = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     for row in rows:
         n = 8 + int(np.frombuffer(row, np.int64, 1)[0])
-        own, c = unpack([row[8:n]], "cls")["cls"], unpack([row[n:]], "key", "place")
+        own, c = unpack([row[8:n]], "cls")["cls"], unpack([row[n:]], "key", "place", "many")
         keys.append(c["key"])
         classes.append(own[c["place"]])
-    return np.concatenate(keys), np.concatenate(classes)
+        many.append(c["many"] > 0)
+    return np.concatenate(keys), np.concatenate(classes), np.concatenate(many)
+
 
+def _packed_sketches(n: int, sketches: dict[int, tuple[int, bytes]]):
+    """(3n + q, packed): classes, sizes, sketches."""
+    cls = np.array(list(sketches), np.int64)
+    for q, places in _split(spark_hash(cls).astype(np.int64) % n):
+        some = [sketches[int(c)] for c in cls[places]]
+        yield 3 * n + q, pack(cls=cls[places], size=np.array([x[0] for x in some])) + b"".join(x[1] for x in some)
 
-ROWS, EDGES = 1, 2
+
+def _split(key: np.ndarray):
+    """(key, its places) for each distinct key."""
+    order = np.argsort(key, kind="stable")
+    for places in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+        if len(places):
+            yield int(key[places[0]]), places
+
+
+def _unpacked_sketches(rows: list[bytes]) -> dict[int, tuple[int, bytes]]:
+    found = {}
+    for row in rows:
+        c = unpack([row[: 8 + 12 * int.from_bytes(row[:8], "little")]], "cls", "size")
+        at = 8 + 12 * len(c["cls"])
+        for cls, size in zip(c["cls"].tolist(), c["size"].tolist(), strict=True):
+            width = 1 << max(6, (size // 8).bit_length())
+            found[cls] = size, row[at : at + width]
+            at += width
+    return found
+
+
+PAIRS, ROWS, EDGES, SKETCHES = range(4)
 
 
 def popular_shingles(docs: DataFrame, words: int) -> np.ndarray:
@@ -198,7 +276,7 @@ def _class_of(s: np.ndarray, salt: int) -> np.int64:
 
 
 def _signatures(docs: DataFrame, words: int, num: int, den: int, n: int, flags: np.ndarray, salt: int) -> DataFrame:
-    """(key, packed): candidate keys by their bucket, documents under n + q, local stars under 2n + q."""
+    """(key, packed): candidate keys by their bucket, documents under n + q, local stars under 2n + q, sketches under 3n + q."""
     shared = docs.sparkSession.sparkContext.broadcast(flags)
 
     def run(batches):
@@ -207,7 +285,7 @@ def _signatures(docs: DataFrame, words: int, num: int, den: int, n: int, flags:
             all_ids, texts, all_marks = batch.columns
             for a, b in slices(byte_lengths(texts), 8 << 20, 60_000):
                 ids, marks = all_ids[a:b].to_numpy(), all_marks[a:b].to_numpy()
-                cls, check, size, keys, owner, known = *np.zeros((3, b - a), np.int64), [], [], set()
+                cls, check, size, keys, owner, known = *np.zeros((3, b - a), np.int64), [], [], {}
                 for i in range(b - a):
                     s = shingles(texts[a + i].as_py(), words)
                     size[i] = len(s)
@@ -216,38 +294,64 @@ def _signatures(docs: DataFrame, words: int, num: int, den: int, n: int, flags:
                     cls[i] = c = _class_of(s, salt)
                     check[i] = np.array(xxhash.xxh64_intdigest(s.tobytes(), salt), np.uint64).astype(np.int64)
                     if int(c) not in known:
-                        known.add(int(c))
                         keys.append(bands.keys(s, flagged(flags, s)))
+                        if len(keys[-1]):
+                            known[int(c)] = len(s), sketch(s)
+                        else:
+                            known[int(c)] = None
                         owner.append(np.full(len(keys[-1]), c))
                 rows = [(n + k, p) for k, p in dealt(spark_hash(ids).astype(np.int64) % n, id=ids, cls=cls, size=size, mark=marks, check=check)]
                 if keys:
-                    key, owner = np.concatenate(keys), np.concatenate(owner)
-                    heads, least, other = _stars(key, owner)
-                    key, owner = key[heads], owner[heads]
-                    rows += _dealt_keys(((key >> np.uint64(40)) % np.uint64(n)).astype(np.int64), key, owner)
-                    rows += [(2 * n + k, p) for k, p in dealt(spark_hash(other).astype(np.int64) % n, cls=least, other=other)]
+                    rows += [*_dealt_keys(n, np.concatenate(keys), np.concatenate(owner)), *_packed_sketches(n, {c: x for c, x in known.items() if x})]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], ["key", "packed"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), "mark").mapInArrow(run, "key int, packed binary")
 
 
 def _met(found: DataFrame, n: int, tasks: int) -> DataFrame:
-    """(kind, a, b, size, mark, check): documents (doc_id, class, size, mark, check) and candidate edges (least class, other)."""
+    """(kind, a, b, size, mark, check, sketch): documents (doc_id, class, size, mark, check), stars (least class, other), pairs (class, class), sketches (class, size)."""
 
     def meet(t: pa.Table) -> pa.Table:
         kind, rows = t.column("key")[0].as_py() // n, t.column("packed").to_pylist()
-        size = mark = check = None
+        size = mark = check = sketches = None
+        kinds = kind
         if kind == ROWS:
             c = unpack(rows, "id", "cls", "size", "mark", "check")
             a, b, size, mark, check = (c[x] for x in ("id", "cls", "size", "mark", "check"))
         elif kind == EDGES:
             c = unpack(rows, "cls", "other")
-            a, b = np.unique(np.stack((c["cls"], c["other"])), axis=1)
+            a, b = _ordered(c["cls"], c["other"])
+        elif kind == SKETCHES:
+            each = _unpacked_sketches(rows)
+            a, b = np.array(list(each), np.int64), np.zeros(len(each), np.int64)
+            size, sketches = np.array([x[0] for x in each.values()], np.int64), [x[1] for x in each.values()]
         else:
-            _, a, b = _stars(*_unpacked_keys(rows))
-        return pa.table([pa.array(np.full(len(a), ROWS if kind == ROWS else EDGES), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.array(np.zeros(len(a), np.int64) if x is None else x, pa.int64()) for x in (size, mark, check))], ["kind", "a", "b", "size", "mark", "check"])
+            *_, stars, pairs = _meetings(*_unpacked_keys(rows))
+            a, b = (np.concatenate(x) for x in zip(stars, pairs, strict=True))
+            kinds = np.repeat([EDGES, PAIRS], [len(stars[0]), len(pairs[0])])
+        numbers = [pa.array(np.zeros(len(a), np.int64) if x is None else x, pa.int64()) for x in (a, b, size, mark, check)]
+        return pa.table([pa.array(np.array(np.broadcast_to(kinds, len(a))), pa.int32()), *numbers, pa.nulls(len(a), pa.binary()) if sketches is None else pa.array(sketches, pa.binary())], ["kind", "a", "b", "size", "mark", "check", "sketch"])
+
+    return found.repartition(tasks, "key").groupBy("key").applyInArrow(meet, "kind int, a long, b long, size long, mark long, check long, sketch binary")
 
-    return found.repartition(tasks, "key").groupBy("key").applyInArrow(meet, "kind int, a long, b long, size long, mark long, check long")
+
+def _edges(met: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): stars, and the pairs whose sketches (cls, n, sketch) allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            u, v, n_u, n_v, first, second = batch.columns
+            for a, b in slices(byte_lengths(first), 1 << 20):
+                n = tuple(x[a:b].to_numpy() for x in (n_u, n_v))
+                keep = pa.array(may_link(n, (first[a:b].to_pylist(), second[a:b].to_pylist()), num, den), pa.bool_())
+                yield pa.RecordBatch.from_arrays([u[a:b], v[a:b]], ["u", "v"]).filter(keep)
+
+    ends = [F.col("a").alias("u"), F.col("b").alias("v")]
+    pairs = met.where(F.col("kind") == PAIRS).select(ends).distinct()
+    for x in "uv":  # pairs grow with the documents: one plan for every size
+        pairs = pairs.join(sketches.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"of_{x}")).hint("merge"), x)
+    apart = pairs.select("u", "v", "n_u", "n_v", "of_u", "of_v").mapInArrow(run, "u long, v long")
+    return met.where(F.col("kind") == EDGES).select(ends).unionByName(apart)
 
 
 # --- tiles -------------------------------------------------------------------------------
@@ -387,9 +491,19 @@ def _payload(docs: DataFrame, wanted: DataFrame, words: int, salt: int) -> DataF
     return joined.select("group", "cls", "text").mapInArrow(run, "group long, cls long, n long, shingles binary")
 
 
-def _parted(stash: Stash, payload: DataFrame, wanted: DataFrame, num: int, den: int, tile: int, n: int, tasks: int, flags: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """payload and wanted with the groups of more than a tile parted by their sets' finer keys; what these link with nothing is left out."""
-    big = stash.put(wanted.groupBy("group").agg(F.count("*").alias("members")).where(F.col("members") > tile).select("group"), "parted")
+def _parted(stash: Stash, payload, wanted: DataFrame, met: DataFrame, num: int, den: int, tile: int, n: int, tasks: int, flags: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(payload, wanted): the wanted classes parted into candidate groups, with their shingles; those that nothing can link with are left out.
+
+    payload: (doc_id, cls, group) -> the shingles.  Pairs are tried by their sketches first;
+    groups of more than a tile are then parted by their sets' finer keys.
+    """
+    sketches = met.where(F.col("kind") == SKETCHES).select(F.col("a").alias("cls"), F.col("size").alias("n"), "sketch")
+    group = stash.put(components(_edges(met, sketches, num, den), stash, "candidates").select(F.col("node").alias("cls"), F.col("component").alias("group")), "groups")
+    wanted = wanted.drop("group").join(group, "cls")
+    stash.release()
+    payload = stash.put(payload(wanted), "payload")
+    stash.release()
+    big = stash.put(group.groupBy("group").agg(F.count("*").alias("members")).where(F.col("members") > tile).select("group"), "parted")
     if not big.limit(1).count():
         return payload, wanted
     shared = payload.sparkSession.sparkContext.broadcast(flags)
@@ -401,16 +515,13 @@ def _parted(stash: Stash, payload: DataFrame, wanted: DataFrame, num: int, den:
             for a, b in slices(byte_lengths(packed), 8 << 20, 60_000):
                 sets = [np.frombuffer(x, np.uint64) for x in packed[a:b].to_pylist()]
                 keys = [bands.finer(s, flagged(flags, s)) for s in sets]
-                key, owner = np.concatenate(keys), np.repeat(cls[a:b].to_numpy(), [len(x) for x in keys])
-                heads, least, other = _stars(key, owner)
-                key, owner = key[heads], owner[heads]
-                rows = [*_dealt_keys(((key >> np.uint64(40)) % np.uint64(n)).astype(np.int64), key, owner)]
-                rows += [(2 * n + k, p) for k, p in dealt(spark_hash(other).astype(np.int64) % n, cls=least, other=other)]
+                rows = [*_dealt_keys(n, np.concatenate(keys), np.repeat(cls[a:b].to_numpy(), [len(x) for x in keys]))]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], ["key", "packed"])
 
     large = payload.join(big, "group", "left_semi")
-    edges = _met(large.select("cls", "shingles").mapInArrow(run, "key int, packed binary"), n, tasks).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    group = stash.put(components(edges, stash, "finer").select(F.col("node").alias("cls"), F.col("component").alias("group")), "finer_groups")
+    finer = stash.put(_met(large.select("cls", "shingles").mapInArrow(run, "key int, packed binary"), n, tasks), "finer_met")
+    stash.release()
+    group = stash.put(components(_edges(finer, sketches, num, den), stash, "finer").select(F.col("node").alias("cls"), F.col("component").alias("group")), "finer_groups")
     stash.release()
     large = stash.put(large.drop("group").join(group, "cls").select(payload.columns), "large")
     rest = [x.join(big, "group", "left_anti") for x in (payload, wanted)]
@@ -519,15 +630,14 @@ def _linked(named: DataFrame, words: int, num: int, den: int, tile: int) -> Data
         alike = classes.where("alike").limit(1).count()
         salt += 1
     salt -= 1
-    edges = met.where(F.col("kind") == EDGES).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    group = stash.put(components(edges, stash, "candidates").select(F.col("node").alias("cls"), F.col("component").alias("group")), "groups")
-    wanted = classes.join(group, "cls").select(F.col("least.doc_id").alias("doc_id"), "cls", "group")
-    payload = _payload(named, wanted, words, salt)
-    if rows.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count():
-        payload = payload.dropDuplicates(["cls"])  # rows that repeat a doc_id give one set
-    payload = stash.put(payload, "payload")
-    stash.release()
-    payload, wanted = _parted(stash, payload, wanted, num, den, tile, n, tasks, flags)
+    several = rows.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count()
+
+    def payload(wanted: DataFrame) -> DataFrame:
+        found = _payload(named, wanted, words, salt)
+        return found.dropDuplicates(["cls"]) if several else found  # rows that repeat a doc_id give one set
+
+    wanted = classes.select(F.col("least.doc_id").alias("doc_id"), "cls", F.lit(0).cast("long").alias("group"))
+    payload, wanted = _parted(stash, payload, wanted, met, num, den, tile, n, tasks, flags)
     stash.release()
     label = stash.put(_labels(stash, payload, wanted, num, den, tile, n).distinct(), "labels")
     stash.drop("payload", "large", "spread")
