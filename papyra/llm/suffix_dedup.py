@@ -1,11 +1,11 @@
 """Suffix-array de-duplication: bytes that an earlier document holds are removed.
 
 A shard is a group of whole documents and the passages of earlier documents that they may
-repeat (see passages.py).  All its suffixes are put in order, by prefix doubling without a
-limit.  For each, the nearest entries before and after it that belong to an earlier document
-hold its longest previous factor: the longest match that begins in any earlier document.
-Where that is 50 bytes or more, they are covered; the first copy, which has no earlier one,
-stays whole.  Nothing else removes a byte.
+repeat (see passages.py).  All its suffixes are put in order, by prefix doubling until
+those of 50 equal bytes stand together.  Neighbours compared byte by byte show where such a
+run ends; who of a run belongs to a later document than its earliest is covered, so the first
+copy stays whole.  How entries of 50 equal bytes go on tells nothing more.  Nothing else
+removes a byte.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keep_memory, table
-from .passages import Corpus, Units, eight_bytes
+from .passages import Corpus, Units, eight_bytes, first_of
 
 MATCH_BYTES = 50
 UNITS = Units("bytes", MATCH_BYTES, 24, strict=True)
@@ -41,11 +41,6 @@ def previous_smaller(value: np.ndarray) -> np.ndarray:
     return at
 
 
-def _equal_bytes(differ: np.ndarray) -> np.ndarray:
-    """How many leading bytes two big-endian words share, from their difference (xor)."""
-    return sum((differ < np.uint64(1 << (8 * i))).astype(np.int64) for i in range(8))
-
-
 #: How many suffixes are sorted again at a time.
 PART = 1 << 15
 
@@ -79,6 +74,7 @@ def suffix_order(text: np.ndarray, least: int = 0) -> np.ndarray:
     put in that of its first 2 h by the rank of what follows; only suffixes that still have
     equals are sorted again.  With `least`, places are left out whose suffix shares fewer
     than h bytes with any other, h the last such depth up to least: they have no longer match.
+    What shares `least` bytes then stands together, in any order.
     """
     n = len(text)
     if not n:
@@ -103,7 +99,7 @@ def suffix_order(text: np.ndarray, least: int = 0) -> np.ndarray:
     at = order[place]
     chosen = order if least < h else None
     del order
-    while len(at):
+    while len(at) and not 0 < least <= h:
         if chosen is None and 2 * h > least:
             chosen = at
         # parts of whole groups; ranks change when all are sorted, or some would be told apart by more than 2 h bytes
@@ -152,18 +148,16 @@ def longest_previous_factors(strings: list[bytes], owner: np.ndarray, most: int)
     whole = at - first[which] + most <= lengths[which]
     at, which = at[whole], which[whole]
     who = np.unique(owner, return_inverse=True)[1].astype(np.int32)[which]
-    before = previous_smaller(who)
-    after = len(who) - 1 - previous_smaller(who[::-1])[::-1]
-    x, best = eight_bytes(raw, ">u8"), np.zeros(len(at), np.int64)
-    for other, there in ((before, before >= 0), (after, after < len(at))):
-        alive = np.flatnonzero(there & (best < most))
-        for i in (*range(0, most - 7, 8), *([most - 8] if most % 8 else [])):
-            same = _equal_bytes(x[at[alive] + i] ^ x[at[other[alive]] + i])
-            best[alive] = np.maximum(best[alive], np.minimum(i + same, most))
-            alive = alive[same == 8]
-    hit = np.flatnonzero(best >= most)
-    hit = hit[np.argsort(at[hit])]
-    return which[hit], at[hit] - first[which[hit]], best[hit]
+    x, new = eight_bytes(raw, ">u8"), np.zeros(len(at), bool)
+    for i in (*range(0, most - 7, 8), *([most - 8] if most % 8 else [])):
+        new |= first_of(x[at + i])
+    heads = np.flatnonzero(new)
+    first_who = np.minimum.reduceat(who, heads) if len(heads) else who
+    hit = np.zeros(len(string), bool)
+    hit[at[who > np.repeat(first_who, np.diff(np.append(heads, len(at))))]] = True
+    at = np.flatnonzero(hit)
+    which = string[at]
+    return which, at - first[which], np.full(len(at), most)
 
 
 def _solve(ids: np.ndarray, texts: list[bytes], passages: list[tuple]) -> list:
